@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxelloom.llm import substring
+from voxelloom.llm import digests, mixing, repeats, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,7 +16,13 @@ def _over(name: str, query):
 
 
 QUERIES = {
+    "op2_suffix_array_dedup": _over("documents", repeats.op2_suffix_array_dedup),
+    "op3_mix_sources": _over("documents", mixing.op3_mix_sources),
+    "op4_exact_dedup": _over("documents", digests.op4_exact_dedup),
     "op5_substring_dedup": _over("documents", substring.op5_substring_dedup),
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_mix_sources": mixing.OP3_SQL,
+    "op4_exact_dedup": digests.OP4_SQL,
+}
