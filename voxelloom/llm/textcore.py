@@ -23,7 +23,7 @@ BASE_INVERSE = pow(BASE, -1, 1 << 64)
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: Working size of one array pass; a longer single text is still taken whole.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 512 << 10
 
 
 def mix(x: np.ndarray) -> np.ndarray:
