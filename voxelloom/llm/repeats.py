@@ -16,6 +16,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +26,10 @@ from voxelloom.llm.suffixarray import permuted_lcp, suffix_array
 
 #: Bytes of an anchor, where strings are long enough.
 GRAM = 24
+#: Symbols that one suffix array takes at least before the next is begun; more only where one anchor has them.
+SHARD = 1 << 20
+#: A segment's key has its anchor's upper bits above those of its own hash, so that ranges of keys keep anchors whole.
+ANCHOR_BITS = 24
 
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
 OUT_ARROW = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()), ("kept_sha256", pa.string())])
@@ -87,8 +92,26 @@ class _Segments:
         self.end = np.minimum(end_of_run[found[on]] - 1, hi[on]) + length
         self.doc = np.searchsorted(texts.off, self.start, "right") - 1
 
-    def hashes(self, which) -> np.ndarray:
-        return self.texts.span_hashes(self.start[which], self.end[which], self.prefix)
+    def keys(self, which) -> np.ndarray:
+        low = tc.U64((1 << (64 - ANCHOR_BITS)) - 1)
+        return (self.anchor[which] & ~low) | (self.texts.span_hashes(self.start[which], self.end[which], self.prefix) & low)
+
+
+def _key_buckets(keys: np.ndarray, n: int):
+    """Buckets of sorted keys, cut between anchors."""
+    edges = np.array([-(-(b << ANCHOR_BITS) // n) << (64 - ANCHOR_BITS) for b in range(n)], tc.U64)
+    cut = np.append(np.searchsorted(keys, edges), len(keys))
+    for b in np.flatnonzero(np.diff(cut)):
+        yield int(b), slice(int(cut[b]), int(cut[b + 1]))
+
+
+def _shards(keys: np.ndarray, size: np.ndarray):
+    """Slices of sorted keys that keep anchors whole, of about SHARD symbols each."""
+    begin = tc.runs(keys >> tc.U64(64 - ANCHOR_BITS))
+    total = np.concatenate([[0], np.cumsum(size + 1)])
+    shard = total[begin] // SHARD
+    cut = np.append(begin[tc.runs(shard)], len(keys))
+    return [slice(int(a), int(b)) for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
 def _bytes_of(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -119,82 +142,80 @@ def _segments(length: int, n: int):
         if not docs.num_rows or not len(known):
             return bl.letters([])
         texts, ids = tc.Texts.from_arrow(docs.column("text")), docs.column("doc_id").to_numpy()
-        parts: list[list[np.ndarray]] = [[], [], [], [], []]
-        base = 0
+        parts: list[list[np.ndarray]] = [[], [], [], []]
         for lo, hi in texts.chunks():
             s = _Segments(texts.rows(lo, hi), length)
             on = tc.find(known, s.anchor)[1]
-            for part, x in zip(parts, (s.anchor[on], s.hashes(on), s.start[on] + base, s.end[on] + base, ids[lo:hi][s.doc[on]]), strict=True):
+            for part, x in zip(parts, (s.keys(on), s.start[on] + texts.off[lo], (s.end - s.start)[on], ids[lo:hi][s.doc[on]]), strict=True):
                 part.append(x)
-            base = texts.off[hi]
-        anchor, h, start, end, doc = (np.concatenate(p) for p in parts)
-        order = np.lexsort((doc, h))
-        first = tc.runs(h[order])
-        last = np.append(first[1:], len(h))[: len(first)] - 1
+        key, start, size, doc = (np.concatenate(p) for p in parts)
+        order = np.lexsort((doc, key))
+        first = tc.runs(key[order])
+        last = np.append(first[1:], len(key))[: len(first)] - 1
         one, low, high = order[first], doc[order[first]], doc[order[last]]
-        by_anchor = np.argsort(anchor[one], kind="stable")
-        one, low, high = one[by_anchor], low[by_anchor], high[by_anchor]
-        block, out = bl.block_of(docs), []
-        for b, s in tc.by_bucket(anchor[one], n):
-            i = one[s]
-            keys = np.argsort(h[i])
-            i = i[keys]
-            data = _bytes_of(texts.buf, start[i], end[i])
-            more = tc.transposed(low[s][keys]) + tc.transposed(high[s][keys]) + tc.transposed((end[i] - start[i]).astype(np.uint16)) + data.tobytes()
-            out.append((b, block, tc.pack(h[i]), more))
+        key, start, size = key[one], start[one], size[one]
+        block, out, pressed = bl.block_of(docs), [], zstandard.ZstdCompressor(level=1)
+        for b, s in _key_buckets(key, n):
+            data = _bytes_of(texts.buf, start[s], start[s] + size[s])
+            more = tc.transposed(low[s]) + tc.transposed(high[s]) + tc.transposed(size[s].astype(np.uint16)) + pressed.compress(data.tobytes())
+            out.append((b, block, tc.pack(key[s]), more))
         return bl.letters(out)
 
     return run
 
 
+def _earliest(data: np.ndarray, start: np.ndarray, size: np.ndarray, least: np.ndarray, length: int) -> np.ndarray:
+    """Of a shard's segments, end to end: for each string of ``length`` the smallest doc_id that has it."""
+    begin = np.concatenate([[0], np.cumsum(size + 1)])
+    # Each segment is followed by a separator, 0; bytes are 1 to 256.
+    text = np.zeros(int(begin[-1]), np.uint16)
+    inside = np.ones(len(text), bool)
+    inside[begin[1:] - 1] = False
+    text[inside] = _bytes_of(data, start, start + size).astype(np.uint16) + 1
+    sa = suffix_array(text)
+    common = permuted_lcp(text, sa, length + int(size.max()) + 4, begin[:-1])
+    segment = np.repeat(np.arange(len(size)), size + 1)
+    whole = (begin[1:] - 1)[segment] - np.arange(len(text)) >= length
+    sa = sa[whole[sa]]
+    new = common[sa] < length
+    new[0] = True
+    new = np.flatnonzero(new)
+    string_min = np.empty(len(text), np.int64)
+    string_min[sa] = np.repeat(np.minimum.reduceat(least[segment[sa]], new), np.diff(np.append(new, len(sa))))
+    return string_min[whole]
+
+
 def _sorted_shard(length: int):
-    """Of a shard: the smallest doc_id of each string, back to the blocks in which a larger one has it."""
+    """Of a bucket: the smallest doc_id of each string, back to the blocks in which a larger one has it."""
 
     def run(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
-        got, all_h, all_low, all_size, data = [], [], [], [], []
-        for block, h, more in bl.received(table):
-            m = len(h)
+        got, all_key, all_low, all_size, data = [], [], [], [], []
+        for block, key, more in bl.received(table):
+            m = len(key)
             low, high, size = (tc.restored(more[a * m : b * m], t) for a, b, t in ((0, 8, np.int64), (8, 16, np.int64), (16, 18, np.uint16)))
-            got.append((block, h, high, size))
-            all_h.append(h)
+            got.append((block, key, high))
+            all_key.append(key)
             all_low.append(low)
             all_size.append(size.astype(np.int64))
-            data.append(np.frombuffer(more, np.uint8, offset=18 * m))
-        h, low, size = np.concatenate(all_h), np.concatenate(all_low), np.concatenate(all_size)
-        data = np.concatenate(data)
-        ends = np.cumsum(size)
-        order = np.argsort(h, kind="stable")
-        first = tc.runs(h[order])
-        keys, one, least = h[order][first], order[first], np.minimum.reduceat(low[order], first)
-        # The distinct segments, each followed by a separator (0; bytes are 1 to 256).
-        size = size[one]
-        begin = np.concatenate([[0], np.cumsum(size + 1)])
-        text = np.zeros(int(begin[-1]), np.uint16)
-        at = np.ones(len(text), bool)
-        at[begin[1:] - 1] = False
-        text[at] = _bytes_of(data, ends[one] - size, ends[one]).astype(np.uint16) + 1
-        sa = suffix_array(text).astype(np.int64)
-        common = permuted_lcp(text, sa, length + int(size.max()) + 4, begin[:-1])
-        segment = np.repeat(np.arange(len(one)), size + 1)
-        whole = (begin[1:] - 1)[segment] - np.arange(len(text)) >= length
-        sa = sa[whole[sa]]
-        new = np.flatnonzero(common[sa] < length)
-        if not len(new) or new[0]:
-            new = np.concatenate([[0], new])
-        smallest = np.minimum.reduceat(least[segment[sa]], new)
-        string_min = np.empty(len(text), np.int64)
-        string_min[sa] = np.repeat(smallest, np.diff(np.append(new, len(sa))))
-        # Back to the blocks.
+            data.append(np.frombuffer(zstandard.ZstdDecompressor().decompress(more[18 * m :]), np.uint8))
+        key, low, size, data = np.concatenate(all_key), np.concatenate(all_low), np.concatenate(all_size), np.concatenate(data)
+        start = np.cumsum(size) - size
+        order = np.argsort(key, kind="stable")
+        first = tc.runs(key[order])
+        least = np.minimum.reduceat(low[order], first)
+        keys, start, size = key[order][first], start[order[first]], size[order[first]]
+        value = np.concatenate([_earliest(data, start[s], size[s], least[s], length) for s in _shards(keys, size)])
         windows = size - length + 1
+        begin = np.cumsum(windows) - windows
+        lowest = np.minimum.reduceat(value, begin)
         out = []
-        per_segment = np.minimum.reduceat(np.where(whole, string_min, bl.NO_ID), begin[:-1])
-        for block, mine, high, _ in got:
+        for block, mine, high in got:
             place = np.searchsorted(keys, mine)
-            on = per_segment[place] < high
+            on = lowest[place] < high
             if on.any():
                 place = place[on]
-                values = _bytes_of(string_min, begin[place], begin[place] + windows[place])
+                values = _bytes_of(value, begin[place], begin[place] + windows[place])
                 out.append((bucket, block, tc.pack(mine[on]), tc.transposed(windows[place].astype(np.uint16)) + tc.transposed(values)))
         return bl.letters(out)
 
@@ -222,7 +243,7 @@ def _removed(length: int):
             mark = np.zeros(len(part.buf) + 1, np.int64)
             if len(keys):
                 s = _Segments(part, length)
-                at, there = tc.find(keys, s.hashes(slice(None)))
+                at, there = tc.find(keys, s.keys(slice(None)))
                 at, start, doc = at[there], s.start[there], ids[lo:hi][s.doc[there]]
                 least = _bytes_of(values, begin[at], begin[at] + count[at])
                 place = _bytes_of(np.arange(len(part.buf)), start, start + count[at])
