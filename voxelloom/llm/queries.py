@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxelloom.llm import digests, mixing, repeats, substring
+from voxelloom.llm import digests, mixing, nearjoin, repeats, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,7 @@ QUERIES = {
     "op2_suffix_array_dedup": _over("documents", repeats.op2_suffix_array_dedup),
     "op3_mix_sources": _over("documents", mixing.op3_mix_sources),
     "op4_exact_dedup": _over("documents", digests.op4_exact_dedup),
+    "op9_ngram_jaccard_join": _over("documents", nearjoin.op9_ngram_jaccard_join),
     "op5_substring_dedup": _over("documents", substring.op5_substring_dedup),
 }
 
