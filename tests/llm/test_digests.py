@@ -30,6 +30,7 @@ def test_later_batches(spark):
     got = {r.doc_id: (r.keep_id, r.kept) for r in deduplicate(two, index).collect()}
     assert got == {9: (3, False), 10: (11, False), 11: (11, True)}
     assert index.table().count() == 3
+    assert not any(r.kept for r in deduplicate(two, index).collect())
     plan = index.unseen(two.selectExpr("unhex(sha2(text, 256)) AS digest", "doc_id AS keep_id"))._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "LeftAnti" in plan
     index.drop()

@@ -12,6 +12,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxelloom.llm.shared import join_groups, saved
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -71,21 +73,25 @@ def deduplicate(docs: DataFrame, index: DigestIndex, doc_id: str = "doc_id", tex
     carry the same result.  Very long texts cost one digest each.  Other columns
     are ignored.  An empty table gives no rows and leaves the index as it was.
 
-    Groups are summed before the shuffle.  Rows get their group's result by a
-    sort-merge join of 40-byte rows, whose large keys adaptive execution splits.
+    Groups are summed before the shuffle.  Rows of the largest groups find theirs
+    in a broadcast table of under a thousand rows, all others by a sort-merge join.
     """
     rows = with_digest(docs, doc_id, text)
-    groups = rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    had = index.exists()
-    index.append(index.unseen(groups.select("digest", "keep_id")))
-    known = index.table().hint("merge")
-    found = rows.join(groups.hint("merge").join(known.select("digest", F.col("keep_id").alias("first_id")), "digest"), "digest") if had else rows.join(groups.hint("merge"), "digest").withColumn("first_id", F.col("keep_id"))
-    keep = F.col("first_id")
-    return found.select(
+    groups = saved(rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
+    new = index.unseen(groups)
+    fresh = lambda df: df.withColumns({"first_id": F.col("keep_id"), "fresh": F.lit(True)})
+    if index.exists():
+        known = index.table().select("digest", F.col("keep_id").alias("first_id"), F.lit(False).alias("fresh"))
+        groups = saved(fresh(new).unionByName(groups.join(known.hint("merge"), "digest")))
+    else:
+        groups = fresh(groups)
+    total = groups.agg(F.sum("group_size")).first()[0] or 0
+    index.append(new)
+    return join_groups(rows, groups, "digest", "group_size", total, "doc_id").select(
         "doc_id",
-        keep.alias("keep_id"),
+        F.col("first_id").alias("keep_id"),
         "group_size",
-        (F.col("doc_id").eqNullSafe(keep) & F.col("first_id").eqNullSafe(F.col("keep_id"))).alias("kept"),
+        (F.col("fresh") & F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
 
