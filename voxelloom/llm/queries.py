@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxelloom.llm import digests, mixing, nearjoin, repeats, substring
+from voxelloom.llm import bloomlm, digests, mixing, nearjoin, repeats, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,7 @@ def _over(name: str, query):
 
 
 QUERIES = {
+    "op1_lm_scoring": _over("documents", bloomlm.op1_lm_scoring),
     "op2_suffix_array_dedup": _over("documents", repeats.op2_suffix_array_dedup),
     "op3_mix_sources": _over("documents", mixing.op3_mix_sources),
     "op4_exact_dedup": _over("documents", digests.op4_exact_dedup),
