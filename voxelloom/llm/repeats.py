@@ -87,7 +87,8 @@ class _Segments:
             todo = todo[~hit & (run[todo] < last[todo])]
             run[todo] += 1
         on = found >= 0
-        self.anchor = anchor[on]
+        # Smallest hashes are small; mixed again they spread evenly over the buckets.
+        self.anchor = tc.mix(anchor[on] ^ tc.U64(0x94D049BB133111EB))
         self.start = np.maximum(first_of_run[found[on]], lo[on])
         self.end = np.minimum(end_of_run[found[on]] - 1, hi[on]) + length
         self.doc = np.searchsorted(texts.off, self.start, "right") - 1
