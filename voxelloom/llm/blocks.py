@@ -58,12 +58,8 @@ def received(table: pa.Table):
 
 def tell_buckets(block: int, hashes: np.ndarray, doc_ids: np.ndarray, n: int) -> list[tuple[int, int, bytes, bytes]]:
     """Each distinct hash of the block once, and whether documents of different ids have it."""
-    order = np.lexsort((doc_ids, hashes))
-    hashes, doc_ids = hashes[order], doc_ids[order]
-    first = tc.runs(hashes)
-    last = np.append(first[1:], len(hashes))[: len(first)] - 1
-    several = (doc_ids[first] != doc_ids[last]).astype(np.uint8)
-    hashes = hashes[first]
+    hashes, _, low, high = tc.extremes(hashes, doc_ids)
+    several = (low != high).astype(np.uint8)
     return [(b, block, tc.pack(hashes[s]), several[s].tobytes()) for b, s in tc.by_bucket(hashes, n)]
 
 
@@ -73,7 +69,7 @@ def shared_hashes(table: pa.Table) -> pa.Table:
     bucket = table.column("bucket")[0].as_py()
     every = np.concatenate([h for _, h, _ in got])
     several = np.concatenate([np.frombuffer(m, np.uint8) for _, _, m in got]).astype(bool)
-    order = np.argsort(every, kind="stable")
+    order = np.argsort(every)
     first = tc.runs(every[order])
     size = np.diff(np.append(first, len(every)))
     shared = every[order][first][(size > 1) | np.logical_or.reduceat(several[order], first)]

@@ -150,11 +150,8 @@ def _segments(length: int, n: int):
             for part, x in zip(parts, (s.keys(on), s.start[on] + texts.off[lo], (s.end - s.start)[on], ids[lo:hi][s.doc[on]]), strict=True):
                 part.append(x)
         key, start, size, doc = (np.concatenate(p) for p in parts)
-        order = np.lexsort((doc, key))
-        first = tc.runs(key[order])
-        last = np.append(first[1:], len(key))[: len(first)] - 1
-        one, low, high = order[first], doc[order[first]], doc[order[last]]
-        key, start, size = key[one], start[one], size[one]
+        key, one, low, high = tc.extremes(key, doc)
+        start, size = start[one], size[one]
         block, out, pressed = bl.block_of(docs), [], zstandard.ZstdCompressor(level=1)
         for b, s in _key_buckets(key, n):
             data = _bytes_of(texts.buf, start[s], start[s] + size[s])
@@ -202,10 +199,8 @@ def _sorted_shard(length: int):
             data.append(np.frombuffer(zstandard.ZstdDecompressor().decompress(more[18 * m :]), np.uint8))
         key, low, size, data = np.concatenate(all_key), np.concatenate(all_low), np.concatenate(all_size), np.concatenate(data)
         start = np.cumsum(size) - size
-        order = np.argsort(key, kind="stable")
-        first = tc.runs(key[order])
-        least = np.minimum.reduceat(low[order], first)
-        keys, start, size = key[order][first], start[order[first]], size[order[first]]
+        keys, one, least, _ = tc.extremes(key, low)
+        start, size = start[one], size[one]
         value = np.concatenate([_earliest(data, start[s], size[s], least[s], length) for s in _shards(keys, size)])
         windows = size - length + 1
         begin = np.cumsum(windows) - windows

@@ -92,11 +92,7 @@ def _extended(window: int, n: int):
             hashes.append(full[on])
             owners.append(ids[lo:hi][w.doc[start[on]]])
         h, d = np.concatenate(hashes), np.concatenate(owners)
-        order = np.lexsort((d, h))
-        h, d = h[order], d[order]
-        first = tc.runs(h)
-        last = np.append(first[1:], len(h))[: len(first)] - 1
-        h, low, high = h[first], d[first], d[last]
+        h, _, low, high = tc.extremes(h, d)
         block = bl.block_of(docs)
         return bl.letters([(b, block, tc.pack(h[s]), tc.transposed(low[s]) + tc.transposed(high[s])) for b, s in tc.by_bucket(h, n)])
 
@@ -109,9 +105,7 @@ def _earliest(table: pa.Table) -> pa.Table:
     bucket = table.column("bucket")[0].as_py()
     bounds = [(tc.restored(m[: len(m) // 2], np.int64), tc.restored(m[len(m) // 2 :], np.int64)) for _, _, m in got]
     every, low = np.concatenate([h for _, h, _ in got]), np.concatenate([x for x, _ in bounds])
-    order = np.argsort(every, kind="stable")
-    first = tc.runs(every[order])
-    keys, least = every[order][first], np.minimum.reduceat(low[order], first)
+    keys, _, least, _ = tc.extremes(every, low)
     out = []
     for (block, hashes, _), (_, high) in zip(got, bounds, strict=True):
         own = least[np.searchsorted(keys, hashes)]

@@ -84,7 +84,7 @@ def _ranked(names: np.ndarray) -> np.ndarray:
         follow = np.zeros(n, np.int64)
         follow[: max(n - step, 0)] = rank[step:] + 1
         key = rank * (n + 2) + follow
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         k = key[order]
         new = np.concatenate([[0], np.cumsum(k[1:] != k[:-1])])
         rank = np.empty(n, np.int64)

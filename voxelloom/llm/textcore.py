@@ -141,6 +141,16 @@ def runs(sorted_values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def extremes(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, sorted: the keys, a place of each, and the smallest and the largest of its values."""
+    order = np.argsort(keys)
+    first = runs(keys[order])
+    if not len(first):
+        return keys, order, values, values
+    dealt = values[order]
+    return keys[order[first]], order[first], np.minimum.reduceat(dealt, first), np.maximum.reduceat(dealt, first)
+
+
 def find(sorted_values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of ``wanted`` in ``sorted_values``, and whether they are there."""
     if not len(sorted_values):
