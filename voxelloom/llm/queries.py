@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxelloom.llm import bloomlm, digests, mixing, nearjoin, repeats, substring, unigram
+from voxelloom.llm import bloomlm, digests, langid, mixing, nearjoin, repeats, substring, unigram
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,7 @@ QUERIES = {
     "op2_suffix_array_dedup": _over("documents", repeats.op2_suffix_array_dedup),
     "op3_mix_sources": _over("documents", mixing.op3_mix_sources),
     "op4_exact_dedup": _over("documents", digests.op4_exact_dedup),
+    "op6_language_id": _over("documents", langid.op6_language_id),
     "op8_sentencepiece": _over("documents", unigram.op8_sentencepiece),
     "op9_ngram_jaccard_join": _over("documents", nearjoin.op9_ngram_jaccard_join),
     "op5_substring_dedup": _over("documents", substring.op5_substring_dedup),
