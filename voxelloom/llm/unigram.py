@@ -28,8 +28,10 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNKNOWN_PENALTY = 10.0
 #: Longer stretches are segmented one by one.
 TOGETHER = 64
+#: Stretches segmented at once.
+AT_ONCE = 1 << 13
 #: Stretches that a task keeps, and bytes of texts it takes at a time.
-KEPT, RUN_BYTES = 1 << 20, 1 << 20
+KEPT, RUN_BYTES = 1 << 18, 512 << 10
 
 
 def _fields(data: bytes):
@@ -211,74 +213,90 @@ def segment_one(v: Vocabulary, text: bytes) -> list[int]:
 def segment_many(v: Vocabulary, texts: tc.Texts) -> tuple[np.ndarray, np.ndarray]:
     """Ids of many stretches, end to end, and their offsets."""
     size = np.diff(texts.off)
-    short = np.flatnonzero(size <= TOGETHER)
-    rows = short[np.argsort(-size[short], kind="stable")]
-    ids: list[np.ndarray] = [np.zeros(0, np.int32)] * len(size)
+    rows = np.flatnonzero(size <= TOGETHER)
+    rows = rows[np.argsort(size[rows], kind="stable")]
+    order, counts, flats = [], [], []
     for i in np.flatnonzero(size > TOGETHER):
-        ids[i] = np.array(segment_one(v, texts.text(i)), np.int32)
-    if len(rows):
-        longest, n = int(size[rows[0]]), len(rows)
-        length = size[rows]
-        grid = np.zeros((longest + 1, n), np.uint8)
-        row = np.repeat(np.arange(n), length)
-        col = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
-        grid[col, row] = texts.buf[np.repeat(texts.off[rows], length) + col]
-        base, check, value = v.trie.base, v.trie.check, v.trie.value
-        best = np.full((longest + 1, n), -np.inf)
-        back, piece = np.zeros((longest + 1, n), np.int16), np.full((longest + 1, n), -1, np.int32)
-        best[0] = 0.0
-        for s in range(longest):
-            alive = np.flatnonzero((best[s] > -np.inf) & (length > s))
-            if not len(alive):
-                continue
-            here = best[s]
-            width = _char_bytes(grid[s, alive])
-            single = np.zeros(n, bool)
-            at, node = alive, np.zeros(len(alive), np.int32)
-            for e in range(s, longest):
-                child = base[node] + grid[e, at]
-                on = (check[child] == node) & (length[at] > e)
-                at, node = at[on], child[on]
-                if not len(at):
-                    break
-                i = value[node]
-                is_piece = i >= 0
-                to, i = at[is_piece], i[is_piece]
-                single[to[_char_bytes(grid[s, to]) == e + 1 - s]] = True
-                total = here[to] + v.score[i]
-                better = total > best[e + 1, to]
-                to = to[better]
-                best[e + 1, to], back[e + 1, to], piece[e + 1, to] = total[better], s, i[better]
-            missing = ~single[alive]
-            to = alive[missing]
-            e = np.minimum(s + width[missing], length[to])
-            total = here[to] + v.unknown_score
-            better = total > best[e, to]
-            to, e = to[better], e[better]
-            best[e, to], back[e, to], piece[e, to] = total[better], s, -1
-        # Back along the best paths; pieces come out last first.
-        at, to = length.copy(), np.arange(n)
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
-        while len(to):
-            end = at[to]
-            start = back[end, to].astype(np.int64)
-            found.append((to, start, end, piece[end, to]))
-            at[to] = start
-            to = to[start > 0]
-        who, start, end, what = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.lexsort((start, who))
-        who, start, end, what = who[order], start[order], end[order], what[order]
-        count = np.where((what < 0) & v.byte_fallback, end - start, 1)
-        flat = np.repeat(np.where(what < 0, v.unknown, what), count).astype(np.int32)
-        if v.byte_fallback and (what < 0).any():
-            offset = np.arange(len(flat)) - np.repeat(np.cumsum(count) - count, count)
-            unknown = np.repeat(what < 0, count)
-            flat[unknown] = v.byte[grid[(np.repeat(start, count) + offset)[unknown], np.repeat(who, count)[unknown]]]
-        total = np.bincount(who, weights=count, minlength=n).astype(np.int64)
-        for r, x in zip(rows, np.split(flat, np.cumsum(total)[:-1]), strict=True):
-            ids[r] = x
-    off = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
-    return (np.concatenate(ids) if ids else np.zeros(0, np.int32)), off
+        ids = segment_one(v, texts.text(i))
+        order.append([i])
+        counts.append([len(ids)])
+        flats.append(np.array(ids, np.int32))
+    for lo in range(0, len(rows), AT_ONCE):
+        part = rows[lo : lo + AT_ONCE]
+        flat, count = _segment_short(v, texts, part)
+        order.append(part)
+        counts.append(count)
+        flats.append(flat)
+    if not order:
+        return np.zeros(0, np.int32), np.zeros(len(size) + 1, np.int64)
+    place = np.empty(len(size), np.int64)
+    place[np.concatenate(order)] = np.arange(len(size))
+    count = np.concatenate(counts).astype(np.int64)
+    begin = np.cumsum(count) - count
+    return _gather(np.concatenate(flats), begin[place], count[place]), np.concatenate([[0], np.cumsum(count[place])])
+
+
+def _segment_short(v: Vocabulary, texts: tc.Texts, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the stretches ``rows``, end to end, and their numbers."""
+    length = np.diff(texts.off)[rows]
+    longest, n = int(length.max()), len(rows)
+    grid = np.zeros((longest + 1, n), np.uint8)
+    row = np.repeat(np.arange(n), length)
+    col = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
+    grid[col, row] = texts.buf[np.repeat(texts.off[rows], length) + col]
+    base, check, value = v.trie.base, v.trie.check, v.trie.value
+    best = np.full((longest + 1, n), -np.inf)
+    back, piece = np.zeros((longest + 1, n), np.int16), np.full((longest + 1, n), -1, np.int32)
+    best[0] = 0.0
+    for s in range(longest):
+        alive = np.flatnonzero((best[s] > -np.inf) & (length > s))
+        if not len(alive):
+            continue
+        here = best[s]
+        width = _char_bytes(grid[s, alive])
+        single = np.zeros(n, bool)
+        at, node = alive, np.zeros(len(alive), np.int32)
+        for e in range(s, longest):
+            child = base[node] + grid[e, at]
+            on = (check[child] == node) & (length[at] > e)
+            at, node = at[on], child[on]
+            if not len(at):
+                break
+            i = value[node]
+            is_piece = i >= 0
+            to, i = at[is_piece], i[is_piece]
+            single[to[_char_bytes(grid[s, to]) == e + 1 - s]] = True
+            total = here[to] + v.score[i]
+            better = total > best[e + 1, to]
+            to = to[better]
+            best[e + 1, to], back[e + 1, to], piece[e + 1, to] = total[better], s, i[better]
+        missing = ~single[alive]
+        to = alive[missing]
+        e = np.minimum(s + width[missing], length[to])
+        total = here[to] + v.unknown_score
+        better = total > best[e, to]
+        to, e = to[better], e[better]
+        best[e, to], back[e, to], piece[e, to] = total[better], s, -1
+    # Back along the best paths; pieces come out last first.
+    at, to = length.copy(), np.arange(n)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+    while len(to):
+        end = at[to]
+        start = back[end, to].astype(np.int64)
+        found.append((to, start, end, piece[end, to]))
+        at[to] = start
+        to = to[start > 0]
+    who, start, end, what = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((start, who))
+    who, start, end, what = who[order], start[order], end[order], what[order]
+    count = np.where((what < 0) & v.byte_fallback, end - start, 1)
+    flat = np.repeat(np.where(what < 0, v.unknown, what), count).astype(np.int32)
+    if v.byte_fallback and (what < 0).any():
+        offset = np.arange(len(flat)) - np.repeat(np.cumsum(count) - count, count)
+        unknown = np.repeat(what < 0, count)
+        flat[unknown] = v.byte[grid[(np.repeat(start, count) + offset)[unknown], np.repeat(who, count)[unknown]]]
+    total = np.bincount(who, weights=count, minlength=n).astype(np.int64)
+    return flat, total
 
 
 def _gather(values: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
