@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxelloom.llm import bloomlm, digests, langid, mixing, nearjoin, repeats, substring, unigram
+from voxelloom.llm import bloomlm, digests, langid, mixing, nearjoin, repeats, substring, unigram, wrappers
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,7 @@ QUERIES = {
     "op6_language_id": _over("documents", langid.op6_language_id),
     "op8_sentencepiece": _over("documents", unigram.op8_sentencepiece),
     "op9_ngram_jaccard_join": _over("documents", nearjoin.op9_ngram_jaccard_join),
+    "op10_html_extraction": _over("pages", wrappers.op10_html_extraction),
     "op5_substring_dedup": _over("documents", substring.op5_substring_dedup),
 }
 
