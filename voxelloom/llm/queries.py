@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxelloom.llm import bloomlm, digests, langid, mixing, nearjoin, repeats, substring, unigram, wrappers
+from voxelloom.llm import bloomlm, digests, langid, mixing, nearjoin, repeats, sampling, substring, unigram, wrappers
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,7 @@ QUERIES = {
     "op3_mix_sources": _over("documents", mixing.op3_mix_sources),
     "op4_exact_dedup": _over("documents", digests.op4_exact_dedup),
     "op6_language_id": _over("documents", langid.op6_language_id),
+    "op7_fingerprints": _over("documents", sampling.op7_fingerprints),
     "op8_sentencepiece": _over("documents", unigram.op8_sentencepiece),
     "op9_ngram_jaccard_join": _over("documents", nearjoin.op9_ngram_jaccard_join),
     "op10_html_extraction": _over("pages", wrappers.op10_html_extraction),
