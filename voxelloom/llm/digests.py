@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voxelloom.llm.shared import join_groups, saved
@@ -56,8 +56,33 @@ class DigestIndex:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
 
-def with_digest(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    return docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.unhex(F.sha2(normalised(F.col(f"`{text}`")), 256)).alias("digest"))
+def with_digest(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", whole: bool = False) -> DataFrame:
+    """(doc_id, digest), and with ``whole`` the input row as a struct ``row``."""
+    return docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.unhex(F.sha2(normalised(F.col(f"`{text}`")), 256)).alias("digest"), *[F.struct(docs["*"]).alias("row")] * whole)
+
+
+def _taken(rows: DataFrame, index: DigestIndex) -> tuple[DataFrame, int]:
+    """Groups of the batch, with first_id, of the batch or the index, and whether they are new; rows of the batch."""
+    groups = saved(rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
+    new = index.unseen(groups)
+    fresh = lambda df: df.withColumns({"first_id": F.col("keep_id"), "fresh": F.lit(True)})
+    if index.exists():
+        known = index.table().select("digest", F.col("keep_id").alias("first_id"), F.lit(False).alias("fresh"))
+        groups_known = saved(fresh(new).unionByName(groups.join(known.hint("merge"), "digest")))
+    else:
+        groups_known = fresh(groups)
+    total = groups.agg(F.sum("group_size")).first()[0] or 0
+    index.append(new)
+    return groups_known, total
+
+
+def kept_rows(docs: DataFrame, index: DigestIndex, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The input rows that ``deduplicate`` keeps; of rows that repeat one doc_id and text, one."""
+    rows = with_digest(docs, doc_id, text, whole=True)
+    groups, total = _taken(rows.drop("row"), index)
+    found = join_groups(rows, groups, "digest", "group_size", total, "doc_id", with_spread=True)
+    again = Window.partitionBy("digest", "spread", "doc_id").orderBy(F.lit(0))
+    return found.filter(F.col("fresh") & F.col("doc_id").eqNullSafe(F.col("keep_id"))).withColumn("again", F.row_number().over(again)).filter("again = 1").select("row.*")
 
 
 def deduplicate(docs: DataFrame, index: DigestIndex, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -77,16 +102,7 @@ def deduplicate(docs: DataFrame, index: DigestIndex, doc_id: str = "doc_id", tex
     in a broadcast table of under a thousand rows, all others by a sort-merge join.
     """
     rows = with_digest(docs, doc_id, text)
-    groups = saved(rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
-    new = index.unseen(groups)
-    fresh = lambda df: df.withColumns({"first_id": F.col("keep_id"), "fresh": F.lit(True)})
-    if index.exists():
-        known = index.table().select("digest", F.col("keep_id").alias("first_id"), F.lit(False).alias("fresh"))
-        groups = saved(fresh(new).unionByName(groups.join(known.hint("merge"), "digest")))
-    else:
-        groups = fresh(groups)
-    total = groups.agg(F.sum("group_size")).first()[0] or 0
-    index.append(new)
+    groups, total = _taken(rows, index)
     return join_groups(rows, groups, "digest", "group_size", total, "doc_id").select(
         "doc_id",
         F.col("first_id").alias("keep_id"),

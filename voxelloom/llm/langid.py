@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from voxelloom.llm import textcore as tc
 
@@ -225,6 +226,30 @@ def identify(docs: DataFrame, held_out: Column, sample: int = SAMPLE, doc_id: st
     return rows.mapInArrow(_predicted(docs.sparkSession.sparkContext.broadcast(model)), PREDICTED)
 
 
+def _judged(held, text: str):
+    def run(batches):
+        for batch in batches:
+            for lo, hi, texts in _runs(batch.column("row").field(text)):
+                lang, score = held.value.predict(texts)
+                yield pa.RecordBatch.from_arrays([batch.column("row").slice(lo, hi - lo), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["row", "lang_pred", "score"])
+
+    return run
+
+
+def identified_rows(docs: DataFrame, least_score: float, sample: int = SAMPLE, text: str = "text", label: str = "lang") -> DataFrame:
+    """The input rows whose text has a letter and a language of ``least_score`` or more, learned from all labelled rows.
+
+    Where no row has both text and label, all texts with a letter stay.
+    """
+    model = train(docs, F.lit(True), sample, text=text, label=label)
+    if model is None:
+        return docs.filter(F.coalesce(F.col(f"`{text}`").rlike(r"\p{L}"), F.lit(False)))
+    rows = docs.select(F.struct(docs["*"]).alias("row"))
+    schema = T.StructType([*rows.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    return rows.mapInArrow(_judged(held, text), schema).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score)).select("row.*")
+
+
 def held_out_quarter(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2
 

@@ -62,31 +62,64 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[f
     text are told apart by nothing, so which of them the cut falls on is open, but
     not the totals.  Other columns are ignored.  An empty table gives no rows.
     """
+    return _mixed(docs, share, most, weights, seed, doc_id, text, source, whole=False)
+
+
+def _mixed(docs: DataFrame, share: float, most: float, weights: tuple[float, ...], seed: str, doc_id: str, text: str, source: str, whole: bool) -> DataFrame:
+    name = F.col(f"`{source}`").cast("string")
     rows = docs.select(
         F.col(f"`{doc_id}`").cast("long").alias("doc_id"),
-        F.col(f"`{source}`").cast("string").alias("source"),
+        name.alias("source"),
+        # Never null, to deal rows by.
+        F.coalesce(name, F.lit("")).alias("name"),
+        name.isNull().alias("nameless"),
         word_count(F.col(f"`{text}`").cast("string")).alias("size"),
+        *[F.struct(docs["*"]).alias("row")] * whole,
     )
     keyed = rows.withColumn("key", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))).withColumn("range", F.substring("key", 1, RANGE_DIGITS))
-    ranges = keyed.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
-    targets = source_targets(ranges.groupBy("source").agg(F.sum("range_size").alias("source_size")), share, most, weights)
-    before_range = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = ranges.withColumn("start", F.coalesce(F.sum("range_size").over(before_range), F.lit(0)))
-    plan = starts.alias("r").join(targets.alias("t"), F.col("r.source").eqNullSafe(F.col("t.source"))).select(F.col("r.source").alias("p_source"), F.col("r.range").alias("p_range"), "start", "source_size", "target")
-    within = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    part = ["name", "nameless", "range"]
+    ranges = keyed.groupBy(*part).agg(F.sum("size").alias("range_size"))
+    known = F.when(~F.col("nameless"), F.col("name"))
+    targets = source_targets(ranges.groupBy("name", "nameless").agg(F.sum("range_size").alias("source_size")).select(known.alias("source"), "source_size"), share, most, weights)
+    targets = targets.select(F.coalesce("source", F.lit("")).alias("name"), F.col("source").isNull().alias("nameless"), "source_size", "target")
+    before_range = Window.partitionBy("name", "nameless").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    plan = ranges.withColumn("start", F.coalesce(F.sum("range_size").over(before_range), F.lit(0))).join(targets, ["name", "nameless"]).select(*part, "start", "source_size", "target")
+    within = Window.partitionBy(*part).orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = keyed.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0)))
     budget = F.floor("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.expr("floor(target) div source_size")).otherwise(F.lit(0)).cast("long")
     rest = budget - F.col("epochs") * F.col("source_size")
     return (
-        placed.join(plan, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("range") == F.col("p_range")))
+        placed.join(plan, part)
         .withColumn("epochs", epochs)
         .withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("start") - F.col("inside"))).cast("long"))
-        # A part that is the whole document is one more epoch of it.
-        .select("doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("part")).cast("long").alias("taken"), "epochs", "part")
+        .select("doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("part")).cast("long").alias("taken"), "epochs", "part", *["row"] * whole)
     )
 
 
+def mixed_rows(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[float, ...] = WEIGHTS, seed: str = "mix", doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The mix itself: input rows as often as it takes them whole, and the document at each source's cut with its first words.
+
+    The cut document's words are joined by one space; a column n_chars, if there is
+    one, is its new number of characters.  Documents without words go with the
+    whole epochs of their source.
+    """
+    rows = _mixed(docs, share, most, weights, seed, doc_id, text, source, whole=True)
+    whole = F.col("epochs") + (F.col("part") >= F.col("size")).cast("int") * (F.col("size") > 0).cast("int")
+    cut = (F.col("part") > 0) & (F.col("part") < F.col("size"))
+    pieces = F.concat(F.array_repeat(F.lit(False), whole.cast("int")), F.when(cut, F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>")))
+    dealt = rows.withColumn("is_cut", F.explode(pieces))
+    words = F.filter(F.split(F.col("row")[text], r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    shorter = F.when(F.col("is_cut"), F.array_join(F.slice(words, F.lit(1), F.col("part").cast("int")), " ")).otherwise(F.col("row")[text])
+    out = dealt.withColumn("new_text", shorter)
+    columns = []
+    for c in docs.columns:
+        kind = docs.schema[c].dataType
+        old = F.col("row")[c]
+        columns.append((F.col("new_text") if c == text else F.when(F.col("is_cut"), F.char_length("new_text").cast(kind)).otherwise(old) if c == "n_chars" else old).alias(c))
+    return out.select(*columns)
+
+
 def op3_mix_sources(docs: DataFrame) -> DataFrame:
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 

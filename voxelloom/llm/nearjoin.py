@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from voxelloom.llm import blocks as bl
 from voxelloom.llm import textcore as tc
 from voxelloom.llm.components import components
-from voxelloom.llm.shared import saved
+from voxelloom.llm.shared import join_groups, saved
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: MinHash values; the first BANDS * ROWS make the bands.  At similarity 0.8 no band in common has probability 5e-6.
@@ -36,8 +36,8 @@ STEP, TOLERANCE = 16, 1e-6
 GROUP = 2048
 COLUMNS = 2048
 
-SKETCH = "doc_id long, node long, check long, n_shingles long, signature binary"
-SKETCH_ARROW = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("check", pa.int64()), ("n_shingles", pa.int64()), ("signature", pa.binary())])
+SKETCH = "doc_id long, text_hash long, node long, check long, n_shingles long, signature binary"
+SKETCH_ARROW = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("node", pa.int64()), ("check", pa.int64()), ("n_shingles", pa.int64()), ("signature", pa.binary())])
 
 
 def shingles(texts: tc.Texts, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -293,12 +293,12 @@ def _verified(threshold: float):
 def _sketches(size: int, values: int):
     def run(batches):
         for batch in batches:
-            texts, ids = tc.Texts.from_arrow(batch.column("text")), batch.column("doc_id")
+            texts, ids, hashes = tc.Texts.from_arrow(batch.column("text")), batch.column("doc_id"), batch.column("text_hash")
             for lo, hi in texts.chunks():
                 value, off = shingles(texts.rows(lo, hi), size)
                 one, two = set_keys(value, off)
                 sig = signatures(value, off, values)
-                cols = [ids.slice(lo, hi - lo), pa.array(one), pa.array(two), pa.array(np.diff(off)), pa.array([r.tobytes() for r in sig], pa.binary())]
+                cols = [ids.slice(lo, hi - lo), hashes.slice(lo, hi - lo), pa.array(one), pa.array(two), pa.array(np.diff(off)), pa.array([r.tobytes() for r in sig], pa.binary())]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, SKETCH_ARROW, strict=True)], schema=SKETCH_ARROW)
 
     return run
@@ -350,7 +350,7 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHIN
     linked with, over any number of links; its own if none), same_id (smallest
     doc_id with the same shingle set), n_same (documents with that set, itself
     included), n_links (other shingle sets within the threshold of its own),
-    n_shingles.
+    n_shingles, is_first (the row of its class with the smallest doc_id), text_hash.
 
     Words are runs without white space, unchanged.  A text of 1 to size - 1 words
     has one shingle; null and empty texts have none, equal one another only, and
@@ -362,10 +362,10 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHIN
     """
     n = 4 * bl.partitions(docs.sparkSession)
     ident = F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(bl.NO_ID)).alias("doc_id")
-    plain = docs.select(ident, F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
+    plain = docs.select(ident, F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     sketches = saved(plain.mapInArrow(_sketches(size, VALUES), SKETCH))
     classes = saved(
-        sketches.groupBy("node").agg(F.min("doc_id").alias("same_id"), F.count(F.lit(1)).alias("n_same"), F.max("n_shingles").alias("n_shingles"), F.any_value("signature").alias("signature"))
+        sketches.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("same"), F.count(F.lit(1)).alias("n_same"), F.max("n_shingles").alias("n_shingles"), F.any_value("signature").alias("signature"))
     )
     needed = needed_matches(threshold, tolerance)
     band = lambda b: F.xxhash64(F.substring("signature", 4 * ROWS * b + 1, 4 * ROWS), F.lit(b))
@@ -376,19 +376,29 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHIN
     stars = tasks.groupBy("bucket").applyInArrow(_candidate_links(needed), "a long, b long").distinct()
     component = saved(components(stars))
     sizes = component.groupBy("label").agg(F.count(F.lit(1)).alias("members"))
-    wanted = component.join(sizes.hint("merge"), "label").join(classes.select("node", "same_id").hint("merge"), "node").select("node", F.col("label").alias("component"), "members", F.col("same_id").alias("doc_id"))
-    texts = wanted.hint("merge").join(plain, "doc_id").select("node", "component", "members", "text")
+    wanted = component.join(sizes.hint("merge"), "label").join(classes.select("node", "same").hint("merge"), "node").select("node", F.col("label").alias("component"), "members", "same.*")
+    texts = wanted.hint("merge").join(plain, ["doc_id", "text_hash"]).select("node", "component", "members", "text")
     sets = texts.mapInArrow(_sets(size), "node long, component long, members long, shingles binary")
     tasks = _dealt(sets, F.col("component"), F.col("members"), F.col("node"), group, n).select("bucket", "key", "side", "node", "shingles")
     exact = saved(tasks.groupBy("bucket").applyInArrow(_verified(threshold), "a long, b long, links long"))
     links = exact.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("n_links"))
     label = components(exact.select("a", "b"))
-    placed = classes.select("node", "same_id", "n_same", "n_shingles").join(links.hint("merge"), "node", "left").join(label.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = placed.groupBy("label").agg(F.min("same_id").alias("class_id"))
-    named = placed.join(least.hint("merge"), "label").select("node", "same_id", "n_same", "n_shingles", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    placed = classes.select("node", "same", "n_same", "n_shingles").join(links.hint("merge"), "node", "left").join(label.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    least = placed.groupBy("label").agg(F.min("same").alias("first"))
+    named = placed.join(least.hint("merge"), "label").select("node", F.col("same.doc_id").alias("same_id"), "n_same", "n_shingles", F.col("first.doc_id").alias("class_id"), F.col("first.text_hash").alias("first_hash"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    total = classes.agg(F.sum("n_same")).first()[0] or 0
+    named = saved(named)
+    first = (F.col("doc_id") == F.col("class_id")) & (F.col("text_hash") == F.col("first_hash"))
     known = lambda c: F.when(F.col(c) != bl.NO_ID, F.col(c)).alias(c)
-    return sketches.select("doc_id", "node").join(named.hint("merge"), "node").select(known("doc_id"), known("class_id"), known("same_id"), "n_same", "n_links", "n_shingles")
+    return join_groups(sketches.select("doc_id", "text_hash", "node"), named, "node", "n_same", total, "doc_id").select(known("doc_id"), known("class_id"), known("same_id"), "n_same", "n_links", "n_shingles", first.alias("is_first"), "text_hash")
+
+
+def first_rows(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Of each class the input row of smallest doc_id, as often as it is repeated; of different texts of one doc_id one."""
+    first = near_classes(docs, threshold, size, doc_id=doc_id, text=text).filter("is_first").select(F.coalesce("doc_id", F.lit(bl.NO_ID)).alias("first_id"), F.col("text_hash").alias("first_hash")).distinct()
+    rows = docs.select(F.struct(docs["*"]).alias("row"), F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(bl.NO_ID)).alias("first_id"), F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))).alias("first_hash"))
+    return rows.join(first.hint("merge"), ["first_id", "first_hash"], "left_semi").select("row.*")
 
 
 def op9_ngram_jaccard_join(docs: DataFrame) -> DataFrame:
-    return near_classes(docs)
+    return near_classes(docs).drop("is_first", "text_hash")

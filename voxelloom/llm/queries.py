@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from voxelloom.llm import bloomlm, digests, langid, mixing, nearjoin, repeats, sampling, substring, unigram, wrappers
@@ -16,6 +17,7 @@ def _over(name: str, query):
 
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_lm_scoring": _over("documents", bloomlm.op1_lm_scoring),
     "op2_suffix_array_dedup": _over("documents", repeats.op2_suffix_array_dedup),
     "op3_mix_sources": _over("documents", mixing.op3_mix_sources),
@@ -32,3 +34,5 @@ ORACLES: dict[str, str] = {
     "op3_mix_sources": mixing.OP3_SQL,
     "op4_exact_dedup": digests.OP4_SQL,
 }
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

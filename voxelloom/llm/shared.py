@@ -33,16 +33,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, item: str) -> DataFrame:
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, item: str, with_spread: bool = False) -> DataFrame:
     """Rows with the columns of their group, by ``key``, which every row finds; ``size`` is a group's number of rows.
 
     Groups of more than a thousandth of all ``total`` rows, of which there are
     fewer than a thousand, are broadcast.  Rows that find theirs so are spread by
     ``item``, a column that tells them apart, over the sort-merge join of the rest.
+    ``with_spread`` keeps the column ``spread``: rows are dealt by ``key`` and it.
     """
     most = max(total // 1000, 1)
     names = [c for c in groups.columns if c != key]
     hot = F.broadcast(groups.filter(F.col(size) > most).select(F.col(key).alias("hot_key"), *[F.col(c).alias(f"hot_{c}") for c in names]))
     rest = groups.filter(F.col(size) <= most).select(F.col(key), F.lit(-1).cast("long").alias("spread"), *[F.col(c).alias(f"rest_{c}") for c in names])
     found = rows.join(hot, rows[key] == F.col("hot_key"), "left").withColumn("spread", F.when(F.col("hot_key").isNotNull(), F.pmod(F.xxhash64(item), F.lit(1 << 20))).otherwise(F.lit(-1).cast("long")))
-    return found.join(rest.hint("merge"), [key, "spread"], "left").select(*[F.col(c) for c in rows.columns], *[F.coalesce(f"hot_{c}", f"rest_{c}").alias(c) for c in names])
+    return found.join(rest.hint("merge"), [key, "spread"], "left").select(*[F.col(c) for c in rows.columns], *[F.coalesce(f"hot_{c}", f"rest_{c}").alias(c) for c in names], *[F.col("spread")] * with_spread)
