@@ -11,9 +11,9 @@ lower orders with a Dirichlet prior,
 down to the word's add-one probability, so a text costs a few probes a word.
 
 The filter is built in pieces by hash bucket, each sized for the n-grams it has.
-Pieces are gathered in segments of at most ``segment_bytes``, which alone bounds
-what is broadcast; if there are more n-grams, there are more segments, and the
-texts are probed against one segment after the other.
+Pieces of at most ``broadcast_bytes`` together are broadcast to the workers.  A
+larger filter stays where its pieces are: blocks of texts send their distinct
+n-grams to the buckets' pieces and get the levels back.
 """
 
 from __future__ import annotations
@@ -32,9 +32,12 @@ from voxelloom.llm.shared import saved
 ORDER = 3
 #: Weight of the lower order, in counts.
 PRIOR = 2.0
-#: Hash functions a level, and bits for each of them; together an error rate of 1/64 at the first level.
-PROBES, BITS_PER_PROBE = 6, 1.45
-SEGMENT_BYTES = 256 << 20
+#: Hash functions a level, and bits for each of them; together an error rate of 1/32 at the first level.
+PROBES, BITS_PER_PROBE = 5, 1.45
+#: A filter of up to this size is broadcast.
+BROADCAST_BYTES = 256 << 20
+#: Parts in which the driver gathers it.
+PARTS = 16
 #: Tokens that a task counts together before it passes them on.
 RUN_TOKENS = 1 << 21
 #: Bits of an n-gram's hash that are passed on.
@@ -113,7 +116,7 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     if not parts:
         return np.zeros(0, tc.U64), np.zeros(0, np.int64)
     value, count = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.argsort(value, kind="stable")
+    order = np.argsort(value)
     first = tc.runs(value[order])
     return value[order][first], np.add.reduceat(count[order], first)
 
@@ -145,17 +148,16 @@ def _piece(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array([x], f.type) for x, f in zip(row, PIECE_ARROW, strict=True)], schema=PIECE_ARROW)
 
 
-class Segment:
-    """Pieces of neighbouring buckets: bits end to end, with each bucket's place and size in bits."""
+class Filter:
+    """Pieces of buckets: bits end to end, with each bucket's place and size in bits."""
 
-    def __init__(self, n: int, pieces: dict[int, bytes]):
-        self.n = n
-        size = np.array([8 * len(pieces.get(b, b"")) for b in range(n)], np.int64)
+    def __init__(self, n: int, sizes: dict[int, int], data: bytes | bytearray):
+        self.n, self.data = n, data
+        size = np.array([8 * sizes.get(b, 0) for b in range(n)], np.int64)
         self.begin, self.size = np.cumsum(size) - size, size
-        self.data = b"".join(pieces[b] for b in sorted(pieces))
 
     def levels(self, value: np.ndarray) -> np.ndarray:
-        """Levels of n-grams; 0 for those that aren't there, or not in this segment."""
+        """Levels of n-grams; 0 for those that aren't there, or whose bucket has no piece here."""
         level = np.zeros(len(value), np.uint8)
         if not self.data or not len(value):
             return level
@@ -180,18 +182,23 @@ def estimated(level: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """A trained model: number of tokens and types, order, and the filter's segments as broadcast variables' makers."""
+    """A trained model: order, numbers of tokens and types, and the table of the filter's pieces with their sizes."""
 
-    def __init__(self, order: int, tokens: int, types: int, buckets: int, pieces: DataFrame, plan: list[list[int]]):
-        self.order, self.tokens, self.types, self.buckets, self.pieces, self.plan = order, tokens, types, buckets, pieces, plan
+    def __init__(self, order: int, tokens: int, types: int, buckets: int, pieces: DataFrame, sizes: dict[int, int]):
+        self.order, self.tokens, self.types, self.buckets, self.pieces, self.sizes = order, tokens, types, buckets, pieces, sizes
 
-    def segment(self, i: int) -> Segment:
-        """Segment i, gathered from the table of pieces; its size is bounded when the plan is made."""
-        rows = self.pieces.filter(F.col("bucket").between(self.plan[i][0], self.plan[i][-1])).select("bucket", "filter").toArrow()
-        return Segment(self.buckets, dict(zip(rows.column("bucket").to_pylist(), rows.column("filter").to_pylist(), strict=True)))
+    def whole(self) -> Filter:
+        """The filter, gathered part by part; its size is checked before."""
+        data = bytearray()
+        step = -(-self.buckets // PARTS)
+        for lo in range(0, self.buckets, step):
+            part = self.pieces.filter(F.col("bucket").between(lo, lo + step - 1)).select("bucket", "filter").toArrow().sort_by("bucket")
+            for piece in part.column("filter"):
+                data += piece.as_buffer()
+        return Filter(self.buckets, self.sizes, data)
 
 
-def train(texts: DataFrame, order: int = ORDER, segment_bytes: int = SEGMENT_BYTES, text: str = "text") -> Model:
+def train(texts: DataFrame, order: int = ORDER, text: str = "text") -> Model:
     """Counts all n-grams of orders 2 to ``order`` within texts, each ended by an end token.
 
     Null texts are empty and count one end.  Nothing is cut off or sampled.
@@ -200,46 +207,59 @@ def train(texts: DataFrame, order: int = ORDER, segment_bytes: int = SEGMENT_BYT
     rows = texts.select(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
     counts = rows.mapInArrow(_count(order, n), COUNTS)
     pieces = saved(counts.groupBy("bucket").applyInArrow(_piece, PIECE))
-    sizes = pieces.select("bucket", "tokens", "types", F.length("filter").alias("bytes")).toPandas().sort_values("bucket")
-    plan: list[list[int]] = [[]]
-    have = 0
-    for b, size in zip(sizes.bucket, sizes.bytes, strict=True):
-        if plan[-1] and have + size > segment_bytes:
-            plan.append([])
-            have = 0
-        plan[-1].append(int(b))
-        have += size
-    return Model(order, int(sizes.tokens.sum()), int(sizes.types.sum()), n, pieces, [p for p in plan if p])
+    sizes = pieces.select("bucket", "tokens", "types", F.length("filter").alias("bytes")).toArrow().to_pydict()
+    return Model(order, sum(sizes["tokens"]), sum(sizes["types"]), n, pieces, dict(zip(sizes["bucket"], sizes["bytes"], strict=True)))
 
 
 def _probe_values(h: np.ndarray, off: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
     return [_ngram(h, off, k) for k in range(2, order + 1)]
 
 
-def _probed(order: int, segment, first: bool):
-    """Levels of all n-grams of a text, one byte each, order after order; later segments fill what is 0."""
+def _asked(order: int, n: int):
+    """The distinct n-grams of a block, by bucket."""
 
-    def run(batches):
-        for batch in batches:
-            texts = tc.Texts.from_arrow(batch.column("text"))
-            had = None if first else batch.column("levels").to_pylist()
-            out: list[bytes] = []
-            for lo, hi in texts.chunks():
-                h, off = _tokens(texts.rows(lo, hi))
-                wide = np.zeros((order - 1, len(h)), np.uint8)
-                for k, (value, at) in enumerate(_probe_values(h, off, order)):
-                    wide[k, at] = segment.value.levels(value)
-                for i in range(hi - lo):
-                    mine = wide[:, off[i] : off[i + 1]]
-                    if had is not None:
-                        mine = np.maximum(mine, np.frombuffer(had[lo + i], np.uint8).reshape(order - 1, -1))
-                    out.append(mine.tobytes())
-            names = [x for x in batch.schema.names if x != "levels"]
-            yield pa.RecordBatch.from_arrays([*[batch.column(x) for x in names], pa.array(out, pa.binary())], names=[*names, "levels"])
+    def run(table: pa.Table) -> pa.Table:
+        texts, parts = tc.Texts.from_arrow(table.column("text")), []
+        for lo, hi in texts.chunks():
+            h, off = _tokens(texts.rows(lo, hi))
+            parts.append(np.unique(np.concatenate([value for value, _ in _probe_values(h, off, order)])))
+        value, block = np.unique(np.concatenate(parts)), bl.block_of(table)
+        return bl.letters([(b, block, tc.pack(value[s]), b"") for b, s in tc.by_bucket(value, n)])
+
+    return run
+
+
+def _answered(n: int):
+    """Of a bucket: the levels of the n-grams that blocks ask for, back to them; letters of levels have negative buckets."""
+
+    def run(asked: pa.Table, pieces: pa.Table) -> pa.Table:
+        out = []
+        for piece in pieces.column("filter").to_pylist()[:1]:
+            held = Filter(n, {pieces.column("bucket")[0].as_py(): len(piece)}, piece)
+            for block, value, _ in bl.received(asked):
+                level = held.levels(value)
+                if level.any():
+                    out.append((-1 - pieces.column("bucket")[0].as_py(), block, tc.pack(value[level > 0]), level[level > 0].tobytes()))
+        return bl.letters(out)
 
     return run
 
 
+class _Answers:
+    """Levels that came back to a block."""
+
+    def __init__(self, table: pa.Table):
+        got = list(bl.received(table))
+        self.value = np.concatenate([h for _, h, _ in got]) if got else np.zeros(0, tc.U64)
+        self.level = np.concatenate([np.frombuffer(m, np.uint8) for _, _, m in got]) if got else np.zeros(0, np.uint8)
+        order = np.argsort(self.value)
+        self.value, self.level = self.value[order], self.level[order]
+
+    def levels(self, value: np.ndarray) -> np.ndarray:
+        at, there = tc.find(self.value, value)
+        return np.where(there, self.level[at], 0).astype(np.uint8) if len(self.value) else np.zeros(len(value), np.uint8)
+
+
 def _told(n: int):
     """Each distinct word of a block once, with its count in the block's training texts."""
 
@@ -251,7 +271,7 @@ def _told(n: int):
         for lo, hi in texts.chunks():
             h, off = _tokens(texts.rows(lo, hi))
             weight = np.repeat(train[lo:hi], np.diff(off)).astype(np.int64)
-            order = np.argsort(h, kind="stable")
+            order = np.argsort(h)
             first = tc.runs(h[order])
             parts.append((h[order][first], np.add.reduceat(weight[order], first)))
         value, count = _merged(parts)
@@ -273,17 +293,18 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score
 SCORES_ARROW = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
-def _scored(order: int, tokens: int, types: int, prior: float, segment):
+def _scored(order: int, tokens: int, types: int, prior: float, broadcast):
     def run(docs: pa.Table, words: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return SCORES_ARROW.empty_table()
-        got = list(bl.received(words))
+        answer = np.array(words.column("bucket").to_pylist(), np.int64) < 0
+        held = broadcast.value if broadcast is not None else _Answers(words.filter(pa.array(answer)))
+        got = list(bl.received(words.filter(pa.array(~answer))))
         known = np.concatenate([h for _, h, _ in got])
         total = np.concatenate([tc.restored(m, np.int64) for _, _, m in got])
         place = np.argsort(known)
         known, total = known[place], total[place]
         texts = tc.Texts.from_arrow(docs.column("text"))
-        levels = docs.column("levels").to_pylist() if segment is None else None
         cols: list[list[np.ndarray]] = [[], [], [], []]
         for lo, hi in texts.chunks():
             h, off = _tokens(texts.rows(lo, hi))
@@ -292,15 +313,13 @@ def _scored(order: int, tokens: int, types: int, prior: float, segment):
             p = (count + 1.0) / (tokens + types + 1.0)
             # Of the order before, by the place of its last token: count and level.
             context, below = count.astype(np.float64), np.frexp(count.astype(np.float64))[1].astype(np.uint8)
-            if levels is not None:
-                wide = np.concatenate([np.frombuffer(x, np.uint8).reshape(order - 1, -1) for x in levels[lo:hi]], axis=1)
-            for k, (value, at_all) in enumerate(_probe_values(h, off, order)):
+            for value, at_all in _probe_values(h, off, order):
                 at = at_all
                 # An n-gram is no more frequent than either of the shorter ones in it, which most errors contradict.
                 most = np.minimum(below[at], below[at - 1])
                 value, at, most = value[most > 0], at[most > 0], most[most > 0]
                 level = np.zeros(len(h), np.uint8)
-                level[at] = np.minimum(most, wide[k, at] if levels is not None else segment.value.levels(value))
+                level[at] = np.minimum(most, held.levels(value))
                 c = estimated(level)
                 at = at_all
                 q = p[at]
@@ -316,7 +335,7 @@ def _scored(order: int, tokens: int, types: int, prior: float, segment):
     return run
 
 
-def score(docs: DataFrame, held_out, order: int = ORDER, prior: float = PRIOR, segment_bytes: int = SEGMENT_BYTES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def score(docs: DataFrame, held_out, order: int = ORDER, prior: float = PRIOR, broadcast_bytes: int = BROADCAST_BYTES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Train on the rows for which ``held_out`` is not true and score all rows.
 
     Texts are lower-cased in A-Z only; tokens are runs without white space, then one
@@ -332,20 +351,17 @@ def score(docs: DataFrame, held_out, order: int = ORDER, prior: float = PRIOR, s
     spark = docs.sparkSession
     n = bl.block_count(spark)
     flagged = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    model = train(flagged.filter(~F.col("held_out")), order, segment_bytes)
-    single, wide = None, flagged
-    if len(model.plan) == 1:
-        single = spark.sparkContext.broadcast(model.segment(0))
-    elif model.plan:
-        schema = "doc_id long, text string, held_out boolean, levels binary"
-        for i in range(len(model.plan)):
-            wide = saved(wide.mapInArrow(_probed(order, spark.sparkContext.broadcast(model.segment(i)), i == 0), schema))
-    else:
-        single = spark.sparkContext.broadcast(Segment(n, {}))
-    held = wide.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")).withColumn("doc_id", F.coalesce("doc_id", F.lit(bl.NO_ID))).repartition(bl.partitions(spark), "block")
+    model = train(flagged.filter(~F.col("held_out")), order)
+    held = flagged.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")).withColumn("doc_id", F.coalesce("doc_id", F.lit(bl.NO_ID))).repartition(bl.partitions(spark), "block")
     told = held.groupBy("block").applyInArrow(_told(n), bl.LETTER)
-    totals = told.groupBy("bucket").applyInArrow(_totals, bl.LETTER)
-    out = held.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(_scored(order, model.tokens, model.types, prior, single), SCORES)
+    answers = told.groupBy("bucket").applyInArrow(_totals, bl.LETTER)
+    broadcast = None
+    if sum(model.sizes.values()) <= broadcast_bytes:
+        broadcast = spark.sparkContext.broadcast(model.whole())
+    else:
+        asked = held.groupBy("block").applyInArrow(_asked(order, n), bl.LETTER)
+        answers = answers.unionByName(asked.groupBy("bucket").cogroup(model.pieces.select("bucket", "filter").groupBy("bucket")).applyInArrow(_answered(n), bl.LETTER))
+    out = held.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scored(order, model.tokens, model.types, prior, broadcast), SCORES)
     return out.withColumn("train_tokens", F.lit(model.tokens).cast("long")).withColumn("train_types", F.lit(model.types).cast("long"))
 
 
