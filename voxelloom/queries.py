@@ -1,4 +1,641 @@
-"""The queries over volumes, regions, histograms and bags, and their SQL."""
+"""The queries over volumes, regions, histograms and bags, on lattices made of the tables, and their SQL.
+
+The lattice has 16 x 8 x 7 voxels: a line item's place is its part, supplier and
+line number, its value their quantities' sum, its mask that sum modulo 3, and its
+probability the share of returned items.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from voxelloom.functions import eigen, pointwise, strings
+from voxelloom.operators import bag, distance, histogram, lattice, roi, stencil
+from voxelloom.plans import tools
+from voxelloom.sources import text, volumes
+
+SIZE = (16, 8, 7)
+BOX = (3, 3, 3)
+EDGES = [100.0, 200.0, 300.0, 400.0, 500.0]
+SCALES = [0.5, 0.75]
+FEATURES = stencil.FEATURES
+SPEC_EDGES = [-50.0, 0.0, 50.0, 250.0]
+#: Decimals that both engines agree on, for each feature.
+DIGITS = {c: 4 for c in FEATURES} | {"GaussianCurvature": 1}
+
+
+def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def vox(spark: SparkSession, sf_dir: str, by_flag: bool = False) -> DataFrame:
+    rows = _read(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag")
+    place = {"x": F.col("l_partkey") % 16, "y": F.col("l_suppkey") % 8, "z": F.col("l_linenumber") - 1}
+    values = {
+        "v": F.sum("l_quantity"),
+        "m": (F.sum("l_quantity").cast("long") % 3).cast("int"),
+        "p": F.count_if(F.col("l_returnflag") == "A") / F.count(F.lit(1)),
+    }
+    return lattice.voxelise(rows, place, values, SIZE, {"v": 0.0, "m": 0, "p": 0.0}, F.col("l_returnflag") if by_flag else None)
+
+
+def _rounded(c: str, digits: int = 6):
+    return (F.round(F.col(c), digits) + F.lit(0.0)).alias(c)
+
+
+VOX = """cells AS (
+  SELECT l_partkey % 16 AS x, l_suppkey % 8 AS y, CAST(l_linenumber - 1 AS BIGINT) AS z, CAST(sum(l_quantity) AS DOUBLE) AS v,
+    CAST(CAST(sum(l_quantity) AS BIGINT) % 3 AS INTEGER) AS m,
+    CAST(count(*) FILTER (WHERE l_returnflag = 'A') AS DOUBLE) / CAST(count(*) AS DOUBLE) AS p
+  FROM lineitem GROUP BY 1, 2, 3),
+vox AS (
+  SELECT 'all' AS volume_id, CAST(a.i AS BIGINT) AS x, CAST(b.i AS BIGINT) AS y, CAST(c.i AS BIGINT) AS z, coalesce(v, 0.0) AS v, coalesce(m, 0) AS m, coalesce(p, 0.0) AS p
+  FROM range(16) a(i) CROSS JOIN range(8) b(i) CROSS JOIN range(7) c(i)
+  LEFT JOIN cells ON cells.x = a.i AND cells.y = b.i AND cells.z = c.i)"""
+AXES = ("x", "y", "z")
+
+
+def _over(axis: str) -> str:
+    return f"PARTITION BY volume_id, {', '.join(a for a in AXES if a != axis)} ORDER BY {axis}"
+
+
+def _shift(value: str, axis: str, k: int) -> str:
+    if not k:
+        return value
+    frame = "ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING"
+    if k > 0:
+        return f"coalesce(lead({value}, {k}) OVER ({_over(axis)}), last_value({value}) OVER ({_over(axis)} {frame}))"
+    return f"coalesce(lag({value}, {-k}) OVER ({_over(axis)}), first_value({value}) OVER ({_over(axis)} {frame}))"
+
+
+def _d(value: str, axis: str, order: int = 1) -> str:
+    before, after = _shift(value, axis, -1), _shift(value, axis, 1)
+    return f"({after} - {before}) / 2.0::DOUBLE" if order == 1 else f"({after} - 2.0::DOUBLE * {value} + {before}) / 1.0::DOUBLE"
+
+
+def _derivatives_sql(source: str, value: str, name: str) -> str:
+    return f"""{name}1 AS (SELECT *, {_d(value, "x")} AS dx, {_d(value, "x", 2)} AS hxx FROM {source}),
+{name}2 AS (SELECT *, {_d(value, "y")} AS dy, {_d(value, "y", 2)} AS hyy, {_d("dx", "y")} AS hxy FROM {name}1),
+{name} AS (SELECT *, {_d(value, "z")} AS dz, {_d(value, "z", 2)} AS hzz, {_d("dx", "z")} AS hxz, {_d("dy", "z")} AS hyz FROM {name}2)"""
+
+
+def _eigen_sql(source: str, names: tuple[str, ...], name: str) -> str:
+    a11, a12, a13, a22, a23, a33 = names
+    pi = "3.141592653589793::DOUBLE"
+    return f"""{name}1 AS (SELECT *, {a12}*{a12} + {a13}*{a13} + {a23}*{a23} AS off_, ({a11} + {a22} + {a33}) / 3.0::DOUBLE AS q_ FROM {source}),
+{name}2 AS (SELECT *, CASE WHEN off_ = 0 THEN 1.0::DOUBLE ELSE sqrt((({a11}-q_)*({a11}-q_) + ({a22}-q_)*({a22}-q_) + ({a33}-q_)*({a33}-q_) + 2.0::DOUBLE*off_) / 6.0::DOUBLE) END AS p_ FROM {name}1),
+{name}3 AS (SELECT *, (({a11}-q_)/p_ * (({a22}-q_)/p_) * (({a33}-q_)/p_) + 2.0::DOUBLE*({a12}/p_)*({a13}/p_)*({a23}/p_) - ({a23}/p_)*({a23}/p_)*(({a11}-q_)/p_) - ({a13}/p_)*({a13}/p_)*(({a22}-q_)/p_) - ({a12}/p_)*({a12}/p_)*(({a33}-q_)/p_)) / 2.0::DOUBLE AS r_ FROM {name}2),
+{name}4 AS (SELECT *, CASE WHEN r_ <= -1 THEN {pi}/3.0::DOUBLE WHEN r_ >= 1 THEN 0.0::DOUBLE ELSE acos(r_)/3.0::DOUBLE END AS f_ FROM {name}3),
+{name}5 AS (SELECT *, q_ + 2.0::DOUBLE*p_*cos(f_) AS hi_, q_ + 2.0::DOUBLE*p_*cos(f_ + 2.0::DOUBLE*{pi}/3.0::DOUBLE) AS lo_ FROM {name}4),
+{name}6 AS (SELECT *, CASE WHEN off_ = 0 THEN {a11} ELSE hi_ END AS a_, CASE WHEN off_ = 0 THEN {a22} ELSE 3.0::DOUBLE*q_ - hi_ - lo_ END AS b_, CASE WHEN off_ = 0 THEN {a33} ELSE lo_ END AS c_ FROM {name}5),
+{name}7 AS (SELECT * EXCLUDE (a_, b_), CASE WHEN abs(a_) < abs(b_) THEN b_ ELSE a_ END AS a_, CASE WHEN abs(a_) < abs(b_) THEN a_ ELSE b_ END AS b_ FROM {name}6),
+{name}8 AS (SELECT * EXCLUDE (b_, c_), CASE WHEN abs(b_) < abs(c_) THEN c_ ELSE b_ END AS b_, CASE WHEN abs(b_) < abs(c_) THEN b_ ELSE c_ END AS c_ FROM {name}7),
+{name} AS (SELECT * EXCLUDE (a_, b_, c_), CASE WHEN abs(a_) < abs(b_) THEN b_ ELSE a_ END AS e1, CASE WHEN abs(a_) < abs(b_) THEN a_ ELSE b_ END AS e2, c_ AS e3 FROM {name}8)"""
+
+
+def _smooth_sql(source: str, columns: list[str], sigma: float, name: str) -> str:
+    kernel = stencil.gaussian_kernel(sigma)
+    radius = len(kernel) // 2
+    out, last = [], source
+    for i, axis in enumerate(AXES):
+        terms = ", ".join("0.0::DOUBLE + " + " + ".join(f"{w!r}::DOUBLE * {_shift(c, axis, k)}" for k, w in zip(range(-radius, radius + 1), kernel, strict=True)) + f" AS {c}" for c in columns)
+        this = name if i == 2 else f"{name}_{axis}"
+        out.append(f"{this} AS (SELECT * EXCLUDE ({', '.join(columns)}), {terms} FROM {last})")
+        last = this
+    return ",\n".join(out)
+
+
+def _blur_sql(source: str, sigma: float, name: str) -> str:
+    """Normalised convolution of v with the mask for certainty, as GaussianBlur."""
+    return f"""{name}0 AS (SELECT *, CASE WHEN m <> 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS mm FROM {source}),
+{name}c AS (SELECT *, v * mm AS cv, mm AS cc FROM {name}0),
+{_smooth_sql(f"{name}c", ["cv", "cc"], sigma, f"{name}s")},
+{name} AS (SELECT * EXCLUDE (cv, cc), CASE WHEN cc <> 0 THEN cv / cc ELSE 3.4028234663852886e38::DOUBLE END AS "GaussianBlur" FROM {name}s)"""
+
+
+def _features_sql(sigma: float, i: int) -> str:
+    n = f"f{i}"
+    masked = ", ".join(f'CASE WHEN mm <> 0 THEN {e} ELSE 0.0::DOUBLE END AS "{c}"' for c, e in zip(FEATURES, ('"GaussianBlur"', "sqrt(dx*dx + dy*dy + dz*dz)", "e1", "e2", "e3", "e1 + e2 + e3", "e1 * e2 * e3", "sqrt(e1*e1 + e2*e2 + e3*e3)"), strict=True))
+    return f"""{_blur_sql("vox", sigma, n + "b")},
+{_derivatives_sql(n + "b", '"GaussianBlur"', n + "d")},
+{_eigen_sql(n + "d", ("hxx", "hxy", "hxz", "hyy", "hyz", "hzz"), n + "e")},
+{n} AS (SELECT volume_id, x, y, z, m, {i} AS scale_idx, CAST({sigma!r} AS DOUBLE) AS scale, {masked} FROM {n}e)"""
+
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _vox(select: str, more: str = "") -> str:
+    return f"WITH {VOX}{',' if more else ''}\n{more}\n{select}"
+
+
+@query(_vox("SELECT * FROM vox"))
+def voxelize(spark, sf_dir):
+    return vox(spark, sf_dir)
+
+
+@query("""WITH c AS (SELECT l_returnflag AS volume_id, l_partkey % 16 AS x, l_suppkey % 8 AS y, CAST(l_linenumber - 1 AS BIGINT) AS z, CAST(sum(l_quantity) AS DOUBLE) AS v FROM lineitem GROUP BY 1, 2, 3, 4)
+SELECT g.volume_id, CAST(16 AS BIGINT) AS size_x, CAST(8 AS BIGINT) AS size_y, CAST(7 AS BIGINT) AS size_z, CAST(896 AS BIGINT) AS n_voxels FROM (SELECT DISTINCT volume_id FROM c) g""")
+def volume_info(spark, sf_dir):
+    return tools.describe_volume(vox(spark, sf_dir, by_flag=True))
+
+
+@query(_vox("SELECT x, y, z, CAST(greatest(0, least(1, m)) AS INTEGER) AS c FROM vox"))
+def mask_clamp(spark, sf_dir):
+    return vox(spark, sf_dir).select("x", "y", "z", pointwise.clamp(F.col("m")).cast("int").alias("c"))
+
+
+@query(_vox("SELECT x, y, z, CASE WHEN m BETWEEN 1 AND 1 THEN 1 ELSE 0 END AS t, CASE WHEN v BETWEEN 300 AND 600 THEN 7 ELSE 3 END AS w FROM vox"))
+def mask_threshold(spark, sf_dir):
+    return vox(spark, sf_dir).select("x", "y", "z", pointwise.threshold(F.col("m"), 1, 1).alias("t"), pointwise.threshold(F.col("v"), 300, 600, 7, 3).alias("w"))
+
+
+@query(_vox("SELECT x, y, z, v, CASE WHEN m IN (0, 2) THEN 5 ELSE 1 END AS m, p, volume_id FROM vox"))
+def mask_remap(spark, sf_dir):
+    return tools.remap_mask(vox(spark, sf_dir), [0, 2], 5, 1)
+
+
+@query(_vox("SELECT volume_id, x, y, z, CASE WHEN m <> 0 THEN v ELSE -1.0 END AS v, m, p FROM vox"))
+def mask_apply(spark, sf_dir):
+    return tools.mask_image(vox(spark, sf_dir), outside=-1.0)
+
+
+@query(_vox("SELECT a.x, a.y, a.z, a.v, b.m FROM vox a JOIN vox b ON a.x = b.x AND a.y = b.y AND a.z = b.z"))
+def image_mask_join(spark, sf_dir):
+    v = vox(spark, sf_dir)
+    return lattice.image_with_mask(v.select(*lattice.KEYS, "v"), v.select(*lattice.KEYS, "m")).select("x", "y", "z", "v", "m")
+
+
+@query(_vox("SELECT x, y, z, CAST(CASE WHEN v < 100 THEN 0 WHEN v > 700 THEN 255 ELSE floor((v - 100.0::DOUBLE) * 255.0::DOUBLE / 600.0::DOUBLE) END AS INTEGER) AS w FROM vox"))
+def intensity_window(spark, sf_dir):
+    return vox(spark, sf_dir).select("x", "y", "z", pointwise.intensity_window(F.col("v"), 600.0, 400.0).alias("w"))
+
+
+@query(_vox("SELECT x, y, z, CASE WHEN m <> 0 THEN v / m ELSE 3.4028234663852886e38::DOUBLE END AS q, v * p AS t FROM vox"))
+def divide_multiply(spark, sf_dir):
+    return vox(spark, sf_dir).select("x", "y", "z", pointwise.divide(F.col("v"), F.col("m")).alias("q"), (F.col("v") * F.col("p")).alias("t"))
+
+
+@query(_vox(f"SELECT x, y, z, {_d('v', 'x')} AS d FROM vox"))
+def deriv_x1(spark, sf_dir):
+    return vox(spark, sf_dir).select("x", "y", "z", stencil.derivative("v", "x").alias("d"))
+
+
+@query(_vox(f"SELECT x, y, z, {_d('v', 'z', 2)} AS d FROM vox"))
+def deriv_z2(spark, sf_dir):
+    return vox(spark, sf_dir).select("x", "y", "z", stencil.derivative("v", "z", 2).alias("d"))
+
+
+@query(_vox("SELECT x, y, z, hxx, hxy, hxz, hyy, hyz, hzz FROM d", _derivatives_sql("vox", "v", "d")))
+def hessian(spark, sf_dir):
+    return stencil.hessian(vox(spark, sf_dir)).select("x", "y", "z", *stencil.HESSIAN)
+
+
+@query(_vox("SELECT x, y, z, round(CASE WHEN m <> 0 THEN sqrt(dx*dx + dy*dy + dz*dz) ELSE 0.0 END, 6) + 0.0 AS \"GradientMagnitude\" FROM d", _derivatives_sql("vox", "v", "d")))
+def gradient_magnitude(spark, sf_dir):
+    return tools.masked_gradient(vox(spark, sf_dir)).select("x", "y", "z", _rounded("GradientMagnitude"))
+
+
+_MATRIX = "mm AS (SELECT vec_id, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS {c}" for i, c in enumerate(eigen.COMPONENTS)) + " FROM embeddings)"
+
+
+def _matrices(spark, sf_dir):
+    return _read(spark, sf_dir, "embeddings").select("vec_id", *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(eigen.COMPONENTS)])
+
+
+@query(f"WITH {_MATRIX}, {_eigen_sql('mm', eigen.COMPONENTS, 'e')} SELECT vec_id, round(e1, 6) + 0.0 AS e1, round(e2, 6) + 0.0 AS e2, round(e3, 6) + 0.0 AS e3 FROM e")
+def eigenvalues(spark, sf_dir):
+    return eigen.eigenvalues(_matrices(spark, sf_dir)).select("vec_id", *[_rounded(c) for c in ("e1", "e2", "e3")])
+
+
+_EIGEN_SELECT = ", ".join(f'round({e}, 6) + 0.0 AS "{c}"' for c, e in zip(eigen.FEATURES, ("e1", "e2", "e3", "e1 + e2 + e3", "e1 * e2 * e3", "sqrt(e1*e1 + e2*e2 + e3*e3)"), strict=True))
+
+
+@query(f"WITH {_MATRIX}, {_eigen_sql('mm', eigen.COMPONENTS, 'e')} SELECT vec_id, {_EIGEN_SELECT} FROM e")
+def eigen_features(spark, sf_dir):
+    return eigen.eigen_features(_matrices(spark, sf_dir)).select("vec_id", *[_rounded(c) for c in eigen.FEATURES])
+
+
+#: The product of eigenvalues of a Hessian of whole numbers is a multiple of 1/32.
+_WHOLE = DIGITS | {"GaussianCurvature": 5}
+_HESSIAN_SELECT = ", ".join(f'round(CASE WHEN m <> 0 THEN {e} ELSE 0.0 END, {_WHOLE[c]}) + 0.0 AS "{c}"' for c, e in zip(eigen.FEATURES, ("e1", "e2", "e3", "e1 + e2 + e3", "e1 * e2 * e3", "sqrt(e1*e1 + e2*e2 + e3*e3)"), strict=True))
+
+
+@query(_vox(f"SELECT x, y, z, {_HESSIAN_SELECT} FROM e", _derivatives_sql("vox", "v", "d") + ",\n" + _eigen_sql("d", stencil.HESSIAN, "e")))
+def hessian_features(spark, sf_dir):
+    return stencil.hessian_features(vox(spark, sf_dir)).select("x", "y", "z", *[_rounded(c, _WHOLE[c]) for c in eigen.FEATURES])
+
+
+@query(_vox("SELECT x, y, z, round(v, 6) + 0.0 AS v FROM s", _smooth_sql("vox", ["v"], 0.75, "s")))
+def gauss_smooth(spark, sf_dir):
+    return stencil.gaussian_smooth(vox(spark, sf_dir), ["v"], 0.75).select("x", "y", "z", _rounded("v"))
+
+
+@query(_vox('SELECT x, y, z, round(CASE WHEN mm <> 0 THEN "GaussianBlur" ELSE 0.0 END, 4) + 0.0 AS "GaussianBlur", CAST(0.75 AS DOUBLE) AS scale FROM b', _blur_sql("vox", 0.75, "b")))
+def norm_conv(spark, sf_dir):
+    return tools.masked_normalized_convolution(vox(spark, sf_dir), [0.75]).select("x", "y", "z", _rounded("GaussianBlur", 4), "scale")
+
+
+_FEATURE_SELECT = ", ".join(f'round("{c}", {DIGITS[c]}) + 0.0 AS "{c}"' for c in FEATURES)
+
+
+@query(_vox(f"SELECT x, y, z, {_FEATURE_SELECT} FROM f0", _features_sql(0.5, 0)))
+def features8(spark, sf_dir):
+    return tools.extract_features(vox(spark, sf_dir), [0.5]).select("x", "y", "z", *[_rounded(c, DIGITS[c]) for c in FEATURES])
+
+
+@query(_vox(f"SELECT x, y, z, scale, {_FEATURE_SELECT} FROM (SELECT * FROM f0 UNION ALL SELECT * FROM f1)", _features_sql(SCALES[0], 0) + ",\n" + _features_sql(SCALES[1], 1)))
+def features8_multiscale(spark, sf_dir):
+    return tools.extract_features(vox(spark, sf_dir), SCALES).select("x", "y", "z", "scale", *[_rounded(c, DIGITS[c]) for c in FEATURES])
+
+
+_PRICE_EDGES = [1000.0, 5000.0, 20000.0, 40000.0, 90000.0]
+
+
+def _bin_sql(value: str, edges: list[float]) -> str:
+    return "CAST(" + " + ".join(f"CASE WHEN {value} > {e!r} THEN 1 ELSE 0 END" for e in edges) + " AS INTEGER)"
+
+
+_COUNTS_SQL = f"""WITH b AS (SELECT l_returnflag, {_bin_sql("l_extendedprice", _PRICE_EDGES)} AS bin, count(*) AS n FROM lineitem GROUP BY 1, 2),
+h AS (SELECT k.l_returnflag, CAST(s.i AS INTEGER) AS bin, CAST(coalesce(b.n, 0) AS BIGINT) AS n
+  FROM (SELECT DISTINCT l_returnflag FROM b) k CROSS JOIN range({len(_PRICE_EDGES) + 1}) s(i) LEFT JOIN b ON b.l_returnflag = k.l_returnflag AND b.bin = s.i)"""
+
+
+@query(f"{_COUNTS_SQL} SELECT * FROM h")
+def hist_counts(spark, sf_dir):
+    return histogram.histogram(_read(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_extendedprice", _PRICE_EDGES)
+
+
+@query(f"{_COUNTS_SQL} SELECT l_returnflag, bin, CAST(n AS DOUBLE) / CAST(sum(n) OVER (PARTITION BY l_returnflag) AS DOUBLE) AS freq FROM h")
+def hist_freqs(spark, sf_dir):
+    return histogram.frequencies(hist_counts(spark, sf_dir), ["l_returnflag"])
+
+
+@query("SELECT l_quantity, CAST(count(*) AS BIGINT) AS n FROM lineitem GROUP BY 1")
+def value_counts(spark, sf_dir):
+    return tools.value_counts(_read(spark, sf_dir, "lineitem"), "l_quantity")
+
+
+@query("SELECT DISTINCT m FROM (" + _vox("SELECT m FROM vox") + ")")
+def distinct_values(spark, sf_dir):
+    return vox(spark, sf_dir).select("m").distinct()
+
+
+@query("""WITH r AS (SELECT event_id, ntile(10) OVER (ORDER BY event_id) AS tile FROM events)
+SELECT CAST(tile - 2 AS INTEGER) AS edge_idx, min(event_id) AS edge FROM r WHERE tile > 1 GROUP BY tile""")
+def edges_distinct(spark, sf_dir):
+    return histogram.distinct_edges(_read(spark, sf_dir, "events"), 10, "event_id")
+
+
+_TIED_SQL = """WITH RECURSIVE c AS (SELECT l_returnflag AS g, l_quantity AS v, CAST(count(*) AS BIGINT) AS n FROM lineitem GROUP BY 1, 2),
+u AS (SELECT g, v, n, CAST(sum(n) OVER (PARTITION BY g ORDER BY v) AS BIGINT) AS hi FROM c),
+r AS (SELECT g, v, hi - n AS lo, hi, lead(v) OVER (PARTITION BY g ORDER BY v) AS nextv FROM u),
+t AS (SELECT g, CAST(sum(n) AS BIGINT) AS total FROM c GROUP BY g),
+s AS (
+  SELECT g, total, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS pos, total % {B} AS sur, CAST(0 AS BIGINT) AS def, CAST(NULL AS DOUBLE) AS edge FROM t
+  UNION ALL
+  SELECT q.g, q.total, q.k + 1,
+    CASE WHEN q.np = r.lo THEN q.np WHEN r.hi = q.total THEN r.lo WHEN q.np - r.lo < r.hi - q.np OR (q.np - r.lo = r.hi - q.np AND q.d > 0) THEN r.lo ELSE r.hi END,
+    CASE WHEN q.np = r.lo OR r.hi = q.total THEN q.u
+         WHEN q.np - r.lo < r.hi - q.np OR (q.np - r.lo = r.hi - q.np AND q.d > 0) THEN CASE WHEN q.np - r.lo > q.d THEN q.np - r.lo - q.d ELSE q.u END
+         ELSE CASE WHEN r.hi - q.np > q.u THEN 0 ELSE q.u - (r.hi - q.np) END END,
+    CASE WHEN q.np = r.lo OR r.hi = q.total THEN q.d
+         WHEN q.np - r.lo < r.hi - q.np OR (q.np - r.lo = r.hi - q.np AND q.d > 0) THEN CASE WHEN q.np - r.lo > q.d THEN 0 ELSE q.d - (q.np - r.lo) END
+         ELSE CASE WHEN r.hi - q.np > q.u THEN r.hi - q.np - q.u ELSE q.d END END,
+    CASE WHEN q.np = r.lo OR r.hi = q.total OR q.np - r.lo < r.hi - q.np OR (q.np - r.lo = r.hi - q.np AND q.d > 0) THEN r.v ELSE r.nextv END
+  FROM (SELECT g, total, k,
+      pos + total // {B} + CASE WHEN sur > 0 THEN greatest(1, sur // ({B} - k)) WHEN def > 0 THEN -least(total // {B}, greatest(1, def // ({B} - k))) ELSE 0 END AS np,
+      CASE WHEN sur > 0 THEN sur - greatest(1, sur // ({B} - k)) ELSE sur END AS u,
+      CASE WHEN sur > 0 THEN def WHEN def > 0 THEN def - least(total // {B}, greatest(1, def // ({B} - k))) ELSE def END AS d
+    FROM s WHERE k < {B} - 1) q JOIN r ON r.g = q.g AND r.lo <= q.np AND q.np < r.hi)
+SELECT g AS l_returnflag, CAST(k - 1 AS INTEGER) AS edge_idx, edge FROM s WHERE k > 0"""
+
+
+@query(_TIED_SQL.replace("{B}", "7"))
+def edges_ties(spark, sf_dir):
+    return histogram.determine_edges(_read(spark, sf_dir, "lineitem"), 7, "l_returnflag", "l_quantity")
+
+
+@query(_TIED_SQL.replace("{B}", "5"))
+def edges_ties_walked(spark, sf_dir):
+    counts = _read(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_quantity").agg(F.count(F.lit(1)).alias("n"))
+    return histogram.walked_edges(counts, 5, "l_returnflag", "l_quantity")
+
+
+@query()
+def determine_edges(spark, sf_dir):
+    return tools.determine_edges(vox(spark, sf_dir), SCALES, 6)
+
+
+_FITS = "x >= 1 AND x <= 14 AND y >= 1 AND y <= 6 AND z >= 1 AND z <= 5"
+_BOXES = "x - 1 AS x0, y - 1 AS y0, z - 1 AS z0, CAST(3 AS BIGINT) AS sx, CAST(3 AS BIGINT) AS sy, CAST(3 AS BIGINT) AS sz"
+_DENSE = f"rois AS (SELECT volume_id, row_number() OVER (PARTITION BY volume_id ORDER BY z, y, x) - 1 AS roi_id, {_BOXES} FROM vox WHERE m <> 0 AND {_FITS})"
+_HASH = "(x * 73856093 + y * 19349663 + z * 83492791 + 1 * 2654435761) % 1000003"
+
+
+def _random_sql(n: int, where: str = "m <> 0", by: str = "") -> str:
+    keys = "volume_id" + (f", {by}" if by else "")
+    return f"rois AS (SELECT {keys}, roi_id, x0, y0, z0, sx, sy, sz FROM (SELECT {keys}, row_number() OVER (PARTITION BY {keys} ORDER BY {_HASH}, z, y, x) - 1 AS roi_id, {_BOXES} FROM vox WHERE {where} AND {_FITS}) WHERE roi_id < {n})"
+
+
+_IN_BOX = "v.volume_id = r.volume_id AND v.x >= r.x0 AND v.x < r.x0 + r.sx AND v.y >= r.y0 AND v.y < r.y0 + r.sy AND v.z >= r.z0 AND v.z < r.z0 + r.sz"
+
+
+def _dense(v):
+    return roi.dense_rois(v, BOX, SIZE)
+
+
+@query(_vox("SELECT * FROM rois", _DENSE))
+def rois_dense(spark, sf_dir):
+    return _dense(vox(spark, sf_dir))
+
+
+@query(_vox("SELECT * FROM rois", _random_sql(50, "m = 1")))
+def rois_random_hash(spark, sf_dir):
+    return tools.generate_rois(vox(spark, sf_dir), SIZE, 50, BOX)
+
+
+@query(_vox("SELECT * FROM rois", _random_sql(20, "m <> 0", "m")))
+def rois_by_label(spark, sf_dir):
+    return tools.generate_rois(vox(spark, sf_dir), SIZE, 20, BOX, by_label=True)
+
+
+@query(_vox("""SELECT c.volume_id, i AS roi_id, x0, y0, z0, sx, sy, sz FROM (SELECT CAST(i AS BIGINT) AS i FROM range(40) t(i)) JOIN (SELECT *, row_number() OVER (PARTITION BY volume_id ORDER BY z0, y0, x0) - 1 AS k, count(*) OVER (PARTITION BY volume_id) AS n FROM rois) c
+ON c.k = (i * 48271 + 69621 + 11) * 16807 % 2147483647 % c.n""", _DENSE))
+def rois_random_again(spark, sf_dir):
+    return roi.random_rois_again(vox(spark, sf_dir), 40, BOX, SIZE)
+
+
+@query(_vox(f"SELECT r.volume_id, r.roi_id, list(v.v ORDER BY v.z, v.y, v.x) AS \"values\" FROM rois r JOIN vox v ON {_IN_BOX} GROUP BY 1, 2", _random_sql(30, "m = 1")))
+def roi_flatten(spark, sf_dir):
+    v = vox(spark, sf_dir)
+    return tools.sample_rois(v, tools.generate_rois(v, SIZE, 30, BOX))
+
+
+def _labels_sql(ignore: str, dominant: str) -> str:
+    return _vox(f"""SELECT volume_id, roi_id, CAST(CASE WHEN bool_or(label = {dominant}) THEN {dominant} ELSE arg_max(label, n * 1000 - label) END AS INTEGER) AS label FROM c GROUP BY 1, 2""", _DENSE + f", c AS (SELECT r.volume_id, r.roi_id, v.m AS label, CASE WHEN v.m IN ({ignore}) THEN 0 ELSE count(*) END AS n FROM rois r JOIN vox v ON {_IN_BOX} GROUP BY 1, 2, 3)")
+
+
+@query(_labels_sql("-1", "-7"))
+def roi_labels_mode(spark, sf_dir):
+    v = vox(spark, sf_dir)
+    return tools.extract_labels(v, _dense(v))
+
+
+@query(_labels_sql("0", "-7"))
+def roi_labels_ignore(spark, sf_dir):
+    v = vox(spark, sf_dir)
+    return tools.extract_labels(v, _dense(v), ignore=[0])
+
+
+@query(_labels_sql("0", "2"))
+def roi_labels_dominant(spark, sf_dir):
+    v = vox(spark, sf_dir)
+    return tools.extract_labels(v, _dense(v), ignore=[0], dominant=2)
+
+
+_ROUNDS = [5, 5, 10, 30]
+_ENDS = [sum(_ROUNDS[: i + 1]) for i in range(len(_ROUNDS))]
+
+
+@query(_vox("""SELECT t.volume_id, CAST(e.i AS INTEGER) AS round, CAST(e.n AS INTEGER) AS n_rois, CAST(count(*) FILTER (WHERE w.roi < e.n) AS BIGINT) AS visited, CAST(count(*) FILTER (WHERE w.roi < e.n AND w.m <> 0) AS BIGINT) AS hits, t.region,
+  CAST(count(*) FILTER (WHERE w.roi < e.n AND w.m <> 0) AS DOUBLE) / t.region AS share FROM w CROSS JOIN e CROSS JOIN t GROUP BY t.volume_id, e.i, e.n, t.region""", _random_sql(sum(_ROUNDS)) + f""",
+w AS (SELECT v.x, v.y, v.z, v.m, min(r.roi_id) AS roi FROM rois r JOIN vox v ON {_IN_BOX} GROUP BY 1, 2, 3, 4),
+e AS (SELECT * FROM (VALUES {", ".join(f"({i}, {n})" for i, n in enumerate(_ENDS))}) AS e(i, n)),
+t AS (SELECT volume_id, CAST(count(*) FILTER (WHERE m <> 0) AS BIGINT) AS region FROM vox GROUP BY 1)"""))
+def roi_coverage(spark, sf_dir):
+    return tools.roi_coverage(vox(spark, sf_dir), SIZE, BOX, _ROUNDS)
+
+
+@query(_vox(f"SELECT v.volume_id, v.x, v.y, v.z, CASE WHEN EXISTS (SELECT 1 FROM rois r WHERE {_IN_BOX}) THEN v.v ELSE 0.0 END AS v, v.m, v.p FROM vox v", _random_sql(10, "m = 1")))
+def mask_with_rois(spark, sf_dir):
+    v = vox(spark, sf_dir)
+    return tools.mask_with_rois(v, tools.generate_rois(v, SIZE, 10, BOX))
+
+
+def _intensity_sql(rois: str) -> str:
+    return f"""{rois},
+k AS (SELECT r.volume_id, r.roi_id, {_bin_sql("v.v", EDGES)} AS bin, count(*) AS n FROM rois r JOIN vox v ON {_IN_BOX} AND v.m <> 0 GROUP BY 1, 2, 3),
+h AS (SELECT r.volume_id, r.roi_id, CAST(s.i AS INTEGER) AS bin, CAST(coalesce(k.n, 0) AS BIGINT) AS n FROM rois r CROSS JOIN range({len(EDGES) + 1}) s(i) LEFT JOIN k ON k.volume_id = r.volume_id AND k.roi_id = r.roi_id AND k.bin = s.i),
+g AS (SELECT *, CAST(sum(n) OVER (PARTITION BY volume_id, roi_id) AS DOUBLE) AS total FROM h)"""
+
+
+@query(_vox("SELECT volume_id, roi_id, bin, n, n / total AS freq FROM g", _intensity_sql(_DENSE)))
+def bag_intensity(spark, sf_dir):
+    v = vox(spark, sf_dir)
+    return tools.make_intensity_bag(v, EDGES, _dense(v))
+
+
+@query(_vox("SELECT volume_id, roi_id, bin, n, n / total AS freq FROM g", _intensity_sql(f"rois AS (SELECT volume_id, (z * 8 + y) * 16 + x AS roi_id, {_BOXES} FROM vox WHERE m <> 0 AND {_FITS})")))
+def bag_dense(spark, sf_dir):
+    return bag.dense_intensity_bag(vox(spark, sf_dir), BOX, SIZE, EDGES)
+
+
+def _spec(spark):
+    n = len(FEATURES) * len(SCALES)
+    return spark.createDataFrame([(i, SPEC_EDGES) for i in range(n)], "hist_idx int, edges array<double>")
+
+
+_BAG_SQL = _features_sql(SCALES[0], 0) + ",\n" + _features_sql(SCALES[1], 1) + ",\n" + _random_sql(25, "m = 1") + ",\n" + "allf AS (SELECT * FROM f0 UNION ALL SELECT * FROM f1),\n" + "vals AS (" + " UNION ALL ".join(f'SELECT volume_id, x, y, z, m, CAST(scale_idx * 8 + {i} AS INTEGER) AS hist_idx, "{c}" AS value FROM allf' for i, c in enumerate(FEATURES)) + f"""),
+k AS (SELECT r.volume_id, r.roi_id, v.hist_idx, {_bin_sql("v.value", SPEC_EDGES)} AS bin, count(*) AS n FROM rois r JOIN vals v ON {_IN_BOX} AND v.m <> 0 GROUP BY 1, 2, 3, 4)"""
+
+
+@query(_vox("SELECT volume_id, roi_id, hist_idx, bin, round(CAST(n AS DOUBLE) / CAST(sum(n) OVER (PARTITION BY volume_id, roi_id, hist_idx) AS DOUBLE), 6) AS freq FROM k", _BAG_SQL))
+def bag_multiscale(spark, sf_dir):
+    v = vox(spark, sf_dir)
+    return tools.make_bag(v, _spec(spark), SCALES, tools.generate_rois(v, SIZE, 25, BOX), SIZE).select("volume_id", "roi_id", "hist_idx", "bin", F.round("freq", 6).alias("freq"))
+
+
+@query()
+def bag_arrays(spark, sf_dir):
+    v = vox(spark, sf_dir)
+    rois = tools.generate_rois(v, SIZE, 25, BOX)
+    return bag.bag_lines(bag.as_arrays(tools.make_bag(v, _spec(spark), SCALES, rois, SIZE), rois, len(FEATURES) * len(SCALES), len(SPEC_EDGES) + 1))
+
+
+_DATASET_SQL = """WITH b AS (SELECT bag, row_number() OVER (ORDER BY bag) - 1 AS bag_idx, n FROM (SELECT CAST(o_custkey AS VARCHAR) AS bag, count(*) AS n FROM orders GROUP BY 1)),
+f AS (SELECT *, CAST(coalesce(sum(n) OVER (ORDER BY bag_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first FROM b)"""
+
+
+def _dataset(spark, sf_dir):
+    orders, customers = _read(spark, sf_dir, "orders"), _read(spark, sf_dir, "customer")
+    found = orders.select(F.col("o_custkey").cast("string").alias("bag"), F.col("o_orderkey").alias("roi_id"), F.array("o_totalprice").alias("features"))
+    labels = customers.select(F.col("c_custkey").cast("string").alias("bag"), (F.col("c_nationkey") % 2).cast("double").alias("label"))
+    return tools.assemble_dataset(found, labels)
+
+
+@query(_DATASET_SQL + """ SELECT f.bag_idx, f.first + row_number() OVER (PARTITION BY f.bag ORDER BY o_orderkey) - 1 AS inst_idx, o_totalprice AS feature, CAST(0 AS DOUBLE) AS label FROM f JOIN orders ON f.bag = CAST(o_custkey AS VARCHAR)""")
+def bagged_dataset(spark, sf_dir):
+    return _dataset(spark, sf_dir)[0].select("bag_idx", "inst_idx", F.col("features")[0].alias("feature"), "label")
+
+
+@query(_DATASET_SQL + """ SELECT f.bag_idx, f.bag, CAST(f.n AS BIGINT) AS n_instances, CAST(c_nationkey % 2 AS DOUBLE) AS label FROM f LEFT JOIN customer ON f.bag = CAST(c_custkey AS VARCHAR)""")
+def bag_labels(spark, sf_dir):
+    return _dataset(spark, sf_dir)[1]
+
+
+_SMALL = "small AS (SELECT * FROM vox WHERE x BETWEEN 3 AND 9 AND y BETWEEN 2 AND 6 AND z BETWEEN 1 AND 4 AND m = 1)"
+_BBOX = "box AS (SELECT volume_id, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y, min(z) AS min_z, max(z) AS max_z FROM small GROUP BY 1)"
+
+
+def _small(v):
+    on = F.col("x").between(3, 9) & F.col("y").between(2, 6) & F.col("z").between(1, 4) & (F.col("m") == 1)
+    return v.withColumn("s", F.when(on, 1).otherwise(0))
+
+
+@query(_vox("SELECT * FROM box", _SMALL + ", " + _BBOX))
+def bbox(spark, sf_dir):
+    return lattice.bounding_box(_small(vox(spark, sf_dir)), "s")
+
+
+@query(_vox("SELECT v.volume_id, x - min_x AS x, y - min_y AS y, z - min_z AS z, v FROM vox v JOIN box USING (volume_id) WHERE x BETWEEN min_x AND max_x AND y BETWEEN min_y AND max_y AND z BETWEEN min_z AND max_z", _SMALL + ", " + _BBOX))
+def crop(spark, sf_dir):
+    return tools.crop_to_mask(_small(vox(spark, sf_dir)), "s").select("volume_id", "x", "y", "z", "v")
+
+
+@query(_vox("SELECT x, y, z, v FROM vox WHERE z IN (0, 1, 2, 4, 5, 6)"))
+def slices(spark, sf_dir):
+    return tools.extract_slices(vox(spark, sf_dir), "z", 7, indices=[1], locations=[0.75, 3.0], window=3, stride=1).select("x", "y", "z", "v")
+
+
+@query(_vox("SELECT x, y, 6 - z AS z, v FROM vox WHERE x IN (4, 8)"))
+def flip(spark, sf_dir):
+    return tools.extract_slices(vox(spark, sf_dir), "x", 16, indices=[4, 8], flip=7).select("x", "y", "z", "v")
+
+
+@query(_vox("SELECT CAST(a.i AS BIGINT) AS x, CAST(b.i AS BIGINT) AS y, coalesce(v, -9.0) AS v FROM range(21) a(i) CROSS JOIN range(11) b(i) LEFT JOIN (SELECT x + 2 AS x, y + 1 AS y, v FROM vox WHERE z = 3) s ON s.x = a.i AND s.y = b.i"))
+def pad(spark, sf_dir):
+    plane = vox(spark, sf_dir).filter("z = 3").withColumn("z", F.lit(0).cast("long"))
+    return tools.pad(plane.select(*lattice.KEYS, "v"), (16, 8), (21, 11), {"v": -9.0}).select("x", "y", "v")
+
+
+_GRID = "g AS (SELECT CAST(a.i AS BIGINT) AS x, CAST(b.i AS BIGINT) AS y, CAST(c.i AS BIGINT) AS z, 0.0::DOUBLE + a.i * 0.5::DOUBLE AS px, 0.0::DOUBLE + b.i * 0.75::DOUBLE AS py, 0.0::DOUBLE + c.i * 1.5::DOUBLE AS pz FROM range(31) a(i) CROSS JOIN range(10) b(i) CROSS JOIN range(5) c(i))"
+_CORNERS = "SELECT 0 AS d UNION ALL SELECT 1"
+
+
+@query(_vox(f"""SELECT g.x, g.y, g.z, round(coalesce(sum(v.v * (CASE WHEN a.d = 0 THEN 1 - (px - floor(px)) ELSE px - floor(px) END) * (CASE WHEN b.d = 0 THEN 1 - (py - floor(py)) ELSE py - floor(py) END) * (CASE WHEN c.d = 0 THEN 1 - (pz - floor(pz)) ELSE pz - floor(pz) END)), 0.0), 6) + 0.0 AS v
+FROM g CROSS JOIN ({_CORNERS}) a CROSS JOIN ({_CORNERS}) b CROSS JOIN ({_CORNERS}) c
+LEFT JOIN vox v ON px <= 15 AND py <= 7 AND pz <= 6 AND v.x = least(floor(px) + a.d, 15) AND v.y = least(floor(py) + b.d, 7) AND v.z = least(floor(pz) + c.d, 6) GROUP BY 1, 2, 3""", _GRID))
+def resample_linear(spark, sf_dir):
+    return tools.resample(vox(spark, sf_dir), SIZE, (31, 10, 5), (0.5, 0.75, 1.5)).select("x", "y", "z", _rounded("v"))
+
+
+@query(_vox("SELECT g.x, g.y, g.z, coalesce(v.v, 0.0) AS v FROM g LEFT JOIN vox v ON px <= 15 AND py <= 7 AND pz <= 6 AND v.x = floor(px + 0.5) AND v.y = floor(py + 0.5) AND v.z = floor(pz + 0.5)", _GRID))
+def resample_nearest(spark, sf_dir):
+    return tools.resample(vox(spark, sf_dir), SIZE, (31, 10, 5), (0.5, 0.75, 1.5), order=0).select("x", "y", "z", "v")
+
+
+_EDGE = ", ".join(f"coalesce(lag(m) OVER ({_over(a)}), 1) AS before_{a}, coalesce(lead(m) OVER ({_over(a)}), 1) AS after_{a}" for a in AXES)
+
+
+@query(_vox("""SELECT volume_id, round(coalesce(avg(CASE WHEN m <> 0 THEN d * p END), 0.0), 6) AS expected_distance
+FROM (SELECT v.volume_id, v.x, v.y, v.z, v.m, v.p, CAST(min((v.x - e.x) * (v.x - e.x) + (v.y - e.y) * (v.y - e.y) + (v.z - e.z) * (v.z - e.z)) AS DOUBLE) AS d FROM vox v CROSS JOIN edge e GROUP BY 1, 2, 3, 4, 5, 6) GROUP BY 1""", f"n AS (SELECT *, {_EDGE} FROM vox), edge AS (SELECT x, y, z FROM n WHERE m <> 0 AND (before_x = 0 OR after_x = 0 OR before_y = 0 OR after_y = 0 OR before_z = 0 OR after_z = 0))"))
+def expected_distance(spark, sf_dir):
+    return tools.expected_distance(vox(spark, sf_dir)).select("volume_id", F.round("expected_distance", 6).alias("expected_distance"))
+
+
+@query()
+def window_bspline(spark, sf_dir):
+    return tools.extract_window(vox(spark, sf_dir), (1.0, 0.5), 800.0, 400.0)
+
+
+_ROI_LINES = ["index size", "[1, 2, 3][41, 41, 41]", "[-4,0,10][ 3,3,5 ]", "", "[7, 8, 9][1, 2, 3]"]
+
+
+def _lines(spark, lines):
+    return spark.createDataFrame([("f", i, s) for i, s in enumerate(lines)], "path string, line int, value string")
+
+
+@query("SELECT 'f' AS volume_id, CAST(i AS BIGINT) AS roi_id, CAST(a AS BIGINT) AS x0, CAST(b AS BIGINT) AS y0, CAST(c AS BIGINT) AS z0, CAST(d AS BIGINT) AS sx, CAST(e AS BIGINT) AS sy, CAST(f AS BIGINT) AS sz FROM (VALUES (0, 1, 2, 3, 41, 41, 41), (1, -4, 0, 10, 3, 3, 5), (2, 7, 8, 9, 1, 2, 3)) AS t(i, a, b, c, d, e, f)")
+def roi_text_parse(spark, sf_dir):
+    return text.parse_rois(_lines(spark, _ROI_LINES))
+
+
+@query(_vox("SELECT volume_id, roi_id, '[' || x0 || ', ' || y0 || ', ' || z0 || '][' || sx || ', ' || sy || ', ' || sz || ']' AS line FROM rois", _DENSE))
+def roi_text_write(spark, sf_dir):
+    return text.roi_lines(_dense(vox(spark, sf_dir)))
+
+
+@query("SELECT 'f' AS path, CAST(i AS INTEGER) AS line, a AS first, b AS second FROM (VALUES (0, 'image.nii.gz', 'mask.nii.gz'), (2, 'a', 'b, c')) AS t(i, a, b)")
+def pair_list_parse(spark, sf_dir):
+    return text.parse_pairs(_lines(spark, ["image.nii.gz, mask.nii.gz", "  ", " a ,b, c "]))
+
+
+@query("SELECT c_custkey, rtrim(c_name, '/') || '/' || ltrim('/' || c_mktsegment, '/') AS path FROM customer")
+def path_join(spark, sf_dir):
+    return _read(spark, sf_dir, "customer").select("c_custkey", strings.path_join(F.col("c_name"), F.concat(F.lit("/"), F.col("c_mktsegment"))).alias("path"))
+
+
+@query("SELECT c_custkey, trim('#_' || c_name || '_#', '#_') AS name, string_split(c_name, '#') AS parts FROM customer")
+def split_trim(spark, sf_dir):
+    return _read(spark, sf_dir, "customer").select("c_custkey", strings.trim(F.concat(F.lit("#_"), F.col("c_name"), F.lit("_#")), "#_").alias("name"), strings.split(F.concat(F.col("c_name"), F.lit("#")), "#").alias("parts"))
+
+
+def _cube(nx, ny, nz):
+    return np.arange(nz)[:, None, None] * 100.0 + np.arange(ny)[None, :, None] * 10.0 + np.arange(nx)[None, None, :]
+
+
+def _cube_sql(nx, ny, nz):
+    return f"SELECT 'f' AS volume_id, CAST(a.i AS BIGINT) AS x, CAST(b.i AS BIGINT) AS y, CAST(c.i AS BIGINT) AS z, CAST(c.i * 100 + b.i * 10 + a.i AS DOUBLE) AS v FROM range({nx}) a(i) CROSS JOIN range({ny}) b(i) CROSS JOIN range({nz}) c(i)"
+
+
+def _file(spark, content: bytes):
+    return spark.createDataFrame([("f", bytearray(content))], "path string, content binary")
+
+
+@query(_cube_sql(4, 3, 2))
+def read_hr2(spark, sf_dir):
+    return volumes.parsed(_file(spark, volumes.hr2_bytes(_cube(4, 3, 2))), volumes.parse_hr2)
+
+
+@query(_cube_sql(2, 3, 4))
+def read_octave(spark, sf_dir):
+    values = _cube(2, 3, 4)
+    lines = ["# Created by a test", "# name: v", "# type: matrix", "# ndims: 3", " 2 3 4", *[f"{values[z, y, x]:g}" for z in range(4) for x in range(2) for y in range(3)]]
+    return volumes.parsed(_file(spark, "\n".join(lines).encode()), volumes.parse_octave)
+
+
+@query(_cube_sql(5, 2, 3))
+def read_nifti(spark, sf_dir):
+    return volumes.parsed(_file(spark, volumes.nifti_bytes(_cube(5, 2, 3).astype("f4"))), volumes.parse_nifti)
+
+
+@query("SELECT 'f' AS path, CAST(i AS BIGINT) AS row, v AS \"values\" FROM (VALUES (0, [1.0::DOUBLE, 2.5, -3.0]), (1, [4.0::DOUBLE, 5.0, 6.0])) AS t(i, v)")
+def read_matrix(spark, sf_dir):
+    return text.parse_matrix(_lines(spark, ["1, 2.5,-3", "", "4,5,6"]))
+
+
+@query("SELECT o_orderkey, CAST(o_orderkey % 5 AS VARCHAR) AS line FROM orders")
+def label_lines(spark, sf_dir):
+    return _read(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 5).cast("string").alias("line"))
+
+
+@query("SELECT 's_d' AS volume_id, CAST(l_orderkey AS BIGINT) AS x, CAST(0 AS BIGINT) AS y, dense_rank() OVER (ORDER BY l_shipdate) - 1 AS z, l_quantity AS v FROM lineitem")
+def series_assembly(spark, sf_dir):
+    rows = _read(spark, sf_dir, "lineitem").select(F.lit("s").alias("series_uid"), F.lit("d").alias("series_date"), F.col("l_shipdate").alias("position"), F.col("l_orderkey").alias("x"), F.lit(0).cast("long").alias("y"), F.col("l_quantity").alias("v"))
+    return volumes.series_volumes(rows)
+
+
+@query(_vox("SELECT x, y, z, m FROM vox WHERE m <> 0 INTERSECT SELECT x, y, z, m FROM vox WHERE v > 300"))
+def mask_overlap(spark, sf_dir):
+    v = vox(spark, sf_dir).select("x", "y", "z", "m", "v")
+    return v.filter("m <> 0").join(v.filter("v > 300").select("x", "y", "z"), ["x", "y", "z"], "left_semi").select("x", "y", "z", "m")
+
+
+@query(_vox("SELECT volume_id, x, y, z, round(distance, 6) + 0.0 AS distance FROM (SELECT v.volume_id, v.x, v.y, v.z, sqrt(CAST(min((v.x - e.x) * (v.x - e.x) + (v.y - e.y) * (v.y - e.y) + (v.z - e.z) * (v.z - e.z)) AS DOUBLE)) AS distance FROM vox v CROSS JOIN (SELECT x, y, z FROM vox WHERE v > 0 AND (x * 31 + y * 17 + z * 7) % 23 = 0) e GROUP BY 1, 2, 3, 4)"))
+def distance_map(spark, sf_dir):
+    d = distance.squared_distance(vox(spark, sf_dir), (F.col("v") > 0) & ((F.col("x") * 31 + F.col("y") * 17 + F.col("z") * 7) % 23 == 0))
+    return d.select("volume_id", "x", "y", "z", F.sqrt("d2").alias("distance")).select("volume_id", "x", "y", "z", _rounded("distance"))
