@@ -27,7 +27,11 @@ def join_paths(a: str, b: str) -> str:
 
 
 def six_digits(v: Column) -> Column:
-    """A number with six significant digits, as C++ streams write it: no zeros at the end, an exponent where it is needed."""
+    """A number with six significant digits, as C++ streams write it: no zeros at the end, an exponent where it is needed.
+
+    A number that is halfway in its shortest decimal form is rounded up, where C++ goes
+    by the binary value.
+    """
     shown = F.format_string("%.5e", v.cast("double"))
     exponent = F.regexp_extract(shown, r"e([+-]\d+)$", 1).cast("int")
     fixed = lambda d: F.format_string(f"%.{d}f", v.cast("double"))
