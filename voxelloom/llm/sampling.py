@@ -20,7 +20,8 @@ from voxelloom.llm.shared import saved
 
 SAMPLES = 32
 SPACE = r"[\x20\x09-\x0D]+"
-DIGITS = 8
+#: Bytes of a signature that stand for one sample.
+WIDTH = 4
 NO_ID = (1 << 63) - 1
 
 
@@ -41,16 +42,17 @@ def rank(term: Column, log_weight: Column, k: int) -> Column:
 
 
 def _signature(names: list[str]) -> Column:
-    """Least ranks as text; empty where there was no term."""
-    parts = [F.lpad(F.hex(F.shiftrightunsigned(F.xxhash64(n), 32)), DIGITS, "0") for n in names]
-    return F.when(F.col(names[0]).isNull(), F.lit("")).otherwise(F.concat(*parts))
+    """Hashes of the least ranks, as bytes; none where there was no term."""
+    parts = [F.lpad(F.hex(F.shiftrightunsigned(F.xxhash64(n), 32)), 2 * WIDTH, "0") for n in names]
+    return F.unhex(F.when(F.col(names[0]).isNull(), F.lit("")).otherwise(F.concat(*parts)))
 
 
 def likeness(one: Column, two: Column, samples: int = SAMPLES) -> Column:
     """Share of samples in common; 1 for two texts without a word, 0 if one has none."""
-    part = lambda c, k: F.substring(c, DIGITS * k + 1, DIGITS)
+    part = lambda c, k: F.substring(c, WIDTH * k + 1, WIDTH)
     same = reduce(lambda a, b: a + b, [F.when(part(one, k) == part(two, k), 1.0).otherwise(0.0) for k in range(samples)])
-    return F.when((one == "") | (two == ""), F.when(one == two, 1.0).otherwise(0.0)).otherwise(same / float(samples))
+    none = lambda c: F.length(c) == 0
+    return F.when(none(one) | none(two), F.when(one == two, 1.0).otherwise(0.0)).otherwise(same / float(samples))
 
 
 def _words(text: Column) -> Column:
@@ -73,20 +75,20 @@ def signatures(rows: DataFrame, key: list[str], pieces: list[tuple[Column, bool,
 
 
 def following(ids: DataFrame) -> DataFrame:
-    """Distinct (doc_id, h, n) with (next_id, next_h): the next in order of doc_id and h, after the last the first.
+    """Distinct (doc_id, h, n) with their number of rows and (next_id, next_h): the next in order of doc_id and h, after the last the first.
 
     Rows are dealt by ranges; what follows a range's last row is the first row of the
     next range that has one.
     """
     spark = ids.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = saved(ids.distinct().repartitionByRange(n, "doc_id", "h").withColumn("range", F.spark_partition_id()))
+    dealt = saved(ids.groupBy("doc_id", "h", "n").agg(F.count(F.lit(1)).alias("copies")).repartitionByRange(n, "doc_id", "h").withColumn("range", F.spark_partition_id()))
     order = Window.orderBy("range")
     firsts = dealt.groupBy("range").agg(F.min(F.struct("doc_id", "h")).alias("first"))
     # As many rows as ranges.
     after = firsts.select("range", F.coalesce(F.lead("first").over(order), F.first("first").over(order)).alias("after"))
     here = F.lead(F.struct("doc_id", "h")).over(Window.partitionBy("range").orderBy("doc_id", "h"))
-    return dealt.withColumn("here", here).join(F.broadcast(after), "range").withColumn("next", F.coalesce("here", "after")).select("doc_id", "h", "n", F.col("next.doc_id").alias("next_id"), F.col("next.h").alias("next_h"))
+    return dealt.withColumn("here", here).join(F.broadcast(after), "range").withColumn("next", F.coalesce("here", "after")).select("doc_id", "h", "n", "copies", F.col("next.doc_id").alias("next_id"), F.col("next.h").alias("next_h"))
 
 
 def fingerprints(docs: DataFrame, samples: int = SAMPLES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -109,7 +111,8 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES, doc_id: str = "doc_id"
     # Small partitions: the table of a partition's words is to stay in memory.
     held = plain.repartition(parts, "doc_id", "h")
     wanted = pairs.select(F.col("next_id").alias("doc_id"), F.col("next_h").alias("h"), F.col("doc_id").alias("for_id"), F.col("h").alias("for_h"), F.expr("n div 2").cast("int").alias("half"))
-    one = held.dropDuplicates(["doc_id", "h"])
+    # Joins sort by the same columns, so this needs no sort of its own.
+    one = held.withColumn("again", F.row_number().over(Window.partitionBy("doc_id", "h").orderBy("doc_id"))).filter("again = 1").drop("again")
     heads = wanted.repartition(parts, "doc_id", "h").hint("merge").join(one, ["doc_id", "h"]).select(F.col("for_id").alias("doc_id"), F.col("for_h").alias("h"), "half", F.expr("substring(text, 1, half)").alias("head"))
     edits = (
         heads.repartition(parts, "doc_id", "h").hint("merge").join(one, ["doc_id", "h"])
@@ -122,18 +125,20 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES, doc_id: str = "doc_id"
     pieces = [(F.expr("substring(text, 1, cut)"), True, True), (F.expr("substring(text, cut + 1, char_length(text))"), True, False), (F.expr("substring(edited, cut + 1, char_length(edited))"), False, True)]
     prints = signatures(both, ["doc_id", "h"], pieces, samples)
     shas = both.select("doc_id", "h", "edited_sha256")
-    known = saved(shas.join(prints, ["doc_id", "h"], "left").select("doc_id", "h", "edited_sha256", *[F.coalesce(c, F.lit("")).alias(c) for c in ("fingerprint", "edited_fingerprint")]))
+    none = F.unhex(F.lit(""))
+    mine, other = F.coalesce("fingerprint", none), F.coalesce("edited_fingerprint", none)
+    known = saved(shas.join(prints, ["doc_id", "h"], "left").select("doc_id", "h", F.unhex("edited_sha256").alias("sha"), mine.alias("fingerprint"), other.alias("edited_fingerprint"), likeness(mine, other, samples).alias("near_edited")))
     after = known.select(F.col("doc_id").alias("next_id"), F.col("h").alias("next_h"), F.col("fingerprint").alias("next_fingerprint"))
     whole = pairs.join(known, ["doc_id", "h"]).join(after, ["next_id", "next_h"])
-    rows = plain.select("doc_id", "h").join(whole, ["doc_id", "h"])
+    rows = whole.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     show = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).alias(c)
     return rows.select(
         show("doc_id"),
         F.col("n").alias("n_chars"),
-        "edited_sha256",
-        "fingerprint",
-        "edited_fingerprint",
-        likeness(F.col("fingerprint"), F.col("edited_fingerprint"), samples).alias("near_edited"),
+        F.lower(F.hex("sha")).alias("edited_sha256"),
+        F.hex("fingerprint").alias("fingerprint"),
+        F.hex("edited_fingerprint").alias("edited_fingerprint"),
+        "near_edited",
         likeness(F.col("fingerprint"), F.col("next_fingerprint"), samples).alias("near_next"),
         show("next_id"),
     )
