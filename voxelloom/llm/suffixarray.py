@@ -8,8 +8,9 @@ entries that are there already pass on their predecessors at once, and entries
 that fall into the same bucket (runs of one character) form the next step, so a
 round takes as many steps as there are characters and run lengths.
 
-The string of names has too many characters for bucket-wise steps; its suffixes
-are ranked by doubling, which takes few rounds where repeats are short.
+The string of names is sorted in the same way, recursively, as long as it has few
+names, since a round takes steps for each.  Where it has more than NAMES, its
+suffixes are ranked by doubling, which takes few rounds where repeats are short.
 """
 
 from __future__ import annotations
@@ -17,6 +18,10 @@ from __future__ import annotations
 import numpy as np
 
 
+#: Names up to which a string of them is sorted recursively.
+NAMES = 1024
+
+
 def _deal(sa: np.ndarray, place: np.ndarray, items: np.ndarray, chars: np.ndarray, step: int) -> None:
     """Put items, in order, at their characters' next free places, which move by ``step``."""
     if not len(items):
@@ -94,7 +99,7 @@ def _ranked(names: np.ndarray) -> np.ndarray:
         step *= 2
 
 
-def suffix_array(symbols: np.ndarray) -> np.ndarray:
+def suffix_array(symbols: np.ndarray, most_names: int = NAMES) -> np.ndarray:
     """Suffix array (int32) of non-negative small integers; a suffix that is a prefix of another comes first."""
     n = len(symbols) + 1
     text = np.zeros(n, np.uint16 if not len(symbols) or symbols.max() < 65535 else np.int64)
@@ -124,7 +129,10 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
         names = np.empty(n, np.int64)
         names[order] = name
         names = names[lms]
-        lms = lms[_ranked(names)] if name[-1] < len(lms) - 1 else order.astype(np.int64)
+        if name[-1] == len(lms) - 1:
+            lms = order.astype(np.int64)
+        else:
+            lms = lms[suffix_array(names, most_names) if name[-1] < most_names else _ranked(names)]
         sa = _induce(text, is_s, heads, tails, lms)
     return sa[1:]
 
