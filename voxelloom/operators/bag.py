@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from voxelloom.functions.pointwise import bin_index
 from voxelloom.functions.strings import six_digits
 from voxelloom.operators.histogram import histogram_by_spec
+from voxelloom.operators.prefix import prefix_sums
 from voxelloom.operators.roi import STARTS, box_histograms, candidates, roi_voxels
 
 
@@ -70,11 +71,10 @@ def assembled(bags: DataFrame, labels: DataFrame | None = None, instance_labels:
 
     Bags without a label have null; instances without one 0.
     """
-    names = bags.groupBy("bag").agg(F.count(F.lit(1)).alias("n_instances")).withColumn("bag_idx", (F.row_number().over(Window.orderBy("bag")) - 1).cast("long"))
-    before = F.coalesce(F.sum("n_instances").over(Window.orderBy("bag_idx").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    names = names.withColumn("first", before)
+    counted = bags.groupBy("bag").agg(F.count(F.lit(1)).alias("n_instances"))
+    names = prefix_sums(counted, ["bag"], {"bag_idx": F.lit(1).cast("long"), "first": F.col("n_instances")})
     within = F.row_number().over(Window.partitionBy("bag").orderBy("roi_id")) - 1
-    instances = bags.withColumn("within", within).join(F.broadcast(names.select("bag", "bag_idx", "first")), "bag").withColumn("inst_idx", F.col("first") + F.col("within"))
+    instances = bags.withColumn("within", within).join(names.select("bag", "bag_idx", "first"), "bag").withColumn("inst_idx", F.col("first") + F.col("within"))
     instances = instances.join(instance_labels, ["bag", "roi_id"], "left") if instance_labels is not None else instances.withColumn("label", F.lit(0.0))
     known = names.join(labels, "bag", "left") if labels is not None else names.withColumn("label", F.lit(None).cast("double"))
     return instances.select("bag_idx", "inst_idx", "features", F.coalesce(F.col("label").cast("double"), F.lit(0.0)).alias("label")), known.select("bag_idx", "bag", "n_instances", "label")

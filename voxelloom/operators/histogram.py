@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelloom.functions.pointwise import bin_index, bin_index_of
+from voxelloom.operators.prefix import prefix_sums
 from voxelloom.plans.saving import saved
 
 #: Distinct values of one group that a single task may hold; beyond, edges are found step by step over the whole table.
@@ -164,6 +165,12 @@ def walked_edges(counts: DataFrame, n_bins: int, group: str, value: str, on_over
 
 
 def distinct_edges(rows: DataFrame, n_bins: int, value: str) -> DataFrame:
-    """Edges of values without ties: the first value of each n-tile but the first."""
-    ranked = rows.select(value, F.ntile(n_bins).over(Window.orderBy(value)).alias("tile"))
-    return ranked.groupBy("tile").agg(F.min(value).alias("edge")).filter("tile > 1").select((F.col("tile") - 2).alias("edge_idx"), "edge")
+    """Edges of values without ties: the first value of each n-tile but the first, found by its rank."""
+    counts = rows.groupBy(value).agg(F.count(F.lit(1)).alias("n"))
+    ranked = prefix_sums(counts, [value], {"lo": F.col("n")})
+    total = counts.agg(F.sum("n").alias("total"))
+    share, rest = F.expr(f"total div {n_bins}"), F.col("total") % n_bins
+    wanted = total.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(n_bins - 1)))).withColumn("rank", F.col("k") * share + F.least(F.col("k"), rest))
+    # As many ranks as edges.
+    found = ranked.join(F.broadcast(wanted), (F.col("lo") <= F.col("rank")) & (F.col("rank") < F.col("lo") + F.col("n")))
+    return found.select((F.col("k") - 1).cast("int").alias("edge_idx"), F.col(value).alias("edge"))

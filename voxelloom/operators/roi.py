@@ -22,21 +22,26 @@ def candidates(voxels: DataFrame, box: tuple[int, int, int], size: tuple[int, in
     return rows.filter(fits[0] & fits[1] & fits[2])
 
 
-def _numbered(rows: DataFrame, order: list[Column], size: tuple[int, int, int] | None = None) -> DataFrame:
-    return rows.withColumn("roi_id", (F.row_number().over(Window.partitionBy("volume_id").orderBy(*order)) - 1).cast("long")).select("volume_id", "roi_id", *STARTS, *SIZES)
+def in_raster_order(rows: DataFrame, name: str) -> DataFrame:
+    """Rows numbered from 0 in each volume's raster order: within slices, after the slices before."""
+    counts = rows.groupBy("volume_id", "z").agg(F.count(F.lit(1)).alias("_count"))
+    before = F.coalesce(F.sum("_count").over(Window.partitionBy("volume_id").orderBy("z").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("volume_id", "z", before.alias("_start"))
+    within = F.row_number().over(Window.partitionBy("volume_id", "z").orderBy("y", "x")) - 1
+    return rows.withColumn("_within", within).join(starts, ["volume_id", "z"]).withColumn(name, (F.col("_start") + F.col("_within")).cast("long")).drop("_start", "_within")
 
 
 def dense_rois(voxels: DataFrame, box: tuple[int, int, int], size: tuple[int, int, int], mask: str = "m", by_place: bool = False) -> DataFrame:
     """A box for every voxel in the mask that has room, numbered in raster order.
 
     ``by_place`` numbers a box by its voxel's raster place instead of by rank, which
-    needs no sort.
+    needs neither sort nor shuffle.
     """
     found = candidates(voxels, box, size, F.col(mask) != 0)
     if by_place:
         place = (F.col("z") * size[1] + F.col("y")) * size[0] + F.col("x")
         return found.withColumn("roi_id", place).select("volume_id", "roi_id", *STARTS, *SIZES)
-    return _numbered(found, [F.col("z"), F.col("y"), F.col("x")])
+    return in_raster_order(found, "roi_id").select("volume_id", "roi_id", *STARTS, *SIZES)
 
 
 def place_hash(seed: int) -> Column:
@@ -60,9 +65,9 @@ def random_rois(voxels: DataFrame, n: int, box: tuple[int, int, int], size: tupl
 def random_rois_again(voxels: DataFrame, n: int, box: tuple[int, int, int], size: tuple[int, int, int], mask: str = "m", seed: int = 1) -> DataFrame:
     """n boxes of each volume, drawn with putting back: the i-th takes the candidate whose rank a hash of i names."""
     rows = candidates(voxels, box, size, F.col(mask) != 0)
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("volume_id").orderBy("z", "y", "x")) - 1)
+    ranked = in_raster_order(rows, "rank")
     count = rows.groupBy("volume_id").agg(F.count(F.lit(1)).alias("count"))
-    asked = count.withColumn("roi_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))).withColumn("rank", ((F.col("roi_id") * 48271 + seed * 69621 + 11) * 16807 % 2147483647 % F.col("count")).cast("int"))
+    asked = count.withColumn("roi_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))).withColumn("rank", ((F.col("roi_id") * 48271 + seed * 69621 + 11) * 16807 % 2147483647 % F.col("count")).cast("long"))
     return asked.join(ranked, ["volume_id", "rank"]).select("volume_id", "roi_id", *STARTS, *SIZES)
 
 
