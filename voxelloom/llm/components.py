@@ -5,22 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelloom.llm.shared import checkpointed
+from voxelloom.llm.shared import checkpointed, join_groups
 
 
-def _nearest(links: DataFrame) -> DataFrame:
-    """(u, v) -> each u's smallest neighbour or itself, beside all its neighbours; summed before the shuffle."""
-    least = links.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return links.join(least.hint("merge"), "u")
+def _nearest(links: DataFrame, most: int) -> DataFrame:
+    """(u, v) -> each u's smallest neighbour or itself, beside all its neighbours; there are up to ``most`` links.
+
+    Minima are summed before the shuffle, and those of the few largest nodes are
+    broadcast.
+    """
+    least = links.groupBy("u").agg(F.min("v").alias("v"), F.count(F.lit(1)).alias("degree")).select("u", F.least("v", "u").alias("m"), "degree")
+    return join_groups(links, least, "u", "degree", most, "v").drop("degree")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(a, b) -> (node, label): label is the smallest node of the component; nodes are longs.
 
     Large-star and small-star steps take turns until the edges are the star of each
-    component.  No step gathers a node's neighbours: minima are summed before the
-    shuffle, and a node with very many neighbours is a large key of a sort-merge
-    join, which adaptive execution splits.  Edges of a node to itself make it a
+    component.  No step gathers a node's neighbours, and a node with very many of them
+    is spread over the join that tells them the smallest.  Edges of a node to itself make it a
     component of its own; an empty table gives no rows.
     """
     alone = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -32,7 +35,7 @@ def components(edges: DataFrame) -> DataFrame:
             break
         before = now
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _nearest(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        small = _nearest(large)
+        large = _nearest(both, 2 * now[0]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        small = _nearest(large, 2 * now[0])
         e = checkpointed(small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.*").filter("u <> v").distinct())
     return alone.join(e.select(F.col("u").alias("node"), F.col("v").alias("label")).hint("merge"), "node", "left").select("node", F.coalesce("label", "node").alias("label"))

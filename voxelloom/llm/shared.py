@@ -44,6 +44,8 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     most = max(total // 1000, 1)
     names = [c for c in groups.columns if c != key]
     hot = F.broadcast(groups.filter(F.col(size) > most).select(F.col(key).alias("hot_key"), *[F.col(c).alias(f"hot_{c}") for c in names]))
-    rest = groups.filter(F.col(size) <= most).select(F.col(key), F.lit(-1).cast("long").alias("spread"), *[F.col(c).alias(f"rest_{c}") for c in names])
+    # Not a literal: the optimizer would take it out of the join's keys, and all rows of a key would meet again.
+    nowhere = F.when(F.col(size) >= 0, F.lit(-1).cast("long")).alias("spread")
+    rest = groups.filter(F.col(size) <= most).select(F.col(key), nowhere, *[F.col(c).alias(f"rest_{c}") for c in names])
     found = rows.join(hot, rows[key] == F.col("hot_key"), "left").withColumn("spread", F.when(F.col("hot_key").isNotNull(), F.pmod(F.xxhash64(item), F.lit(1 << 20))).otherwise(F.lit(-1).cast("long")))
     return found.join(rest.hint("merge"), [key, "spread"], "left").select(*[F.col(c) for c in rows.columns], *[F.coalesce(f"hot_{c}", f"rest_{c}").alias(c) for c in names], *[F.col("spread")] * with_spread)
