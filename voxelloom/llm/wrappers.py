@@ -56,6 +56,8 @@ LEFT_OUT_WORDS = frozenset(
 )
 ARTICLE_WORDS = frozenset("article articlebody article-body article-content post post-content post-body postbody entry entry-content story story-body storybody main-content maincontent body-content page-content content main text".split())
 
+NEGATIONS = frozenset("no not non has have with without is".split())
+
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|([^<]+|<)""", re.S)
 _NAMED = re.compile(r"</?[a-zA-Z]")
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
@@ -86,11 +88,19 @@ class Element:
                 elif name == "hidden" or value == "true":
                     self.left_out = True
             words = [w.strip("-_") for w in words]
-            self.left_out |= any(w in LEFT_OUT_WORDS or any(p in LEFT_OUT_WORDS for p in re.split(r"[-_]", w)) and w not in ARTICLE_WORDS for w in words) and tag not in ("body", "html", "article", "main")
+            self.left_out |= tag not in ("body", "html", "article", "main") and any(_is_left_out(w) for w in words)
             self.marked |= article or any(w in ARTICLE_WORDS for w in words)
             self.key = ".".join([tag, *sorted(set(words))][:4])
 
 
+def _is_left_out(word: str) -> bool:
+    """Whether a class or id names what is no part of an article, whole or in one of its parts; "no-sidebar" and the like don't."""
+    if word in LEFT_OUT_WORDS or word in ARTICLE_WORDS:
+        return word in LEFT_OUT_WORDS
+    parts = re.split(r"[-_]+", word)
+    return parts[0] not in NEGATIONS and any(p in LEFT_OUT_WORDS for p in parts)
+
+
 def parse(page: str) -> Element:
     """Balanced tree of a page; texts are strings among the children."""
     root = Element("#page", "", 0, False)
