@@ -5,9 +5,9 @@ meet in one: a string goes where the smallest hash among its GRAM-byte pieces
 (its anchor) sends it, and strings of one document that follow each other and
 have one anchor travel as one segment.  Anchors of a single document are
 dropped first, and equal segments travel once per block.  Of each shard's
-distinct segments a suffix array is induced; neighbours whose common prefix is
-``length`` or more are copies of one string, whose smallest doc_id goes back to
-the blocks.
+distinct segments, but for those that are their anchor's only one, a suffix array
+is induced; neighbours whose common prefix is ``length`` or more are copies of one
+string, whose smallest doc_id goes back to the blocks.
 """
 
 from __future__ import annotations
@@ -201,8 +201,15 @@ def _sorted_shard(length: int):
         start = np.cumsum(size) - size
         keys, one, least, _ = tc.extremes(key, low)
         start, size = start[one], size[one]
-        value = np.concatenate([_earliest(data, start[s], size[s], least[s], length) for s in _shards(keys, size)])
         windows = size - length + 1
+        # Where an anchor has one segment, all that hold it have the same strings, and there is nothing to sort.
+        group = tc.runs(keys >> tc.U64(64 - ANCHOR_BITS))
+        members = np.diff(np.append(group, len(keys)))
+        several = np.repeat(members > 1, members)
+        value = np.repeat(least, windows)
+        k, b, z, m = keys[several], start[several], size[several], least[several]
+        if len(k):
+            value[np.repeat(several, windows)] = np.concatenate([_earliest(data, b[s], z[s], m[s], length) for s in _shards(k, z)])
         begin = np.cumsum(windows) - windows
         lowest = np.minimum.reduceat(value, begin)
         out = []
