@@ -7,36 +7,58 @@ columns of ``documents``; the last returns each document's ids.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
 from voxelloom.llm import digests, langid, mixing, nearjoin, unigram
 from voxelloom.llm.shared import saved
+from voxelloom.shipping import shipped
 
 #: A document goes if its likeliest language is less likely than this.
 LEAST_SCORE = 0.3
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _shipping(stage: Stage) -> Stage:
+    """Executors get the sources first."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        shipped(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+@_shipping
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text is null or has no letter go, and those of which no known language is likely."""
     return langid.identified_rows(docs, LEAST_SCORE)
 
 
+@_shipping
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts equal but for the case of A-Z, the row with the largest doc_id stays."""
     return digests.kept_rows(docs, digests.DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}"))
 
 
+@_shipping
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by a similarity of 0.8 or more on five-word shingles, the one with the smallest doc_id stays."""
     return nearjoin.first_rows(docs)
 
 
+@_shipping
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them; the one at each source's cut is shortened to meet the budget."""
     return mixing.mixed_rows(docs)
 
 
+@_shipping
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of every document."""
     return unigram.op8_sentencepiece(docs)

@@ -3,12 +3,13 @@
 Counts of n-grams are quantised to levels, 1 + floor(log2(count)), and an n-gram
 of level q is put into a Bloom filter q times, as (n-gram, 1) .. (n-gram, q).  A
 count is read back by probing level 1, 2 .. until one is missing; errors are one
-sided and halve in number with each level.  Probabilities are smoothed towards
-lower orders with a Dirichlet prior,
+sided and halve in number with each level.  Probabilities are interpolated,
 
-    P(w | h) = (c(hw) + G * P(w | h')) / (max(c(h), c(hw)) + G),
+    P(w | h) = a * c(hw) / c(h) + (1 - a) * P(w | h'),
 
-down to the word's add-one probability, so a text costs a few probes a word.
+down to the word's add-one probability, so a text costs a few probes a word.  The
+weight a depends on the order and on the level of c(h); it is fitted by expectation
+maximisation on training texts, whose own counts are left out.
 
 The filter is built in pieces by hash bucket, each sized for the n-grams it has.
 Pieces of at most ``broadcast_bytes`` together are broadcast to the workers.  A
@@ -30,10 +31,11 @@ from voxelloom.llm import textcore as tc
 from voxelloom.llm.shared import saved
 
 ORDER = 3
-#: Weight of the lower order, in counts.
-PRIOR = 2.0
-#: Hash functions a level, and bits for each of them; together an error rate of 1/32 at the first level.
-PROBES, BITS_PER_PROBE = 5, 1.45
+#: Tokens, about, of the training texts on which the interpolation weights are fitted, and rounds of fitting.
+FIT_TOKENS, FIT_ROUNDS = 1_000_000, 40
+LEVELS = 65
+#: Bits that a level of an n-gram sets, all in one 64-bit word, and bits of filter for each level: an error rate of about 1/50.
+PROBES, BITS = 5, 10.0
 #: A filter of up to this size is broadcast.
 BROADCAST_BYTES = 256 << 20
 #: Parts in which the driver gathers it.
@@ -69,12 +71,16 @@ def _tokens(texts: tc.Texts) -> tuple[np.ndarray, np.ndarray]:
 
 def _ngram(h: np.ndarray, off: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the n-grams within one text, and the place of each one's last token."""
+    if order == 1:
+        return _cut(h), np.arange(len(h))
     full = tc.rolling(h, order)
     left = (off[1:][tc.owner(off)] - np.arange(len(h)))[: len(full)]
     at = np.flatnonzero(left >= order)
-    value = full[at]
-    value = (value >> tc.U64(64 - NGRAM_BITS)) << tc.U64(64 - NGRAM_BITS)
-    return value, at + order - 1
+    return _cut(full[at]), at + order - 1
+
+
+def _cut(value: np.ndarray) -> np.ndarray:
+    return (value >> tc.U64(64 - NGRAM_BITS)) << tc.U64(64 - NGRAM_BITS)
 
 
 def _summed(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -121,39 +127,42 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return value[order][first], np.add.reduceat(count[order], first)
 
 
-def _places(value: np.ndarray, level: int, probe: int, bits: np.ndarray | int) -> np.ndarray:
-    x = tc.mix(value + tc.U64((level * PROBES + probe + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
-    return (x >> tc.U64(32)) * np.asarray(bits, tc.U64) >> tc.U64(32)
+def _places(value: np.ndarray, level: int, words: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+    """The word of each (n-gram, level), and the bits in it."""
+    x = tc.mix(value + tc.U64((level + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+    at = ((x >> tc.U64(32)) * np.asarray(words, tc.U64) >> tc.U64(32)).astype(np.int64)
+    bits = np.zeros(len(x), tc.U64)
+    for p in range(PROBES):
+        bits |= tc.U64(1) << ((x >> tc.U64(6 * p)) & tc.U64(63))
+    return at, bits
 
 
 def filter_piece(value: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """Bit array, as bytes, of these n-grams' levels."""
+    """The filter's words for these n-grams' levels."""
     level = np.frexp(count.astype(np.float64))[1]
-    bits = max(64, 8 * math.ceil(level.sum() * PROBES * BITS_PER_PROBE / 8))
-    out = np.zeros(bits, bool)
+    out = np.zeros(max(1, math.ceil(level.sum() * BITS / 64)), tc.U64)
     for q in range(1, int(level.max(initial=0)) + 1):
-        at = value[level >= q]
-        for p in range(PROBES):
-            out[_places(at, q, p, bits)] = True
-    return np.packbits(out, bitorder="little")
+        at, bits = _places(value[level >= q], q, len(out))
+        np.bitwise_or.at(out, at, bits)
+    return out
 
 
 def _piece(table: pa.Table) -> pa.Table:
     by: dict[int, list] = {}
     for kind, hashes, counts in zip(*(table.column(c).to_pylist() for c in ("kind", "hashes", "counts")), strict=True):
         by.setdefault(kind, []).append((tc.unpack(hashes), tc.restored(counts, np.uint32).astype(np.int64)))
-    _, tokens = _merged(by.pop(1, []))
-    value, count = _merged([x for kind in by.values() for x in kind])
+    words, tokens = _merged(by.pop(1, []))
+    value, count = _merged([(_cut(words), tokens), *[x for kind in by.values() for x in kind]])
     row = [table.column("bucket")[0].as_py(), int(tokens.sum()), len(tokens), len(value), filter_piece(value, count).tobytes()]
     return pa.Table.from_arrays([pa.array([x], f.type) for x, f in zip(row, PIECE_ARROW, strict=True)], schema=PIECE_ARROW)
 
 
 class Filter:
-    """Pieces of buckets: bits end to end, with each bucket's place and size in bits."""
+    """Pieces of buckets end to end, with each bucket's place and size in words."""
 
     def __init__(self, n: int, sizes: dict[int, int], data: bytes | bytearray):
         self.n, self.data = n, data
-        size = np.array([8 * sizes.get(b, 0) for b in range(n)], np.int64)
+        size = np.array([sizes.get(b, 0) // 8 for b in range(n)], np.int64)
         self.begin, self.size = np.cumsum(size) - size, size
 
     def levels(self, value: np.ndarray) -> np.ndarray:
@@ -161,15 +170,14 @@ class Filter:
         level = np.zeros(len(value), np.uint8)
         if not self.data or not len(value):
             return level
-        data = np.frombuffer(self.data, np.uint8)
+        words = np.frombuffer(self.data, tc.U64)
         bucket = ((value >> tc.U64(32)) * tc.U64(self.n) >> tc.U64(32)).astype(np.int64)
         left = np.flatnonzero(self.size[bucket] > 0)
         q = 1
         while len(left):
-            for p in range(PROBES):
-                b = bucket[left]
-                bit = _places(value[left], q, p, self.size[b]).astype(np.int64) + self.begin[b]
-                left = left[(data[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 > 0]
+            b = bucket[left]
+            at, bits = _places(value[left], q, self.size[b])
+            left = left[(words[at + self.begin[b]] & bits) == bits]
             level[left] = q
             q += 1
         return level
@@ -211,18 +219,18 @@ def train(texts: DataFrame, order: int = ORDER, text: str = "text") -> Model:
     return Model(order, sum(sizes["tokens"]), sum(sizes["types"]), n, pieces, dict(zip(sizes["bucket"], sizes["bytes"], strict=True)))
 
 
-def _probe_values(h: np.ndarray, off: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    return [_ngram(h, off, k) for k in range(2, order + 1)]
+def _probe_values(h: np.ndarray, off: np.ndarray, order: int, least: int = 2) -> list[tuple[np.ndarray, np.ndarray]]:
+    return [_ngram(h, off, k) for k in range(least, order + 1)]
 
 
-def _asked(order: int, n: int):
+def _asked(order: int, n: int, least: int = 2):
     """The distinct n-grams of a block, by bucket."""
 
     def run(table: pa.Table) -> pa.Table:
         texts, parts = tc.Texts.from_arrow(table.column("text")), []
         for lo, hi in texts.chunks():
             h, off = _tokens(texts.rows(lo, hi))
-            parts.append(np.unique(np.concatenate([value for value, _ in _probe_values(h, off, order)])))
+            parts.append(np.unique(np.concatenate([value for value, _ in _probe_values(h, off, order, least)])))
         value, block = np.unique(np.concatenate(parts)), bl.block_of(table)
         return bl.letters([(b, block, tc.pack(value[s]), b"") for b, s in tc.by_bucket(value, n)])
 
@@ -289,11 +297,66 @@ def _totals(table: pa.Table) -> pa.Table:
     return bl.letters([(bucket, block, tc.pack(h), tc.transposed(count[np.searchsorted(value, h)])) for block, h, _ in got])
 
 
+def _bounded(held, value: np.ndarray, at: np.ndarray, below: np.ndarray) -> np.ndarray:
+    """Levels of n-grams by the place of their last token, no higher than those of the shorter ones in them, which most errors contradict."""
+    most = np.minimum(below[at], below[at - 1])
+    value, at, most = value[most > 0], at[most > 0], most[most > 0]
+    level = np.zeros(len(below), np.uint8)
+    level[at] = np.minimum(most, held.levels(value))
+    return level
+
+
+def _observed(order: int, tokens: int, types: int):
+    """Of a block of training texts, each token with its own counts left out: the word's probability, and for each order the level of c(h) and c(hw) / c(h)."""
+
+    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        held, texts, parts = _Answers(answers), tc.Texts.from_arrow(docs.column("text")), []
+        for lo, hi in texts.chunks() if docs.num_rows else ():
+            h, off = _tokens(texts.rows(lo, hi))
+            below = held.levels(_cut(h))
+            seen = np.zeros((2 * order - 1, len(h)), np.float32)
+            seen[0] = np.maximum(estimated(below), 1.0) / (tokens + types + 1.0)
+            for k, (value, at) in enumerate(_probe_values(h, off, order)):
+                level = _bounded(held, value, at, below)
+                context = np.where(below[at - 1] == 2, 1, below[at - 1]) * (below[at - 1] > 1)
+                count = np.maximum(estimated(level[at]) - 1.0, 0.0) * (level[at] > 1)
+                seen[2 * k + 1, at] = context
+                seen[2 * k + 2, at] = np.minimum(1.0, count / np.maximum(estimated(below[at - 1]) - 1.0, 1.0))
+                below = level
+            parts.append(seen)
+        whole = np.concatenate(parts, axis=1) if parts else np.zeros((2 * order - 1, 0), np.float32)
+        return pa.table({"seen": pa.array([whole.tobytes()], pa.binary())})
+
+    return run
+
+
+def fitted_weights(seen: np.ndarray, order: int, rounds: int = FIT_ROUNDS) -> np.ndarray:
+    """Weights by order and level of c(h), likeliest for what was observed; a level without observations takes its neighbour's."""
+    out = np.zeros((order - 1, LEVELS))
+    below = np.maximum(seen[0].astype(float), 1e-12)
+    for k in range(order - 1):
+        level, ratio = seen[2 * k + 1].astype(int), seen[2 * k + 2].astype(float)
+        a = np.full(LEVELS, 0.5)
+        n = np.bincount(level, minlength=LEVELS)
+        for _ in range(rounds):
+            up = a[level] * ratio
+            share = np.bincount(level, up / np.maximum(up + (1 - a[level]) * below, 1e-300), minlength=LEVELS)
+            # As if each level had been observed once more on either side.
+            a = (share + 0.01) / (n + 1.0)
+        a[0] = 0.0
+        known = np.flatnonzero(n[1:] > 0) + 1
+        if len(known):
+            a[1:] = np.interp(np.arange(1, LEVELS), known, a[known])
+        out[k] = a
+        below = a[level] * ratio + (1 - a[level]) * below
+    return out
+
+
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 SCORES_ARROW = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
-def _scored(order: int, tokens: int, types: int, prior: float, broadcast):
+def _scored(order: int, tokens: int, types: int, weights: np.ndarray, broadcast):
     def run(docs: pa.Table, words: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return SCORES_ARROW.empty_table()
@@ -313,18 +376,12 @@ def _scored(order: int, tokens: int, types: int, prior: float, broadcast):
             p = (count + 1.0) / (tokens + types + 1.0)
             # Of the order before, by the place of its last token: count and level.
             context, below = count.astype(np.float64), np.frexp(count.astype(np.float64))[1].astype(np.uint8)
-            for value, at_all in _probe_values(h, off, order):
-                at = at_all
-                # An n-gram is no more frequent than either of the shorter ones in it, which most errors contradict.
-                most = np.minimum(below[at], below[at - 1])
-                value, at, most = value[most > 0], at[most > 0], most[most > 0]
-                level = np.zeros(len(h), np.uint8)
-                level[at] = np.minimum(most, held.levels(value))
-                c = estimated(level)
-                at = at_all
-                q = p[at]
-                p[at] = (c[at] + prior * q) / (np.maximum(context[at - 1], c[at]) + prior)
-                context, below = c, level
+            for k, (value, at) in enumerate(_probe_values(h, off, order)):
+                level = _bounded(held, value, at, below)
+                count_before = context[at - 1]
+                a = weights[k][below[at - 1]]
+                p[at] = a * np.minimum(1.0, estimated(level[at]) / np.maximum(count_before, 1.0)) + (1 - a) * p[at]
+                context, below = estimated(level), level
             cut = off[:-1]
             for col, x in zip(cols, (np.diff(off), np.add.reduceat((count > 0).astype(np.int64), cut), np.add.reduceat(base, cut), np.add.reduceat(np.log10(p), cut)), strict=True):
                 col.append(x)
@@ -335,14 +392,27 @@ def _scored(order: int, tokens: int, types: int, prior: float, broadcast):
     return run
 
 
-def score(docs: DataFrame, held_out, order: int = ORDER, prior: float = PRIOR, broadcast_bytes: int = BROADCAST_BYTES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def fit(model: Model, texts: DataFrame, fit_tokens: int = FIT_TOKENS, text: str = "text") -> np.ndarray:
+    """Interpolation weights from training texts drawn by hash, of about ``fit_tokens`` tokens; the filter is probed where its pieces are."""
+    n = model.buckets
+    share = min(1.0, fit_tokens / max(model.tokens, 1))
+    drawn = texts.select(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text")).withColumn("draw", F.xxhash64("text", F.lit(1))).filter(F.pmod("draw", F.lit(1 << 30)) < share * (1 << 30))
+    held = drawn.select("text", F.pmod("draw", F.lit(n)).cast("int").alias("block")).repartition(bl.partitions(texts.sparkSession), "block")
+    asked = held.groupBy("block").applyInArrow(_asked(model.order, n, 1), bl.LETTER)
+    answers = asked.groupBy("bucket").cogroup(model.pieces.select("bucket", "filter").groupBy("bucket")).applyInArrow(_answered(n), bl.LETTER)
+    seen = held.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_observed(model.order, model.tokens, model.types), "seen binary").toArrow()
+    parts = [np.frombuffer(x, np.float32).reshape(2 * model.order - 1, -1) for x in seen.column("seen").to_pylist()]
+    return fitted_weights(np.concatenate(parts, axis=1) if parts else np.zeros((2 * model.order - 1, 0), np.float32), model.order)
+
+
+def score(docs: DataFrame, held_out, order: int = ORDER, weights: np.ndarray | None = None, broadcast_bytes: int = BROADCAST_BYTES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Train on the rows for which ``held_out`` is not true and score all rows.
 
     Texts are lower-cased in A-Z only; tokens are runs without white space, then one
     end.  One row per input row: doc_id, held_out, n_tokens, n_known (tokens that
     training has), base_score (sum of log10 of add-one word probabilities, from
     exact counts over all training rows), score (log10 probability under the
-    n-gram model), train_tokens, train_types.
+    n-gram model), train_tokens, train_types.  ``weights`` are fitted unless given.
 
     Null and empty texts are one end token.  Where no row trains, every probability
     is that of an empty corpus.  Null ids are allowed; repeated rows are counted
@@ -352,6 +422,8 @@ def score(docs: DataFrame, held_out, order: int = ORDER, prior: float = PRIOR, b
     n = bl.block_count(spark)
     flagged = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     model = train(flagged.filter(~F.col("held_out")), order)
+    if weights is None:
+        weights = fit(model, flagged.filter(~F.col("held_out")))
     held = flagged.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")).withColumn("doc_id", F.coalesce("doc_id", F.lit(bl.NO_ID))).repartition(bl.partitions(spark), "block")
     told = held.groupBy("block").applyInArrow(_told(n), bl.LETTER)
     answers = told.groupBy("bucket").applyInArrow(_totals, bl.LETTER)
@@ -361,7 +433,7 @@ def score(docs: DataFrame, held_out, order: int = ORDER, prior: float = PRIOR, b
     else:
         asked = held.groupBy("block").applyInArrow(_asked(order, n), bl.LETTER)
         answers = answers.unionByName(asked.groupBy("bucket").cogroup(model.pieces.select("bucket", "filter").groupBy("bucket")).applyInArrow(_answered(n), bl.LETTER))
-    out = held.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scored(order, model.tokens, model.types, prior, broadcast), SCORES)
+    out = held.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scored(order, model.tokens, model.types, weights, broadcast), SCORES)
     return out.withColumn("train_tokens", F.lit(model.tokens).cast("long")).withColumn("train_types", F.lit(model.types).cast("long"))
 
 

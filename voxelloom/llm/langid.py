@@ -24,8 +24,9 @@ from voxelloom.llm import textcore as tc
 
 ORDER, FEATURE_BITS = 3, 16
 FEATURES = 1 << FEATURE_BITS
+GAP = ORDER
 #: Labelled documents that the classifier is fitted on, about; every label gets an equal share, or all it has.
-SAMPLE = 2000
+SAMPLE = 4000
 EPOCHS = 4
 #: Learning rate, its offset, and the weights of the absolute and the squared penalty.
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.002, 0.01
@@ -40,25 +41,29 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
 
 
-def characters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Lower-case letters of all texts as code points, 0 for all else, with a 0 after each text; offsets of the texts."""
+def characters(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-case letters of all texts as code points, 0 for all else; offsets of the texts; places after texts.
+
+    Each text is followed by as many zeros as an n-gram may reach beyond its start.
+    """
     lowered = [t.lower() for t in texts]
-    off = np.concatenate([[0], np.cumsum([len(t) + 1 for t in lowered])]).astype(np.int64)
-    points = np.frombuffer("\n".join([*lowered, ""]).encode("utf-32-le", "surrogatepass"), np.uint32).copy()
+    off = np.concatenate([[0], np.cumsum([len(t) + GAP for t in lowered])]).astype(np.int64)
+    points = np.frombuffer(("\n" * GAP).join([*lowered, ""]).encode("utf-32-le", "surrogatepass"), np.uint32).copy()
     points[~_letters()[points]] = 0
-    return points, off
+    return points, off, (off[1:, None] - np.arange(1, GAP + 1)).ravel()
 
 
-def _grams(points: np.ndarray, order: int):
-    """Feature of the n-gram that starts at each place; those of blanks alone, and those that cross texts, are of blanks at the end."""
-    x = np.zeros(len(points), np.uint32)
+def _grams(points: np.ndarray, gaps: np.ndarray, order: int):
+    """Feature of the n-gram that starts at each place; in the gaps after texts that of blanks."""
+    x, blank = np.zeros(len(points), np.uint32), np.zeros(1, np.uint32)
+    final = lambda v, k: ((v ^ (v >> np.uint32(15)) ^ np.uint32(k * 0x85EBCA6B & 0xFFFFFFFF)) * np.uint32(0x2C1B3C6D)) >> np.uint32(32 - FEATURE_BITS)
     for k in range(order):
         part = np.zeros(len(points), np.uint32)
         part[: len(points) - k] = points[k:]
         x = x * np.uint32(0x01000193) + part * np.uint32(0x9E3779B1)
-        h = x ^ (x >> np.uint32(15)) ^ np.uint32(k * 0x85EBCA6B & 0xFFFFFFFF)
-        h *= np.uint32(0x2C1B3C6D)
-        yield (h >> np.uint32(32 - FEATURE_BITS)).astype(np.int64)
+        f = final(x, k).astype(np.int64)
+        f[gaps] = final(blank, k)[0]
+        yield f
 
 
 def _runs(column, most: int = tc.CHUNK_BYTES):
@@ -78,10 +83,10 @@ def _frequencies(order: int):
         total = np.zeros(FEATURES, np.int64)
         for batch in batches:
             for _, _, texts in _runs(batch.column("text")):
-                points, off = characters(texts)
+                points, off, gaps = characters(texts)
                 doc = tc.owner(off) * FEATURES
                 there = np.zeros(len(texts) * FEATURES, bool)
-                for f in _grams(points, order):
+                for f in _grams(points, gaps, order):
                     there[doc + f] = True
                 total += there.reshape(len(texts), FEATURES).sum(axis=0)
         at = np.flatnonzero(total)
@@ -96,9 +101,9 @@ def _vectors(order: int):
     def run(batches):
         for batch in batches:
             for lo, hi, texts in _runs(batch.column("text")):
-                points, off = characters(texts)
+                points, off, gaps = characters(texts)
                 ids, values = [], []
-                every = list(_grams(points, order))
+                every = list(_grams(points, gaps, order))
                 for i in range(hi - lo):
                     f, n = np.unique(np.concatenate([x[off[i] : off[i + 1]] for x in every]), return_counts=True)
                     ids.append(f.astype(np.int32).tobytes())
@@ -132,10 +137,17 @@ def softmax(z: np.ndarray) -> np.ndarray:
 
 
 def temperature(logits: np.ndarray, labels: np.ndarray) -> float:
-    """The temperature at which the labels are likeliest, by golden section on its logarithm."""
+    """The temperature at which the labels are likeliest, by golden section on its logarithm.
+
+    Labels count as if each class had been seen once more, wrongly, so that a sample
+    without an error doesn't make every score 1.
+    """
     if not len(labels):
         return 1.0
-    loss = lambda t: -np.log(np.maximum(softmax(logits / math.exp(t))[np.arange(len(labels)), labels], 1e-12)).mean()
+    classes = logits.shape[1]
+    target = np.full((len(labels), classes), 1.0 / (len(labels) + classes))
+    target[np.arange(len(labels)), labels] += 1.0 - target.sum(axis=1)
+    loss = lambda t: -(target * np.log(np.maximum(softmax(logits / math.exp(t)), 1e-300))).sum(axis=1).mean()
     lo, hi, g = math.log(0.05), math.log(20.0), (math.sqrt(5) - 1) / 2
     for _ in range(40):
         a, b = hi - g * (hi - lo), lo + g * (hi - lo)
@@ -150,9 +162,9 @@ class Model:
         self.labels, self.table, self.bias, self.heat, self.order = labels, table, bias, heat, order
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
-        points, off = characters(texts)
+        points, off, gaps = characters(texts)
         total = np.zeros((len(texts), len(self.labels)))
-        for f in _grams(points, self.order):
+        for f in _grams(points, gaps, self.order):
             total += np.add.reduceat(self.table[f], off[:-1], axis=0)
         size = np.diff(off)
         p = softmax((total / (self.order * size)[:, None] + self.bias) / self.heat)
@@ -163,7 +175,8 @@ class Model:
 
 def train(docs: DataFrame, usable: Column, sample: int = SAMPLE, order: int = ORDER, text: str = "text", label: str = "lang") -> Model | None:
     """A model from the rows where ``usable`` holds and text and label aren't null; None where there is no such row."""
-    spark = docs.sparkSession
+    if not 1 <= order <= GAP:
+        raise ValueError(f"n-grams of 1 to {GAP} characters are counted")
     rows = docs.filter(usable).select(F.col(f"`{text}`").cast("string").alias("text"), F.col(f"`{label}`").cast("string").alias("label"), F.xxhash64(F.col(f"`{text}`"), F.lit(6)).alias("draw")).filter("text IS NOT NULL")
     labelled = rows.filter("label IS NOT NULL")
     counts = {r.label: r.n for r in labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
