@@ -98,6 +98,16 @@ def test_bag_of_features(spark, voxels):
     assert np.isnan(none.features).all()
 
 
+def test_saved_dataset(spark, tmp_path):
+    found = spark.createDataFrame([("b", 1, [1.0]), ("a", 2, [2.0]), ("a", 1, [3.0])], "bag string, roi_id long, features array<double>")
+    marks = spark.createDataFrame([("a", 1, 5.0)], "bag string, roi_id long, label double")
+    instances, known = tools.assemble_dataset(found, spark.createDataFrame([("a", 1.0)], "bag string, label double"), marks)
+    tools.save_dataset(instances, known, str(tmp_path))
+    got = spark.read.parquet(str(tmp_path / "instances")).orderBy("inst_idx").collect()
+    assert [(r.inst_idx, r.bag_idx, r.features, r.label) for r in got] == [(0, 0, [3.0], 5.0), (1, 0, [2.0], 0.0), (2, 1, [1.0], 0.0)]
+    assert [(r.bag, r.n_instances, r.label) for r in spark.read.parquet(str(tmp_path / "bags")).orderBy("bag").collect()] == [("a", 2, 1.0), ("b", 1, None)]
+
+
 def test_distance(voxels):
     target = V > 12
     got = grid(distance.squared_distance(voxels, F.col("v") > 12), "d2")

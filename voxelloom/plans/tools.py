@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voxelloom.functions.pointwise import apply_mask, intensity_window, remap
+from voxelloom.functions.strings import join_paths
 from voxelloom.operators import bag as bags
 from voxelloom.operators import distance, histogram, lattice, roi, stencil
 from voxelloom.operators.stencil import FEATURES
@@ -134,5 +135,16 @@ def roi_coverage(voxels: DataFrame, size: Box, box: Box, rounds: list[int] | Non
     return roi.coverage(roi.random_rois(voxels, sum(rounds), box, size, mask, seed), voxels, rounds, mask)
 
 
+def analytic_coverage(spark: SparkSession, size: Box, box: Box, rounds: list[int] | None = None, seed: int = 1) -> DataFrame:
+    """Coverage of a volume that is all mask, of which only the size is known."""
+    return roi_coverage(lattice.empty_volume(spark, size).withColumn("m", F.lit(1)), size, box, rounds, seed=seed)
+
+
+def save_dataset(instances: DataFrame, known: DataFrame, path: str) -> None:
+    """Instances by bag, and bags, as two tables below ``path``."""
+    instances.write.partitionBy("bag_idx").mode("overwrite").parquet(join_paths(path, "instances"))
+    known.write.mode("overwrite").parquet(join_paths(path, "bags"))
+
+
 def mask_with_rois(voxels: DataFrame, rois: DataFrame, value: str = "v") -> DataFrame:
     return roi.kept_in_rois(voxels, rois, value)

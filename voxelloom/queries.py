@@ -420,6 +420,15 @@ def roi_coverage(spark, sf_dir):
     return tools.roi_coverage(vox(spark, sf_dir), SIZE, BOX, _ROUNDS)
 
 
+@query(f"""WITH vox AS (SELECT 'all' AS volume_id, CAST(a.i AS BIGINT) AS x, CAST(b.i AS BIGINT) AS y, CAST(c.i AS BIGINT) AS z, 1 AS m FROM range(16) a(i) CROSS JOIN range(8) b(i) CROSS JOIN range(7) c(i)),
+{_random_sql(sum(_ROUNDS))},
+w AS (SELECT v.x, v.y, v.z, min(r.roi_id) AS roi FROM rois r JOIN vox v ON {_IN_BOX} GROUP BY 1, 2, 3),
+e AS (SELECT * FROM (VALUES {", ".join(f"({i}, {n})" for i, n in enumerate(_ENDS))}) AS e(i, n))
+SELECT CAST(e.i AS INTEGER) AS round, CAST(count(*) FILTER (WHERE w.roi < e.n) AS BIGINT) AS visited, CAST(count(*) FILTER (WHERE w.roi < e.n) AS DOUBLE) / 896 AS share FROM w CROSS JOIN e GROUP BY e.i""")
+def roi_coverage_analytic(spark, sf_dir):
+    return tools.analytic_coverage(spark, SIZE, BOX, _ROUNDS).select("round", "visited", "share")
+
+
 @query(_vox(f"SELECT v.volume_id, v.x, v.y, v.z, CASE WHEN EXISTS (SELECT 1 FROM rois r WHERE {_IN_BOX}) THEN v.v ELSE 0.0 END AS v, v.m, v.p FROM vox v", _random_sql(10, "m = 1")))
 def mask_with_rois(spark, sf_dir):
     v = vox(spark, sf_dir)
