@@ -57,6 +57,7 @@ def test_article_with_parts_left_out():
 
 
 def test_names_that_mention_what_is_left_out():
+    assert main_text('<div class="page-with-footer overflow-hidden"><article class="text-share"><p>in</p></article></div>', None) == "in"
     assert main_text('<div class="content no-sidebar has-comments"><p>in</p><div class="sidebar-left"><p>out</p></div><div id="post_comments"><p>out</p></div></div>', None) == "in"
 
 

@@ -56,6 +56,7 @@ LEFT_OUT_WORDS = frozenset(
 )
 ARTICLE_WORDS = frozenset("article articlebody article-body article-content post post-content post-body postbody entry entry-content story story-body storybody main-content maincontent body-content page-content content main text".split())
 
+LEFT_OUT_PARTS = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs pagination sidebar footer masthead cookie cookies consent gdpr notice notices notification popup modal newsletter subscribe comment comments disqus respond replies sharing social related recommended copyright disclaimer".split())
 NEGATIONS = frozenset("no not non has have with without is".split())
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|([^<]+|<)""", re.S)
@@ -98,7 +99,7 @@ def _is_left_out(word: str) -> bool:
     if word in LEFT_OUT_WORDS or word in ARTICLE_WORDS:
         return word in LEFT_OUT_WORDS
     parts = re.split(r"[-_]+", word)
-    return parts[0] not in NEGATIONS and any(p in LEFT_OUT_WORDS for p in parts)
+    return any(p in LEFT_OUT_PARTS for p in parts) and not any(p in NEGATIONS for p in parts)
 
 
 def parse(page: str) -> Element:
