@@ -54,9 +54,9 @@ def test_filter_errors():
     whole = Filter(1, {0: len(piece)}, piece)
     level = whole.levels(value)
     exact = np.array([int(c).bit_length() for c in count])
-    assert (level >= exact).all() and (level > exact).mean() < 0.04
+    assert (level >= exact).all() and (level > exact).mean() < 0.06
     other = rng.integers(2**62, 2**63, 20_000).astype(tc.U64)
-    assert 0.005 < (whole.levels(other) > 0).mean() < 0.04
+    assert 0.02 < (whole.levels(other) > 0).mean() < 0.06
     assert estimated(np.array([0, 1, 3], np.uint8)).tolist() == [0.0, 1.0, 2**2.5]
 
 

@@ -34,8 +34,8 @@ ORDER = 3
 #: Tokens, about, of the training texts on which the interpolation weights are fitted, and rounds of fitting.
 FIT_TOKENS, FIT_ROUNDS = 1_000_000, 40
 LEVELS = 65
-#: Bits that a level of an n-gram sets, all in one 64-bit word, and bits of filter for each level: an error rate of about 1/50.
-PROBES, BITS = 5, 10.0
+#: Bits that a level of an n-gram sets, all in one 64-bit word, and bits of filter for each level: an error rate of about 1/20.
+PROBES, BITS = 4, 7.0
 #: A filter of up to this size is broadcast.
 BROADCAST_BYTES = 256 << 20
 #: Parts in which the driver gathers it.
@@ -114,6 +114,8 @@ def _count(order: int, n: int):
                     parts, have = [[] for _ in range(order)], 0
         if have:
             yield letters(parts)
+        del parts
+        tc.release()
 
     return run
 
@@ -154,6 +156,8 @@ def _piece(table: pa.Table) -> pa.Table:
     words, tokens = _merged(by.pop(1, []))
     value, count = _merged([(_cut(words), tokens), *[x for kind in by.values() for x in kind]])
     row = [table.column("bucket")[0].as_py(), int(tokens.sum()), len(tokens), len(value), filter_piece(value, count).tobytes()]
+    del by, words, value, count
+    tc.release()
     return pa.Table.from_arrays([pa.array([x], f.type) for x, f in zip(row, PIECE_ARROW, strict=True)], schema=PIECE_ARROW)
 
 
@@ -325,6 +329,8 @@ def _observed(order: int, tokens: int, types: int):
                 below = level
             parts.append(seen)
         whole = np.concatenate(parts, axis=1) if parts else np.zeros((2 * order - 1, 0), np.float32)
+        del parts, held
+        tc.release()
         return pa.table({"seen": pa.array([whole.tobytes()], pa.binary())})
 
     return run
@@ -360,6 +366,7 @@ def _scored(order: int, tokens: int, types: int, weights: np.ndarray, broadcast)
     def run(docs: pa.Table, words: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return SCORES_ARROW.empty_table()
+        tc.release()
         answer = np.array(words.column("bucket").to_pylist(), np.int64) < 0
         held = broadcast.value if broadcast is not None else _Answers(words.filter(pa.array(answer)))
         got = list(bl.received(words.filter(pa.array(~answer))))

@@ -10,12 +10,37 @@ equal hashes.  Two different contents collide with probability about
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
+
+
+def _libc():
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:
+        return None
+
+
+_LIBC = _libc()
+if _LIBC is not None:
+    # Arrays of 1 MB or more are mapped one by one (M_MMAP_THRESHOLD), so that a worker that waits for its next task holds none.
+    _LIBC.mallopt(-3, 1 << 20)
+
+
+def release() -> None:
+    """Give memory that isn't used back to the machine."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
 #: Odd and 3 modulo 4, so that neighbouring powers differ in all but one bit.
 BASE = 0xC2B2AE3D27D4EB4F
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
