@@ -41,7 +41,7 @@ BROADCAST_BYTES = 256 << 20
 #: Parts in which the driver gathers it.
 PARTS = 16
 #: Tokens that a task counts together before it passes them on.
-RUN_TOKENS = 1 << 21
+RUN_TOKENS = 1 << 20
 #: Bits of an n-gram's hash that are passed on.
 NGRAM_BITS = 48
 #: Stands for the end of a text; no word hashes to it but by chance.
@@ -154,7 +154,11 @@ def _piece(table: pa.Table) -> pa.Table:
     for kind, hashes, counts in zip(*(table.column(c).to_pylist() for c in ("kind", "hashes", "counts")), strict=True):
         by.setdefault(kind, []).append((tc.unpack(hashes), tc.restored(counts, np.uint32).astype(np.int64)))
     words, tokens = _merged(by.pop(1, []))
-    value, count = _merged([(_cut(words), tokens), *[x for kind in by.values() for x in kind]])
+    kinds = [(_cut(words), tokens)]
+    while by:
+        kinds.append(_merged(by.popitem()[1]))
+    value, count = _merged(kinds)
+    del kinds
     row = [table.column("bucket")[0].as_py(), int(tokens.sum()), len(tokens), len(value), filter_piece(value, count).tobytes()]
     del by, words, value, count
     tc.release()
@@ -215,7 +219,7 @@ def train(texts: DataFrame, order: int = ORDER, text: str = "text") -> Model:
 
     Null texts are empty and count one end.  Nothing is cut off or sampled.
     """
-    n = bl.block_count(texts.sparkSession)
+    n = 2 * bl.block_count(texts.sparkSession)
     rows = texts.select(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
     counts = rows.mapInArrow(_count(order, n), COUNTS)
     pieces = saved(counts.groupBy("bucket").applyInArrow(_piece, PIECE))
@@ -404,7 +408,8 @@ def fit(model: Model, texts: DataFrame, fit_tokens: int = FIT_TOKENS, text: str
     n = model.buckets
     share = min(1.0, fit_tokens / max(model.tokens, 1))
     drawn = texts.select(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text")).withColumn("draw", F.xxhash64("text", F.lit(1))).filter(F.pmod("draw", F.lit(1 << 30)) < share * (1 << 30))
-    held = drawn.select("text", F.pmod("draw", F.lit(n)).cast("int").alias("block")).repartition(bl.partitions(texts.sparkSession), "block")
+    few = bl.partitions(texts.sparkSession)
+    held = drawn.select("text", F.pmod("draw", F.lit(few)).cast("int").alias("block")).repartition(few, "block")
     asked = held.groupBy("block").applyInArrow(_asked(model.order, n, 1), bl.LETTER)
     answers = asked.groupBy("bucket").cogroup(model.pieces.select("bucket", "filter").groupBy("bucket")).applyInArrow(_answered(n), bl.LETTER)
     seen = held.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_observed(model.order, model.tokens, model.types), "seen binary").toArrow()
@@ -438,8 +443,8 @@ def score(docs: DataFrame, held_out, order: int = ORDER, weights: np.ndarray | N
     if sum(model.sizes.values()) <= broadcast_bytes:
         broadcast = spark.sparkContext.broadcast(model.whole())
     else:
-        asked = held.groupBy("block").applyInArrow(_asked(order, n), bl.LETTER)
-        answers = answers.unionByName(asked.groupBy("bucket").cogroup(model.pieces.select("bucket", "filter").groupBy("bucket")).applyInArrow(_answered(n), bl.LETTER))
+        asked = held.groupBy("block").applyInArrow(_asked(order, model.buckets), bl.LETTER)
+        answers = answers.unionByName(asked.groupBy("bucket").cogroup(model.pieces.select("bucket", "filter").groupBy("bucket")).applyInArrow(_answered(model.buckets), bl.LETTER))
     out = held.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scored(order, model.tokens, model.types, weights, broadcast), SCORES)
     return out.withColumn("train_tokens", F.lit(model.tokens).cast("long")).withColumn("train_types", F.lit(model.types).cast("long"))
 
