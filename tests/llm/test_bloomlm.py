@@ -60,6 +60,16 @@ def test_filter_errors():
     assert estimated(np.array([0, 1, 3], np.uint8)).tolist() == [0.0, 1.0, 2**2.5]
 
 
+def test_filter_is_right_in_49_of_50():
+    rng = np.random.default_rng(3)
+    value = np.unique(rng.integers(0, 2**62, 100_000).astype(tc.U64))
+    count = rng.integers(1, 100, len(value))
+    piece = filter_piece(value, count).tobytes()
+    whole = Filter(1, {0: len(piece)}, piece)
+    assert (whole.levels(value) > np.array([int(c).bit_length() for c in count])).mean() < 0.022
+    assert (whole.levels(rng.integers(2**62, 2**63, 100_000).astype(tc.U64)) > 0).mean() < 0.022
+
+
 def test_against_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     weights = WEIGHTS.copy()

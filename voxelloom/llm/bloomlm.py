@@ -34,11 +34,11 @@ ORDER = 3
 #: Tokens, about, of the training texts on which the interpolation weights are fitted, and rounds of fitting.
 FIT_TOKENS, FIT_ROUNDS = 1_000_000, 40
 LEVELS = 65
-#: Bits that a level of an n-gram sets, all in one 64-bit word, and bits of filter for each level: an error rate of about 1/20.
-PROBES, BITS = 4, 7.0
+#: Bits that a level of an n-gram sets, all in one 64-bit word, and bits of filter for each level: an error rate of about 1/50.
+PROBES, BITS = 5, 10.0
 #: A filter of up to this size is broadcast.
 BROADCAST_BYTES = 256 << 20
-#: Parts in which the driver gathers it.
+#: Parts in which the driver gathers and broadcasts it.
 PARTS = 16
 #: Tokens that a task counts together before it passes them on.
 RUN_TOKENS = 1 << 20
@@ -191,6 +191,22 @@ class Filter:
         return level
 
 
+class Parts:
+    """A whole filter as broadcast parts of ``step`` buckets each."""
+
+    def __init__(self, n: int, step: int, parts: list):
+        self.n, self.step, self.parts = n, step, parts
+
+    def levels(self, value: np.ndarray) -> np.ndarray:
+        level = np.zeros(len(value), np.uint8)
+        part = (((value >> tc.U64(32)) * tc.U64(self.n) >> tc.U64(32)) // tc.U64(self.step)).astype(np.uint8)
+        for p, held in enumerate(self.parts):
+            mine = np.flatnonzero(part == p)
+            if len(mine):
+                level[mine] = held.value.levels(value[mine])
+        return level
+
+
 def estimated(level: np.ndarray) -> np.ndarray:
     """Counts that stand for the levels: the middle of their range on the logarithmic scale."""
     table = np.array([0.0] + [1.0] + [2.0 ** (q - 0.5) for q in range(2, 257)])
@@ -203,15 +219,16 @@ class Model:
     def __init__(self, order: int, tokens: int, types: int, buckets: int, pieces: DataFrame, sizes: dict[int, int]):
         self.order, self.tokens, self.types, self.buckets, self.pieces, self.sizes = order, tokens, types, buckets, pieces, sizes
 
-    def whole(self) -> Filter:
-        """The filter, gathered part by part; its size is checked before."""
-        data = bytearray()
+    def broadcast(self) -> Parts:
+        """The filter at every worker, gathered and broadcast part by part, so that the driver holds one part at a time; its size is checked before."""
+        spark, parts = self.pieces.sparkSession, []
         step = -(-self.buckets // PARTS)
         for lo in range(0, self.buckets, step):
             part = self.pieces.filter(F.col("bucket").between(lo, lo + step - 1)).select("bucket", "filter").toArrow().sort_by("bucket")
-            for piece in part.column("filter"):
-                data += piece.as_buffer()
-        return Filter(self.buckets, self.sizes, data)
+            data = b"".join(piece.as_buffer() for piece in part.column("filter"))
+            parts.append(spark.sparkContext.broadcast(Filter(self.buckets, {b: x for b, x in self.sizes.items() if lo <= b < lo + step}, data)))
+            del part, data
+        return Parts(self.buckets, step, parts)
 
 
 def train(texts: DataFrame, order: int = ORDER, text: str = "text") -> Model:
@@ -366,13 +383,13 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score
 SCORES_ARROW = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
-def _scored(order: int, tokens: int, types: int, weights: np.ndarray, broadcast):
+def _scored(order: int, tokens: int, types: int, weights: np.ndarray, parts: Parts | None):
     def run(docs: pa.Table, words: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return SCORES_ARROW.empty_table()
         tc.release()
         answer = np.array(words.column("bucket").to_pylist(), np.int64) < 0
-        held = broadcast.value if broadcast is not None else _Answers(words.filter(pa.array(answer)))
+        held = parts if parts is not None else _Answers(words.filter(pa.array(answer)))
         got = list(bl.received(words.filter(pa.array(~answer))))
         known = np.concatenate([h for _, h, _ in got])
         total = np.concatenate([tc.restored(m, np.int64) for _, _, m in got])
@@ -439,13 +456,11 @@ def score(docs: DataFrame, held_out, order: int = ORDER, weights: np.ndarray | N
     held = flagged.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")).withColumn("doc_id", F.coalesce("doc_id", F.lit(bl.NO_ID))).repartition(bl.partitions(spark), "block")
     told = held.groupBy("block").applyInArrow(_told(n), bl.LETTER)
     answers = told.groupBy("bucket").applyInArrow(_totals, bl.LETTER)
-    broadcast = None
-    if sum(model.sizes.values()) <= broadcast_bytes:
-        broadcast = spark.sparkContext.broadcast(model.whole())
-    else:
+    parts = model.broadcast() if sum(model.sizes.values()) <= broadcast_bytes else None
+    if parts is None:
         asked = held.groupBy("block").applyInArrow(_asked(order, model.buckets), bl.LETTER)
         answers = answers.unionByName(asked.groupBy("bucket").cogroup(model.pieces.select("bucket", "filter").groupBy("bucket")).applyInArrow(_answered(model.buckets), bl.LETTER))
-    out = held.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scored(order, model.tokens, model.types, weights, broadcast), SCORES)
+    out = held.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scored(order, model.tokens, model.types, weights, parts), SCORES)
     return out.withColumn("train_tokens", F.lit(model.tokens).cast("long")).withColumn("train_types", F.lit(model.types).cast("long"))
 
 
