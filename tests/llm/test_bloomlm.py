@@ -6,8 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from voxelloom.llm import bloomlm
 from voxelloom.llm import textcore as tc
-from voxelloom.llm.bloomlm import Filter, estimated, filter_piece, fitted_weights, op1_lm_scoring, score
+from voxelloom.llm.bloomlm import Filter, estimated, filter_piece, fit, fitted_weights, op1_lm_scoring, score, train
 
 
 def tokens(text):
@@ -104,6 +105,23 @@ def test_fitted_weights():
     assert np.allclose(got[0, :4], true, atol=0.02) and got[0, 10] == pytest.approx(got[0, 3])
 
 
+def test_weights_are_fitted_on_all_training_texts(spark, monkeypatch):
+    # 1.2 million tokens that don't repeat, and a text of 300,000 that does.
+    one, again = [f"a{i} b{i} c{i}" for i in range(400_000)], " ".join(f"w{i % 500}" for i in range(1000))
+    texts = [" ".join(one[i : i + 400]) for i in range(0, len(one), 400)] + [again] * 300
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    model = train(docs)
+    got = fit(model, docs, model.broadcast())
+    # Words of the repeating text occur 600 times each and foretell the next; all others occur once.
+    foretold = (600).bit_length()
+    assert got[0, foretold] > 0.9 and got[0, 1] < 0.5
+    assert np.allclose(got, fit(model, docs), atol=1e-9)
+    fitted_on = []
+    monkeypatch.setattr(bloomlm, "fitted_weights", lambda seen, order, times=None: fitted_on.append(seen.shape[1] if times is None else times.sum()))
+    fit(model, docs)
+    assert fitted_on == [model.tokens]
+
+
 def test_shuffled_probes_give_the_same(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     held = F.col("doc_id") % 5 == 0

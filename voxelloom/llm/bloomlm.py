@@ -9,7 +9,8 @@ sided and halve in number with each level.  Probabilities are interpolated,
 
 down to the word's add-one probability, so a text costs a few probes a word.  The
 weight a depends on the order and on the level of c(h); it is fitted by expectation
-maximisation on training texts, whose own counts are left out.
+maximisation on all training texts, each token's own counts left out; what was
+observed is a function of a few levels, so tokens are counted by these.
 
 The filter is built in pieces by hash bucket, each sized for the n-grams it has.
 Pieces of at most ``broadcast_bytes`` together are broadcast to the workers.  A
@@ -31,8 +32,8 @@ from voxelloom.llm import textcore as tc
 from voxelloom.llm.shared import saved
 
 ORDER = 3
-#: Tokens, about, of the training texts on which the interpolation weights are fitted, and rounds of fitting.
-FIT_TOKENS, FIT_ROUNDS = 1_000_000, 40
+#: Rounds of fitting.
+FIT_ROUNDS = 40
 LEVELS = 65
 #: Bits that a level of an n-gram sets, all in one 64-bit word, and bits of filter for each level: an error rate of about 1/50.
 PROBES, BITS = 5, 10.0
@@ -331,43 +332,87 @@ def _bounded(held, value: np.ndarray, at: np.ndarray, below: np.ndarray) -> np.n
     return level
 
 
-def _observed(order: int, tokens: int, types: int):
-    """Of a block of training texts, each token with its own counts left out: the word's probability, and for each order the level of c(h) and c(hw) / c(h)."""
+SEEN = "levels binary, tokens long"
+SEEN_ARROW = pa.schema([("levels", pa.binary()), ("tokens", pa.int64())])
 
-    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        held, texts, parts = _Answers(answers), tc.Texts.from_arrow(docs.column("text")), []
-        for lo, hi in texts.chunks() if docs.num_rows else ():
+
+class _Tally:
+    """Tokens of training texts counted by their levels: the word's, and for each order those of h and hw."""
+
+    def __init__(self, order: int):
+        self.order, self.tokens = order, {}
+
+    def add(self, texts: tc.Texts, held) -> None:
+        for lo, hi in texts.chunks():
             h, off = _tokens(texts.rows(lo, hi))
             below = held.levels(_cut(h))
-            seen = np.zeros((2 * order - 1, len(h)), np.float32)
-            seen[0] = np.maximum(estimated(below), 1.0) / (tokens + types + 1.0)
-            for k, (value, at) in enumerate(_probe_values(h, off, order)):
+            width = 2 * self.order - 1
+            seen = np.zeros((len(h), -(-width // 8) * 8), np.uint8)
+            seen[:, 0] = below
+            for k, (value, at) in enumerate(_probe_values(h, off, self.order)):
                 level = _bounded(held, value, at, below)
-                context = np.where(below[at - 1] == 2, 1, below[at - 1]) * (below[at - 1] > 1)
-                count = np.maximum(estimated(level[at]) - 1.0, 0.0) * (level[at] > 1)
-                seen[2 * k + 1, at] = context
-                seen[2 * k + 2, at] = np.minimum(1.0, count / np.maximum(estimated(below[at - 1]) - 1.0, 1.0))
+                seen[at, 2 * k + 1], seen[at, 2 * k + 2] = below[at - 1], level[at]
                 below = level
-            parts.append(seen)
-        whole = np.concatenate(parts, axis=1) if parts else np.zeros((2 * order - 1, 0), np.float32)
-        del parts, held
+            words = seen.view(tc.U64)
+            value, count = np.unique(words[:, 0], return_counts=True) if words.shape[1] == 1 else np.unique(words, axis=0, return_counts=True)
+            for row, n in zip(np.ascontiguousarray(value).view(np.uint8).reshape(len(value), -1)[:, :width], count.tolist(), strict=True):
+                key = row.tobytes()
+                self.tokens[key] = self.tokens.get(key, 0) + n
+
+    def columns(self) -> list[pa.Array]:
+        return [pa.array(list(self.tokens), pa.binary()), pa.array(list(self.tokens.values()), pa.int64())]
+
+
+def _observed_where_they_are(order: int, parts: Parts):
+    """Of a task's training texts, with a filter that all workers have."""
+
+    def run(batches):
+        tally = _Tally(order)
+        for batch in batches:
+            tally.add(tc.Texts.from_arrow(batch.column("text")), parts)
+        yield pa.RecordBatch.from_arrays(tally.columns(), schema=SEEN_ARROW)
         tc.release()
-        return pa.table({"seen": pa.array([whole.tobytes()], pa.binary())})
 
     return run
 
 
-def fitted_weights(seen: np.ndarray, order: int, rounds: int = FIT_ROUNDS) -> np.ndarray:
-    """Weights by order and level of c(h), likeliest for what was observed; a level without observations takes its neighbour's."""
+def _observed(order: int):
+    """Of a block of training texts, with the levels that came back to it."""
+
+    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        tally = _Tally(order)
+        if docs.num_rows:
+            tally.add(tc.Texts.from_arrow(docs.column("text")), _Answers(answers))
+        tc.release()
+        return pa.Table.from_arrays(tally.columns(), schema=SEEN_ARROW)
+
+    return run
+
+
+def _left_out(levels: np.ndarray, order: int, tokens: int, types: int) -> np.ndarray:
+    """What tokens of these levels show with their own counts left out: the word's probability, and for each order the level of c(h) and c(hw) / c(h)."""
+    seen = np.zeros((2 * order - 1, len(levels)))
+    seen[0] = np.maximum(estimated(levels[:, 0]), 1.0) / (tokens + types + 1.0)
+    for k in range(order - 1):
+        context, level = levels[:, 2 * k + 1], levels[:, 2 * k + 2]
+        seen[2 * k + 1] = np.where(context == 2, 1, context) * (context > 1)
+        count = np.maximum(estimated(level) - 1.0, 0.0) * (level > 1)
+        seen[2 * k + 2] = np.minimum(1.0, count / np.maximum(estimated(context) - 1.0, 1.0))
+    return seen
+
+
+def fitted_weights(seen: np.ndarray, order: int, rounds: int = FIT_ROUNDS, times: np.ndarray | None = None) -> np.ndarray:
+    """Weights by order and level of c(h), likeliest for what was observed, ``times`` each (once unless given); a level without observations takes its neighbour's."""
     out = np.zeros((order - 1, LEVELS))
+    times = np.ones(seen.shape[1]) if times is None else times
     below = np.maximum(seen[0].astype(float), 1e-12)
     for k in range(order - 1):
         level, ratio = seen[2 * k + 1].astype(int), seen[2 * k + 2].astype(float)
         a = np.full(LEVELS, 0.5)
-        n = np.bincount(level, minlength=LEVELS)
+        n = np.bincount(level, times, minlength=LEVELS)
         for _ in range(rounds):
             up = a[level] * ratio
-            share = np.bincount(level, up / np.maximum(up + (1 - a[level]) * below, 1e-300), minlength=LEVELS)
+            share = np.bincount(level, times * up / np.maximum(up + (1 - a[level]) * below, 1e-300), minlength=LEVELS)
             # As if each level had been observed once more on either side.
             a = (share + 0.01) / (n + 1.0)
         a[0] = 0.0
@@ -420,18 +465,21 @@ def _scored(order: int, tokens: int, types: int, weights: np.ndarray, parts: Par
     return run
 
 
-def fit(model: Model, texts: DataFrame, fit_tokens: int = FIT_TOKENS, text: str = "text") -> np.ndarray:
-    """Interpolation weights from training texts drawn by hash, of about ``fit_tokens`` tokens; the filter is probed where its pieces are."""
-    n = model.buckets
-    share = min(1.0, fit_tokens / max(model.tokens, 1))
-    drawn = texts.select(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text")).withColumn("draw", F.xxhash64("text", F.lit(1))).filter(F.pmod("draw", F.lit(1 << 30)) < share * (1 << 30))
-    few = bl.partitions(texts.sparkSession)
-    held = drawn.select("text", F.pmod("draw", F.lit(few)).cast("int").alias("block")).repartition(few, "block")
-    asked = held.groupBy("block").applyInArrow(_asked(model.order, n, 1), bl.LETTER)
-    answers = asked.groupBy("bucket").cogroup(model.pieces.select("bucket", "filter").groupBy("bucket")).applyInArrow(_answered(n), bl.LETTER)
-    seen = held.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_observed(model.order, model.tokens, model.types), "seen binary").toArrow()
-    parts = [np.frombuffer(x, np.float32).reshape(2 * model.order - 1, -1) for x in seen.column("seen").to_pylist()]
-    return fitted_weights(np.concatenate(parts, axis=1) if parts else np.zeros((2 * model.order - 1, 0), np.float32), model.order)
+def fit(model: Model, texts: DataFrame, parts: Parts | None = None, doc_id: str = "doc_id", text: str = "text") -> np.ndarray:
+    """Interpolation weights from all training texts; without ``parts`` the filter is probed where its pieces are."""
+    n, order = model.buckets, model.order
+    rows = texts.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
+    if parts is not None:
+        seen = rows.select("text").mapInArrow(_observed_where_they_are(order, parts), SEEN)
+    else:
+        few = bl.partitions(texts.sparkSession)
+        held = rows.select("text", F.pmod(F.xxhash64("doc_id"), F.lit(few)).cast("int").alias("block")).repartition(few, "block")
+        asked = held.groupBy("block").applyInArrow(_asked(order, n, 1), bl.LETTER)
+        answers = asked.groupBy("bucket").cogroup(model.pieces.select("bucket", "filter").groupBy("bucket")).applyInArrow(_answered(n), bl.LETTER)
+        seen = held.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_observed(order), SEEN)
+    table = seen.groupBy("levels").agg(F.sum("tokens").alias("tokens")).toArrow().sort_by("levels")
+    levels = np.frombuffer(b"".join(table.column("levels").to_pylist()), np.uint8).reshape(-1, 2 * order - 1)
+    return fitted_weights(_left_out(levels, order, model.tokens, model.types), order, times=table.column("tokens").to_numpy().astype(float))
 
 
 def score(docs: DataFrame, held_out, order: int = ORDER, weights: np.ndarray | None = None, broadcast_bytes: int = BROADCAST_BYTES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -451,12 +499,12 @@ def score(docs: DataFrame, held_out, order: int = ORDER, weights: np.ndarray | N
     n = bl.block_count(spark)
     flagged = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     model = train(flagged.filter(~F.col("held_out")), order)
+    parts = model.broadcast() if sum(model.sizes.values()) <= broadcast_bytes else None
     if weights is None:
-        weights = fit(model, flagged.filter(~F.col("held_out")))
+        weights = fit(model, flagged.filter(~F.col("held_out")), parts)
     held = flagged.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")).withColumn("doc_id", F.coalesce("doc_id", F.lit(bl.NO_ID))).repartition(bl.partitions(spark), "block")
     told = held.groupBy("block").applyInArrow(_told(n), bl.LETTER)
     answers = told.groupBy("bucket").applyInArrow(_totals, bl.LETTER)
-    parts = model.broadcast() if sum(model.sizes.values()) <= broadcast_bytes else None
     if parts is None:
         asked = held.groupBy("block").applyInArrow(_asked(order, model.buckets), bl.LETTER)
         answers = answers.unionByName(asked.groupBy("bucket").cogroup(model.pieces.select("bucket", "filter").groupBy("bucket")).applyInArrow(_answered(model.buckets), bl.LETTER))
