@@ -61,6 +61,12 @@ def test_names_that_mention_what_is_left_out():
     assert main_text('<div class="content no-sidebar has-comments"><p>in</p><div class="sidebar-left"><p>out</p></div><div id="post_comments"><p>out</p></div></div>', None) == "in"
 
 
+def test_what_follows_and_is_left_out_of_deep_parts():
+    deep = "<div>" * 70 + '<aside>no</aside><div class="sidebar"><p>no</p></div>one<div>two</div>three' + "</div>" * 70
+    assert main_text(f"<body><div><article>{deep}<p>rest</p></article></div><p>after</p></body>", None) == "one\ntwo\nthree\nrest"
+    assert main_text("<article>" + "<span>" * 5000 + "x" + "</span>" * 5000 + "<p>y</article>", None) == "x\ny"
+
+
 def test_odd_rows(spark):
     deep = "<div>" * 3000 + "deep" + "</div>" * 3000
     rows = [(1, None, None), (2, "::not a url", ""), (3, "http://[x", "plain  text\n&lt;b&gt;"), (4, "http://a/", deep), (5, "http://a/", "<p>a" * 20_000), (6, "http://b/", "<article><p>one</p><p"), (6, "http://b/", "<article><p>one</p><p"), (None, "http://b/", "<!-- x --><article>two<script>never ends")]

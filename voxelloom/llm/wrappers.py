@@ -64,7 +64,7 @@ _NAMED = re.compile(r"</?[a-zA-Z]")
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _DIGITS = re.compile(r"\d+")
-#: Elements nested deeper than this lie flat in the one at this depth.
+#: In wrappers, the texts of elements nested this deep or deeper lie flat in the element above; pages are parsed and read to any depth.
 DEPTH = 60
 
 
@@ -106,6 +106,13 @@ def parse(page: str) -> Element:
     """Balanced tree of a page; texts are strings among the children."""
     root = Element("#page", "", 0, False)
     stack, inside, at, n = [root], 0, 0, len(page)
+    opened: dict[str, int] = {}
+
+    def cut(i: int) -> None:
+        for e in stack[i:]:
+            opened[e.tag] -= 1
+        del stack[i:]
+
     while at < n:
         m = _TOKEN.match(page, at)
         closing, name, attributes, text = m.groups()
@@ -123,10 +130,10 @@ def parse(page: str) -> Element:
             continue
         name = name.lower()
         if closing:
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if opened.get(name) else ():
                 if stack[i].tag == name:
                     inside -= sum(e.tag in ("article", "main") for e in stack[i:])
-                    del stack[i:]
+                    cut(i)
                     break
             continue
         if name in CLOSES_P or name in ENDS:
@@ -140,16 +147,16 @@ def parse(page: str) -> Element:
                     if name not in ("tbody", "tr"):
                         break
             if found:
-                del stack[found:]
+                cut(found)
         element = Element(name, attributes, len(stack), inside > 0)
         stack[-1].children.append(element)
         if name in RAW:
             end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
             at = end.end() if end else n
         elif name not in VOID and not attributes.endswith("/") or name in BLOCK and name not in VOID:
-            if len(stack) < DEPTH:
-                stack.append(element)
-                inside += name in ("article", "main")
+            stack.append(element)
+            opened[name] = opened.get(name, 0) + 1
+            inside += name in ("article", "main")
     return root
 
 
@@ -205,10 +212,22 @@ def merge(a: list, b: list) -> list:
     return _folded(out)
 
 
+def _flat(element: Element):
+    """Children, with the texts of those at DEPTH and deeper in their place."""
+    for child in element.children:
+        todo = [child]
+        while todo:
+            c = todo.pop()
+            if isinstance(c, str) or c.depth < DEPTH:
+                yield c
+            elif not c.left_out:
+                todo += reversed(c.children)
+
+
 def wrapper(element: Element) -> list:
     """Items of a page alone."""
     items = []
-    for child in element.children:
+    for child in _flat(element):
         if isinstance(child, str):
             text = " ".join(child.split())
             if text:
@@ -269,10 +288,12 @@ def _at(element: Element, place: list[str]) -> list[Element]:
 
 def _through(element: Element):
     """Child elements, with those of inline elements in their place, as in wrappers."""
-    for c in element.children:
+    todo = element.children[::-1]
+    while todo:
+        c = todo.pop()
         if not isinstance(c, str):
             if c.tag in ("b", "i", "em", "strong", "span", "u", "small", "font"):
-                yield from _through(c)
+                todo += reversed(c.children)
             else:
                 yield c
 
@@ -289,19 +310,22 @@ def block_texts(elements: list[Element]) -> list[str]:
         run.clear()
 
     def walk(e: Element) -> None:
-        for c in e.children:
-            if isinstance(c, str):
+        todo = [(iter(e.children), False)]
+        while todo:
+            children, block = todo[-1]
+            c = next(children, None)
+            if c is None:
+                todo.pop()
+                if block:
+                    end()
+            elif isinstance(c, str):
                 run.append(html_entities.unescape(c))
-            elif c.left_out:
-                continue
-            elif c.tag in BLOCK:
-                end()
-                walk(c)
-                end()
-            else:
-                if c.tag in ("br", "td", "th", "img", "wbr"):
+            elif not c.left_out:
+                if c.tag in BLOCK:
+                    end()
+                elif c.tag in ("br", "td", "th", "img", "wbr"):
                     run.append("" if c.tag == "wbr" else " ")
-                walk(c)
+                todo.append((iter(c.children), c.tag in BLOCK))
 
     for e in elements:
         walk(e)
@@ -391,8 +415,8 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
 
     Null and empty pages have an empty text.  A null or broken url counts as the
     host ''.  Tags left open, raw text with tags in it, and tags that never end are
-    read as browsers do, in the main.  Elements nested deeper than DEPTH are taken as
-    lying flat.  Texts of any length are taken whole.  Repeated rows give equal rows;
+    read as browsers do, in the main.  Elements may nest to any depth; a host's
+    article is looked for down to DEPTH.  Texts of any length are taken whole.  Repeated rows give equal rows;
     a repeated page_id is kept as often as it comes.  Other columns are ignored.  An
     empty table gives no rows.
     """
