@@ -1,4 +1,4 @@
-"""Documents dealt into blocks by a hash of their id, and what blocks tell hash buckets.
+"""Documents dealt into blocks by a hash of id and text, and what blocks tell hash buckets.
 
 A block is a group of whole documents, about ``1 / (2 * shuffle partitions)`` of
 the input.  What all copies within a block have in common is told once, so that
@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelloom.llm import textcore as tc
@@ -33,12 +33,16 @@ def block_count(spark: SparkSession) -> int:
 def in_blocks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, text, block); one shuffle of the texts, which all uses in one plan share."""
     spark = docs.sparkSession
-    ident = F.col(f"`{doc_id}`").cast("long")
-    return docs.select(
-        F.coalesce(ident, F.lit(NO_ID)).alias("doc_id"),
-        F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"),
-        F.pmod(F.xxhash64(ident), F.lit(block_count(spark))).cast("int").alias("block"),
-    ).repartition(partitions(spark), "block")
+    return docs.select(known_id(F.col(f"`{doc_id}`")).alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text")).withColumn("block", block_number(spark)).repartition(partitions(spark), "block")
+
+
+def known_id(doc_id: Column) -> Column:
+    return F.coalesce(doc_id.cast("long"), F.lit(NO_ID))
+
+
+def block_number(spark: SparkSession) -> Column:
+    """By id and text, so that neither rows without an id nor copies of a text meet in one block."""
+    return F.pmod(F.xxhash64("doc_id", "text"), F.lit(block_count(spark))).cast("int")
 
 
 def block_of(table: pa.Table) -> int:

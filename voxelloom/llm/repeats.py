@@ -8,6 +8,10 @@ dropped first, and equal segments travel once per block.  Of each shard's
 distinct segments, but for those that are their anchor's only one, a suffix array
 is induced; neighbours whose common prefix is ``length`` or more are copies of one
 string, whose smallest doc_id goes back to the blocks.
+
+Segments are told apart by 96 bits, those of their anchor and of their own hash: among
+10^13 segments, two different ones would be taken for equal with probability below one
+in a thousand.  Within a suffix array the bytes themselves are compared.
 """
 
 from __future__ import annotations
@@ -22,14 +26,18 @@ from pyspark.sql import functions as F
 
 from voxelloom.llm import blocks as bl
 from voxelloom.llm import textcore as tc
-from voxelloom.llm.suffixarray import permuted_lcp, suffix_array
+from voxelloom.llm.suffixarray import permuted_lcp, suffix_arrays
 
 #: Bytes of an anchor, where strings are long enough.
 GRAM = 24
 #: Symbols that one suffix array takes at least before the next is begun; more only where one anchor has them.
-SHARD = 1 << 20
-#: A segment's key has its anchor's upper bits above those of its own hash, so that ranges of keys keep anchors whole.
-ANCHOR_BITS = 24
+SHARD = 1 << 12
+#: Symbols of suffix arrays that are sorted side by side, and their number times the symbols of the longest.
+TOGETHER, TABLE = 1 << 20, 1 << 24
+#: Bytes of texts taken at a time.
+RUN_BYTES = 1 << 17
+#: The first part of a segment's name has its anchor's upper bits above those of its own hash, so that ranges of names keep anchors whole.
+ANCHOR_BITS = 32
 
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
 OUT_ARROW = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()), ("kept_sha256", pa.string())])
@@ -50,52 +58,38 @@ def _slide(values: np.ndarray, width: int, pick) -> np.ndarray:
 
 
 class _Segments:
-    """Of a run of texts: all anchors, and the segment of each, as spans of the buffer."""
+    """Of a run of texts: all segments, as spans of the buffer, with their anchors."""
 
     def __init__(self, texts: tc.Texts, length: int):
-        self.prefix = texts.prefix()
         self.texts = texts
         gram = gram_for(length)
         width = length - gram + 1
         none = np.zeros(0, np.int64)
         self.anchor, self.start, self.end, self.doc = np.zeros(0, tc.U64), none, none, none
-        n = len(texts.buf)
-        if n < length:
+        if len(texts.buf) < length:
             return
-        raw = (self.prefix[gram:] - self.prefix[:-gram]) * tc.powers(tc.BASE_INVERSE, n + 1)[: n - gram + 1]
-        h = tc.mix(raw) | tc.U64(1)
+        h = texts.gram_hashes(gram) | tc.U64(1)
         least = _slide(h, width, np.minimum)  # by start of the string
         for a, b in zip(texts.off[:-1], texts.off[1:], strict=True):
             least[max(a, b - length + 1) : b] = 0
-        padded = np.zeros(len(h) + width - 1, tc.U64)
-        padded[width - 1 : width - 1 + len(least)] = least
-        anchor_at = np.flatnonzero(_slide(padded, width, np.maximum) == h)
-        anchor = h[anchor_at]
-        # Strings of which it is the anchor: from the first to the last start within reach that has its hash.
-        change = np.flatnonzero(least[1:] != least[:-1]) + 1
-        first_of_run = np.concatenate([[0], change])
-        end_of_run = np.append(change, len(least))
-        # A run of starts with one smallest hash may have two equal anchors; each gets what is in its reach.
-        lo, hi = np.maximum(anchor_at - width + 1, 0), np.minimum(anchor_at, len(least) - 1)
-        run = np.searchsorted(first_of_run, lo, "right") - 1
-        last = np.searchsorted(first_of_run, hi, "right") - 1
-        todo = np.arange(len(anchor_at))
-        found = np.full(len(anchor_at), -1, np.int64)
-        while len(todo):
-            hit = least[first_of_run[run[todo]]] == anchor[todo]
-            found[todo[hit]] = run[todo[hit]]
-            todo = todo[~hit & (run[todo] < last[todo])]
-            run[todo] += 1
-        on = found >= 0
+        # Starts that follow each other and have one smallest hash; of one place of it, there are no more than ``width``.
+        first = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
+        count = np.diff(np.append(first, len(least)))
+        on = least[first] > 0
+        first, count = first[on], count[on]
+        pieces = -(-count // width)
+        within = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        self.start = np.repeat(first, pieces) + width * within
+        self.end = np.minimum(self.start + width, np.repeat(first + count, pieces)) + length - 1
         # Smallest hashes are small; mixed again they spread evenly over the buckets.
-        self.anchor = tc.mix(anchor[on] ^ tc.U64(0x94D049BB133111EB))
-        self.start = np.maximum(first_of_run[found[on]], lo[on])
-        self.end = np.minimum(end_of_run[found[on]] - 1, hi[on]) + length
+        self.anchor = tc.mix(least[self.start] ^ tc.U64(0x94D049BB133111EB))
         self.doc = np.searchsorted(texts.off, self.start, "right") - 1
 
-    def keys(self, which) -> np.ndarray:
+    def names(self, which) -> tuple[np.ndarray, np.ndarray]:
+        """The two parts of the segments' names."""
         low = tc.U64((1 << (64 - ANCHOR_BITS)) - 1)
-        return (self.anchor[which] & ~low) | (self.texts.span_hashes(self.start[which], self.end[which], self.prefix) & low)
+        own = self.texts.span_hashes(self.start[which], self.end[which])
+        return (self.anchor[which] & ~low) | (own & low), (own >> tc.U64(32)).astype(np.uint32)
 
 
 def _key_buckets(keys: np.ndarray, n: int):
@@ -106,13 +100,20 @@ def _key_buckets(keys: np.ndarray, n: int):
         yield int(b), slice(int(cut[b]), int(cut[b + 1]))
 
 
-def _shards(keys: np.ndarray, size: np.ndarray):
-    """Slices of sorted keys that keep anchors whole, of about SHARD symbols each."""
+def _shards(keys: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Begins (and the end) of shards of sorted keys that keep anchors whole, of about SHARD symbols each."""
     begin = tc.runs(keys >> tc.U64(64 - ANCHOR_BITS))
     total = np.concatenate([[0], np.cumsum(size + 1)])
-    shard = total[begin] // SHARD
-    cut = np.append(begin[tc.runs(shard)], len(keys))
-    return [slice(int(a), int(b)) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    return np.append(begin[tc.runs(total[begin] // SHARD)], len(keys))
+
+
+def _together(symbols: np.ndarray):
+    """Shards in groups to be sorted side by side; those with more symbols first, and fewer of them in a group."""
+    order = np.argsort(-symbols, kind="stable")
+    while len(order):
+        n = max(1, min(int(TABLE // symbols[order[0]]), int(np.searchsorted(np.cumsum(symbols[order]), TOGETHER, "right"))))
+        yield order[:n]
+        order = order[n:]
 
 
 def _bytes_of(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -126,7 +127,7 @@ def _anchors(length: int, n: int):
     def run(table: pa.Table) -> pa.Table:
         texts, ids = tc.Texts.from_arrow(table.column("text")), table.column("doc_id").to_numpy()
         hashes, docs = [], []
-        for lo, hi in texts.chunks():
+        for lo, hi in texts.chunks(RUN_BYTES):
             s = _Segments(texts.rows(lo, hi), length)
             hashes.append(s.anchor)
             docs.append(ids[lo:hi][s.doc])
@@ -143,39 +144,42 @@ def _segments(length: int, n: int):
         if not docs.num_rows or not len(known):
             return bl.letters([])
         texts, ids = tc.Texts.from_arrow(docs.column("text")), docs.column("doc_id").to_numpy()
-        parts: list[list[np.ndarray]] = [[], [], [], []]
-        for lo, hi in texts.chunks():
+        parts: list[list[np.ndarray]] = [[], [], [], [], []]
+        for lo, hi in texts.chunks(RUN_BYTES):
             s = _Segments(texts.rows(lo, hi), length)
             on = tc.find(known, s.anchor)[1]
-            for part, x in zip(parts, (s.keys(on), s.start[on] + texts.off[lo], (s.end - s.start)[on], ids[lo:hi][s.doc[on]]), strict=True):
+            for part, x in zip(parts, (*s.names(on), s.start[on] + texts.off[lo], (s.end - s.start)[on], ids[lo:hi][s.doc[on]]), strict=True):
                 part.append(x)
-        key, start, size, doc = (np.concatenate(p) for p in parts)
-        key, one, low, high = tc.extremes(key, doc)
-        start, size = start[one], size[one]
+        key, second, start, size, doc = (np.concatenate(p) for p in parts)
+        key, one, low, high = tc.extremes(key, doc, second)
+        second, start, size = second[one], start[one], size[one]
         block, out, pressed = bl.block_of(docs), [], zstandard.ZstdCompressor(level=1)
         for b, s in _key_buckets(key, n):
             data = _bytes_of(texts.buf, start[s], start[s] + size[s])
-            more = tc.transposed(low[s]) + tc.transposed(high[s]) + tc.transposed(size[s].astype(np.uint16)) + pressed.compress(data.tobytes())
+            more = tc.transposed(second[s]) + tc.transposed(low[s]) + tc.transposed(high[s] - low[s]) + tc.transposed(size[s].astype(np.uint16)) + pressed.compress(data.tobytes())
             out.append((b, block, tc.pack(key[s]), more))
         return bl.letters(out)
 
     return run
 
 
-def _earliest(data: np.ndarray, start: np.ndarray, size: np.ndarray, least: np.ndarray, length: int) -> np.ndarray:
-    """Of a shard's segments, end to end: for each string of ``length`` the smallest doc_id that has it."""
+def _earliest(data: np.ndarray, start: np.ndarray, size: np.ndarray, least: np.ndarray, shard: np.ndarray, length: int) -> np.ndarray:
+    """Of segments, end to end: for each string of ``length`` the smallest doc_id that has it in the segment's shard."""
     begin = np.concatenate([[0], np.cumsum(size + 1)])
     # Each segment is followed by a separator, 0; bytes are 1 to 256.
     text = np.zeros(int(begin[-1]), np.uint16)
     inside = np.ones(len(text), bool)
     inside[begin[1:] - 1] = False
     text[inside] = _bytes_of(data, start, start + size).astype(np.uint16) + 1
-    sa = suffix_array(text)
-    common = permuted_lcp(text, sa, length + int(size.max()) + 4, begin[:-1])
+    shards = np.append(begin[:-1][tc.runs(shard)], len(text))
+    sa = suffix_arrays(text, shards)
+    common = permuted_lcp(text, sa, length + int(size.max()) + 4, begin[:-1], shards)
     segment = np.repeat(np.arange(len(size)), size + 1)
     whole = (begin[1:] - 1)[segment] - np.arange(len(text)) >= length
     sa = sa[whole[sa]]
     new = common[sa] < length
+    owner = shard[segment[sa]]
+    new[1:] |= owner[1:] != owner[:-1]
     new[0] = True
     new = np.flatnonzero(new)
     string_min = np.empty(len(text), np.int64)
@@ -188,38 +192,40 @@ def _sorted_shard(length: int):
 
     def run(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
-        got, all_key, all_low, all_size, data = [], [], [], [], []
+        got, every = [], []
         for block, key, more in bl.received(table):
             m = len(key)
-            low, high, size = (tc.restored(more[a * m : b * m], t) for a, b, t in ((0, 8, np.int64), (8, 16, np.int64), (16, 18, np.uint16)))
-            got.append((block, key, high))
-            all_key.append(key)
-            all_low.append(low)
-            all_size.append(size.astype(np.int64))
-            data.append(np.frombuffer(zstandard.ZstdDecompressor().decompress(more[18 * m :]), np.uint8))
-        key, low, size, data = np.concatenate(all_key), np.concatenate(all_low), np.concatenate(all_size), np.concatenate(data)
+            second, low, beyond, size = (tc.restored(more[a * m : b * m], t) for a, b, t in ((0, 4, np.uint32), (4, 12, np.int64), (12, 20, np.int64), (20, 22, np.uint16)))
+            got.append((block, key, second, low + beyond))
+            every.append((key, second, low, size.astype(np.int64), np.frombuffer(zstandard.ZstdDecompressor().decompress(more[22 * m :]), np.uint8)))
+        key, second, low, size, data = (np.concatenate(x) for x in zip(*every, strict=True))
+        del every
         start = np.cumsum(size) - size
-        keys, one, least, _ = tc.extremes(key, low)
-        start, size = start[one], size[one]
+        keys, one, least, _ = tc.extremes(key, low, second)
+        second, start, size = second[one], start[one], size[one]
         windows = size - length + 1
         # Where an anchor has one segment, all that hold it have the same strings, and there is nothing to sort.
         group = tc.runs(keys >> tc.U64(64 - ANCHOR_BITS))
         members = np.diff(np.append(group, len(keys)))
-        several = np.repeat(members > 1, members)
         value = np.repeat(least, windows)
-        k, b, z, m = keys[several], start[several], size[several], least[several]
-        if len(k):
-            value[np.repeat(several, windows)] = np.concatenate([_earliest(data, b[s], z[s], m[s], length) for s in _shards(k, z)])
         begin = np.cumsum(windows) - windows
+        several = np.flatnonzero(np.repeat(members > 1, members))
+        if len(several):
+            cut = _shards(keys[several], size[several])
+            for shards in _together(np.add.reduceat(size[several] + 1, cut[:-1])):
+                count = (cut[1:] - cut[:-1])[shards]
+                at = several[_bytes_of(np.arange(len(several)), cut[shards], cut[shards] + count)]
+                found = _earliest(data, start[at], size[at], least[at], np.repeat(np.arange(len(shards)), count), length)
+                value[_bytes_of(np.arange(len(value)), begin[at], begin[at] + windows[at])] = found
         lowest = np.minimum.reduceat(value, begin)
         out = []
-        for block, mine, high in got:
-            place = np.searchsorted(keys, mine)
+        for block, mine, mine_second, high in got:
+            place = tc.find_pairs(keys, second, mine, mine_second)[0]
             on = lowest[place] < high
             if on.any():
                 place = place[on]
                 values = _bytes_of(value, begin[place], begin[place] + windows[place])
-                out.append((bucket, block, tc.pack(mine[on]), tc.transposed(windows[place].astype(np.uint16)) + tc.transposed(values)))
+                out.append((bucket, block, tc.pack(mine[on]), tc.transposed(mine_second[on]) + tc.transposed(windows[place].astype(np.uint16)) + tc.transposed(values)))
         return bl.letters(out)
 
     return run
@@ -229,25 +235,28 @@ def _removed(length: int):
     def run(docs: pa.Table, found: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return OUT_ARROW.empty_table()
-        keys, count, values = [], [], []
+        every = []
         for _, h, more in bl.received(found) if found.num_rows else ():
-            keys.append(h)
-            count.append(tc.restored(more[: 2 * len(h)], np.uint16).astype(np.int64))
-            values.append(tc.restored(more[2 * len(h) :], np.int64))
+            m = len(h)
+            every.append((h, tc.restored(more[: 4 * m], np.uint32), tc.restored(more[4 * m : 6 * m], np.uint16).astype(np.int64), tc.restored(more[6 * m :], np.int64)))
         none = np.zeros(0, np.int64)
-        keys, count, values = (np.concatenate(x) if x else e for x, e in ((keys, np.zeros(0, tc.U64)), (count, none), (values, none)))
+        keys, second, count, values = (np.concatenate(x) for x in zip(*every, strict=True)) if every else (np.zeros(0, tc.U64), np.zeros(0, np.uint32), none, none)
         begin = np.cumsum(count) - count
         order = np.argsort(keys)
-        keys, begin, count = keys[order], begin[order], count[order]
+        keys, second, begin, count = keys[order], second[order], begin[order], count[order]
+        rest = tc.U64(64 - ANCHOR_BITS)
+        anchors = keys[tc.runs(keys >> rest)] >> rest
         texts, ids = tc.Texts.from_arrow(docs.column("text")), docs.column("doc_id").to_numpy()
         out: list[list] = [[], [], [], [], [], []]
-        for lo, hi in texts.chunks():
+        for lo, hi in texts.chunks(RUN_BYTES):
             part = texts.rows(lo, hi)
             mark = np.zeros(len(part.buf) + 1, np.int64)
             if len(keys):
                 s = _Segments(part, length)
-                at, there = tc.find(keys, s.keys(slice(None)))
-                at, start, doc = at[there], s.start[there], ids[lo:hi][s.doc[there]]
+                held = np.flatnonzero(tc.find(anchors, s.anchor >> rest)[1])
+                at, there = tc.find_pairs(keys, second, *s.names(held))
+                at, held = at[there], held[there]
+                start, doc = s.start[held], ids[lo:hi][s.doc[held]]
                 least = _bytes_of(values, begin[at], begin[at] + count[at])
                 place = _bytes_of(np.arange(len(part.buf)), start, start + count[at])
                 hit = place[least < np.repeat(doc, count[at])]
@@ -277,9 +286,10 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 50, doc_id: str = "doc_
     n_spans (maximal removed runs), kept (remaining bytes, which need not be whole
     characters), kept_sha256.
 
-    Null text is empty.  A text shorter than ``length`` keeps all.  Rows with equal
-    ids never remove each other's bytes; rows with a null id count as after all
-    others.  Other columns are ignored.  An empty table gives no rows.
+    Null text is empty.  A text shorter than ``length`` keeps all; very long texts are
+    read whole.  Rows with equal ids (ties, repeated rows) never remove each other's
+    bytes; rows with a null id count as after all others.  Other columns are ignored.
+    An empty table gives no rows.
     """
     if not 2 <= length <= 20_000:
         raise ValueError("length must be from 2 to 20,000")

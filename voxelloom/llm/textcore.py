@@ -1,17 +1,21 @@
-"""Array kernels over runs of whole texts: words, rolling hashes, packed exchanges.
+"""Array kernels over runs of whole texts: words, hashes, packed exchanges.
 
 A ``Texts`` lays many UTF-8 texts end to end in one byte array, so that word
-splitting and hashing cost a few NumPy passes per byte instead of a Python
-step per word.  Hashes are 64-bit polynomial hashes of the content alone
-(position independent) with a strong finaliser; equal content always gives
-equal hashes.  Two different contents collide with probability about
-``n**2 / 2**65`` among ``n`` contents.
+splitting and hashing cost a few NumPy passes instead of a Python step per word.
+Hashes are of the content alone (position independent), equal for equal content.
+A span is hashed eight bytes at a time, each step through a strong finaliser, and a
+long one by BLAKE2b; a run of hashes is hashed as a tree of pairs.  No step is linear
+in the content, so texts with structure (Thue-Morse words, say) are no likelier to
+collide than others.  Two different contents collide in 64 bits with probability about
+``n**2 / 2**65`` among ``n`` contents; where a removal follows from equality, 96 bits
+are compared (``seed`` gives hashes that are independent of each other).
 """
 
 from __future__ import annotations
 
 import ctypes
 import gc
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,9 +45,6 @@ def release() -> None:
         _LIBC.malloc_trim(0)
 
 
-#: Odd and 3 modulo 4, so that neighbouring powers differ in all but one bit.
-BASE = 0xC2B2AE3D27D4EB4F
-BASE_INVERSE = pow(BASE, -1, 1 << 64)
 #: Bytes that part words: space and the controls 0x09 to 0x0D.
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -61,19 +62,24 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-BYTE_CODE = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
-_powers: dict[int, np.ndarray] = {}
+_ODD = U64(0x9FB21C651E98DF25)
+_SEEDS = [U64((k * 0x9E3779B97F4A7C15 + 0xD1B54A32D192ED03) & (1 << 64) - 1) for k in range(1, 9)]
+#: Of eight bytes read as one number, those that the first k are.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
+#: Spans of up to so many bytes are hashed by array steps.
+SHORT = 128
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = max(n, CHUNK_BYTES + 1)
-        factors = np.full(size, base, U64)
-        factors[0] = 1
-        have = _powers[base] = np.cumprod(factors, dtype=U64)
-    return have[:n]
+def then(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of pairs, in order."""
+    return mix((a * _ODD) ^ b)
+
+
+def by_eights(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number; beyond the end come zeros."""
+    padded = np.zeros(len(buf) + 8, np.uint8)
+    padded[: len(buf)] = buf
+    return np.ndarray((len(buf) + 1,), U64, padded, strides=(1,))
 
 
 class Texts:
@@ -129,27 +135,51 @@ class Texts:
         starts, ends = np.flatnonzero(start), np.flatnonzero(end) + 1
         return starts, ends, np.searchsorted(starts, self.off).astype(np.int64)
 
-    def prefix(self) -> np.ndarray:
-        n = len(self.buf)
-        out = np.zeros(n + 1, U64)
-        np.cumsum(BYTE_CODE[self.buf] * powers(BASE, n), out=out[1:], dtype=U64)
-        return out
-
-    def span_hashes(self, starts: np.ndarray, ends: np.ndarray, prefix: np.ndarray | None = None) -> np.ndarray:
+    def span_hashes(self, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
         """Hashes of the byte spans; the length is part of the hash."""
-        p = self.prefix() if prefix is None else prefix
-        raw = (p[ends] - p[starts]) * powers(BASE_INVERSE, len(self.buf) + 1)[starts]
-        return mix(raw + (ends - starts).astype(U64) * U64(0x9FB21C651E98DF25))
-
+        size = ends - starts
+        out = mix(size.astype(U64) * _ODD + _SEEDS[seed])
+        eights = by_eights(self.buf)
+        at = np.flatnonzero((size > 0) & (size <= SHORT))
+        h, place, left = out[at], starts[at], size[at]
+        while len(at):
+            h = then(h, eights[place] & _FIRST[np.minimum(left, 8)])
+            done = left <= 8
+            out[at[done]] = h[done]
+            on = ~done
+            at, h, place, left = at[on], h[on], place[on] + 8, left[on] - 8
+        key = bytes([seed])
+        for i in np.flatnonzero(size > SHORT).tolist():
+            out[i] = int.from_bytes(hashlib.blake2b(self.buf[starts[i] : ends[i]], digest_size=8, key=key).digest(), "little")
+        return out
 
-def rolling(h: np.ndarray, length: int) -> np.ndarray:
-    """Hashes of all runs of ``length`` consecutive entries (n - length + 1 of them)."""
-    n = len(h)
-    if n < length:
+    def gram_hashes(self, length: int) -> np.ndarray:
+        """Hashes of the ``length`` bytes from each place on, to the last that has so many, whatever text they are in."""
+        n = len(self.buf) - length + 1
+        if n < 1:
+            return np.zeros(0, U64)
+        eights = by_eights(self.buf)
+        h = mix((eights[:n] & _FIRST[min(length, 8)]) + _SEEDS[0])
+        for k in range(8, length, 8):
+            k = min(k, length - 8)
+            h = then(h, eights[k : k + n])
+        return h
+
+
+def rolling(h: np.ndarray, length: int, seed: int = 0) -> np.ndarray:
+    """Hashes of all runs of ``length`` consecutive entries (n - length + 1 of them), as trees of pairs."""
+    n = len(h) - length + 1
+    if n < 1:
         return np.zeros(0, U64)
-    p = np.zeros(n + 1, U64)
-    np.cumsum(h * powers(BASE, n), out=p[1:], dtype=U64)
-    return mix((p[length:] - p[:-length]) * powers(BASE_INVERSE, n + 1)[: n - length + 1] + U64(length))
+    part, size, have = mix(h ^ _SEEDS[seed]), 1, 0
+    out = np.full(n, length, U64) ^ _SEEDS[seed]
+    while True:
+        if length & size:
+            out = then(out, part[have : have + n])
+            have += size
+        if have == length:
+            return out
+        part, size = then(part[:-size], part[size:]), 2 * size
 
 
 def owner(off: np.ndarray) -> np.ndarray:
@@ -166,10 +196,26 @@ def runs(sorted_values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def extremes(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys, sorted: the keys, a place of each, and the smallest and the largest of its values."""
+def by_runs(keys: np.ndarray, second: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Order by key, and the starts of its runs of equal keys, or of equal (key, second)."""
     order = np.argsort(keys)
-    first = runs(keys[order])
+    if not len(keys):
+        return order, order
+    new = np.ones(len(keys), bool)
+    dealt = keys[order]
+    new[1:] = dealt[1:] != dealt[:-1]
+    if second is not None:
+        dealt = second[order]
+        if (~new[1:] & (dealt[1:] != dealt[:-1])).any():
+            # Different contents whose keys collide.
+            order = np.lexsort((second, keys))
+            new[1:] = (keys[order][1:] != keys[order][:-1]) | (second[order][1:] != second[order][:-1])
+    return order, np.flatnonzero(new)
+
+
+def extremes(keys: np.ndarray, values: np.ndarray, second: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, or (key, second), sorted: the keys, a place of each, and the smallest and the largest of its values."""
+    order, first = by_runs(keys, second)
     if not len(first):
         return keys, order, values, values
     dealt = values[order]
@@ -185,6 +231,20 @@ def find(sorted_values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.
     return at, sorted_values[at] == wanted
 
 
+def find_pairs(keys: np.ndarray, second: np.ndarray, wanted: np.ndarray, wanted_second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the wanted (key, second) among those, sorted by key, and whether they are there."""
+    at, there = find(keys, wanted)
+    left = np.flatnonzero(there)
+    left = left[second[at[left]] != wanted_second[left]] if len(left) else left
+    while len(left):
+        at[left] += 1
+        ended = (at[left] == len(keys)) | (keys[np.minimum(at[left], len(keys) - 1)] != wanted[left])
+        there[left[ended]], at[left[ended]] = False, 0
+        left = left[~ended]
+        left = left[second[at[left]] != wanted_second[left]]
+    return at, there
+
+
 # Packed exchanges: many hashes travel as one binary value, sorted, as differences
 # whose bytes are transposed, so that Spark's block compression removes the zero bytes.
 
