@@ -9,19 +9,27 @@ repeats.  Two wrappers are aligned element by element: items of one kind are
 merged in turn, what one side lacks becomes optional, what follows itself becomes
 repeated, and texts that differ make their slot a variable one.
 
-Wrappers of one host are aligned within a task first, then over salted parts, then
-as a whole, so no task sees more than a share of a large host.  Each host's wrapper
-says where its pages carry their article: the place that is marked as one, or the
-element with most variable text.  Pages are read at that place; one that doesn't
-have it is read by its own wrapper.
+Pages of one host whose wrappers have the same structure are summed first, in each
+task; different structures are then aligned in the order of a hash of their structure, in
+salted parts and then as a whole.  So a host's wrapper doesn't depend on how its pages
+came, and no task aligns more than a share of a large host's structures.
+
+A host's wrapper says where its pages carry their article: the element with most text in
+slots that vary between pages.  Marks (the tag ``article``, class names) only widen that
+place to the whole article around it.  Class names of menus, notices and the like leave
+an element out, but not one that also has an article's name, and not where next to no
+variable text would remain.  Pages are read at the host's place; one that doesn't have it
+is read by its own wrapper.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as html_entities
 import json
 import re
 import zlib
+from itertools import groupby
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -54,9 +62,11 @@ LEFT_OUT_WORDS = frozenset(
     "sidebar sidebars side rail widget widgets footer foot masthead topbar toolbar site-header page-header cookie cookies consent gdpr notice notices notification notifications alert alerts popup popups modal overlay newsletter subscribe subscription signup login paywall "
     "comment comments commentlist disqus respond replies reply discussion share sharing social related recommended recommendations teaser teasers copyright legal disclaimer search searchbox form skip hidden".split()
 )
-ARTICLE_WORDS = frozenset("article articlebody article-body article-content post post-content post-body postbody entry entry-content story story-body storybody main-content maincontent body-content page-content content main text".split())
+ARTICLE_WORDS = frozenset("article articlebody article-body article-content post post-content post-body postbody entry entry-content story story-body storybody".split())
+MAIN_WORDS = frozenset("main-content maincontent body-content page-content content main text".split())
 
 LEFT_OUT_PARTS = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs pagination sidebar footer masthead cookie cookies consent gdpr notice notices notification popup modal newsletter subscribe comment comments disqus respond replies sharing social related recommended copyright disclaimer".split())
+COMMENT_WORDS = frozenset("comment comments commentlist disqus respond replies reply".split())
 NEGATIONS = frozenset("no not non has have with without is".split())
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|([^<]+|<)""", re.S)
@@ -65,15 +75,22 @@ _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _DIGITS = re.compile(r"\d+")
 #: In wrappers, the texts of elements nested this deep or deeper lie flat in the element above; pages are parsed and read to any depth.
-DEPTH = 60
+DEPTH = 200
+#: Class names leave elements out unless less than this share of the variable text would remain.
+LEAST_LEFT = 0.1
+
+# How an element is marked: not, as a page's main part, as an article by name, as an article by its tag.
+PLAIN, MAIN, NAMED, ARTICLE = range(4)
+# How it is left out: not, by its class names, by its tag or role.
+KEPT, BY_NAME, BY_TAG = range(3)
 
 
 class Element:
-    __slots__ = ("children", "depth", "key", "left_out", "marked", "tag")
+    __slots__ = ("children", "depth", "key", "left_out", "marked", "tag", "within")
 
-    def __init__(self, tag: str, attributes: str, depth: int, inside: bool):
+    def __init__(self, tag: str, attributes: str, depth: int, inside: bool, within: bool):
         self.tag, self.depth, self.children = tag, depth, []
-        self.key, self.left_out, self.marked = tag, tag in LEFT_OUT or tag == "header" and not inside, tag in ("article", "main")
+        self.key, self.left_out, self.marked = tag, BY_TAG if tag in LEFT_OUT or tag == "header" and not inside else KEPT, {"article": ARTICLE, "main": MAIN}.get(tag, PLAIN)
         if attributes and not attributes.isspace():
             words, article = [], False
             for name, *values in _ATTRIBUTE.findall(attributes):
@@ -81,22 +98,27 @@ class Element:
                 if name in ("class", "id"):
                     words += _DIGITS.sub("", value).split()
                 elif name == "role":
-                    self.left_out |= value in LEFT_OUT_ROLES
-                    article |= value in ("main", "article")
+                    self.left_out = BY_TAG if value in LEFT_OUT_ROLES else self.left_out
+                    self.marked = max(self.marked, {"main": MAIN, "article": NAMED}.get(value, PLAIN))
                 elif name == "itemprop":
                     article |= value == "articlebody"
-                    self.left_out |= value == "comment"
+                    self.left_out = BY_TAG if value == "comment" else self.left_out
                 elif name == "hidden" or value == "true":
-                    self.left_out = True
+                    self.left_out = BY_TAG
             words = [w.strip("-_") for w in words]
-            self.left_out |= tag not in ("body", "html", "article", "main") and any(_is_left_out(w) for w in words)
-            self.marked |= article or any(w in ARTICLE_WORDS for w in words)
+            article |= any(w in ARTICLE_WORDS for w in words)
+            # An article's name wins, but not within an article ("related post").
+            if self.left_out == KEPT and tag not in ("body", "html", "article", "main") and any(_is_left_out(w) for w in words) and (within or not article):
+                self.left_out = BY_NAME
+            self.marked = max(self.marked, NAMED if article else MAIN if any(w in MAIN_WORDS for w in words) else PLAIN)
             self.key = ".".join([tag, *sorted(set(words))][:4])
+        #: Whether it is in an element that is marked as an article, or is one.
+        self.within = within or self.marked >= NAMED
 
 
 def _is_left_out(word: str) -> bool:
     """Whether a class or id names what is no part of an article, whole or in one of its parts; "no-sidebar" and the like don't."""
-    if word in LEFT_OUT_WORDS or word in ARTICLE_WORDS:
+    if word in LEFT_OUT_WORDS or word in ARTICLE_WORDS or word in MAIN_WORDS:
         return word in LEFT_OUT_WORDS
     parts = re.split(r"[-_]+", word)
     return any(p in LEFT_OUT_PARTS for p in parts) and not any(p in NEGATIONS for p in parts)
@@ -104,7 +126,7 @@ def _is_left_out(word: str) -> bool:
 
 def parse(page: str) -> Element:
     """Balanced tree of a page; texts are strings among the children."""
-    root = Element("#page", "", 0, False)
+    root = Element("#page", "", 0, False, False)
     stack, inside, at, n = [root], 0, 0, len(page)
     opened: dict[str, int] = {}
 
@@ -148,7 +170,7 @@ def parse(page: str) -> Element:
                         break
             if found:
                 cut(found)
-        element = Element(name, attributes, len(stack), inside > 0)
+        element = Element(name, attributes, len(stack), inside > 0, stack[-1].within)
         stack[-1].children.append(element)
         if name in RAW:
             end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
@@ -162,7 +184,7 @@ def parse(page: str) -> Element:
 
 # Wrappers are lists, to travel as JSON: [kind, optional, repeated, payload ..].
 # Slot: ["#", optional, repeated, pages, characters, least hash, greatest hash].
-# Element: [key, optional, repeated, marked, left_out, items]; group: ["*", optional, repeated, items].
+# Element: [key, optional, repeated, marked, left_out, items].
 
 
 def _folded(items: list) -> list:
@@ -185,7 +207,30 @@ def _merged_item(a: list, b: list) -> list:
     head = [a[0], a[1] | b[1], a[2] | b[2]]
     if a[0] == "#":
         return [*head, a[3] + b[3], a[4] + b[4], min(a[5], b[5]), max(a[6], b[6])]
-    return [*head, a[3] | b[3], a[4] | b[4], merge(a[5], b[5])]
+    return [*head, max(a[3], b[3]), max(a[4], b[4]), merge(a[5], b[5])]
+
+
+def _common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence, by rows of bits: a zero at j is where the subsequence with b[: j + 1] gets longer."""
+    where: dict[str, int] = {}
+    for j, k in enumerate(b):
+        where[k] = where.get(k, 0) | 1 << j
+    whole = (1 << len(b)) - 1
+    row, rows = whole, [whole]
+    for k in a:
+        hit = row & where.get(k, 0)
+        row = (row + hit | row - hit) & whole
+        rows.append(row)
+    out, i, j = [], len(a), len(b)
+    while i and j:
+        if rows[i] >> j - 1 & 1:
+            j -= 1
+        elif not rows[i - 1] >> j - 1 & 1:
+            i -= 1
+        else:
+            i, j = i - 1, j - 1
+            out.append((i, j))
+    return out[::-1]
 
 
 def merge(a: list, b: list) -> list:
@@ -193,25 +238,20 @@ def merge(a: list, b: list) -> list:
     ka, kb = [i[0] for i in a], [i[0] for i in b]
     if ka == kb:
         return [_merged_item(x, y) for x, y in zip(a, b, strict=True)]
-    n, m = len(ka), len(kb)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if ka[i] == kb[j] else max(best[i + 1][j], best[i][j + 1])
     out, i, j = [], 0, 0
-    while i < n or j < m:
-        if i < n and j < m and ka[i] == kb[j]:
-            out.append(_merged_item(a[i], b[j]))
-            i, j = i + 1, j + 1
-        elif j == m or i < n and best[i + 1][j] >= best[i][j + 1]:
-            out.append([a[i][0], 1, *a[i][2:]])
-            i += 1
-        else:
-            out.append([b[j][0], 1, *b[j][2:]])
-            j += 1
+    for x, y in [*_common(ka, kb), (len(a), len(b))]:
+        out += [[k[0], 1, *k[2:]] for k in [*a[i:x], *b[j:y]]]
+        if x < len(a):
+            out.append(_merged_item(a[x], b[y]))
+        i, j = x + 1, y + 1
     return _folded(out)
 
 
+def structure(items: list) -> list:
+    """What of a wrapper is no slot's content: pages alike in it are summed in any order."""
+    return [[*i[:3], *([structure(i[5])] if len(i) == 6 else [])] for i in items]
+
+
 def _flat(element: Element):
     """Children, with the texts of those at DEPTH and deeper in their place."""
     for child in element.children:
@@ -220,7 +260,7 @@ def _flat(element: Element):
             c = todo.pop()
             if isinstance(c, str) or c.depth < DEPTH:
                 yield c
-            elif not c.left_out:
+            elif c.left_out != BY_TAG:
                 todo += reversed(c.children)
 
 
@@ -234,55 +274,112 @@ def wrapper(element: Element) -> list:
                 h = zlib.crc32(text.encode("utf-8", "surrogatepass"))
                 items.append(["#", 0, 0, 1, len(text), h, h])
         elif child.tag not in ("br", "b", "i", "em", "strong", "span", "u", "wbr", "small", "font"):
-            items.append([child.key, 0, 0, int(child.marked), int(child.left_out), wrapper(child) if not child.left_out else []])
+            items.append([child.key, 0, 0, child.marked, child.left_out, wrapper(child) if child.left_out != BY_TAG else []])
         else:
             items += wrapper(child)
     return _folded(items)
 
 
-def _variable_text(items: list) -> int:
+class Place:
+    """Where pages carry their article: keys from the root to its element, and keys of elements that names don't leave out."""
+
+    def __init__(self, path: list[str], lifted: frozenset[str] = frozenset()):
+        self.path, self.lifted = path, lifted
+
+    def dump(self) -> str:
+        return json.dumps([self.path, sorted(self.lifted)])
+
+    @classmethod
+    def load(cls, data: str | None) -> Place | None:
+        if not data:
+            return None
+        path, lifted = json.loads(data)
+        return cls(path, frozenset(lifted))
+
+    def has(self, element: Element) -> bool:
+        return element.left_out == KEPT or element.left_out == BY_NAME and element.key in self.lifted
+
+
+def _variable_text(items: list, lifted: frozenset[str], everything: bool = False) -> int:
     """Characters in slots of these items whose text differs between pages or repeats, without what is left out."""
     total = 0
     for i in items:
         if i[0] == "#":
             total += i[4] if i[3] == 1 or i[5] != i[6] else 0
-        elif not i[4]:
-            total += _variable_text(i[5])
+        elif i[4] == KEPT or i[4] == BY_NAME and (everything or i[0] in lifted):
+            total += _variable_text(i[5], lifted, everything)
     return total
 
 
-def article_place(items: list) -> list[str]:
-    """Keys from the root to the element that carries the article."""
-    marked: list[tuple[int, int, list[str]]] = []
-    dense: list[tuple[int, int, list[str]]] = []
+def _any_article(items: list) -> bool:
+    """Whether an element that isn't left out is marked as an article and has variable text."""
+    return any(i[0] != "#" and i[4] == KEPT and (i[3] >= NAMED and _variable_text(i[5], frozenset()) > 0 or _any_article(i[5])) for i in items)
+
+
+def _lifted(items: list) -> frozenset[str]:
+    """Keys of elements that are not left out for their names: of those with most variable text as many as it takes to have enough.
 
-    def walk(items: list, path: list[str], in_article: bool) -> None:
+    There are none where an article remains, and comments only where nothing would.
+    """
+    whole = _variable_text(items, frozenset(), True)
+    lifted: frozenset[str] = frozenset()
+    if _any_article(items):
+        return lifted
+
+    def named(items: list, found: dict[str, int]) -> None:
+        """Elements that names leave out, the outermost only."""
         for i in items:
-            if i[0] == "#" or i[4]:
-                continue
-            place = [*path, i[0]]
-            tag = i[0].split(".")[0]
-            inside = in_article or tag == "article"
-            if i[3] and tag not in ("body", "html"):
-                marked.append((2 if tag == "article" else 1, _variable_text(i[5]), place))
-            # Text in the element's own blocks.
-            own = sum(_variable_text([c] if c[0] == "#" else c[5]) for c in i[5] if c[0] == "#" or not c[4] and c[0].split(".")[0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "ul", "ol", "li", "table", "dl", "figure"))
-            dense.append((own, -len(place), place))
-            walk(i[5], place, inside)
-
-    walk(items, [], False)
-    with_text = [x for x in marked if x[1]]
-    if with_text:
-        # The outermost article with most text; other marks count where there is none.
-        kind = max(x[0] for x in with_text)
-        return max((x for x in with_text if x[0] == kind), key=lambda x: (x[1], -len(x[2])))[2]
-    return max(dense, default=(0, 0, []))[2]
-
-
-def _at(element: Element, place: list[str]) -> list[Element]:
+            if i[0] != "#" and i[4] == BY_NAME and i[0] not in lifted:
+                found[i[0]] = found.get(i[0], 0) + _variable_text(i[5], lifted, True)
+            elif i[0] != "#" and i[4] != BY_TAG:
+                named(i[5], found)
+
+    while (left := _variable_text(items, lifted)) < LEAST_LEFT * whole:
+        found: dict[str, int] = {}
+        named(items, found)
+        others = {k: n for k, n in found.items() if not COMMENT_WORDS.intersection(re.split(r"[-_.]+", k))}
+        if left and not others:
+            break
+        lifted |= {max(others or found, key=lambda k: (found[k], k))}
+    return lifted
+
+
+_OWN = ("p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "ul", "ol", "li", "table", "dl", "figure")
+
+
+def article_place(items: list) -> Place:
+    """The element with most variable text in blocks of its own, and what belongs to its article around it."""
+    lifted = _lifted(items)
+    there = lambda i: i[0] != "#" and (i[4] == KEPT or i[4] == BY_NAME and i[0] in lifted)
+    best: tuple[int, int, list[list]] = (0, 0, [])
+
+    def walk(items: list, path: list[list]) -> None:
+        nonlocal best
+        for i in filter(there, items):
+            place = [*path, i]
+            own = sum(_variable_text([c] if c[0] == "#" else c[5], lifted) for c in i[5] if c[0] == "#" or there(c) and c[0].split(".")[0] in _OWN)
+            best = max(best, (own, -len(place), place), key=lambda x: x[:2])
+            walk(i[5], place)
+
+    walk(items, [])
+    path = best[2]
+    inner = [i for i in path if i[0].split(".")[0] not in ("body", "html")]
+    kind = max((i[3] for i in inner), default=PLAIN)
+    if kind > PLAIN:
+        # The outermost of the strongest mark around it.
+        path = path[: next(n for n, i in enumerate(path, 1) if i in inner and i[3] == kind)]
+    else:
+        # Up to an element that has the article's heading, or other parts without a name like this one, beside it.
+        beside = lambda c: there(c) and (c[0].split(".")[0] in ("h1", "h2") or c[0] in ("div", "section") and (c is not path[-1] or c[2])) and _variable_text(c[5], lifted) > 0
+        while len(path) > 1 and path[-2] in inner and any(map(beside, path[-2][5])):
+            path = path[:-1]
+    return Place([i[0] for i in path], lifted)
+
+
+def _at(element: Element, place: Place) -> list[Element]:
     found = [element]
-    for key in place:
-        found = [c for e in found for c in _through(e) if c.key == key and not c.left_out]
+    for key in place.path:
+        found = [c for e in found for c in _through(e) if c.key == key and place.has(c)]
     return found
 
 
@@ -298,8 +395,8 @@ def _through(element: Element):
                 yield c
 
 
-def block_texts(elements: list[Element]) -> list[str]:
-    """Texts of the blocks, in page order."""
+def block_texts(elements: list[Element], place: Place) -> list[str]:
+    """Texts of the blocks, in page order, without what is left out."""
     blocks: list[str] = []
     run: list[str] = []
 
@@ -320,7 +417,7 @@ def block_texts(elements: list[Element]) -> list[str]:
                     end()
             elif isinstance(c, str):
                 run.append(html_entities.unescape(c))
-            elif not c.left_out:
+            elif place.has(c):
                 if c.tag in BLOCK:
                     end()
                 elif c.tag in ("br", "td", "th", "img", "wbr"):
@@ -333,13 +430,13 @@ def block_texts(elements: list[Element]) -> list[str]:
     return blocks
 
 
-def main_text(page: str, place: list[str] | None) -> str:
+def main_text(page: str, place: Place | None) -> str:
     root = parse(page)
-    found = _at(root, place) if place else []
-    blocks = block_texts(found) if found else []
+    found = _at(root, place) if place and place.path else []
+    blocks = block_texts(found, place) if found else []
     if not blocks:
         place = article_place(wrapper(root))
-        blocks = block_texts(_at(root, place) if place else [root])
+        blocks = block_texts(_at(root, place) if place.path else [root], place)
     return "\n".join(blocks)
 
 
@@ -350,46 +447,57 @@ def host_of(url: str | None) -> str:
         return ""
 
 
-PARTIAL_ARROW = pa.schema([("host", pa.string()), ("salt", pa.int32()), ("pages", pa.int64()), ("wrapper", pa.string())])
-PARTIAL = "host string, salt int, pages long, wrapper string"
+PARTIAL_ARROW = pa.schema([("host", pa.string()), ("salt", pa.int64()), ("pages", pa.int64()), ("structure", pa.string()), ("wrapper", pa.string())])
+PARTIAL = "host string, salt long, pages long, structure string, wrapper string"
+#: Parts in which a host's structures are aligned before they are aligned as a whole: so many of so many each.
 SALTS = 32
+#: Wrappers that a task sums before it passes them on.
+HELD = 2000
 
 
 def _dump(items: list) -> str:
     return json.dumps(items, separators=(",", ":"))
 
 
+def _rows(known: dict[tuple[str, str], list]) -> pa.RecordBatch:
+    rows = [(host, int.from_bytes(hashlib.blake2b(kind.encode(), digest_size=8).digest(), "big") >> 1, n, kind, _dump(w)) for (host, kind), (n, w) in known.items()]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(PARTIAL_ARROW)], schema=PARTIAL_ARROW)
+
+
 def _partial(batches):
-    """A wrapper of each host, of a task's pages."""
-    known: dict[str, list] = {}
-    first = None
+    """Wrappers of each host and structure, summed over a task's pages."""
+    known: dict[tuple[str, str], list] = {}
     for batch in batches:
         for url, page in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
-            host = host_of(url)
-            first = first if first is not None else zlib.crc32((page or "").encode("utf-8", "surrogatepass")) % SALTS
             items = wrapper(parse(page or ""))
-            if host in known:
-                known[host][0] += 1
-                known[host][1] = merge(known[host][1], items)
+            key = (host_of(url), hashlib.blake2b(_dump(structure(items)).encode("utf-8", "surrogatepass"), digest_size=16).hexdigest())
+            if key in known:
+                known[key][0] += 1
+                known[key][1] = merge(known[key][1], items)
             else:
-                known[host] = [1, items]
-    rows = [(h, first, n, _dump(w)) for h, (n, w) in known.items()]
-    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(PARTIAL_ARROW)], schema=PARTIAL_ARROW)
+                known[key] = [1, items]
+            if len(known) >= HELD:
+                yield _rows(known)
+                known = {}
+    yield _rows(known)
 
 
 def _merged_rows(table: pa.Table) -> pa.Table:
-    """One wrapper of all, in an order that doesn't depend on how rows came."""
-    wrappers = sorted(table.column("wrapper").to_pylist())
-    whole = json.loads(wrappers[0])
-    for w in wrappers[1:]:
-        whole = merge(whole, json.loads(w))
-    row = (table.column("host")[0].as_py(), table.column("salt")[0].as_py(), sum(table.column("pages").to_pylist()), _dump(whole))
+    """One wrapper of all: those of one structure are summed, and the sums aligned in the order of structures."""
+    rows = sorted(zip(*(table.column(c).to_pylist() for c in ("structure", "wrapper")), strict=True))
+    whole: list | None = None
+    for _, same in groupby(rows, key=lambda r: r[0]):
+        one = None
+        for _, w in same:
+            one = json.loads(w) if one is None else merge(one, json.loads(w))
+        whole = one if whole is None else merge(whole, one)
+    row = (table.column("host")[0].as_py(), table.column("salt")[0].as_py() // SALTS, sum(table.column("pages").to_pylist()), rows[0][0], _dump(whole))
     return pa.Table.from_arrays([pa.array([x], f.type) for x, f in zip(row, PARTIAL_ARROW, strict=True)], schema=PARTIAL_ARROW)
 
 
 def _placed(batches):
     for batch in batches:
-        places = ["\t".join(article_place(json.loads(w))) for w in batch.column("wrapper").to_pylist()]
+        places = [article_place(json.loads(w)).dump() for w in batch.column("wrapper").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("pages"), pa.array(places, pa.string())], names=["host", "pages", "place"])
 
 
@@ -399,15 +507,22 @@ def _host(batches):
 
 
 def _read(batches):
+    places: dict[str | None, Place | None] = {}
     for batch in batches:
-        texts = [main_text(h or "", p.split("\t") if p else None) for h, p in zip(batch.column("html").to_pylist(), batch.column("place").to_pylist(), strict=True)]
+        texts = []
+        for page, data in zip(batch.column("html").to_pylist(), batch.column("place").to_pylist(), strict=True):
+            if data not in places:
+                places[data] = Place.load(data)
+            texts.append(main_text(page or "", places[data]))
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
 def host_wrappers(pages: DataFrame) -> DataFrame:
     """(host, pages, wrapper as JSON) from (url, html)."""
-    part = pages.select("url", "html").mapInArrow(_partial, PARTIAL).groupBy("host", "salt").applyInArrow(_merged_rows, PARTIAL)
-    return part.groupBy("host").applyInArrow(_merged_rows, PARTIAL).select("host", "pages", "wrapper")
+    part = pages.select("url", "html").mapInArrow(_partial, PARTIAL).withColumn("salt", F.col("salt") % (SALTS * SALTS))
+    for _ in range(2):
+        part = part.groupBy("host", "salt").applyInArrow(_merged_rows, PARTIAL)
+    return part.withColumn("salt", F.lit(0).cast("long")).groupBy("host").applyInArrow(_merged_rows, PARTIAL).select("host", "pages", "wrapper")
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -416,9 +531,10 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     Null and empty pages have an empty text.  A null or broken url counts as the
     host ''.  Tags left open, raw text with tags in it, and tags that never end are
     read as browsers do, in the main.  Elements may nest to any depth; a host's
-    article is looked for down to DEPTH.  Texts of any length are taken whole.  Repeated rows give equal rows;
-    a repeated page_id is kept as often as it comes.  Other columns are ignored.  An
-    empty table gives no rows.
+    article is looked for down to DEPTH.  Texts of any length are taken whole.  Of two
+    elements with equally much variable text the one that is less deep, then the first,
+    is the article.  Repeated rows give equal rows; a repeated page_id is kept as often
+    as it comes.  Other columns are ignored.  An empty table gives no rows.
     """
     rows = pages.select(F.col(f"`{page_id}`").cast("long").alias("page_id"), F.col(f"`{url}`").cast("string").alias("url"), F.coalesce(F.col(f"`{html}`").cast("string"), F.lit("")).alias("html"))
     places = saved(host_wrappers(rows).mapInArrow(_placed, "host string, pages long, place string"))
