@@ -6,7 +6,6 @@ columns of ``documents``; the last returns each document's ids.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from functools import wraps
 
@@ -43,7 +42,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @_shipping
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts equal but for the case of A-Z, the row with the largest doc_id stays."""
-    return digests.kept_rows(docs, digests.DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}"))
+    with digests.passing_index(spark) as index:
+        return digests.kept_rows(docs, index)
 
 
 @_shipping
