@@ -3,9 +3,9 @@
 N-grams of 1 to ORDER letters or blanks are hashed to FEATURES columns.  Document
 frequencies are counted over all training texts.  The classifier is trained by
 follow-the-regularised-leader with elastic-net penalties on a bounded, stratified
-sample of labelled training texts (``sample`` documents), and its temperature is
-set on a part of that sample kept aside.  As features enter relative to a text's
-length, a text's scores are sums over its n-grams of one table's rows.
+sample of labelled training texts (up to ``sample`` different texts), in one task, and
+its temperature is set on a part of that sample kept aside.  As features enter relative
+to a text's length, a text's scores are sums over its n-grams of one table's rows.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,8 +25,10 @@ from voxelloom.llm import textcore as tc
 ORDER, FEATURE_BITS = 3, 16
 FEATURES = 1 << FEATURE_BITS
 GAP = ORDER
-#: Labelled documents that the classifier is fitted on, about; every label gets an equal share, or all it has.
+#: Different labelled texts that the classifier is fitted on at most; every label gets an equal share, or all it has.
 SAMPLE = 4000
+#: More labels than this are an error: the model has a column for each.
+MOST_LABELS = 1000
 EPOCHS = 4
 #: Learning rate, its offset, and the weights of the absolute and the squared penalty.
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.002, 0.01
@@ -96,7 +98,7 @@ def _frequencies(order: int):
 
 
 def _vectors(order: int):
-    """Features of each text and their relative frequencies."""
+    """Features of each text and their relative frequencies, all for one task."""
 
     def run(batches):
         for batch in batches:
@@ -108,7 +110,7 @@ def _vectors(order: int):
                     f, n = np.unique(np.concatenate([x[off[i] : off[i + 1]] for x in every]), return_counts=True)
                     ids.append(f.astype(np.int32).tobytes())
                     values.append((n / n.sum()).astype(np.float32).tobytes())
-                yield pa.RecordBatch.from_arrays([batch.column("label").slice(lo, hi - lo), pa.array(ids, pa.binary()), pa.array(values, pa.binary())], names=["label", "ids", "tf"])
+                yield pa.RecordBatch.from_arrays([batch.column("label").slice(lo, hi - lo), pa.array(ids, pa.binary()), pa.array(values, pa.binary()), pa.array(np.zeros(hi - lo, np.int32))], names=["label", "ids", "tf", "task"])
 
     return run
 
@@ -173,40 +175,73 @@ class Model:
         return [self.labels[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)], np.where(known, p[np.arange(len(texts)), best], 0.0)
 
 
+FITTED = "weights binary, bias binary, heat double"
+FITTED_ARROW = pa.schema([("weights", pa.binary()), ("bias", pa.binary()), ("heat", pa.float64())])
+
+
+def _fitted(labels: list[str], idf: np.ndarray):
+    """Weights, bias and temperature from the sample's vectors, which are all in one task."""
+
+    def run(table: pa.Table) -> pa.Table:
+        place = {c: i for i, c in enumerate(labels)}
+        vectors = []
+        for c, ids, tf in zip(*(table.column(n) for n in ("label", "ids", "tf")), strict=True):
+            i = np.frombuffer(ids.as_buffer(), np.int32)
+            vectors.append((np.append(i, np.int32(FEATURES)), np.append(np.frombuffer(tf.as_buffer(), np.float32) * idf[i] * SCALE, 1.0), place[c.as_py()]))
+        # The order of training doesn't depend on how rows were dealt out.
+        vectors.sort(key=lambda v: (zlib.crc32(v[0].tobytes()), zlib.crc32(v[1].tobytes()), v[2]))
+        w, heat = fitted(vectors, len(labels))
+        out = [(w[:FEATURES] * idf[:, None] * SCALE).astype(np.float32).tobytes()], [w[FEATURES].tobytes()], [heat]
+        return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(out, FITTED_ARROW, strict=True)], schema=FITTED_ARROW)
+
+    return run
+
+
+def fitted(vectors: list[tuple[np.ndarray, np.ndarray, int]], classes: int) -> tuple[np.ndarray, float]:
+    """Weights, the bias last, and the temperature: every fifth of (features, values, class) is kept aside for it."""
+    aside, fit = vectors[::5], [v for i, v in enumerate(vectors) if i % 5] or vectors
+    model = Ftrl(classes)
+    for _ in range(EPOCHS):
+        for ids, x, c in fit:
+            model.learn(ids, x, c)
+    w = model.weights()
+    logits = np.array([x @ w[ids] for ids, x, _ in aside])
+    return w, temperature(logits, np.array([c for _, _, c in aside]))
+
+
+def drawn_texts(labelled: DataFrame, each: int) -> DataFrame:
+    """(label, text) of up to ``each`` different texts of each label, drawn by a hash of the text, one row each.
+
+    First the hashes are ranked, of which each task passes on ``each`` of a label at
+    most; then the texts are looked up.  Copies of a text count once however many
+    there are.
+    """
+    hashed = labelled.withColumn("draw", F.xxhash64("text", F.lit(6)))
+    rank = F.row_number().over(Window.partitionBy("label").orderBy("draw"))
+    picks = hashed.select("label", "draw").distinct().withColumn("rank", rank).filter(F.col("rank") <= each).select("label", "draw")
+    # Up to ``each`` rows a label.
+    return hashed.join(F.broadcast(picks), ["label", "draw"]).groupBy("label", "draw").agg(F.min("text").alias("text")).select("label", "text")
+
+
 def train(docs: DataFrame, usable: Column, sample: int = SAMPLE, order: int = ORDER, text: str = "text", label: str = "lang") -> Model | None:
     """A model from the rows where ``usable`` holds and text and label aren't null; None where there is no such row."""
     if not 1 <= order <= GAP:
         raise ValueError(f"n-grams of 1 to {GAP} characters are counted")
-    rows = docs.filter(usable).select(F.col(f"`{text}`").cast("string").alias("text"), F.col(f"`{label}`").cast("string").alias("label"), F.xxhash64(F.col(f"`{text}`"), F.lit(6)).alias("draw")).filter("text IS NOT NULL")
-    labelled = rows.filter("label IS NOT NULL")
-    counts = {r.label: r.n for r in labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = docs.filter(usable).select(F.col(f"`{text}`").cast("string").alias("text"), F.col(f"`{label}`").cast("string").alias("label"))
+    labelled = rows.filter("text IS NOT NULL AND label IS NOT NULL")
+    counts = {r.label: r.n for r in labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LABELS + 1).collect()}
     if not counts:
         return None
+    if len(counts) > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels")
     labels = sorted(counts)
-    texts = sum(counts.values())
     df = np.zeros(FEATURES)
     for r in labelled.select("text").mapInArrow(_frequencies(order), "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).toArrow().to_batches():
         df[r.column("feature").to_numpy()] = r.column("n").to_numpy()
-    idf = np.log((1 + texts) / (1 + df)) + 1
-    share = F.create_map(*[x for c in labels for x in (F.lit(c), F.lit(min(1.0, sample / len(labels) / counts[c])))])
-    drawn = labelled.filter(F.pmod("draw", F.lit(1 << 30)) < share[F.col("label")] * (1 << 30))
-    got = drawn.select("label", "text", "draw").mapInArrow(_vectors(order), "label string, ids binary, tf binary").toArrow()
-    place = {c: i for i, c in enumerate(labels)}
-    vectors = []
-    for c, ids, tf in zip(*(got.column(n).to_pylist() for n in ("label", "ids", "tf")), strict=True):
-        i = np.frombuffer(ids, np.int32)
-        vectors.append((np.append(i, FEATURES), np.append(np.frombuffer(tf, np.float32) * idf[i] * SCALE, 1.0), place[c]))
-    # The order of training doesn't depend on how rows were dealt out.
-    vectors.sort(key=lambda v: (zlib.crc32(v[0].tobytes()), zlib.crc32(v[1].tobytes()), v[2]))
-    aside, fit = vectors[::5], [v for i, v in enumerate(vectors) if i % 5] or vectors
-    model = Ftrl(len(labels))
-    for _ in range(EPOCHS):
-        for ids, x, c in fit:
-            model.learn(ids, x, c)
-    w = model.weights()
-    logits = np.array([x @ w[ids] for ids, x, _ in aside])
-    heat = temperature(logits, np.array([c for _, _, c in aside]))
-    return Model(labels, (w[:FEATURES] * idf[:, None] * SCALE).astype(np.float32), w[FEATURES], heat, order)
+    idf = np.log((1 + sum(counts.values())) / (1 + df)) + 1
+    vectors = drawn_texts(labelled, max(1, sample // len(labels))).mapInArrow(_vectors(order), "label string, ids binary, tf binary, task int")
+    got = vectors.groupBy("task").applyInArrow(_fitted(labels, idf), FITTED).first()
+    return Model(labels, np.frombuffer(got.weights, np.float32).reshape(FEATURES, -1), np.frombuffer(got.bias, np.float64), got.heat, order)
 
 
 PREDICTED = "doc_id long, held_out boolean, lang_pred string, score double"
@@ -228,8 +263,9 @@ def identify(docs: DataFrame, held_out: Column, sample: int = SAMPLE, doc_id: st
     One row per input row: doc_id, held_out, lang_pred, score (calibrated
     probability, 0 to 1).  A text that is null or has no letter is ``und`` with
     score 0; so is every text where no row has both text and label to learn from.
-    Only the text enters a prediction.  Very long texts are read whole; repeated
-    rows get equal results; other columns are ignored; an empty table gives no rows.
+    Of equally likely languages the first by code point is taken.  Only the text enters
+    a prediction.  Very long texts are read whole; repeated rows get equal results;
+    other columns are ignored; an empty table gives no rows.
     """
     flag = F.coalesce(held_out, F.lit(False))
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), flag.alias("held_out"), F.col(f"`{text}`").cast("string").alias("text"))
@@ -252,7 +288,9 @@ def _judged(held, text: str):
 def identified_rows(docs: DataFrame, least_score: float, sample: int = SAMPLE, text: str = "text", label: str = "lang") -> DataFrame:
     """The input rows whose text has a letter and a language of ``least_score`` or more, learned from all labelled rows.
 
-    Where no row has both text and label, all texts with a letter stay.
+    Where no row has both text and label, all texts with a letter stay.  Null texts go;
+    of repeated rows all stay or none; very long texts are read whole; all columns are
+    kept as they are; an empty table gives no rows.
     """
     model = train(docs, F.lit(True), sample, text=text, label=label)
     if model is None:
