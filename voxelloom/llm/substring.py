@@ -6,7 +6,9 @@ hashed: for every two starts i, j some shift d < PERIOD puts both i + d and
 j + d on the cover, so every equal run of ``window`` words holds a common
 anchor of ``window - PERIOD + 1`` words at the same offset.  Anchors found in
 one document only are dropped; each other anchor is extended to both sides, to
-all windows of the full length that hold it, and these are compared.
+all windows of the full length that hold it, and these are compared by 96 bits of
+two independent hashes: among 10^13 windows, two different ones would be taken for
+equal with probability below one in a thousand.
 """
 
 from __future__ import annotations
@@ -44,9 +46,9 @@ class _Words:
         self.place = np.arange(len(self.hash)) - self.off[self.doc]
         self.left = self.off[self.doc + 1] - np.arange(len(self.hash)) if len(self.hash) else self.place
 
-    def windows(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+    def windows(self, length: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """Starts of the windows within one document, and the windows' hashes."""
-        h = tc.rolling(self.hash, length)
+        h = tc.rolling(self.hash, length, seed)
         at = np.flatnonzero(self.left[: len(h)] >= length)
         return at, h[at]
 
@@ -72,6 +74,12 @@ def _anchors(window: int, n: int):
     return run
 
 
+def _windows(w: _Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts of all windows, and the two parts of their names."""
+    start, full = w.windows(window)
+    return start, full, (w.windows(window, 1)[1] >> tc.U64(32)).astype(np.uint32)
+
+
 def _extended(window: int, n: int):
     """Windows that hold a shared anchor: of each distinct one, the smallest and largest doc_id in the block."""
 
@@ -80,38 +88,42 @@ def _extended(window: int, n: int):
         if not docs.num_rows or not len(known):
             return bl.letters([])
         texts, ids = tc.Texts.from_arrow(docs.column("text")), docs.column("doc_id").to_numpy()
-        hashes, owners = [], []
+        parts: list[list[np.ndarray]] = [[], [], []]
         for lo, hi in texts.chunks():
             w = _Words(texts.rows(lo, hi))
             at, h, length = w.anchors(window)
             at = at[tc.find(known, h)[1]]
             size = len(w.hash) + 1
             mark = np.bincount(np.maximum(at - (window - length), w.off[w.doc[at]]), minlength=size) - np.bincount(at + 1, minlength=size)
-            start, full = w.windows(window)
+            start, full, second = _windows(w, window)
             on = np.cumsum(mark)[start] > 0
-            hashes.append(full[on])
-            owners.append(ids[lo:hi][w.doc[start[on]]])
-        h, d = np.concatenate(hashes), np.concatenate(owners)
-        h, _, low, high = tc.extremes(h, d)
-        block = bl.block_of(docs)
-        return bl.letters([(b, block, tc.pack(h[s]), tc.transposed(low[s]) + tc.transposed(high[s])) for b, s in tc.by_bucket(h, n)])
+            for part, x in zip(parts, (full[on], second[on], ids[lo:hi][w.doc[start[on]]]), strict=True):
+                part.append(x)
+        h, second, d = (np.concatenate(x) for x in parts)
+        h, one, low, high = tc.extremes(h, d, second)
+        second, block = second[one], bl.block_of(docs)
+        return bl.letters([(b, block, tc.pack(h[s]), tc.transposed(second[s]) + tc.transposed(low[s]) + tc.transposed(high[s] - low[s])) for b, s in tc.by_bucket(h, n)])
 
     return run
 
 
 def _earliest(table: pa.Table) -> pa.Table:
     """Of a bucket: back to each block, the smallest doc_id of each window that a larger doc_id of the block has."""
-    got = list(bl.received(table))
     bucket = table.column("bucket")[0].as_py()
-    bounds = [(tc.restored(m[: len(m) // 2], np.int64), tc.restored(m[len(m) // 2 :], np.int64)) for _, _, m in got]
-    every, low = np.concatenate([h for _, h, _ in got]), np.concatenate([x for x, _ in bounds])
-    keys, _, least, _ = tc.extremes(every, low)
+    got = []
+    for block, h, more in bl.received(table):
+        m = len(h)
+        second, low, beyond = (tc.restored(more[a * m : b * m], t) for a, b, t in ((0, 4, np.uint32), (4, 12, np.int64), (12, 20, np.int64)))
+        got.append((block, h, second, low, low + beyond))
+    every, seconds, lows = (np.concatenate([g[i] for g in got]) for i in (1, 2, 3))
+    keys, one, least, _ = tc.extremes(every, lows, seconds)
+    seconds = seconds[one]
     out = []
-    for (block, hashes, _), (_, high) in zip(got, bounds, strict=True):
-        own = least[np.searchsorted(keys, hashes)]
+    for block, h, second, _, high in got:
+        own = least[tc.find_pairs(keys, seconds, h, second)[0]]
         on = own < high
         if on.any():
-            out.append((bucket, block, tc.pack(hashes[on]), tc.transposed(own[on])))
+            out.append((bucket, block, tc.pack(h[on]), tc.transposed(second[on]) + tc.transposed(own[on])))
     return bl.letters(out)
 
 
@@ -121,23 +133,23 @@ def _removed(window: int):
             return OUT_ARROW.empty_table()
         got = list(bl.received(found)) if found.num_rows else []
         keys = np.concatenate([h for _, h, _ in got]) if got else np.zeros(0, tc.U64)
-        least = np.concatenate([tc.restored(m, np.int64) for _, _, m in got]) if got else np.zeros(0, np.int64)
+        seconds = np.concatenate([tc.restored(m[: 4 * len(h)], np.uint32) for _, h, m in got]) if got else np.zeros(0, np.uint32)
+        least = np.concatenate([tc.restored(m[4 * len(h) :], np.int64) for _, h, m in got]) if got else np.zeros(0, np.int64)
         order = np.argsort(keys)
-        keys, least = keys[order], least[order]
+        keys, seconds, least = keys[order], seconds[order], least[order]
         texts, ids = tc.Texts.from_arrow(docs.column("text")), docs.column("doc_id").to_numpy()
         out: list[list] = [[], [], [], [], [], []]
         for lo, hi in texts.chunks():
             part = texts.rows(lo, hi)
             w = _Words(part)
-            start, full = w.windows(window)
-            at, there = tc.find(keys, full)
-            mine = ids[lo:hi][w.doc[start]] if len(start) else start
-            if len(keys):
-                there &= least[at] < mine
             mark = np.zeros(len(w.hash) + 1, np.int32)
-            hit = start[there]
-            mark[hit] += 1
-            mark[hit + window] -= 1
+            if len(keys):
+                start, full, second = _windows(w, window)
+                at, there = tc.find_pairs(keys, seconds, full, second)
+                there &= least[at] < ids[lo:hi][w.doc[start]]
+                hit = start[there]
+                mark[hit] += 1
+                mark[hit + window] -= 1
             gone = np.cumsum(mark)[:-1] > 0
             total = np.concatenate([[0], np.cumsum(gone)])
             begins = gone.copy()
@@ -165,9 +177,10 @@ def remove_repeated_words(docs: DataFrame, window: int = 50, doc_id: str = "doc_
     One row per input row: doc_id, n_words, n_removed, n_spans (maximal removed
     runs), kept_text (kept words joined by one space), kept_sha256 of its UTF-8.
 
-    Null text has no words. A text of fewer than ``window`` words keeps all.  Rows
-    with equal ids never remove each other's words; rows with a null id count as
-    after all others.  Other columns are ignored.  An empty table gives no rows.
+    Null text has no words. A text of fewer than ``window`` words keeps all; very
+    long texts are read whole.  Rows with equal ids (ties, repeated rows) never remove
+    each other's words; rows with a null id count as after all others.  Other columns
+    are ignored.  An empty table gives no rows.
     """
     n = bl.block_count(docs.sparkSession)
     held = bl.in_blocks(docs, doc_id, text)
