@@ -1,6 +1,6 @@
 import math
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from voxelloom.llm import bloomlm
 from voxelloom.llm import textcore as tc
-from voxelloom.llm.bloomlm import Filter, estimated, filter_piece, fit, fitted_weights, op1_lm_scoring, score, train
+from voxelloom.llm.bloomlm import Counts, Filter, filter_piece, fit, fitted_weights, looked_up, op1_lm_scoring, score, train
 
 
 def tokens(text):
@@ -18,16 +18,35 @@ def tokens(text):
 WEIGHTS = np.tile(np.linspace(0, 0.6, 65), (2, 1)) * np.array([[1.0], [0.5]])
 
 
-def brute(rows, weights):
-    held = {d: zlib.crc32(str(d).encode()) % 7 == 2 for d, _ in rows}
+def is_held(doc):
+    return zlib.crc32(str(doc).encode()) % 7 == 2
+
+
+def counted(rows):
     counts = [Counter(), Counter(), Counter()]
     for d, text in rows:
-        if not held[d]:
+        if not is_held(d):
             t = tokens(text)
             for k in range(3):
                 counts[k].update(tuple(t[i : i + k + 1]) for i in range(len(t) - k))
+    return counts
+
+
+def means(counts):
+    """What a level of each order stands for."""
+    out = []
+    for c in counts:
+        by = defaultdict(list)
+        for n in c.values():
+            by[n.bit_length()].append(n)
+        out.append({q: sum(x) / len(x) for q, x in by.items()} | {0: 0.0})
+    return out
+
+
+def brute(rows, weights):
+    counts = counted(rows)
     n, v = sum(counts[0].values()), len(counts[0])
-    kept = lambda c: 0 if not c else 1.0 if c == 1 else 2.0 ** (c.bit_length() - 0.5)
+    mean = means(counts)
     out = {}
     for d, text in rows:
         t = tokens(text)
@@ -37,13 +56,46 @@ def brute(rows, weights):
             p = (counts[0][(w,)] + 1) / (n + v + 1)
             for k in (1, 2):
                 if i >= k:
-                    c = kept(counts[k][tuple(t[i - k : i + 1])])
+                    c = mean[k][counts[k][tuple(t[i - k : i + 1])].bit_length()]
                     exact = counts[k - 1][tuple(t[i - k : i])]
-                    context = exact if k == 1 else kept(exact)
+                    context = exact if k == 1 else mean[1][exact.bit_length()]
                     a = weights[k - 1][exact.bit_length()]
                     p = a * min(1.0, c / max(context, 1)) + (1 - a) * p
             whole += math.log10(p)
-        out[d] = (held[d], len(t), sum(counts[0][(w,)] > 0 for w in t), n, base, whole)
+        out[d] = (is_held(d), len(t), sum(counts[0][(w,)] > 0 for w in t), n, base, whole)
+    return out
+
+
+def brute_weights(rows):
+    """Weights by expectation maximisation, token by token."""
+    counts = counted(rows)
+    n, v = sum(counts[0].values()), len(counts[0])
+    mean = means(counts)
+    seen = []
+    for d, text in rows:
+        t = tokens(text)
+        for i in range(len(t)) if not is_held(d) else ():
+            x = [max(mean[0][counts[0][(t[i],)].bit_length()], 1.0) / (n + v + 1.0)]
+            for k in (1, 2):
+                q = counts[k - 1][tuple(t[i - k : i])].bit_length() if i >= k else 0
+                r = counts[k][tuple(t[i - k : i + 1])].bit_length() if i >= k else 0
+                ratio = min(1.0, max(mean[k][r] - 1, 0) / max(mean[k - 1][q] - 1, 1)) if r > 1 else 0.0
+                x += [0 if q < 2 else 1 if q == 2 else q, ratio]
+            seen.append(x)
+    out = np.zeros((2, 65))
+    below = [x[0] for x in seen]
+    for k in range(2):
+        a = [0.5] * 65
+        for _ in range(bloomlm.FIT_ROUNDS):
+            share, number = [0.01] * 65, [1.0] * 65
+            for x, b in zip(seen, below):
+                q, up = x[2 * k + 1], a[x[2 * k + 1]] * x[2 * k + 2]
+                share[q] += up / (up + (1 - a[q]) * b)
+                number[q] += 1
+            a = [s / m for s, m in zip(share, number)]
+        known = sorted({x[2 * k + 1] for x in seen} - {0})
+        out[k, 1:] = np.interp(range(1, 65), known, [a[q] for q in known])
+        below = [out[k, x[2 * k + 1]] * x[2 * k + 2] + (1 - out[k, x[2 * k + 1]]) * b for x, b in zip(seen, below)]
     return out
 
 
@@ -55,10 +107,16 @@ def test_filter_errors():
     whole = Filter(1, {0: len(piece)}, piece)
     level = whole.levels(value)
     exact = np.array([int(c).bit_length() for c in count])
-    assert (level >= exact).all() and (level > exact).mean() < 0.06
+    assert (level >= exact).all() and (level > exact).mean() < 0.03
     other = rng.integers(2**62, 2**63, 20_000).astype(tc.U64)
-    assert 0.02 < (whole.levels(other) > 0).mean() < 0.06
-    assert estimated(np.array([0, 1, 3], np.uint8)).tolist() == [0.0, 1.0, 2**2.5]
+    assert 0.01 < (whole.levels(other) > 0).mean() < 0.03
+    # In any order, repeated, and with a bound.
+    some = rng.integers(0, len(value), 5000)
+    assert (looked_up(whole, value[some]) == level[some]).all()
+    assert (looked_up(whole, value[some], 3) == np.minimum(level[some], 3)).all()
+    numbers, sums = np.zeros((2, 1, 65), int)
+    numbers[0, 1:3], sums[0, 1:3] = (4, 2), (4, 5)
+    assert [Counts(numbers, sums).of(1, q) for q in (0, 1, 2, 3)] == [0.0, 1.0, 2.5, 5.5]
 
 
 def test_filter_is_right_in_49_of_50():
@@ -85,6 +143,33 @@ def test_against_brute_force(spark):
         assert r.score == pytest.approx(whole, rel=0.05, abs=1)  # the filter errs to higher counts now and then
 
 
+def test_fitted_default_against_brute_force(spark):
+    # With so many bits the filter makes no error.
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter("length(text) < 4000").orderBy("doc_id").limit(60)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    weights = brute_weights(rows)
+    want = brute(rows, weights)
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    for most in (1 << 28, 0):
+        got = {r.doc_id: r for r in score(docs, held, bits=2000.0, broadcast_bytes=most).collect()}
+        assert got.keys() == want.keys()
+        for d, x in want.items():
+            assert got[d].score == pytest.approx(x[-1], rel=1e-6) and got[d].base_score == pytest.approx(x[-2], rel=1e-9)
+
+
+def test_probabilities_sum_to_one_or_so(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    counts = counted(rows)
+    mean, n, v = means(counts), sum(counts[0].values()), len(counts[0])
+    follow = defaultdict(list)
+    for (a, b), c in counts[1].items():
+        follow[a].append(mean[1][c.bit_length()])
+    # Of all bigram mass, over contexts as often as they come; the rest is add-one, which sums to nearly one.
+    mass = sum(counts[0][(a,)] * sum(min(1.0, x / counts[0][(a,)]) for x in f) for a, f in follow.items()) / sum(counts[0][(a,)] for a in follow)
+    assert abs(mass - 1) < 0.05 and n > v
+
+
 def test_held_out_texts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     held = [r for r in op1_lm_scoring(docs).collect() if r.held_out]

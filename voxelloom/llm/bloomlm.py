@@ -3,7 +3,9 @@
 Counts of n-grams are quantised to levels, 1 + floor(log2(count)), and an n-gram
 of level q is put into a Bloom filter q times, as (n-gram, 1) .. (n-gram, q).  A
 count is read back by probing level 1, 2 .. until one is missing; errors are one
-sided and halve in number with each level.  Probabilities are interpolated,
+sided and halve in number with each level.  A level stands for the mean count that
+n-grams of its order have there, so that over all n-grams of a level the counts read
+back sum to the true ones.  Probabilities are interpolated,
 
     P(w | h) = a * c(hw) / c(h) + (1 - a) * P(w | h'),
 
@@ -41,6 +43,8 @@ PROBES, BITS = 5, 10.0
 BROADCAST_BYTES = 256 << 20
 #: Parts in which the driver gathers and broadcasts it.
 PARTS = 16
+#: Bytes of texts whose n-grams are looked up together, each different one once.
+RUN_BYTES = 1 << 21
 #: Tokens that a task counts together before it passes them on.
 RUN_TOKENS = 1 << 20
 #: Bits of an n-gram's hash that are passed on.
@@ -50,8 +54,8 @@ END = tc.mix(np.array([0x5EED0E4D], tc.U64))[0]
 
 COUNTS = "bucket int, kind int, hashes binary, counts binary"
 COUNTS_ARROW = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())])
-PIECE = "bucket int, tokens long, types long, ngrams long, filter binary"
-PIECE_ARROW = pa.schema([("bucket", pa.int32()), ("tokens", pa.int64()), ("types", pa.int64()), ("ngrams", pa.int64()), ("filter", pa.binary())])
+PIECE = "bucket int, tokens long, types long, numbers array<long>, sums array<long>, filter binary"
+PIECE_ARROW = pa.schema([("bucket", pa.int32()), ("tokens", pa.int64()), ("types", pa.int64()), ("numbers", pa.list_(pa.int64())), ("sums", pa.list_(pa.int64())), ("filter", pa.binary())])
 
 
 def _tokens(texts: tc.Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -70,14 +74,15 @@ def _tokens(texts: tc.Texts) -> tuple[np.ndarray, np.ndarray]:
     return h, out_off
 
 
-def _ngram(h: np.ndarray, off: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the n-grams within one text, and the place of each one's last token."""
-    if order == 1:
-        return _cut(h), np.arange(len(h))
-    full = tc.rolling(h, order)
-    left = (off[1:][tc.owner(off)] - np.arange(len(h)))[: len(full)]
-    at = np.flatnonzero(left >= order)
-    return _cut(full[at]), at + order - 1
+def _ngrams(h: np.ndarray, off: np.ndarray, order: int, least: int = 2):
+    """For orders ``least`` to ``order``: hashes of the n-grams within one text, and the place of each one's last token."""
+    left, full = np.repeat(off[1:], np.diff(off)) - np.arange(len(h)), h
+    for k in range(1, order + 1):
+        if k > 1:
+            full = tc.then(full[:-1], h[k - 1 :])
+        if k >= least:
+            at = np.flatnonzero(left[: len(full)] >= k)
+            yield _cut(full[at]), at + k - 1
 
 
 def _cut(value: np.ndarray) -> np.ndarray:
@@ -107,8 +112,8 @@ def _count(order: int, n: int):
             for lo, hi in texts.chunks():
                 h, off = _tokens(texts.rows(lo, hi))
                 parts[0].append(h)
-                for k in range(2, order + 1):
-                    parts[k - 1].append(_ngram(h, off, k)[0])
+                for part, (value, _) in zip(parts[1:], _ngrams(h, off, order), strict=True):
+                    part.append(value)
                 have += len(h)
                 if have >= RUN_TOKENS:
                     yield letters(parts)
@@ -140,30 +145,45 @@ def _places(value: np.ndarray, level: int, words: np.ndarray | int) -> tuple[np.
     return at, bits
 
 
-def filter_piece(value: np.ndarray, count: np.ndarray) -> np.ndarray:
+def level_of(count: np.ndarray) -> np.ndarray:
+    return np.frexp(count.astype(np.float64))[1].astype(np.uint8)
+
+
+def filter_piece(value: np.ndarray, count: np.ndarray, bits: float = BITS) -> np.ndarray:
     """The filter's words for these n-grams' levels."""
-    level = np.frexp(count.astype(np.float64))[1]
-    out = np.zeros(max(1, math.ceil(level.sum() * BITS / 64)), tc.U64)
+    level = level_of(count)
+    out = np.zeros(max(1, math.ceil(level.sum() * bits / 64)), tc.U64)
     for q in range(1, int(level.max(initial=0)) + 1):
-        at, bits = _places(value[level >= q], q, len(out))
-        np.bitwise_or.at(out, at, bits)
+        at, added = _places(value[level >= q], q, len(out))
+        np.bitwise_or.at(out, at, added)
     return out
 
 
-def _piece(table: pa.Table) -> pa.Table:
-    by: dict[int, list] = {}
-    for kind, hashes, counts in zip(*(table.column(c).to_pylist() for c in ("kind", "hashes", "counts")), strict=True):
-        by.setdefault(kind, []).append((tc.unpack(hashes), tc.restored(counts, np.uint32).astype(np.int64)))
-    words, tokens = _merged(by.pop(1, []))
-    kinds = [(_cut(words), tokens)]
-    while by:
-        kinds.append(_merged(by.popitem()[1]))
-    value, count = _merged(kinds)
-    del kinds
-    row = [table.column("bucket")[0].as_py(), int(tokens.sum()), len(tokens), len(value), filter_piece(value, count).tobytes()]
-    del by, words, value, count
-    tc.release()
-    return pa.Table.from_arrays([pa.array([x], f.type) for x, f in zip(row, PIECE_ARROW, strict=True)], schema=PIECE_ARROW)
+def _piece(order: int, bits: float):
+    """Of a bucket: its part of the filter, and for each order and level the number of n-grams and the sum of their counts."""
+
+    def run(table: pa.Table) -> pa.Table:
+        by: dict[int, list] = {}
+        for kind, hashes, counts in zip(*(table.column(c).to_pylist() for c in ("kind", "hashes", "counts")), strict=True):
+            by.setdefault(kind, []).append((tc.unpack(hashes), tc.restored(counts, np.uint32).astype(np.int64)))
+        numbers, sums = np.zeros((2, order, LEVELS), np.int64)
+        kinds, tokens, types = [], 0, 0
+        for k in range(1, order + 1):
+            value, count = _merged(by.pop(k, []))
+            level = level_of(count)
+            numbers[k - 1] = np.bincount(level, minlength=LEVELS)
+            sums[k - 1] = np.bincount(level, count, minlength=LEVELS).astype(np.int64)
+            if k == 1:
+                tokens, types = int(count.sum()), len(count)
+            kinds.append((_cut(value), count))
+        value, count = (np.concatenate(x) for x in zip(*kinds, strict=True))
+        del kinds
+        row = [table.column("bucket")[0].as_py(), tokens, types, numbers.ravel().tolist(), sums.ravel().tolist(), filter_piece(value, count, bits).tobytes()]
+        del value, count
+        tc.release()
+        return pa.Table.from_arrays([pa.array([x], f.type) for x, f in zip(row, PIECE_ARROW, strict=True)], schema=PIECE_ARROW)
+
+    return run
 
 
 class Filter:
@@ -174,20 +194,24 @@ class Filter:
         size = np.array([sizes.get(b, 0) // 8 for b in range(n)], np.int64)
         self.begin, self.size = np.cumsum(size) - size, size
 
-    def levels(self, value: np.ndarray) -> np.ndarray:
-        """Levels of n-grams; 0 for those that aren't there, or whose bucket has no piece here."""
+    def levels(self, value: np.ndarray, most: np.ndarray | int = LEVELS) -> np.ndarray:
+        """Levels of n-grams, up to ``most``; 0 for those that aren't there, or whose bucket has no piece here."""
         level = np.zeros(len(value), np.uint8)
         if not self.data or not len(value):
             return level
         words = np.frombuffer(self.data, tc.U64)
         bucket = ((value >> tc.U64(32)) * tc.U64(self.n) >> tc.U64(32)).astype(np.int64)
-        left = np.flatnonzero(self.size[bucket] > 0)
-        q = 1
+        most = np.broadcast_to(np.asarray(most, np.uint8), len(value))
+        left = np.flatnonzero((self.size[bucket] > 0) & (most > 0))
+        if len(left) < len(value):
+            value, bucket, most = value[left], bucket[left], most[left]
+        size, begin, q = self.size[bucket], self.begin[bucket], 1
         while len(left):
-            b = bucket[left]
-            at, bits = _places(value[left], q, self.size[b])
-            left = left[(words[at + self.begin[b]] & bits) == bits]
-            level[left] = q
+            at, bits = _places(value, q, size)
+            on = (words[at + begin] & bits) == bits
+            level[left[on]] = q
+            on &= most > q
+            left, value, size, begin, most = left[on], value[on], size[on], begin[on], most[on]
             q += 1
         return level
 
@@ -198,27 +222,42 @@ class Parts:
     def __init__(self, n: int, step: int, parts: list):
         self.n, self.step, self.parts = n, step, parts
 
-    def levels(self, value: np.ndarray) -> np.ndarray:
-        level = np.zeros(len(value), np.uint8)
-        part = (((value >> tc.U64(32)) * tc.U64(self.n) >> tc.U64(32)) // tc.U64(self.step)).astype(np.uint8)
-        for p, held in enumerate(self.parts):
-            mine = np.flatnonzero(part == p)
-            if len(mine):
-                level[mine] = held.value.levels(value[mine])
-        return level
+    def levels(self, value: np.ndarray, most: np.ndarray | int = LEVELS) -> np.ndarray:
+        """Of sorted n-grams, which fall into one part after the other."""
+        most = np.broadcast_to(np.asarray(most, np.uint8), len(value))
+        cut = np.append(np.searchsorted(value, tc.bucket_edges(self.n)[:: self.step]), len(value))
+        return np.concatenate([np.zeros(0, np.uint8), *[held.value.levels(value[a:b], most[a:b]) for held, a, b in zip(self.parts, cut[:-1], cut[1:], strict=True) if a < b]])
 
 
-def estimated(level: np.ndarray) -> np.ndarray:
-    """Counts that stand for the levels: the middle of their range on the logarithmic scale."""
-    table = np.array([0.0] + [1.0] + [2.0 ** (q - 0.5) for q in range(2, 257)])
-    return table[level]
+def looked_up(held, value: np.ndarray, most: np.ndarray | int = LEVELS) -> np.ndarray:
+    """Levels of n-grams in any order: each different one is looked up once, in order of hash."""
+    order = np.argsort(value)
+    dealt = value[order]
+    first = tc.runs(dealt)
+    if not len(first):
+        return np.zeros(0, np.uint8)
+    most = np.maximum.reduceat(np.broadcast_to(np.asarray(most, np.uint8), len(value))[order], first)
+    level = np.empty(len(value), np.uint8)
+    level[order] = np.repeat(held.levels(dealt[first], most), np.diff(np.append(first, len(value))))
+    return level
+
+
+class Counts:
+    """What the levels of each order stand for: the mean count of the n-grams there."""
+
+    def __init__(self, numbers: np.ndarray, sums: np.ndarray):
+        plain = np.concatenate([[0.0], 1.5 * 2.0 ** np.arange(LEVELS - 1) - 0.5])
+        self.table = np.where(numbers > 0, sums / np.maximum(numbers, 1), plain)
+
+    def of(self, order: int, level: np.ndarray) -> np.ndarray:
+        return self.table[order - 1][level]
 
 
 class Model:
-    """A trained model: order, numbers of tokens and types, and the table of the filter's pieces with their sizes."""
+    """A trained model: order, numbers of tokens and types, what levels stand for, and the table of the filter's pieces with their sizes."""
 
-    def __init__(self, order: int, tokens: int, types: int, buckets: int, pieces: DataFrame, sizes: dict[int, int]):
-        self.order, self.tokens, self.types, self.buckets, self.pieces, self.sizes = order, tokens, types, buckets, pieces, sizes
+    def __init__(self, order: int, tokens: int, types: int, counts: Counts, buckets: int, pieces: DataFrame, sizes: dict[int, int]):
+        self.order, self.tokens, self.types, self.counts, self.buckets, self.pieces, self.sizes = order, tokens, types, counts, buckets, pieces, sizes
 
     def broadcast(self) -> Parts:
         """The filter at every worker, gathered and broadcast part by part, so that the driver holds one part at a time; its size is checked before."""
@@ -232,21 +271,17 @@ class Model:
         return Parts(self.buckets, step, parts)
 
 
-def train(texts: DataFrame, order: int = ORDER, text: str = "text") -> Model:
+def train(texts: DataFrame, order: int = ORDER, text: str = "text", bits: float = BITS) -> Model:
     """Counts all n-grams of orders 2 to ``order`` within texts, each ended by an end token.
 
     Null texts are empty and count one end.  Nothing is cut off or sampled.
     """
     n = 2 * bl.block_count(texts.sparkSession)
     rows = texts.select(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
-    counts = rows.mapInArrow(_count(order, n), COUNTS)
-    pieces = saved(counts.groupBy("bucket").applyInArrow(_piece, PIECE))
-    sizes = pieces.select("bucket", "tokens", "types", F.length("filter").alias("bytes")).toArrow().to_pydict()
-    return Model(order, sum(sizes["tokens"]), sum(sizes["types"]), n, pieces, dict(zip(sizes["bucket"], sizes["bytes"], strict=True)))
-
-
-def _probe_values(h: np.ndarray, off: np.ndarray, order: int, least: int = 2) -> list[tuple[np.ndarray, np.ndarray]]:
-    return [_ngram(h, off, k) for k in range(least, order + 1)]
+    pieces = saved(rows.mapInArrow(_count(order, n), COUNTS).groupBy("bucket").applyInArrow(_piece(order, bits), PIECE))
+    sizes = pieces.select("bucket", "tokens", "types", "numbers", "sums", F.length("filter").alias("bytes")).toArrow().to_pydict()
+    numbers, sums = (np.sum([np.zeros(order * LEVELS, np.int64), *sizes[c]], axis=0).reshape(order, LEVELS) for c in ("numbers", "sums"))
+    return Model(order, sum(sizes["tokens"]), sum(sizes["types"]), Counts(numbers, sums), n, pieces, dict(zip(sizes["bucket"], sizes["bytes"], strict=True)))
 
 
 def _asked(order: int, n: int, least: int = 2):
@@ -256,7 +291,7 @@ def _asked(order: int, n: int, least: int = 2):
         texts, parts = tc.Texts.from_arrow(table.column("text")), []
         for lo, hi in texts.chunks():
             h, off = _tokens(texts.rows(lo, hi))
-            parts.append(np.unique(np.concatenate([value for value, _ in _probe_values(h, off, order, least)])))
+            parts.append(np.unique(np.concatenate([value for value, _ in _ngrams(h, off, order, least)])))
         value, block = np.unique(np.concatenate(parts)), bl.block_of(table)
         return bl.letters([(b, block, tc.pack(value[s]), b"") for b, s in tc.by_bucket(value, n)])
 
@@ -289,9 +324,9 @@ class _Answers:
         order = np.argsort(self.value)
         self.value, self.level = self.value[order], self.level[order]
 
-    def levels(self, value: np.ndarray) -> np.ndarray:
+    def levels(self, value: np.ndarray, most: np.ndarray | int = LEVELS) -> np.ndarray:
         at, there = tc.find(self.value, value)
-        return np.where(there, self.level[at], 0).astype(np.uint8) if len(self.value) else np.zeros(len(value), np.uint8)
+        return np.minimum(np.where(there, self.level[at], 0), most).astype(np.uint8) if len(self.value) else np.zeros(len(value), np.uint8)
 
 
 def _told(n: int):
@@ -328,7 +363,7 @@ def _bounded(held, value: np.ndarray, at: np.ndarray, below: np.ndarray) -> np.n
     most = np.minimum(below[at], below[at - 1])
     value, at, most = value[most > 0], at[most > 0], most[most > 0]
     level = np.zeros(len(below), np.uint8)
-    level[at] = np.minimum(most, held.levels(value))
+    level[at] = looked_up(held, value, most)
     return level
 
 
@@ -340,27 +375,28 @@ class _Tally:
     """Tokens of training texts counted by their levels: the word's, and for each order those of h and hw."""
 
     def __init__(self, order: int):
-        self.order, self.tokens = order, {}
+        self.order, self.width = order, 2 * order - 1
+        self.rows, self.tokens = np.zeros((0, -(-self.width // 8) * 8), np.uint8), np.zeros(0, np.int64)
 
     def add(self, texts: tc.Texts, held) -> None:
-        for lo, hi in texts.chunks():
+        for lo, hi in texts.chunks(RUN_BYTES):
             h, off = _tokens(texts.rows(lo, hi))
-            below = held.levels(_cut(h))
-            width = 2 * self.order - 1
-            seen = np.zeros((len(h), -(-width // 8) * 8), np.uint8)
+            below = looked_up(held, _cut(h))
+            seen = np.zeros((len(h), self.rows.shape[1]), np.uint8)
             seen[:, 0] = below
-            for k, (value, at) in enumerate(_probe_values(h, off, self.order)):
+            for k, (value, at) in enumerate(_ngrams(h, off, self.order)):
                 level = _bounded(held, value, at, below)
                 seen[at, 2 * k + 1], seen[at, 2 * k + 2] = below[at - 1], level[at]
                 below = level
-            words = seen.view(tc.U64)
-            value, count = np.unique(words[:, 0], return_counts=True) if words.shape[1] == 1 else np.unique(words, axis=0, return_counts=True)
-            for row, n in zip(np.ascontiguousarray(value).view(np.uint8).reshape(len(value), -1)[:, :width], count.tolist(), strict=True):
-                key = row.tobytes()
-                self.tokens[key] = self.tokens.get(key, 0) + n
+            rows, tokens = np.concatenate([self.rows, seen]), np.concatenate([self.tokens, np.ones(len(seen), np.int64)])
+            words = rows.view(tc.U64)
+            order = np.argsort(words[:, 0]) if words.shape[1] == 1 else np.lexsort(words.T)
+            words = words[order]
+            first = np.flatnonzero(np.append(True, (words[1:] != words[:-1]).any(axis=1)))
+            self.rows, self.tokens = rows[order[first]], np.add.reduceat(tokens[order], first)
 
     def columns(self) -> list[pa.Array]:
-        return [pa.array(list(self.tokens), pa.binary()), pa.array(list(self.tokens.values()), pa.int64())]
+        return [pa.array([r.tobytes() for r in self.rows[:, : self.width]], pa.binary()), pa.array(self.tokens)]
 
 
 def _observed_where_they_are(order: int, parts: Parts):
@@ -389,15 +425,15 @@ def _observed(order: int):
     return run
 
 
-def _left_out(levels: np.ndarray, order: int, tokens: int, types: int) -> np.ndarray:
+def _left_out(levels: np.ndarray, counts: Counts, order: int, tokens: int, types: int) -> np.ndarray:
     """What tokens of these levels show with their own counts left out: the word's probability, and for each order the level of c(h) and c(hw) / c(h)."""
     seen = np.zeros((2 * order - 1, len(levels)))
-    seen[0] = np.maximum(estimated(levels[:, 0]), 1.0) / (tokens + types + 1.0)
+    seen[0] = np.maximum(counts.of(1, levels[:, 0]), 1.0) / (tokens + types + 1.0)
     for k in range(order - 1):
         context, level = levels[:, 2 * k + 1], levels[:, 2 * k + 2]
         seen[2 * k + 1] = np.where(context == 2, 1, context) * (context > 1)
-        count = np.maximum(estimated(level) - 1.0, 0.0) * (level > 1)
-        seen[2 * k + 2] = np.minimum(1.0, count / np.maximum(estimated(context) - 1.0, 1.0))
+        count = np.maximum(counts.of(k + 2, level) - 1.0, 0.0) * (level > 1)
+        seen[2 * k + 2] = np.minimum(1.0, count / np.maximum(counts.of(k + 1, context) - 1.0, 1.0))
     return seen
 
 
@@ -428,7 +464,7 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score
 SCORES_ARROW = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
-def _scored(order: int, tokens: int, types: int, weights: np.ndarray, parts: Parts | None):
+def _scored(order: int, tokens: int, types: int, counts: Counts, weights: np.ndarray, parts: Parts | None):
     def run(docs: pa.Table, words: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return SCORES_ARROW.empty_table()
@@ -442,19 +478,20 @@ def _scored(order: int, tokens: int, types: int, weights: np.ndarray, parts: Par
         known, total = known[place], total[place]
         texts = tc.Texts.from_arrow(docs.column("text"))
         cols: list[list[np.ndarray]] = [[], [], [], []]
-        for lo, hi in texts.chunks():
+        for lo, hi in texts.chunks(RUN_BYTES):
             h, off = _tokens(texts.rows(lo, hi))
             count = total[np.searchsorted(known, h)]
             base = np.log10((count + 1.0) / (tokens + (types + 1.0)))
             p = (count + 1.0) / (tokens + types + 1.0)
             # Of the order before, by the place of its last token: count and level.
-            context, below = count.astype(np.float64), np.frexp(count.astype(np.float64))[1].astype(np.uint8)
-            for k, (value, at) in enumerate(_probe_values(h, off, order)):
+            context, below = count.astype(np.float64), level_of(count)
+            for k, (value, at) in enumerate(_ngrams(h, off, order)):
                 level = _bounded(held, value, at, below)
                 count_before = context[at - 1]
                 a = weights[k][below[at - 1]]
-                p[at] = a * np.minimum(1.0, estimated(level[at]) / np.maximum(count_before, 1.0)) + (1 - a) * p[at]
-                context, below = estimated(level), level
+                read = counts.of(k + 2, level)
+                p[at] = a * np.minimum(1.0, read[at] / np.maximum(count_before, 1.0)) + (1 - a) * p[at]
+                context, below = read, level
             cut = off[:-1]
             for col, x in zip(cols, (np.diff(off), np.add.reduceat((count > 0).astype(np.int64), cut), np.add.reduceat(base, cut), np.add.reduceat(np.log10(p), cut)), strict=True):
                 col.append(x)
@@ -473,42 +510,44 @@ def fit(model: Model, texts: DataFrame, parts: Parts | None = None, doc_id: str
         seen = rows.select("text").mapInArrow(_observed_where_they_are(order, parts), SEEN)
     else:
         few = bl.partitions(texts.sparkSession)
-        held = rows.select("text", F.pmod(F.xxhash64("doc_id"), F.lit(few)).cast("int").alias("block")).repartition(few, "block")
+        held = rows.select("text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(few)).cast("int").alias("block")).repartition(few, "block")
         asked = held.groupBy("block").applyInArrow(_asked(order, n, 1), bl.LETTER)
         answers = asked.groupBy("bucket").cogroup(model.pieces.select("bucket", "filter").groupBy("bucket")).applyInArrow(_answered(n), bl.LETTER)
         seen = held.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_observed(order), SEEN)
     table = seen.groupBy("levels").agg(F.sum("tokens").alias("tokens")).toArrow().sort_by("levels")
     levels = np.frombuffer(b"".join(table.column("levels").to_pylist()), np.uint8).reshape(-1, 2 * order - 1)
-    return fitted_weights(_left_out(levels, order, model.tokens, model.types), order, times=table.column("tokens").to_numpy().astype(float))
+    return fitted_weights(_left_out(levels, model.counts, order, model.tokens, model.types), order, times=table.column("tokens").to_numpy().astype(float))
 
 
-def score(docs: DataFrame, held_out, order: int = ORDER, weights: np.ndarray | None = None, broadcast_bytes: int = BROADCAST_BYTES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def score(docs: DataFrame, held_out, order: int = ORDER, weights: np.ndarray | None = None, broadcast_bytes: int = BROADCAST_BYTES, bits: float = BITS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Train on the rows for which ``held_out`` is not true and score all rows.
 
     Texts are lower-cased in A-Z only; tokens are runs without white space, then one
     end.  One row per input row: doc_id, held_out, n_tokens, n_known (tokens that
     training has), base_score (sum of log10 of add-one word probabilities, from
     exact counts over all training rows), score (log10 probability under the
-    n-gram model), train_tokens, train_types.  ``weights`` are fitted unless given.
+    n-gram model), train_tokens, train_types.  ``weights`` are fitted unless given;
+    ``bits`` of filter for each level of an n-gram set its error rate.
 
     Null and empty texts are one end token.  Where no row trains, every probability
     is that of an empty corpus.  Null ids are allowed; repeated rows are counted
-    and scored each.  Other columns are ignored.  An empty table gives no rows.
+    and scored each, and get equal results.  Very long texts are taken whole.  Other
+    columns are ignored.  An empty table gives no rows.
     """
     spark = docs.sparkSession
     n = bl.block_count(spark)
     flagged = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    model = train(flagged.filter(~F.col("held_out")), order)
+    model = train(flagged.filter(~F.col("held_out")), order, bits=bits)
     parts = model.broadcast() if sum(model.sizes.values()) <= broadcast_bytes else None
     if weights is None:
         weights = fit(model, flagged.filter(~F.col("held_out")), parts)
-    held = flagged.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")).withColumn("doc_id", F.coalesce("doc_id", F.lit(bl.NO_ID))).repartition(bl.partitions(spark), "block")
+    held = flagged.withColumn("doc_id", bl.known_id(F.col("doc_id"))).withColumn("block", bl.block_number(spark)).repartition(bl.partitions(spark), "block")
     told = held.groupBy("block").applyInArrow(_told(n), bl.LETTER)
     answers = told.groupBy("bucket").applyInArrow(_totals, bl.LETTER)
     if parts is None:
         asked = held.groupBy("block").applyInArrow(_asked(order, model.buckets), bl.LETTER)
         answers = answers.unionByName(asked.groupBy("bucket").cogroup(model.pieces.select("bucket", "filter").groupBy("bucket")).applyInArrow(_answered(model.buckets), bl.LETTER))
-    out = held.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scored(order, model.tokens, model.types, weights, parts), SCORES)
+    out = held.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scored(order, model.tokens, model.types, model.counts, weights, parts), SCORES)
     return out.withColumn("train_tokens", F.lit(model.tokens).cast("long")).withColumn("train_types", F.lit(model.types).cast("long"))
 
 

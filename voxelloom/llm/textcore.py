@@ -273,8 +273,8 @@ def restored(data: bytes, dtype) -> np.ndarray:
 
 
 def bucket_edges(n: int) -> np.ndarray:
-    """Smallest hash of each of n buckets that cut the 64-bit range evenly."""
-    return np.array([-(-(b << 64) // n) for b in range(n)], U64)
+    """Smallest hash of each of n buckets that cut the range of the upper 32 bits evenly."""
+    return np.array([-(-(b << 32) // n) << 32 for b in range(n)], U64)
 
 
 def by_bucket(sorted_hashes: np.ndarray, n: int) -> Iterator[tuple[int, slice]]:
