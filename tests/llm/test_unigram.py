@@ -78,3 +78,25 @@ def test_odd_rows(spark):
     back = {r.doc_id: r.text for r in decode_ids(encode(docs)).collect()}
     assert back[4] == rows[5][1] and back[3] == "A b" and back[1] == "" and back[None] == " "
     assert op8_sentencepiece(docs.limit(0)).collect() == []
+
+
+def test_many_long_stretches():
+    rng = np.random.default_rng(3)
+    letters = "日本語のテキスト中文字é🦙abcthing"
+    texts = ["".join(rng.choice(list(letters), rng.integers(30, 400))) for _ in range(120)]
+    ids, back = ours(texts)
+    v = vocabulary(MODEL)
+    assert back == texts and ids == [segment_one(v, ("▁" + t).encode()) for t in texts]
+
+
+def test_stretches_of_one_hash(monkeypatch):
+    texts = ["one two", "two one  three", "éé 日本 one"]
+    want = ours(texts)
+    for few in (1, 2, 7):
+        monkeypatch.setattr(tc.Texts, "span_hashes", lambda self, a, b, few=few: ((b - a) % few).astype(tc.U64))
+        assert ours(texts) == want
+    # Those of one run are kept for the next.
+    encoder = Encoder(vocabulary(MODEL))
+    for t, w in zip(texts, want[0], strict=True):
+        raw = np.frombuffer(t.encode(), np.uint8)
+        assert encoder.encode(tc.Texts(raw, np.array([0, len(raw)])))[0].tolist() == w

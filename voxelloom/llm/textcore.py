@@ -65,7 +65,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 _ODD = U64(0x9FB21C651E98DF25)
 _SEEDS = [U64((k * 0x9E3779B97F4A7C15 + 0xD1B54A32D192ED03) & (1 << 64) - 1) for k in range(1, 9)]
 #: Of eight bytes read as one number, those that the first k are.
-_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
+FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
 #: Spans of up to so many bytes are hashed by array steps.
 SHORT = 128
 
@@ -143,7 +143,7 @@ class Texts:
         at = np.flatnonzero((size > 0) & (size <= SHORT))
         h, place, left = out[at], starts[at], size[at]
         while len(at):
-            h = then(h, eights[place] & _FIRST[np.minimum(left, 8)])
+            h = then(h, eights[place] & FIRST[np.minimum(left, 8)])
             done = left <= 8
             out[at[done]] = h[done]
             on = ~done
@@ -159,7 +159,7 @@ class Texts:
         if n < 1:
             return np.zeros(0, U64)
         eights = by_eights(self.buf)
-        h = mix((eights[:n] & _FIRST[min(length, 8)]) + _SEEDS[0])
+        h = mix((eights[:n] & FIRST[min(length, 8)]) + _SEEDS[0])
         for k in range(8, length, 8):
             k = min(k, length - 8)
             h = then(h, eights[k : k + n])

@@ -4,8 +4,9 @@ Pieces and their log scores are read from a SentencePiece model file.  Spaces
 become markers and one marker goes before the text.  As no piece has a marker
 after another character, a token ends before each run of markers, so the best
 segmentation of a text is that of its stretches "markers, then other characters".
-Distinct stretches are segmented together, one array step for each place and
-depth in the trie, and kept for the texts that follow in the task.
+Distinct stretches are segmented together, those of about one length at a time, one
+array step for each place and depth in the trie, and kept for the texts that follow in
+the task.  They are found again by hash, and their bytes compared.
 """
 
 from __future__ import annotations
@@ -26,10 +27,8 @@ MARK = "▁".encode()
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Less than the worst piece by so much scores a character that no piece is.
 UNKNOWN_PENALTY = 10.0
-#: Longer stretches are segmented one by one.
-TOGETHER = 64
-#: Stretches segmented at once.
-AT_ONCE = 1 << 13
+#: Stretches segmented at once, and their number times the bytes of the longest; fewer than FEW are segmented one by one.
+AT_ONCE, CELLS, FEW = 1 << 13, 1 << 20, 12
 #: Stretches that a task keeps, and bytes of texts it takes at a time.
 KEPT, RUN_BYTES = 1 << 18, 512 << 10
 
@@ -213,20 +212,21 @@ def segment_one(v: Vocabulary, text: bytes) -> list[int]:
 def segment_many(v: Vocabulary, texts: tc.Texts) -> tuple[np.ndarray, np.ndarray]:
     """Ids of many stretches, end to end, and their offsets."""
     size = np.diff(texts.off)
-    rows = np.flatnonzero(size <= TOGETHER)
-    rows = rows[np.argsort(size[rows], kind="stable")]
+    rows = np.argsort(size, kind="stable")
     order, counts, flats = [], [], []
-    for i in np.flatnonzero(size > TOGETHER):
-        ids = segment_one(v, texts.text(i))
-        order.append([i])
-        counts.append([len(ids)])
-        flats.append(np.array(ids, np.int32))
-    for lo in range(0, len(rows), AT_ONCE):
-        part = rows[lo : lo + AT_ONCE]
-        flat, count = _segment_short(v, texts, part)
-        order.append(part)
+    while len(rows):
+        # The longest ones left: as many as have their places at once, none of them much shorter than the longest.
+        longest = int(size[rows[-1]])
+        n = min(AT_ONCE, max(1, CELLS // longest), len(rows) - int(np.searchsorted(size[rows], longest // 2)))
+        if n < FEW:
+            ids = [np.array(segment_one(v, texts.text(i)), np.int32) for i in rows[-n:]]
+            flat, count = np.concatenate(ids), np.array([len(x) for x in ids])
+        else:
+            flat, count = _segment_together(v, texts, rows[-n:])
+        order.append(rows[-n:])
         counts.append(count)
         flats.append(flat)
+        rows = rows[:-n]
     if not order:
         return np.zeros(0, np.int32), np.zeros(len(size) + 1, np.int64)
     place = np.empty(len(size), np.int64)
@@ -236,7 +236,7 @@ def segment_many(v: Vocabulary, texts: tc.Texts) -> tuple[np.ndarray, np.ndarray
     return _gather(np.concatenate(flats), begin[place], count[place]), np.concatenate([[0], np.cumsum(count[place])])
 
 
-def _segment_short(v: Vocabulary, texts: tc.Texts, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _segment_together(v: Vocabulary, texts: tc.Texts, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ids of the stretches ``rows``, end to end, and their numbers."""
     length = np.diff(texts.off)[rows]
     longest, n = int(length.max()), len(rows)
@@ -246,7 +246,7 @@ def _segment_short(v: Vocabulary, texts: tc.Texts, rows: np.ndarray) -> tuple[np
     grid[col, row] = texts.buf[np.repeat(texts.off[rows], length) + col]
     base, check, value = v.trie.base, v.trie.check, v.trie.value
     best = np.full((longest + 1, n), -np.inf)
-    back, piece = np.zeros((longest + 1, n), np.int16), np.full((longest + 1, n), -1, np.int32)
+    back, piece = np.zeros((longest + 1, n), np.int32), np.full((longest + 1, n), -1, np.int32)
     best[0] = 0.0
     for s in range(longest):
         alive = np.flatnonzero((best[s] > -np.inf) & (length > s))
@@ -313,6 +313,8 @@ class Encoder:
 
     def clear(self) -> None:
         self.key, self.begin, self.size, self.ids = np.zeros(0, tc.U64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        # The stretches themselves.
+        self.at, self.length, self.bytes = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
 
     def marked(self, texts: tc.Texts) -> tc.Texts:
         """Texts with one marker before each that isn't empty, and markers for spaces."""
@@ -346,28 +348,48 @@ class Encoder:
         start[m.off[:-1][np.diff(m.off) > 0]] = True
         begin = np.flatnonzero(start)
         end = np.append(begin[1:], n)
-        h = m.span_hashes(begin, end)
-        key, one, which = np.unique(h, return_index=True, return_inverse=True)
+        length = end - begin
+        key, one, which = np.unique(m.span_hashes(begin, end), return_index=True, return_inverse=True)
         if len(self.key) > KEPT:
             self.clear()
-        new = ~tc.find(self.key, key)[1]
-        if new.any():
-            b, e = begin[one[new]], end[one[new]]
-            size = e - b
+        at, there = tc.find(self.key, key)
+        known = np.flatnonzero(there)
+        if not (_same(buf, begin, length, buf, begin[one[which]], length[one[which]]) and _same(buf, begin[one[known]], length[one[known]], self.bytes, self.at[at[known]], self.length[at[known]])):
+            # Different stretches of one hash: all are segmented for themselves.
+            ids, off = segment_many(self.v, tc.Texts(buf, np.append(begin, n)))
+            return ids, off[np.searchsorted(begin, m.off)]
+        if not there.all():
+            b, size = begin[one[~there]], length[one[~there]]
             stretch = tc.Texts(_gather(buf, b, size), np.concatenate([[0], np.cumsum(size)]))
             ids, off = segment_many(self.v, stretch)
-            keys = np.concatenate([self.key, key[new]])
+            keys = np.concatenate([self.key, key[~there]])
             order = np.argsort(keys, kind="stable")
             self.key = keys[order]
             self.begin = np.concatenate([self.begin, off[:-1] + len(self.ids)])[order]
             self.size = np.concatenate([self.size, np.diff(off)])[order]
-            self.ids = np.concatenate([self.ids, ids])
+            self.at = np.concatenate([self.at, stretch.off[:-1] + len(self.bytes)])[order]
+            self.length = np.concatenate([self.length, size])[order]
+            self.ids, self.bytes = np.concatenate([self.ids, ids]), np.concatenate([self.bytes, stretch.buf])
         at = np.searchsorted(self.key, key)[which]
         size = self.size[at]
         total = np.concatenate([[0], np.cumsum(size)])
         return _gather(self.ids, self.begin[at], size), total[np.searchsorted(begin, m.off)]
 
 
+def _same(a: np.ndarray, a_begin: np.ndarray, a_size: np.ndarray, b: np.ndarray, b_begin: np.ndarray, b_size: np.ndarray) -> bool:
+    """Whether all spans have the bytes of their counterparts."""
+    if not np.array_equal(a_size, b_size):
+        return False
+    x, y = tc.by_eights(a), tc.by_eights(b)
+    while len(a_size):
+        differ = x[a_begin] ^ y[b_begin]
+        if (differ & tc.FIRST[np.minimum(a_size, 8)]).any():
+            return False
+        on = a_size > 8
+        a_begin, b_begin, a_size = a_begin[on] + 8, b_begin[on] + 8, a_size[on] - 8
+    return True
+
+
 def decode(v: Vocabulary, ids: np.ndarray, off: np.ndarray) -> tc.Texts:
     """Texts of ids; the marker that encoding puts first goes, and bytes that are no UTF-8 stay as they are."""
     size = v.said_size[ids]
@@ -418,7 +440,8 @@ def encode(docs: DataFrame, model: str = MODEL, with_text: bool = False, doc_id:
     again), text_out (the decoded text; null unless ``with_text``).
 
     ``model`` is read on the driver and broadcast; its size is that of a vocabulary.
-    Null and empty texts have no ids.  A text with the marker character itself
+    Of equally good segmentations the one whose last piece is longest is taken.  Null
+    and empty texts have no ids.  A text with the marker character itself
     decodes to a space there, as in SentencePiece.  Very long texts are taken
     whole, and stretches without a space of any length.  Repeated rows give equal
     rows; other columns are ignored; an empty table gives no rows.
