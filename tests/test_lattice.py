@@ -100,12 +100,77 @@ def test_bag_of_features(spark, voxels):
 
 def test_saved_dataset(spark, tmp_path):
     found = spark.createDataFrame([("b", 1, [1.0]), ("a", 2, [2.0]), ("a", 1, [3.0])], "bag string, roi_id long, features array<double>")
-    marks = spark.createDataFrame([("a", 1, 5.0)], "bag string, roi_id long, label double")
-    instances, known = tools.assemble_dataset(found, spark.createDataFrame([("a", 1.0)], "bag string, label double"), marks)
+    marks = spark.createDataFrame([("a", 1, 5.0), ("a", 2, 6.0), ("b", 1, 7.0)], "bag string, roi_id long, label double")
+    named = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "bag string, label double")
+    instances, known = tools.assemble_dataset(found, named, marks)
     tools.save_dataset(instances, known, str(tmp_path))
     got = spark.read.parquet(str(tmp_path / "instances")).orderBy("inst_idx").collect()
-    assert [(r.inst_idx, r.bag_idx, r.features, r.label) for r in got] == [(0, 0, [3.0], 5.0), (1, 0, [2.0], 0.0), (2, 1, [1.0], 0.0)]
-    assert [(r.bag, r.n_instances, r.label) for r in spark.read.parquet(str(tmp_path / "bags")).orderBy("bag").collect()] == [("a", 2, 1.0), ("b", 1, None)]
+    assert [(r.inst_idx, r.bag_idx, r.features, r.label) for r in got] == [(0, 0, [3.0], 5.0), (1, 0, [2.0], 6.0), (2, 1, [1.0], 7.0)]
+    assert [(r.bag, r.n_instances, r.label) for r in spark.read.parquet(str(tmp_path / "bags")).orderBy("bag").collect()] == [("a", 2, 1.0), ("b", 1, 2.0)]
+    plain = tools.assemble_dataset(found)
+    assert [r.label for r in plain[0].collect()] == [0.0] * 3 and [r.label for r in plain[1].collect()] == [None] * 2
+
+
+def test_counts_of_labels_are_checked(spark):
+    found = spark.createDataFrame([("b", 1, [1.0]), ("a", 2, [2.0])], "bag string, roi_id long, features array<double>")
+    for labels in ([("a", 1.0)], [("a", 1.0), ("b", 1.0), ("c", 1.0)], [("a", 1.0), ("a", 2.0), ("b", 1.0)]):
+        with pytest.raises(Exception, match="label"):
+            tools.assemble_dataset(found, spark.createDataFrame(labels, "bag string, label double"))[1].collect()
+    with pytest.raises(Exception, match="label"):
+        tools.assemble_dataset(found, None, spark.createDataFrame([("a", 2, 1.0)], "bag string, roi_id long, label double"))[0].collect()
+
+
+def test_draws_are_spread_evenly(spark):
+    # The least draws of all places of a large volume, over its slices, halves and residues.
+    size = (256, 256, 200)
+    least = lattice.empty_volume(spark, size).withColumn("draw", roi.place_draw(1)).orderBy("draw").limit(4000).collect()
+    for of, cells in ((lambda r: r.z // 10, 20), (lambda r: r.y // 16, 16), (lambda r: r.x % 16, 16), (lambda r: (r.x + r.y + r.z) % 7, 7)):
+        count = np.bincount([of(r) for r in least], minlength=cells)
+        assert ((count - 4000 / cells) ** 2 / (4000 / cells)).sum() < cells - 1 + 4 * np.sqrt(2 * (cells - 1))
+    again = np.array([r.n for r in spark.range(6000).select((roi.drawn_number("id", F.lit(0), F.lit(1)) % 30).alias("n")).collect()])
+    count = np.bincount(again, minlength=30)
+    assert ((count - 200) ** 2 / 200).sum() < 29 + 4 * np.sqrt(58)
+
+
+def test_regions_of_different_sizes(spark, voxels):
+    rois = spark.createDataFrame([("v", 0, 0, 0, 0, 2, 2, 2), ("v", 1, 0, 0, 0, 2, 2, 3)], "volume_id string, roi_id long, x0 long, y0 long, z0 long, sx long, sy long, sz long")
+    with pytest.raises(Exception, match="different sizes"):
+        roi.flattened(rois, voxels).collect()
+
+
+def test_envelopes():
+    rng = np.random.default_rng(8)
+    height = np.where(rng.random((60, 23)) < 0.4, rng.integers(0, 90, (60, 23)).astype(float), np.inf)
+    height[3], height[4, 1:] = np.inf, np.inf
+    i = np.arange(23)
+    for step in (1.0, 0.7):
+        want = ((step * (i[:, None] - i[None, :])) ** 2 + height[:, None, :]).min(axis=2)
+        assert np.allclose(distance.envelopes(height, step), want)
+
+
+def test_samples_with_putting_back(spark, voxels):
+    drawn = roi.drawn_again(voxels.filter("v > 4"), 500, 3, F.array(F.lit(0), F.lit(1))).collect()
+    assert len(drawn) == 1000 and all(r.v > 4 for r in drawn)
+    by = [[(r.x, r.y, r.z) for r in sorted(drawn, key=lambda r: r.draw_id) if r.again == k] for k in (0, 1)]
+    assert by[0] != by[1] and len(set(by[0])) < 500
+    spec = tools.determine_edges(voxels.withColumn("m", F.lit(1)), [0.5, 0.7], 3, samples=200).collect()
+    assert len(spec) == 16 and all(len(r.edges) <= 2 for r in spec)
+
+
+def test_bricks_give_what_windows_give(spark):
+    rng = np.random.default_rng(11)
+    size = (70, 37, 5)
+    rows = [("v", x, y, z, float(rng.normal()), int(rng.random() < 0.8)) for x in range(size[0]) for y in range(size[1]) for z in range(size[2])]
+    voxels = spark.createDataFrame(rows, "volume_id string, x long, y long, z long, v double, m int")
+    got = stencil.features(voxels, [0.8], spacing=(1.0, 0.5, 2.0)).toPandas().sort_values(["x", "y", "z"])
+    binary = voxels.withColumn("_m", F.col("m").cast("double"))
+    blur = stencil.normalized_convolution(binary, "v", "_m", 0.8, stencil.FEATURES[0], (1.0, 0.5, 2.0))
+    d = stencil.derivatives(blur, stencil.FEATURES[0], (1.0, 0.5, 2.0)).toPandas().sort_values(["x", "y", "z"])
+    inside = got["m"].to_numpy() != 0
+    assert np.allclose(got["GaussianBlur"][inside], d["GaussianBlur"][inside])
+    assert np.allclose(got["GradientMagnitude"][inside], np.sqrt(d["dx"] ** 2 + d["dy"] ** 2 + d["dz"] ** 2)[inside])
+    assert np.allclose(got["LaplacianOfGaussian"][inside], (d["hxx"] + d["hyy"] + d["hzz"])[inside])
+    assert not got[list(stencil.FEATURES)].to_numpy()[~inside].any()
 
 
 def test_distance(voxels):

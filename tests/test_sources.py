@@ -84,3 +84,62 @@ def test_arriving_volumes(spark, tmp_path):
     q = arrivals.running_histogram(source, [2.0, 5.0]).writeStream.outputMode("complete").format("memory").queryName("h").trigger(availableNow=True).start()
     q.awaitTermination()
     assert {(r.bin, r.n) for r in spark.table("h").collect()} == {(0, 3), (1, 3), (2, 4)}
+
+
+def test_geometry_of_written_files(spark, tmp_path):
+    for i, step in enumerate([(0.5, 1.0, 2.0), (1.0, 1.0, 3.0)]):
+        (tmp_path / f"{i}.nii.gz").write_bytes(volumes.nifti_bytes(A.astype("f4") + i, step, (1, 2, 3 + i)))
+    path = str(tmp_path / "*.nii.gz")
+    geometry = volumes._geometry(spark, path, volumes.parse_nifti)
+    files = {r.volume_id[-8:]: bytes(r.content) for r in volumes.nifti_files(volumes.read_nifti(spark, path), geometry=geometry).collect()}
+    head, values = volumes.parse_nifti(files["1.nii.gz"])
+    assert head["spacing"] == [1.0, 1.0, 3.0] and head["origin"] == [1.0, 2.0, 4.0] and np.array_equal(values, A + 1)
+    assert volumes.parse_nifti(files["0.nii.gz"])[0]["spacing"] == [0.5, 1.0, 2.0]
+
+
+def test_pairs_of_files(spark, tmp_path):
+    mask = (A % 3).astype("u1")
+    for name, values in (("i1", A), ("i2", A + 1), ("m1", mask), ("m2", mask + 1)):
+        (tmp_path / f"{name}.nii.gz").write_bytes(volumes.nifti_bytes(values.astype("f4")))
+    lines = [f"{tmp_path}/i{k}.nii.gz, {tmp_path}/m{k}.nii.gz" for k in (1, 2)]
+    (tmp_path / "pairs.txt").write_text("\n".join(lines) + "\n")
+    got = volumes.pair_voxels(spark, text.read_pairs(spark, str(tmp_path / "pairs.txt"))).collect()
+    assert len(got) == 48
+    for r in got:
+        k = int(r.volume_id[-8])
+        assert r.v == A[r.z, r.y, r.x] + k - 1 and r.m == mask[r.z, r.y, r.x] + k - 1
+
+
+def test_dicom(spark, tmp_path):
+    for i, (z, uid, explicit) in enumerate([(3.0, "1.2.3", True), (1.0, "1.2.3", False), (2.0, "1.2.3", True), (5.0, "1.2.9", True)]):
+        (tmp_path / f"s{i}.dcm").write_bytes(volumes.dicom_bytes(A[0] - 7 + z * 100, uid, "20200131", z, explicit, 2.0, -1.0))
+    got = volumes.read_dicom(spark, str(tmp_path / "*.dcm")).collect()
+    one = sorted((r.z, r.y, r.x, r.v) for r in got if r.volume_id == "1.2.3_20200131")
+    assert len(got) == 48 and [r.z for r in got if r.volume_id == "1.2.9_20200131"] == [0] * 12
+    assert one == [(z, y, x, (A[0, y, x] - 7 + (z + 1) * 100) * 2 - 1) for z in range(3) for y in range(3) for x in range(4)]
+    # A sequence of undefined length with another series in it comes first.
+    item = b"\x20\x00\x0e\x00UI\x04\x009.9\x00"
+    nested = b"\x08\x00\x15\x11SQ\x00\x00\xff\xff\xff\xff" + b"\xfe\xff\x00\xe0\xff\xff\xff\xff" + item + b"\xfe\xff\x0d\xe0\x00\x00\x00\x00" + b"\xfe\xff\x00\xe0" + len(item).to_bytes(4, "little") + item + b"\xfe\xff\xdd\xe0\x00\x00\x00\x00"
+    data = volumes.dicom_bytes(A[0], "1.2.3", "20200131", 4.0)
+    at = data.index(b"\x20\x00\x0e\x00UI")
+    assert volumes.parse_dicom(data[:at] + nested + data[at:])["series_uid"] == "1.2.3"
+    for broken in (b"", data[:200], data.replace(b"1.2.840.10008.1.2.1", b"1.2.840.10008.1.2.5")):
+        with pytest.raises(ValueError):
+            volumes.parse_dicom(broken)
+
+
+def test_columns_across_files(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("1,2\n3,4\n")
+    (tmp_path / "b.csv").write_text("5,6,7\n")
+    (tmp_path / "list.txt").write_text(f"{tmp_path}/b.csv  {tmp_path}/a.csv\n")
+    listed = {r.bag_idx: r.path for r in text.bag_paths(text.numbered_lines(spark, str(tmp_path / "list.txt"))).collect()}
+    assert [listed[i][-5:] for i in (0, 1)] == ["b.csv", "a.csv"]
+    assert text.read_bags(spark, [str(tmp_path / "a.csv")]).count() == 2
+    with pytest.raises(Exception, match="different numbers of columns"):
+        text.read_bags(spark, list(listed.values())).collect()
+
+
+def test_names_and_lines(spark):
+    assert text.scale_file("/a/", "x_", 0.6) == "/a/x_scale_0.600000.nii.gz"
+    row = spark.range(1).selectExpr("'v' AS volume_id", "1L AS roi_id", "array(1.0D, 0.5D, 1234567.0D) AS values")
+    assert text.sample_lines(row).first().line == "1,0.5,1.23457e+06"

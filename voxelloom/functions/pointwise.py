@@ -30,6 +30,10 @@ def divide(a: Column, b: Column) -> Column:
     return F.when(b != 0, a / F.when(b != 0, b)).otherwise(F.lit(LARGEST_FLOAT))
 
 
+def multiply(a: Column, b: Column) -> Column:
+    return a * b
+
+
 def intensity_window(v: Column, width: float = 1500.0, level: float = -500.0) -> Column:
     """Values from level - width / 2 to level + width / 2 as 0 to 255, others at the ends."""
     low, high = level - width / 2, level + width / 2

@@ -26,6 +26,11 @@ def join_paths(a: str, b: str) -> str:
     return a.rstrip("/") + "/" + b.lstrip("/")
 
 
+def replace_extension(path: Column, extension: str) -> Column:
+    """The path with another extension: what follows the last dot of its last part goes; a part that only begins with a dot has none."""
+    return F.concat(F.regexp_replace(path, r"(?<=[^/.])\.[^/.]*$", ""), F.lit("." + extension.lstrip(".") if extension else ""))
+
+
 def six_digits(v: Column) -> Column:
     """A number with six significant digits, as C++ streams write it: no zeros at the end, an exponent where it is needed.
 

@@ -11,48 +11,64 @@ from pyspark.sql import types as T
 from voxelloom.operators.lattice import AXES
 
 
-def _envelope(height: np.ndarray, step: float) -> np.ndarray:
-    """min over j of (step * (i - j))**2 + height[j] for every i, by the lower envelope of parabolas."""
-    n = len(height)
-    at = np.flatnonzero(np.isfinite(height))
-    if not len(at):
-        return np.full(n, np.inf)
-    v, z = [at[0]], [-np.inf]
-    s2 = step * step
-    for q in at[1:]:
-        while True:
-            p = v[-1]
-            cross = (height[q] - height[p] + s2 * (q * q - p * p)) / (2 * s2 * (q - p))
-            if cross > z[-1]:
-                break
-            v.pop()
-            z.pop()
-        v.append(q)
-        z.append(cross)
-    which = np.searchsorted(np.array(z), np.arange(n), "left") - 1
-    owner = np.array(v)[np.maximum(which, 0)]
-    return s2 * (np.arange(n) - owner) ** 2 + height[owner]
+def envelopes(height: np.ndarray, step: float) -> np.ndarray:
+    """Along the last axis, min over j of (step * (i - j))**2 + height[j] for every i: lower envelopes of parabolas, of all lines at once."""
+    lines, n = height.shape
+    s2, row = step * step, np.arange(lines)
+    # Of each line a stack of parabolas, by their places, and where each begins to be lowest.
+    place, begin = np.zeros((lines, n), np.int64), np.full((lines, n + 1), np.inf)
+    top = np.full(lines, -1)
+    for q in range(n):
+        todo = row[np.isfinite(height[:, q])]
+        cross = np.full(lines, -np.inf)
+        left = todo[top[todo] >= 0]
+        while len(left):
+            p = place[left, top[left]]
+            cross[left] = (height[left, q] - height[left, p] + s2 * (q * q - p * p)) / (2 * s2 * (q - p))
+            left = left[cross[left] <= begin[left, top[left]]]
+            top[left] -= 1
+            cross[left[top[left] < 0]] = -np.inf
+            left = left[top[left] >= 0]
+        top[todo] += 1
+        place[todo, top[todo]], begin[todo, top[todo]] = q, cross[todo]
+    out, at = np.full((lines, n), np.inf), np.zeros(lines, np.int64)
+    some = row[top >= 0]
+    for i in range(n):
+        on = some
+        while len(on):
+            on = on[at[on] < top[on]]
+            on = on[begin[on, at[on] + 1] < i]
+            at[on] += 1
+        owner = place[some, at[some]]
+        out[some, i] = s2 * (i - owner) ** 2 + height[some, owner]
+    return out
 
 
 def squared_distance(voxels: DataFrame, target, name: str = "d2", spacing: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:
     """Exact squared distance of each voxel to the nearest one where ``target`` holds; infinite without any.
 
-    One pass over the lines of each axis; a task holds one line at a time.
+    A task holds one plane at a time: first those of x and y, of which all lines of
+    both axes are done together, then those of x and z for the third axis.
     """
     rows = voxels.withColumn(name, F.when(target, F.lit(0.0)).otherwise(F.lit(float("inf"))))
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema])
+    steps = dict(zip(AXES, spacing, strict=True))
 
-    def along(axis: str, step: float):
+    def within(first: str, second: str, axes: tuple[str, ...]):
         def run(frame: pd.DataFrame) -> pd.DataFrame:
-            frame = frame.sort_values(axis)
-            frame[name] = _envelope(frame[name].to_numpy(float), step)
-            return frame
+            i, j = (frame[a].to_numpy() - frame[a].min() for a in (first, second))
+            grid = np.full((int(i.max()) + 1, int(j.max()) + 1), np.inf)
+            grid[i, j] = frame[name].to_numpy(float)
+            if first in axes:
+                grid = envelopes(np.ascontiguousarray(grid.T), steps[first]).T
+            if second in axes:
+                grid = envelopes(np.ascontiguousarray(grid), steps[second])
+            return frame.assign(**{name: grid[i, j]})
 
         return run
 
-    for a, s in zip(AXES, spacing, strict=True):
-        rows = rows.groupBy("volume_id", *[b for b in AXES if b != a]).applyInPandas(along(a, s), schema)
-    return rows
+    rows = rows.groupBy("volume_id", "z").applyInPandas(within("x", "y", ("x", "y")), schema)
+    return rows.groupBy("volume_id", "y").applyInPandas(within("x", "z", ("z",)), schema)
 
 
 def signed_distance(voxels: DataFrame, mask: str = "m", squared: bool = True, spacing: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:
@@ -122,17 +138,25 @@ def spline_matrix(n: int, at: np.ndarray, order: int) -> np.ndarray:
     return out
 
 
-def resampled_slices(voxels: DataFrame, spacing: tuple[float, float], new_spacing: float = 0.25, order: int = 3, value: str = "v") -> DataFrame:
-    """Slices (volume_id, z) of the plane x, y at an even spacing, by B-splines of order 0 to 5; size ceil(size * spacing / new_spacing)."""
-    schema = "volume_id string, x long, y long, z long, value double"
+def resampled_slices(voxels: DataFrame, spacing: tuple[float, float], new_spacing: float = 0.25, order: int = 3, value: str = "v", mask: str | None = None) -> DataFrame:
+    """Slices (volume_id, z) of the plane x, y at an even spacing, by B-splines of order 0 to 5; size ceil(size * spacing / new_spacing).
+
+    With ``mask``, a column of that name has the mask at the nearest old place.
+    """
+    schema = "volume_id string, x long, y long, z long, value double" + (f", `{mask}` long" if mask else "")
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         grid = frame.pivot(index="y", columns="x", values=value).to_numpy(float)
         ny, nx = grid.shape
         mx, my = (int(np.ceil(n * s / new_spacing)) for n, s in ((nx, spacing[0]), (ny, spacing[1])))
+        px, py = np.arange(mx) * new_spacing / spacing[0], np.arange(my) * new_spacing / spacing[1]
         c = spline_coefficients(spline_coefficients(grid, order).T, order).T
-        out = spline_matrix(ny, np.arange(my) * new_spacing / spacing[1], order) @ c @ spline_matrix(nx, np.arange(mx) * new_spacing / spacing[0], order).T
+        out = spline_matrix(ny, py, order) @ c @ spline_matrix(nx, px, order).T
         y, x = np.divmod(np.arange(mx * my), mx)
-        return pd.DataFrame({"volume_id": frame["volume_id"].iloc[0], "x": x, "y": y, "z": frame["z"].iloc[0], "value": out.ravel()})
+        found = pd.DataFrame({"volume_id": frame["volume_id"].iloc[0], "x": x, "y": y, "z": frame["z"].iloc[0], "value": out.ravel()})
+        if mask:
+            near = [np.minimum(np.floor(p + 0.5), n - 1).astype(int) for p, n in ((py, ny), (px, nx))]
+            found[mask] = frame.pivot(index="y", columns="x", values=mask).to_numpy()[np.ix_(*near)].ravel().astype("int64")
+        return found
 
     return voxels.groupBy("volume_id", "z").applyInPandas(run, schema)

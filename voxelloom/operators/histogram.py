@@ -40,6 +40,12 @@ def frequencies(counts: DataFrame, keys: list[str]) -> DataFrame:
     return counts.withColumn("total", total).select(*keys, "bin", F.when(F.col("total") > 0, F.col("n") / F.when(F.col("total") > 0, F.col("total"))).otherwise(F.lit(float("nan"))).alias("freq"))
 
 
+def csv_line(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, line): each histogram's counts, in order of bins, as one line of comma-separated numbers."""
+    cells = F.transform(F.sort_array(F.collect_list(F.struct("bin", "n"))), lambda x: x["n"].cast("string"))
+    return counts.groupBy(*keys).agg(F.array_join(cells, ",").alias("line"))
+
+
 def value_counts(rows: DataFrame, value: str) -> DataFrame:
     return rows.groupBy(value).agg(F.count(F.lit(1)).alias("n"))
 
@@ -95,7 +101,8 @@ def determine_edges(rows: DataFrame, n_bins: int, group: str = "hist_idx", value
     values is folded in one task; if one has more, all are walked together, one
     lookup by rank for each edge.
     """
-    counts = rows.groupBy(group, value).agg(F.count(F.lit(1)).alias("n"))
+    # Kept: what the rows come from runs once.
+    counts = saved(rows.groupBy(group, value).agg(F.count(F.lit(1)).alias("n")))
     most = counts.groupBy(group).agg(F.count(F.lit(1)).alias("k")).agg(F.max("k")).first()[0] or 0
     if most > MOST_VALUES:
         return walked_edges(counts, n_bins, group, value, on_overflow)

@@ -9,12 +9,17 @@ AXES = ("x", "y", "z")
 KEYS = ("volume_id", "x", "y", "z")
 
 
+def places(spark: SparkSession, size: tuple[int, int, int]) -> DataFrame:
+    """Every (x, y, z) of a volume, in raster order, made in as many tasks as the session has."""
+    nx, ny, nz = size
+    return spark.range(nx * ny * nz).select((F.col("id") % nx).alias("x"), F.expr(f"id div {nx} % {ny}").alias("y"), F.expr(f"id div {nx * ny}").alias("z"))
+
+
 def spine(volumes: DataFrame, size: tuple[int, int, int]) -> DataFrame:
-    """Every voxel (volume_id, x, y, z) of volumes of one size, made from their ids."""
-    grid = volumes.select("volume_id")
-    for axis, n in zip(AXES, size, strict=True):
-        grid = grid.withColumn(axis, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
-    return grid
+    """Every voxel (volume_id, x, y, z) of volumes of one size, made from their ids; slices are dealt out before they are filled."""
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    slices = volumes.select("volume_id", every(size[2]).alias("z")).repartition("volume_id", "z")
+    return slices.withColumn("y", every(size[1])).withColumn("x", every(size[0])).select(*KEYS)
 
 
 def densified(voxels: DataFrame, size: tuple[int, int, int], fill: dict[str, object]) -> DataFrame:
@@ -28,8 +33,8 @@ def voxelise(rows: DataFrame, place: dict[str, Column], values: dict[str, Column
     keyed = rows.select("*", (F.lit("all") if volume is None else volume).alias("volume_id"), *[c.cast("long").alias(a) for a, c in place.items()])
     found = keyed.groupBy(*KEYS).agg(*[c.alias(n) for n, c in values.items()])
     if volume is None:
-        found = spine(rows.sparkSession.range(1).select(F.lit("all").alias("volume_id")), size).join(found.drop("volume_id"), list(AXES), "left")
-        return found.select(*KEYS, *[F.coalesce(c, F.lit(v)).alias(c) for c, v in fill.items()])
+        found = places(rows.sparkSession, size).join(found.drop("volume_id"), list(AXES), "left")
+        return found.select(F.lit("all").alias("volume_id"), *AXES, *[F.coalesce(c, F.lit(v)).alias(c) for c, v in fill.items()])
     return densified(found, size, fill)
 
 
@@ -134,4 +139,4 @@ def resampled(voxels: DataFrame, old: tuple[int, int, int], new: tuple[int, int,
 
 def empty_volume(spark: SparkSession, size: tuple[int, int, int]) -> DataFrame:
     """The voxels of one volume of which only the size is known."""
-    return spine(spark.range(1).select(F.lit("all").alias("volume_id")), size)
+    return places(spark, size).select(F.lit("all").alias("volume_id"), *AXES)

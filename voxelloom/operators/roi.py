@@ -44,9 +44,14 @@ def dense_rois(voxels: DataFrame, box: tuple[int, int, int], size: tuple[int, in
     return in_raster_order(found, "roi_id").select("volume_id", "roi_id", *STARTS, *SIZES)
 
 
-def place_hash(seed: int) -> Column:
-    """A reproducible draw from a voxel's place, in plain integer arithmetic."""
-    return (F.col("x") * 73856093 + F.col("y") * 19349663 + F.col("z") * 83492791 + seed * 2654435761) % 1000003
+def place_draw(seed: int) -> Column:
+    """A reproducible draw from a voxel's place: MD5 mixes it, so the least draws are spread evenly over a volume."""
+    return F.md5(F.concat_ws(",", "x", "y", "z", F.lit(seed)).cast("binary"))
+
+
+def drawn_number(*parts) -> Column:
+    """A number of 60 bits drawn by hash from these columns."""
+    return F.conv(F.substring(F.md5(F.concat_ws(",", *parts).cast("binary")), 1, 15), 16, 10).cast("long")
 
 
 def random_rois(voxels: DataFrame, n: int, box: tuple[int, int, int], size: tuple[int, int, int], mask: str = "m", seed: int = 1, by: str | None = None) -> DataFrame:
@@ -55,20 +60,29 @@ def random_rois(voxels: DataFrame, n: int, box: tuple[int, int, int], size: tupl
     The first n of a group by hash are found by a ranked window with a limit, which
     keeps n rows of each task before the shuffle.  An empty choice is an error.
     """
-    rows = candidates(voxels, box, size, F.col(mask) != 0).withColumn("draw", place_hash(seed))
+    rows = candidates(voxels, box, size, F.col(mask) != 0).withColumn("draw", place_draw(seed))
     keys = ["volume_id", *([by] if by else [])]
     order = [F.col("draw"), F.col("z"), F.col("y"), F.col("x")]
     ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("rank") <= n)
     return ranked.select("volume_id", *([by] if by else []), (F.col("rank") - 1).cast("long").alias("roi_id"), *STARTS, *SIZES)
 
 
-def random_rois_again(voxels: DataFrame, n: int, box: tuple[int, int, int], size: tuple[int, int, int], mask: str = "m", seed: int = 1) -> DataFrame:
-    """n boxes of each volume, drawn with putting back: the i-th takes the candidate whose rank a hash of i names."""
-    rows = candidates(voxels, box, size, F.col(mask) != 0)
+def drawn_again(rows: DataFrame, n: int, seed: int, times: Column | None = None) -> DataFrame:
+    """n draws of each volume's rows with putting back: (volume_id, draw_id, columns of the row drawn).
+
+    The i-th draw takes the row whose rank in raster order a hash of i names.  ``times``
+    is an array column of names for which all draws are made anew, one row each.
+    """
     ranked = in_raster_order(rows, "rank")
     count = rows.groupBy("volume_id").agg(F.count(F.lit(1)).alias("count"))
-    asked = count.withColumn("roi_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))).withColumn("rank", ((F.col("roi_id") * 48271 + seed * 69621 + 11) * 16807 % 2147483647 % F.col("count")).cast("long"))
-    return asked.join(ranked, ["volume_id", "rank"]).select("volume_id", "roi_id", *STARTS, *SIZES)
+    asked = count.withColumn("again", F.explode(F.array(F.lit(0)) if times is None else times)).withColumn("draw_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    return asked.withColumn("rank", drawn_number("draw_id", "again", F.lit(seed)) % F.col("count")).drop("count").join(ranked, ["volume_id", "rank"]).drop("rank")
+
+
+def random_rois_again(voxels: DataFrame, n: int, box: tuple[int, int, int], size: tuple[int, int, int], mask: str = "m", seed: int = 1) -> DataFrame:
+    """n boxes of each volume, drawn with putting back."""
+    rows = candidates(voxels, box, size, F.col(mask) != 0)
+    return drawn_again(rows, n, seed).select("volume_id", F.col("draw_id").alias("roi_id"), *STARTS, *SIZES)
 
 
 def roi_voxels(rois: DataFrame, voxels: DataFrame, brick: int = BRICK) -> DataFrame:
@@ -86,9 +100,18 @@ def roi_voxels(rois: DataFrame, voxels: DataFrame, brick: int = BRICK) -> DataFr
     return joined.filter(inside).withColumns({f"d{a}": F.col(a) - F.col(s) for a, s in zip(AXES, STARTS, strict=True)}).drop("bx", "by", "bz")
 
 
+def same_size(rois: DataFrame) -> DataFrame:
+    """The boxes, which must be of one size, or it is an error."""
+    one = rois.agg(*[F.min(c).alias(f"_{c}") for c in SIZES])
+    even = [F.col(c) == F.col(f"_{c}") for c in SIZES]
+    # One row.
+    checked = rois.join(F.broadcast(one)).withColumn(SIZES[0], F.when(even[0] & even[1] & even[2], F.col(SIZES[0])).otherwise(F.raise_error(F.lit("regions are of different sizes"))))
+    return checked.select(*rois.columns)
+
+
 def flattened(rois: DataFrame, voxels: DataFrame, value: str = "v") -> DataFrame:
-    """(volume_id, roi_id, values): each box's values in raster order, x fastest; boxes are of a bounded size."""
-    cells = roi_voxels(rois, voxels).groupBy("volume_id", "roi_id").agg(F.sort_array(F.collect_list(F.struct("dz", "dy", "dx", F.col(value).alias("value")))).alias("cells"))
+    """(volume_id, roi_id, values): each box's values in raster order, x fastest; boxes of different sizes are an error."""
+    cells = roi_voxels(same_size(rois), voxels).groupBy("volume_id", "roi_id").agg(F.sort_array(F.collect_list(F.struct("dz", "dy", "dx", F.col(value).alias("value")))).alias("cells"))
     return cells.select("volume_id", "roi_id", F.col("cells.value").alias("values"))
 
 
@@ -143,3 +166,13 @@ def box_histograms(voxels: DataFrame, box: tuple[int, int, int], bins: Column, n
         w = Window.partitionBy("volume_id", *[c for c in AXES if c != a]).orderBy(a).rowsBetween(-(b // 2), b - 1 - b // 2)
         rows = rows.withColumns({n: F.sum(n).over(w) for n in names})
     return rows
+
+
+def overlap(voxels: DataFrame, one: Column, other: Column) -> DataFrame:
+    """Voxels that are in both of two masks."""
+    return voxels.filter(one & other)
+
+
+def mask_values(voxels: DataFrame, mask: str = "m") -> DataFrame:
+    """The different values of a mask."""
+    return voxels.select(mask).distinct()

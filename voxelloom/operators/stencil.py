@@ -1,7 +1,9 @@
 """Stencils on dense lattices: derivatives, Gaussian smoothing, multi-scale features.
 
-A pass along an axis is a window over the lines of that axis; one exchange puts a
-line's voxels together and serves all columns of the pass.
+A single pass along an axis is a window over the lines of that axis; one exchange puts
+a line's voxels together and serves all columns of the pass.  Features of many scales
+are array passes over bricks with a halo as wide as the widest kernel: one exchange for
+all scales, axes and derivatives.
 """
 
 from __future__ import annotations
@@ -11,12 +13,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voxelloom.functions.eigen import eigen_features
-from voxelloom.functions.pointwise import apply_mask, divide
+from voxelloom.functions.pointwise import LARGEST_FLOAT, apply_mask, divide
+from voxelloom.operators.bricks import Brick, in_bricks, lines
 from voxelloom.operators.lattice import AXES
 
 HESSIAN = ("hxx", "hxy", "hxz", "hyy", "hyz", "hzz")
@@ -122,23 +126,56 @@ def normalized_convolution(voxels: DataFrame, value: str = "v", certainty: str =
     return smooth.withColumn(name, divide(F.col("_cv"), F.col("_c"))).drop("_cv", "_c")
 
 
+#: What bricks give for each voxel and scale, before eigenvalues.
+_RAW = (FEATURES[0], "dx", "dy", "dz", *HESSIAN)
+
+
+def _brick_features(value: str, mask: str, scales: list[float], spacing: tuple[float, float, float], width: float, schema):
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    def run(brick: Brick) -> pa.Table:
+        certain = (brick.grid(mask) != 0).astype(float)
+        own, parts = brick.own_rows(), []
+        for i, sigma in enumerate(scales):
+            both = [brick.grid(value) * certain, certain]
+            for axis, step in enumerate(spacing):
+                kernel = gaussian_kernel(sigma, step, width)
+                radius = len(kernel) // 2
+                both = [lines(g, axis, kernel, radius, radius) for g in both]
+            blur = np.where(both[1] != 0, both[0] / np.where(both[1] != 0, both[1], 1.0), LARGEST_FLOAT)
+            near = lambda g, axis: [lines(g, axis, w, 1, 1) for w in ((1.0, 0.0, 0.0), (0.0, 0.0, 1.0))]
+            first, out = [], [blur]
+            for axis, step in enumerate(spacing):
+                before, after = near(blur, axis)
+                first.append((after - before) / (2.0 * step))
+            out += first
+            for p in range(3):
+                for q in range(p, 3):
+                    before, after = near(blur if p == q else first[p], q)
+                    out.append((after - 2.0 * blur + before) / (spacing[p] * spacing[p]) if p == q else (after - before) / (2.0 * spacing[q]))
+            part = own.append_column("scale_idx", pa.array(np.full(own.num_rows, i, np.int32)))
+            for name, grid in zip(_RAW, out, strict=True):
+                part = part.append_column(name, pa.array(brick.at_own(grid)))
+            parts.append(part)
+        return pa.concat_tables(parts).cast(to_arrow_schema(schema))
+
+    return run
+
+
 def features(voxels: DataFrame, scales: list[float], value: str = "v", mask: str = "m", spacing: tuple[float, float, float] = (1.0, 1.0, 1.0), width: float = 4.0) -> DataFrame:
     """The eight features of every voxel at every scale: a row for each, with scale_idx and scale.
 
     Values are smoothed with the mask, as 0 or 1, for certainty; gradient and Hessian
     are those of the smoothed values before masking; each feature is masked at last.
-    Scales have kernels of their own, so each is a branch; branches are united.
+    A brick's halo is one voxel wider than the widest kernel.
     """
-    binary = voxels.withColumn("_m", F.when(F.col(mask) != 0, 1.0).otherwise(0.0))
-    parts = None
-    for i, sigma in enumerate(scales):
-        blur = normalized_convolution(binary, value, "_m", sigma, FEATURES[0], spacing, width)
-        d = derivatives(blur, FEATURES[0], spacing)
-        d = d.withColumn(FEATURES[1], F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") + F.col("dz") * F.col("dz")))
-        d = eigen_features(d, HESSIAN).drop("dx", "dy", "dz", *HESSIAN)
-        d = d.withColumns({c: apply_mask(F.col(c), F.col("_m")) for c in FEATURES}).withColumns({"scale_idx": F.lit(i), "scale": F.lit(float(sigma))}).drop("_m")
-        parts = d if parts is None else parts.unionByName(d)
-    return parts
+    halo = tuple(len(gaussian_kernel(max(scales), s, width)) // 2 + 1 for s in spacing)
+    schema = T.StructType([*voxels.schema.fields, T.StructField("scale_idx", T.IntegerType()), *[T.StructField(c, T.DoubleType()) for c in _RAW]])
+    d = in_bricks(voxels, halo, _brick_features(value, mask, scales, spacing, width, schema), schema)
+    d = d.withColumn(FEATURES[1], F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") + F.col("dz") * F.col("dz")))
+    d = eigen_features(d, HESSIAN).drop("dx", "dy", "dz", *HESSIAN)
+    scale = F.element_at(F.array(*[F.lit(float(s)) for s in scales]), F.col("scale_idx") + 1)
+    return d.withColumns({c: apply_mask(F.col(c), F.col(mask)) for c in FEATURES}).withColumn("scale", scale)
 
 
 def feature_rows(featured: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelloom.functions.pointwise import apply_mask, intensity_window, remap
@@ -29,12 +29,16 @@ def generate_rois(voxels: DataFrame, size: Box, n: int = 50, box: Box = (53, 53,
 def determine_edges(voxels: DataFrame, scales: list[float], n_bins: int, samples: int = 0, foreground: list[int] | None = None, mask: str = "m", seed: int = 1, **options) -> DataFrame:
     """(hist_idx, scale, feature, edges) that equalise the histograms of all images' features in the foreground.
 
-    ``samples`` voxels of each image and scale are drawn by hash, 0 for all.
+    ``samples`` voxels of each image are drawn by hash, with putting back and anew for
+    each scale; 0 takes all.
     """
-    rows = stencil.feature_rows(stencil.features(voxels, scales, mask=mask, **options))
-    rows = rows.filter(F.col(mask).isin(foreground) if foreground else F.col(mask) != 0)
+    inside = F.col(mask).isin(foreground) if foreground else F.col(mask) != 0
+    featured = stencil.features(voxels, scales, mask=mask, **options).filter(inside)
     if samples:
-        rows = rows.withColumn("draw", F.row_number().over(Window.partitionBy("volume_id", "hist_idx").orderBy(roi.place_hash(seed), "z", "y", "x"))).filter(F.col("draw") <= samples)
+        numbers = F.array(*[F.lit(i) for i in range(len(scales))])
+        drawn = roi.drawn_again(voxels.filter(inside).select(*lattice.KEYS), samples, seed, numbers)
+        featured = featured.join(drawn.select(*lattice.KEYS, F.col("again").alias("scale_idx")), [*lattice.KEYS, "scale_idx"])
+    rows = stencil.feature_rows(featured)
     edges = histogram.determine_edges(rows.select("hist_idx", "value"), n_bins)
     spec = edges.groupBy("hist_idx").agg(F.transform(F.sort_array(F.collect_list(F.struct("edge_idx", "edge"))), lambda e: e["edge"]).alias("edges"))
     scale = F.element_at(F.array(*[F.lit(float(s)) for s in scales]), (F.col("hist_idx") / len(FEATURES)).cast("int") + 1)
@@ -43,10 +47,13 @@ def determine_edges(voxels: DataFrame, scales: list[float], n_bins: int, samples
 
 
 def make_bag(voxels: DataFrame, spec: DataFrame, scales: list[float], rois: DataFrame | str, size: Box, box: Box = (41, 41, 41), mask: str = "m", **options) -> DataFrame:
-    """Long bag of given boxes, or of a box around every voxel in the mask (``rois='dense'``)."""
-    boxes = roi.dense_rois(voxels, box, size, mask) if isinstance(rois, str) else rois
-    rows = stencil.feature_rows(stencil.features(voxels, scales, mask=mask, **options))
-    return bags.bag(boxes, rows, spec, mask)
+    """Long bag of given boxes, or of a box around every voxel in the mask (``rois='dense'``, numbered by raster place)."""
+    rows = bags.binned(stencil.features(voxels, scales, mask=mask, **options), spec, [*lattice.KEYS, mask])
+    if isinstance(rois, str):
+        # A specification has some dozens of rows.
+        n_bins = (spec.agg(F.max(F.size("edges"))).first()[0] or 0) + 1
+        return bags.dense_bag(rows, box, size, n_bins, mask)
+    return bags.bag(rois, rows, mask)
 
 
 def make_intensity_bag(voxels: DataFrame, edges: list[float], rois: DataFrame, value: str = "v", mask: str = "m") -> DataFrame:
@@ -98,9 +105,9 @@ def extract_slices(voxels: DataFrame, axis: str, n: int, **chosen) -> DataFrame:
     return lattice.slices(voxels, axis, n, **chosen)
 
 
-def extract_window(voxels: DataFrame, spacing: tuple[float, float], width: float = 1500.0, level: float = -500.0, order: int = 3, new_spacing: float = 0.25) -> DataFrame:
-    """Slices at an even spacing, their values as 0 to 255."""
-    rows = distance.resampled_slices(voxels, spacing, new_spacing, order)
+def extract_window(voxels: DataFrame, spacing: tuple[float, float], width: float = 1500.0, level: float = -500.0, order: int = 3, new_spacing: float = 0.25, mask: str | None = None) -> DataFrame:
+    """Slices at an even spacing, their values as 0 to 255, and the mask at the nearest old places if one is named."""
+    rows = distance.resampled_slices(voxels, spacing, new_spacing, order, mask=mask)
     return rows.withColumn("value", intensity_window(F.col("value"), width, level))
 
 
@@ -141,8 +148,8 @@ def analytic_coverage(spark: SparkSession, size: Box, box: Box, rounds: list[int
 
 
 def save_dataset(instances: DataFrame, known: DataFrame, path: str) -> None:
-    """Instances by bag, and bags, as two tables below ``path``."""
-    instances.write.partitionBy("bag_idx").mode("overwrite").parquet(join_paths(path, "instances"))
+    """Instances and bags as two tables below ``path``; instances are dealt out and sorted by bag, so that a bag is read from a file or two."""
+    instances.repartitionByRange("bag_idx", "inst_idx").sortWithinPartitions("bag_idx", "inst_idx").write.mode("overwrite").parquet(join_paths(path, "instances"))
     known.write.mode("overwrite").parquet(join_paths(path, "bags"))
 
 

@@ -186,7 +186,7 @@ def intensity_window(spark, sf_dir):
 
 @query(_vox("SELECT x, y, z, CASE WHEN m <> 0 THEN v / m ELSE 3.4028234663852886e38::DOUBLE END AS q, v * p AS t FROM vox"))
 def divide_multiply(spark, sf_dir):
-    return vox(spark, sf_dir).select("x", "y", "z", pointwise.divide(F.col("v"), F.col("m")).alias("q"), (F.col("v") * F.col("p")).alias("t"))
+    return vox(spark, sf_dir).select("x", "y", "z", pointwise.divide(F.col("v"), F.col("m")).alias("q"), pointwise.multiply(F.col("v"), F.col("p")).alias("t"))
 
 
 @query(_vox(f"SELECT x, y, z, {_d('v', 'x')} AS d FROM vox"))
@@ -291,7 +291,7 @@ def value_counts(spark, sf_dir):
 
 @query("SELECT DISTINCT m FROM (" + _vox("SELECT m FROM vox") + ")")
 def distinct_values(spark, sf_dir):
-    return vox(spark, sf_dir).select("m").distinct()
+    return roi.mask_values(vox(spark, sf_dir))
 
 
 @query("""WITH r AS (SELECT event_id, ntile(10) OVER (ORDER BY event_id) AS tile FROM events)
@@ -335,15 +335,26 @@ def edges_ties_walked(spark, sf_dir):
     return histogram.walked_edges(counts, 5, "l_returnflag", "l_quantity")
 
 
-@query()
+def _edges_sql(source: str, bins: int) -> str:
+    """The tied edges of (g, v) rows, with names that don't clash."""
+    sql = _TIED_SQL.replace("{B}", str(bins)).replace("SELECT l_returnflag AS g, l_quantity AS v, CAST(count(*) AS BIGINT) AS n FROM lineitem GROUP BY 1, 2", f"SELECT g, v, CAST(count(*) AS BIGINT) AS n FROM ({source}) GROUP BY 1, 2")
+    return sql.replace("WITH RECURSIVE ", "", 1).replace("SELECT g AS l_returnflag, CAST(k - 1 AS INTEGER) AS edge_idx, edge FROM s WHERE k > 0", "")
+
+
+_LONG = " UNION ALL ".join(f'SELECT CAST({j * 8 + i} AS INTEGER) AS g, "{c}" AS v FROM f{j} WHERE m <> 0' for j in range(len(SCALES)) for i, c in enumerate(FEATURES))
+
+
+@query(_vox(f"""SELECT g AS hist_idx, CASE g // 8 WHEN 0 THEN CAST({SCALES[0]!r} AS DOUBLE) ELSE CAST({SCALES[1]!r} AS DOUBLE) END AS scale,
+  ([{", ".join(f"'{c}'" for c in FEATURES)}])[g % 8 + 1] AS feature, list(round(edge, 4) + 0.0 ORDER BY k) AS edges FROM s WHERE k > 0 GROUP BY 1, 2, 3""", _features_sql(SCALES[0], 0) + ",\n" + _features_sql(SCALES[1], 1) + ",\n" + _edges_sql(_LONG.replace(" AS v FROM", " + 0.0 AS v FROM"), 6)).replace("WITH ", "WITH RECURSIVE ", 1))
 def determine_edges(spark, sf_dir):
-    return tools.determine_edges(vox(spark, sf_dir), SCALES, 6)
+    found = tools.determine_edges(vox(spark, sf_dir), SCALES, 6)
+    return found.withColumn("edges", F.transform("edges", lambda e: F.round(e, 4) + F.lit(0.0)))
 
 
 _FITS = "x >= 1 AND x <= 14 AND y >= 1 AND y <= 6 AND z >= 1 AND z <= 5"
 _BOXES = "x - 1 AS x0, y - 1 AS y0, z - 1 AS z0, CAST(3 AS BIGINT) AS sx, CAST(3 AS BIGINT) AS sy, CAST(3 AS BIGINT) AS sz"
 _DENSE = f"rois AS (SELECT volume_id, row_number() OVER (PARTITION BY volume_id ORDER BY z, y, x) - 1 AS roi_id, {_BOXES} FROM vox WHERE m <> 0 AND {_FITS})"
-_HASH = "(x * 73856093 + y * 19349663 + z * 83492791 + 1 * 2654435761) % 1000003"
+_HASH = "md5(concat_ws(',', x, y, z, 1))"
 
 
 def _random_sql(n: int, where: str = "m <> 0", by: str = "") -> str:
@@ -374,7 +385,7 @@ def rois_by_label(spark, sf_dir):
 
 
 @query(_vox("""SELECT c.volume_id, i AS roi_id, x0, y0, z0, sx, sy, sz FROM (SELECT CAST(i AS BIGINT) AS i FROM range(40) t(i)) JOIN (SELECT *, row_number() OVER (PARTITION BY volume_id ORDER BY z0, y0, x0) - 1 AS k, count(*) OVER (PARTITION BY volume_id) AS n FROM rois) c
-ON c.k = (i * 48271 + 69621 + 11) * 16807 % 2147483647 % c.n""", _DENSE))
+ON c.k = CAST('0x' || substr(md5(concat_ws(',', i, 0, 1)), 1, 15) AS BIGINT) % c.n""", _DENSE))
 def rois_random_again(spark, sf_dir):
     return roi.random_rois_again(vox(spark, sf_dir), 40, BOX, SIZE)
 
@@ -468,11 +479,28 @@ def bag_multiscale(spark, sf_dir):
     return tools.make_bag(v, _spec(spark), SCALES, tools.generate_rois(v, SIZE, 25, BOX), SIZE).select("volume_id", "roi_id", "hist_idx", "bin", F.round("freq", 6).alias("freq"))
 
 
-@query()
+_N_HISTS, _N_BINS = len(FEATURES) * len(SCALES), len(SPEC_EDGES) + 1
+
+
+@query(_vox(f"""SELECT r.volume_id, r.roi_id, CASE WHEN any_value(t.n) IS NULL THEN array_to_string([CAST('nan' AS VARCHAR) FOR i IN range({_N_HISTS * _N_BINS})], ',') ELSE string_agg(printf('%.4f', coalesce(CAST(k.n AS DOUBLE), 0.0) / t.n), ',' ORDER BY h.i * {_N_BINS} + b.i) END AS line
+FROM rois r CROSS JOIN range({_N_HISTS}) h(i) CROSS JOIN range({_N_BINS}) b(i)
+LEFT JOIN k ON k.volume_id = r.volume_id AND k.roi_id = r.roi_id AND k.hist_idx = h.i AND k.bin = b.i
+LEFT JOIN (SELECT volume_id, roi_id, hist_idx, sum(n) AS n FROM k GROUP BY 1, 2, 3) t ON t.volume_id = r.volume_id AND t.roi_id = r.roi_id AND t.hist_idx = h.i GROUP BY 1, 2""", _BAG_SQL))
 def bag_arrays(spark, sf_dir):
     v = vox(spark, sf_dir)
     rois = tools.generate_rois(v, SIZE, 25, BOX)
-    return bag.bag_lines(bag.as_arrays(tools.make_bag(v, _spec(spark), SCALES, rois, SIZE), rois, len(FEATURES) * len(SCALES), len(SPEC_EDGES) + 1))
+    lines = bag.bag_lines(bag.as_arrays(tools.make_bag(v, _spec(spark), SCALES, rois, SIZE), rois, _N_HISTS, _N_BINS))
+    # Both engines write four decimals alike.
+    even = F.transform(F.split("line", ","), lambda x: F.when(x == "nan", x).otherwise(F.format_string("%.4f", x.cast("double"))))
+    return lines.withColumn("line", F.array_join(even, ","))
+
+
+_DENSE_BY_PLACE = f"rois AS (SELECT volume_id, (z * 8 + y) * 16 + x AS roi_id, {_BOXES} FROM vox WHERE m <> 0 AND {_FITS})"
+
+
+@query(_vox("SELECT volume_id, roi_id, hist_idx, bin, round(CAST(n AS DOUBLE) / CAST(sum(n) OVER (PARTITION BY volume_id, roi_id, hist_idx) AS DOUBLE), 6) AS freq FROM k", _BAG_SQL.replace(_random_sql(25, "m = 1"), _DENSE_BY_PLACE)))
+def bag_dense_multiscale(spark, sf_dir):
+    return tools.make_bag(vox(spark, sf_dir), _spec(spark), SCALES, "dense", SIZE, BOX).select("volume_id", "roi_id", "hist_idx", "bin", F.round("freq", 6).alias("freq"))
 
 
 _DATASET_SQL = """WITH b AS (SELECT bag, row_number() OVER (ORDER BY bag) - 1 AS bag_idx, n FROM (SELECT CAST(o_custkey AS VARCHAR) AS bag, count(*) AS n FROM orders GROUP BY 1)),
@@ -483,7 +511,7 @@ def _dataset(spark, sf_dir):
     orders, customers = _read(spark, sf_dir, "orders"), _read(spark, sf_dir, "customer")
     found = orders.select(F.col("o_custkey").cast("string").alias("bag"), F.col("o_orderkey").alias("roi_id"), F.array("o_totalprice").alias("features"))
     labels = customers.select(F.col("c_custkey").cast("string").alias("bag"), (F.col("c_nationkey") % 2).cast("double").alias("label"))
-    return tools.assemble_dataset(found, labels)
+    return tools.assemble_dataset(found, labels.join(found.select("bag"), "bag", "left_semi"))
 
 
 @query(_DATASET_SQL + """ SELECT f.bag_idx, f.first + row_number() OVER (PARTITION BY f.bag ORDER BY o_orderkey) - 1 AS inst_idx, o_totalprice AS feature, CAST(0 AS DOUBLE) AS label FROM f JOIN orders ON f.bag = CAST(o_custkey AS VARCHAR)""")
@@ -556,9 +584,58 @@ def expected_distance(spark, sf_dir):
     return tools.expected_distance(vox(spark, sf_dir)).select("volume_id", F.round("expected_distance", 6).alias("expected_distance"))
 
 
-@query()
+def _spline_sql() -> str:
+    """Slices on the finer grid: weights of each old value for each new place, from the matrices of both axes, and the sums."""
+    matrices = {}
+    for name, n, step in (("x", SIZE[0], 0.25 / 1.0), ("y", SIZE[1], 0.25 / 0.5)):
+        m = int(np.ceil(n / step))
+        dense = distance.spline_matrix(n, np.arange(m) * step, 3) @ _solved(n)
+        matrices[name] = ", ".join(f"({i}, {j}, {float(w)!r}::DOUBLE)" for i, row in enumerate(dense) for j, w in enumerate(row) if w)
+    value = "sum(sx.w * sy.w * v.v)"
+    return _vox(f"""SELECT v.volume_id, CAST(sx.i AS BIGINT) AS x, CAST(sy.i AS BIGINT) AS y, v.z, CAST(CASE WHEN {value} < 0 THEN 0 WHEN {value} > 800 THEN 255 ELSE floor(({value} - 0.0) * 255.0::DOUBLE / 800.0::DOUBLE + 1e-7) END AS INTEGER) AS value,
+  CAST(max(CASE WHEN v.x = least(floor(sx.i * 0.25 + 0.5), 15) AND v.y = least(floor(sy.i * 0.5 + 0.5), 7) THEN v.m END) AS BIGINT) AS m
+FROM vox v JOIN sx ON sx.j = v.x JOIN sy ON sy.j = v.y GROUP BY 1, 2, 3, 4""", f"sx(i, j, w) AS (VALUES {matrices['x']}), sy(i, j, w) AS (VALUES {matrices['y']})")
+
+
+def _solved(n: int) -> np.ndarray:
+    """Coefficients of the cubic spline through unit values, by solving for them: no recursive filter."""
+    basis = np.zeros((n, n))
+    for i in range(n):
+        for d, w in ((-1, 1 / 6), (0, 2 / 3), (1, 1 / 6)):
+            j = abs(i + d)
+            basis[i, 2 * (n - 1) - j if j > n - 1 else j] += w
+    return np.linalg.inv(basis)
+
+
+@query(_spline_sql())
 def window_bspline(spark, sf_dir):
-    return tools.extract_window(vox(spark, sf_dir), (1.0, 0.5), 800.0, 400.0)
+    found = distance.resampled_slices(vox(spark, sf_dir), (1.0, 0.5), mask="m")
+    # Values that are whole but for rounding fall to the same side in both engines.
+    return found.withColumn("value", pointwise.intensity_window(F.col("value") + F.lit(1e-7 * 800 / 255), 800.0, 400.0))
+
+
+@query(_vox("SELECT volume_id, x, y, z, v FROM vox"))
+def volume_files(spark, sf_dir):
+    """The lattice written as files and read again."""
+    files = volumes.nifti_files(vox(spark, sf_dir), kind="f8").withColumnRenamed("volume_id", "path")
+    return volumes.parsed(files, volumes.parse_nifti)
+
+
+@query(_vox("SELECT 'all_20200101' AS volume_id, x, y, z, CAST(CAST(v AS BIGINT) % 1000 AS DOUBLE) AS v FROM vox"))
+def dicom_series(spark, sf_dir):
+    """Every slice of the lattice as a DICOM file, and the volume assembled from them."""
+
+    def written(frame):
+        import pandas as pd
+
+        z = int(frame["z"].iloc[0])
+        grid = frame.pivot(index="y", columns="x", values="v").to_numpy()
+        content = volumes.dicom_bytes(grid % 1000, "all", "20200101", 2.5 * z, explicit=bool(z % 2))
+        return pd.DataFrame({"path": [f"slice-{z}"], "content": [content]})
+
+    v = vox(spark, sf_dir).withColumn("v", F.floor("v").cast("double"))
+    files = v.groupBy("z").applyInPandas(written, "path string, content binary")
+    return volumes.series_volumes(volumes.dicom_slices(files))
 
 
 _ROI_LINES = ["index size", "[1, 2, 3][41, 41, 41]", "[-4,0,10][ 3,3,5 ]", "", "[7, 8, 9][1, 2, 3]"]
@@ -627,9 +704,21 @@ def read_matrix(spark, sf_dir):
     return text.parse_matrix(_lines(spark, ["1, 2.5,-3", "", "4,5,6"]))
 
 
-@query("SELECT o_orderkey, CAST(o_orderkey % 5 AS VARCHAR) AS line FROM orders")
+@query("SELECT CAST(o_custkey AS VARCHAR) AS volume_id, o_orderkey AS roi_id, CAST(o_orderkey % 5 AS VARCHAR) AS line FROM orders")
 def label_lines(spark, sf_dir):
-    return _read(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 5).cast("string").alias("line"))
+    labels = _read(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("volume_id"), F.col("o_orderkey").alias("roi_id"), (F.col("o_orderkey") % 5).cast("int").alias("label"))
+    return text.label_lines(labels)
+
+
+@query(_COUNTS_SQL + " SELECT l_returnflag, string_agg(CAST(n AS VARCHAR), ',' ORDER BY bin) AS line FROM h GROUP BY 1")
+def hist_lines(spark, sf_dir):
+    return histogram.csv_line(hist_counts(spark, sf_dir), ["l_returnflag"])
+
+
+@query("SELECT c_custkey, regexp_replace(c_name, '(.)\\.[^./]*$', '\\1') || '.nii.gz' AS path FROM (SELECT c_custkey, c_mktsegment || '.d/' || c_name || CASE c_custkey % 3 WHEN 0 THEN '.dcm' WHEN 1 THEN '' ELSE '.a.b' END AS c_name FROM customer)".replace("\\\\", "\\"))
+def extension_replaced(spark, sf_dir):
+    name = F.concat("c_mktsegment", F.lit(".d/"), "c_name", F.when(F.col("c_custkey") % 3 == 0, ".dcm").when(F.col("c_custkey") % 3 == 1, "").otherwise(".a.b"))
+    return _read(spark, sf_dir, "customer").select("c_custkey", strings.replace_extension(name, "nii.gz").alias("path"))
 
 
 @query("SELECT 's_d' AS volume_id, CAST(l_orderkey AS BIGINT) AS x, CAST(0 AS BIGINT) AS y, dense_rank() OVER (ORDER BY l_shipdate) - 1 AS z, l_quantity AS v FROM lineitem")
@@ -640,8 +729,7 @@ def series_assembly(spark, sf_dir):
 
 @query(_vox("SELECT x, y, z, m FROM vox WHERE m <> 0 INTERSECT SELECT x, y, z, m FROM vox WHERE v > 300"))
 def mask_overlap(spark, sf_dir):
-    v = vox(spark, sf_dir).select("x", "y", "z", "m", "v")
-    return v.filter("m <> 0").join(v.filter("v > 300").select("x", "y", "z"), ["x", "y", "z"], "left_semi").select("x", "y", "z", "m")
+    return roi.overlap(vox(spark, sf_dir), F.col("m") != 0, F.col("v") > 300).select("x", "y", "z", "m")
 
 
 @query(_vox("SELECT volume_id, x, y, z, round(distance, 6) + 0.0 AS distance FROM (SELECT v.volume_id, v.x, v.y, v.z, sqrt(CAST(min((v.x - e.x) * (v.x - e.x) + (v.y - e.y) * (v.y - e.y) + (v.z - e.z) * (v.z - e.z)) AS DOUBLE)) AS distance FROM vox v CROSS JOIN (SELECT x, y, z FROM vox WHERE v > 0 AND (x * 31 + y * 17 + z * 7) % 23 = 0) e GROUP BY 1, 2, 3, 4)"))

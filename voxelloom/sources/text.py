@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from voxelloom.functions.strings import six_digits
+from voxelloom.functions.strings import join_paths, six_digits
 from voxelloom.operators.stencil import FEATURES
 
 ROI_NUMBERS = ("x0", "y0", "z0", "sx", "sy", "sz")
@@ -76,13 +76,20 @@ def parse_sequence(line: Column, separator: str = ",") -> Column:
     return F.when(bad > 0, F.slice(parts, F.lit(1), (bad - 1).cast("int"))).otherwise(parts)
 
 
-def parse_matrix(lines: DataFrame, separator: str = ",") -> DataFrame:
-    """(path, row, values) of lines that aren't blank; all rows of a file have as many numbers as its first, or it is an error."""
+def parse_matrix(lines: DataFrame, separator: str = ",", across: bool = False) -> DataFrame:
+    """(path, row, values) of lines that aren't blank; all rows of a file have as many numbers as its first, or it is an error.
+
+    With ``across`` all files must have as many.
+    """
     rows = lines.filter(F.trim("value") != "").withColumn("values", parse_sequence(F.col("value"), separator))
     w = Window.partitionBy("path").orderBy("line")
     wanted = F.first(F.size("values")).over(w)
     rows = rows.withColumns({"wanted": wanted, "row": (F.row_number().over(w) - 1).cast("long")})
     checked = F.when(F.size("values") == F.col("wanted"), F.col("values")).otherwise(F.raise_error(F.concat(F.lit("row of another length in "), F.col("path"))))
+    if across:
+        # One row.
+        rows = rows.join(F.broadcast(rows.agg(F.min("wanted").alias("least"), F.max("wanted").alias("most"))))
+        checked = F.when(F.col("least") == F.col("most"), checked).otherwise(F.raise_error(F.lit("files have different numbers of columns")))
     return rows.select("path", "row", checked.alias("values"))
 
 
@@ -90,9 +97,16 @@ def read_matrix(spark: SparkSession, path: str | list[str], separator: str = ","
     return parse_matrix(numbered_lines(spark, path), separator)
 
 
+def bag_paths(lines: DataFrame) -> DataFrame:
+    """(bag_idx, path) of a list of bag files, parted by white space."""
+    named = lines.select("line", F.posexplode(F.split(F.trim("value"), r"\s+")).alias("at", "path")).filter("path <> ''")
+    # As many rows as files that people list.
+    return named.select((F.row_number().over(Window.orderBy("line", "at")) - 1).cast("long").alias("bag_idx"), "path")
+
+
 def read_bags(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(bag, roi_id, features) of bag files."""
-    return read_matrix(spark, paths).select(F.col("path").alias("bag"), F.col("row").alias("roi_id"), F.col("values").alias("features"))
+    """(bag, roi_id, features) of bag files, which all have as many columns."""
+    return parse_matrix(numbered_lines(spark, paths), across=True).select(F.col("path").alias("bag"), F.col("row").alias("roi_id"), F.col("values").alias("features"))
 
 
 def read_spec(spark: SparkSession, path: str, scales: list[float] | None = None) -> DataFrame:
@@ -121,6 +135,16 @@ def spec_lines(spec: DataFrame, scales: list[float]) -> DataFrame:
     return heads.unionByName(spec.select("hist_idx", F.array_join(F.transform("edges", six_digits), ",").alias("line")))
 
 
+def sequence_line(values: Column, separator: str = ",") -> Column:
+    """An array of numbers as text, of six digits each."""
+    return F.array_join(F.transform(values, six_digits), separator)
+
+
+def sample_lines(samples: DataFrame) -> DataFrame:
+    """(volume_id, roi_id, line) of the values of each box."""
+    return samples.select("volume_id", "roi_id", sequence_line(F.col("values")).alias("line"))
+
+
 def label_lines(labels: DataFrame) -> DataFrame:
     return labels.select("volume_id", "roi_id", F.col("label").cast("string").alias("line"))
 
@@ -129,6 +153,10 @@ def feature_file(base: str, scale: float, feature: str) -> str:
     return f"{base}_scale_{scale:.6f}{feature}.nii.gz"
 
 
+def scale_file(folder: str, prefix: str, scale: float) -> str:
+    return join_paths(folder, f"{prefix}scale_{scale:.6f}.nii.gz")
+
+
 def slice_file(axis: int, absolute: int, relative: int, suffix: str = "nii.gz") -> str:
     return f"axis-{axis}_absslice-{absolute}_relslice-{relative}.{suffix}"
 

@@ -213,25 +213,169 @@ def read_nifti(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return _voxels(spark, path, parse_nifti)
 
 
-def nifti_files(voxels: DataFrame, value: str = "v", kind: str = "f4") -> DataFrame:
-    """(volume_id, content) of each volume as a file; a volume is one file, and so one task's."""
+def nifti_files(voxels: DataFrame, value: str = "v", kind: str = "f4", geometry: DataFrame | None = None) -> DataFrame:
+    """(volume_id, content) of each volume as a file, with spacing and origin of ``geometry`` (volume_id, origin, spacing) if it is given.
+
+    Slices are packed in tasks of their own; the task that writes a volume holds its bytes.
+    """
+    item = np.dtype(kind)
+    # One row a volume: how far it goes.
+    sizes = voxels.groupBy("volume_id").agg(*[(F.max(a) + 1).alias(f"n{a}") for a in ("x", "y", "z")])
+    known = geometry.select("volume_id", "origin", "spacing") if geometry is not None else sizes.select("volume_id", F.array(*[F.lit(0.0)] * 3).alias("origin"), F.array(*[F.lit(1.0)] * 3).alias("spacing"))
+    sizes = sizes.join(known, "volume_id", "left")
+
+    def packed(frame: pd.DataFrame) -> pd.DataFrame:
+        grid = np.zeros((int(frame["ny"].iloc[0]), int(frame["nx"].iloc[0])), item)
+        grid[frame["y"], frame["x"]] = frame[value]
+        first = frame.iloc[:1]
+        return pd.DataFrame({c: first[c] for c in ("volume_id", "z", "nx", "ny", "nz", "origin", "spacing")} | {"data": [zlib.compress(grid.tobytes(), 1)]})
+
+    def whole(frame: pd.DataFrame) -> pd.DataFrame:
+        nx, ny, nz = (int(frame[c].iloc[0]) for c in ("nx", "ny", "nz"))
+        grid = np.zeros((nz, ny, nx), item)
+        for z, data in zip(frame["z"], frame["data"], strict=True):
+            grid[z] = np.frombuffer(zlib.decompress(data), item).reshape(ny, nx)
+        origin, spacing = ([float(x) for x in frame[c].iloc[0]] if frame[c].iloc[0] is not None else d for c, d in (("origin", [0.0] * 3), ("spacing", [1.0] * 3)))
+        return pd.DataFrame({"volume_id": [frame["volume_id"].iloc[0]], "content": [nifti_bytes(grid, spacing, origin)]})
+
+    rows = voxels.join(sizes, "volume_id")
+    slices = rows.groupBy("volume_id", "z").applyInPandas(packed, "volume_id string, z long, nx long, ny long, nz long, origin array<double>, spacing array<double>, data binary")
+    return slices.groupBy("volume_id").applyInPandas(whole, "volume_id string, content binary")
+
+
+# Pairs of files: a list says which mask belongs to which image.
+
+
+def pair_voxels(spark: SparkSession, pairs: DataFrame, parse: Callable[[bytes], Volume] = parse_nifti) -> DataFrame:
+    """Voxels (volume_id, x, y, z, v, m) of the pairs (first, second) of image and mask files; volume_id is the image's path.
+
+    The list of pairs is one that people write; its paths go to the reader.
+    """
+    local = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    named = pairs.select(local(F.col("first")).alias("first"), local(F.col("second")).alias("second"))
+    paths = named.distinct().collect()
+    if not paths:
+        return spark.createDataFrame([], VOXELS + ", m int")
+    images, masks = (_voxels(spark, sorted({p[k] for p in paths}), parse).withColumn("volume_id", local(F.col("volume_id"))) for k in ("first", "second"))
+    keyed = named.join(images, named["first"] == images["volume_id"]).select("first", "second", "x", "y", "z", "v")
+    own = masks.select(F.col("volume_id").alias("second"), "x", "y", "z", F.col("v").cast("int").alias("m"))
+    return keyed.join(own, ["second", "x", "y", "z"]).select(F.col("first").alias("volume_id"), "x", "y", "z", "v", "m")
+
+
+# DICOM: files of one slice each, uncompressed and little endian.
+
+#: Transfer syntaxes that are read, and the tags used.
+_EXPLICIT, _IMPLICIT = "1.2.840.10008.1.2.1", "1.2.840.10008.1.2"
+_LONG_VR = frozenset({b"OB", b"OD", b"OF", b"OL", b"OV", b"OW", b"SQ", b"SV", b"UC", b"UN", b"UR", b"UT", b"UV"})
+_TAGS = {(0x0008, 0x0021): "series_date", (0x0020, 0x000E): "series_uid", (0x0020, 0x0013): "number", (0x0020, 0x0032): "position", (0x0028, 0x0010): "rows", (0x0028, 0x0011): "columns", (0x0028, 0x0030): "spacing", (0x0028, 0x0100): "bits", (0x0028, 0x0103): "signed", (0x0028, 0x1052): "intercept", (0x0028, 0x1053): "slope", (0x7FE0, 0x0010): "pixels", (0x0002, 0x0010): "syntax"}
+_NUMBERS = ("rows", "columns", "bits", "signed")
+
+
+def _elements(data: bytes, at: int, explicit: bool, until: int | None = None):
+    """(tag, value) of a data set; what is in sequences is passed over."""
+    end, depth = len(data) if until is None else until, 0
+    while at + 8 <= end:
+        group, element = struct.unpack_from("<HH", data, at)
+        kind = data[at + 4 : at + 6]
+        if group == 0xFFFE or not explicit:
+            size, at = struct.unpack_from("<I", data, at + 4)[0], at + 8
+        elif kind in _LONG_VR:
+            size, at = struct.unpack_from("<I", data, at + 8)[0], at + 12
+        else:
+            size, at = struct.unpack_from("<H", data, at + 6)[0], at + 8
+        if size == 0xFFFFFFFF:
+            if (group, element) == (0x7FE0, 0x0010):
+                raise ValueError("compressed pixels aren't read")
+            # A sequence, or an item of one, that ends with an element of its own.
+            depth += group != 0xFFFE
+            continue
+        if group == 0xFFFE:
+            depth -= element == 0xE0DD
+        elif not depth:
+            yield (group, element), data[at : at + size]
+        at += size
+
+
+def parse_dicom(data: bytes) -> dict:
+    """A slice: series_uid, series_date, position (along its normal, or its number), spacing, values indexed [y, x]."""
+    if data[128:132] != b"DICM":
+        raise ValueError("no DICOM file")
+    length = struct.unpack_from("<I", data, 140)[0] if data[132:136] == b"\x02\x00\x00\x00" else 0
+    found: dict = {}
+    begin = 144 + length if length else 132
+    for tag, value in _elements(data, 132, True, begin if length else None):
+        if tag[0] == 2 and tag in _TAGS:
+            found[_TAGS[tag]] = value.strip(b"\0 ").decode()
+    syntax = found.get("syntax", _IMPLICIT)
+    if syntax not in (_EXPLICIT, _IMPLICIT):
+        raise ValueError(f"transfer syntax {syntax} isn't read")
+    for tag, value in _elements(data, begin, syntax == _EXPLICIT):
+        name = _TAGS.get(tag)
+        if name and name not in found:
+            found[name] = int.from_bytes(value[:2], "little") if name in _NUMBERS else value if name == "pixels" else value.strip(b"\0 ").decode("latin-1")
+    missing = {"rows", "columns", "bits", "pixels", "series_uid"} - set(found)
+    if missing:
+        raise ValueError(f"{', '.join(sorted(missing))} not there")
+    numbers = lambda name, default: [float(x) for x in found[name].split("\\")] if found.get(name) else default
+    values = np.frombuffer(found["pixels"], f"<{'i' if found.get('signed') else 'u'}{found['bits'] // 8}", found["rows"] * found["columns"])
+    values = values * numbers("slope", [1.0])[0] + numbers("intercept", [0.0])[0]
+    position = numbers("position", [])[-1:] or numbers("number", [0.0])
+    return {"series_uid": found["series_uid"], "series_date": found.get("series_date", ""), "position": position[0], "spacing": numbers("spacing", [1.0, 1.0]), "values": values.reshape(found["rows"], found["columns"])}
+
+
+def dicom_bytes(values: np.ndarray, series_uid: str, series_date: str, position: float, explicit: bool = True, slope: float = 1.0, intercept: float = 0.0) -> bytes:
+    """A file of one slice of 16-bit values, indexed [y, x]."""
+
+    def element(group: int, number: int, kind: bytes, content: bytes, long: bool = explicit) -> bytes:
+        content += (b" " if kind not in (b"UI", b"OW") else b"\0") * (len(content) % 2)
+        head = struct.pack("<HH", group, number)
+        if not long:
+            return head + struct.pack("<I", len(content)) + content
+        return head + kind + (b"\0\0" + struct.pack("<I", len(content)) if kind in _LONG_VR else struct.pack("<H", len(content))) + content
+
+    meta = element(2, 0x10, b"UI", (_EXPLICIT if explicit else _IMPLICIT).encode(), True)
+    number = lambda x: struct.pack("<H", x)
+    rows = [
+        (0x0008, 0x0021, b"DA", series_date.encode()), (0x0020, 0x000E, b"UI", series_uid.encode()), (0x0020, 0x0032, b"DS", f"0\\0\\{position:g}".encode()),
+        (0x0028, 0x0010, b"US", number(values.shape[0])), (0x0028, 0x0011, b"US", number(values.shape[1])), (0x0028, 0x0100, b"US", number(16)), (0x0028, 0x0103, b"US", number(1)),
+        (0x0028, 0x1052, b"DS", f"{intercept:g}".encode()), (0x0028, 0x1053, b"DS", f"{slope:g}".encode()), (0x7FE0, 0x0010, b"OW", values.astype("<i2").tobytes()),
+    ]
+    return b"\0" * 128 + b"DICM" + element(2, 0, b"UL", struct.pack("<I", len(meta)), True) + meta + b"".join(element(*r) for r in rows)
+
+
+SLICES = "series_uid string, series_date string, position double, x long, y long, v double"
+
+
+def dicom_slices(files: DataFrame) -> DataFrame:
+    """(series_uid, series_date, position, x, y, v) of files (path, content), a slice each."""
 
-    def run(frame):
-        shape = tuple(int(frame[a].max()) + 1 for a in ("z", "y", "x"))
-        grid = np.zeros(shape, kind)
-        grid[frame["z"], frame["y"], frame["x"]] = frame[value]
-        return pd.DataFrame({"volume_id": [frame["volume_id"].iloc[0]], "content": [nifti_bytes(grid)]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                try:
+                    s = parse_dicom(content)
+                except (ValueError, struct.error) as e:
+                    raise ValueError(f"{path}: {e}") from e
+                y, x = np.indices(s["values"].shape)
+                n = x.size
+                cols = [pa.array([s["series_uid"]] * n), pa.array([s["series_date"]] * n), pa.array(np.full(n, s["position"])), *[pa.array(c.ravel(), pa.int64()) for c in (x, y)], pa.array(s["values"].ravel().astype(float))]
+                yield pa.RecordBatch.from_arrays(cols, names=["series_uid", "series_date", "position", "x", "y", "v"])
 
-    return voxels.groupBy("volume_id").applyInPandas(run, "volume_id string, content binary")
+    return files.select("path", "content").mapInArrow(run, SLICES)
 
 
-# DICOM series, from a table of tags: pixel files themselves need a decoder that isn't here.
+def read_dicom(spark: SparkSession, path: str | list[str], glob: str | None = None) -> DataFrame:
+    """Volumes of all series in these files."""
+    return series_volumes(dicom_slices(_files(spark, path, glob)))
 
 
 def series_volumes(slices: DataFrame) -> DataFrame:
     """Volumes of slices (series_uid, series_date, position, x, y, v): one for each series and date, z by position."""
-    order = F.dense_rank().over(Window.partitionBy("series_uid", "series_date").orderBy("position")) - 1
-    return slices.select(F.concat_ws("_", "series_uid", "series_date").alias("volume_id"), "x", "y", order.cast("long").alias("z"), "v")
+    # Positions are ranked, not voxels: a series has as many as slices.
+    order = F.row_number().over(Window.partitionBy("series", "date").orderBy("at")) - 1
+    places = slices.select(F.col("series_uid").alias("series"), F.col("series_date").alias("date"), F.col("position").alias("at")).distinct().withColumn("slice", order.cast("long"))
+    same = F.col("series_uid").eqNullSafe(F.col("series")) & F.col("series_date").eqNullSafe(F.col("date")) & F.col("position").eqNullSafe(F.col("at"))
+    return slices.join(places, same).select(F.concat_ws("_", "series_uid", "series_date").alias("volume_id"), "x", "y", F.col("slice").alias("z"), "v")
 
 
 def write_volumes(voxels: DataFrame, path: str, by: list[str] | None = None) -> None:
