@@ -56,18 +56,20 @@ def test_documents(spark):
     assert result(op9_ngram_jaccard_join(docs)) == want
 
 
-@pytest.mark.parametrize("group", [2048, 40])
-def test_large_group(spark, group):
+@pytest.mark.parametrize(("group", "band_group"), [(2048, 512), (40, 30), (40, 3)])
+def test_large_group(spark, group, band_group):
     rng = random.Random(1)
-    base = [f"w{rng.randrange(500)}" for _ in range(200)]
     rows = []
-    for i in range(150):
-        w = list(base)
-        for _ in range(rng.randrange(6)):
-            w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
-        rows.append((i, " ".join(w)))
+    for base in range(3):
+        # A group of copies, one whose texts differ more, and one of texts that share a half only.
+        words = [f"w{rng.randrange(500)}" for _ in range(200)]
+        for _ in range((150, 60, 40)[base]):
+            w = list(words)
+            for _ in range(rng.randrange((6, 14, 3)[base])):
+                w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(w[:100] + [f"y{rng.randrange(10**6)}" for _ in range(100)] if base == 2 else w)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert result(near_classes(docs, group=group)) == brute(rows)
+    assert result(near_classes(docs, group=group, band_group=band_group)) == brute(rows)
 
 
 def test_odd_rows(spark):
@@ -82,7 +84,10 @@ def test_odd_rows(spark):
 def test_components(spark):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 160)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(80)] + [(900, 900)]
-    got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    made = spark.createDataFrame(edges, "a long, b long")
+    got = {r.node: r.label for r in components(made, 0).collect()}
+    assert got == {r.node: r.label for r in components(made).collect()}
+    assert components(made.limit(0)).collect() == components(made.limit(0), -1).collect() == []
     up = {x: x for e in edges for x in e}
     for _ in range(400):
         for a, b in edges:

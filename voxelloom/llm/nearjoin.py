@@ -7,9 +7,12 @@ is dropped once its posterior probability of reaching the threshold falls below
 a tolerance.  What survives is verified on the whole shingle sets.
 
 Pairs are never rows.  Documents of one shingle set are one class.  Survivors
-link classes into candidate components, as stars; within a component all pairs
-of classes are verified by products of incidence matrices, of which only each
-class's number of links and its place in the exact components leave the task.
+link classes into candidate components, as stars.  In a large band group all rows are
+first compared with a few pivots; only rows that are not linked with most others
+that way are compared with all, so a group of copies costs as much as it has rows.
+Within a component all pairs of classes are verified by products of incidence matrices,
+of which only each class's number of links and its place in the exact components leave
+the task: that number is of pairs, and the products are as many.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelloom.llm import blocks as bl
@@ -32,8 +35,12 @@ SHINGLE, THRESHOLD = 5, 0.8
 VALUES, BANDS, ROWS = 128, 24, 4
 #: Values compared at a time, and the posterior probability below which a pair is dropped.
 STEP, TOLERANCE = 16, 1e-6
-#: Classes in one comparing task; larger groups are cut into pairs of blocks of this size.
+#: Classes in one verifying task; larger components are cut into pairs of blocks of this size.
 GROUP = 2048
+#: Groups of a few times LEAST rows or more are cut into blocks already, up to SPREAD of them, to be shared out among tasks.
+LEAST, SPREAD = 256, 12
+#: Classes of a band in one comparing task; larger groups are compared with PIVOTS of their rows first.
+BAND_GROUP, PIVOTS = 512, 16
 COLUMNS = 2048
 
 SKETCH = "doc_id long, text_hash long, node long, check long, n_shingles long, signature binary"
@@ -326,11 +333,11 @@ def _sets(size: int):
 def _dealt(rows: DataFrame, group, count, item, most: int, n: int) -> DataFrame:
     """Rows with their comparing task: bucket, key and side.
 
-    A group of up to ``most`` rows is one task with side -1.  A larger one is cut
-    into blocks by hash, and each pair of blocks is a task, sides 0 and 1; a block
-    with itself is one with side -1.
+    A small group is one task with side -1.  A larger one is cut into blocks of up to
+    about ``most`` rows by hash, and each pair of blocks is a task, sides 0 and 1; a
+    block with itself is one with side -1.
     """
-    pieces = F.ceil(count / F.lit(most)).cast("int")
+    pieces = F.greatest(F.ceil(count / F.lit(most)), F.least(F.ceil(count / F.lit(min(most, LEAST))), F.lit(SPREAD))).cast("int")
     mine = F.pmod(F.xxhash64(item, F.lit(7)), F.col("pieces")).cast("int")
     return (
         rows.withColumn("pieces", pieces)
@@ -343,7 +350,79 @@ def _dealt(rows: DataFrame, group, count, item, most: int, n: int) -> DataFrame:
     )
 
 
-def near_classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, tolerance: float = TOLERANCE, group: int = GROUP, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+LINKED = "band long, in_band long, pivots array<struct<node: long, root: long, signature: binary>>"
+
+
+def _pivots_linked(needed: list[int]):
+    """Of each large group: its pivots with the smallest one that each is linked with."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for pivots in batch.column("pivots").to_pylist():
+                sig = np.frombuffer(b"".join(p["signature"] for p in pivots), np.uint32).reshape(len(pivots), -1)
+                root = _link(sig, None, needed)
+                out.append([{"node": p["node"], "root": pivots[r]["node"], "signature": p["signature"]} for p, r in zip(pivots, root.tolist(), strict=True)])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("band", "in_band")], pa.array(out, pa.list_(pa.struct([("node", pa.int64()), ("root", pa.int64()), ("signature", pa.binary())])))], names=["band", "in_band", "pivots"])
+
+    return run
+
+
+def _mates(needed: list[int]):
+    """Of rows of large groups: the root of the first of their group's pivots with which the pair stays, or null."""
+
+    def run(batches):
+        for batch in batches:
+            band, node = batch.column("band").to_numpy(), batch.column("node").to_numpy()
+            mate, found = np.zeros(len(node), np.int64), np.zeros(len(node), bool)
+            sig = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint32).reshape(len(node), -1) if len(node) else np.zeros((0, VALUES), np.uint32)
+            for rows in _grouped(band):
+                for p in batch.column("pivots")[int(rows[0])].as_py():
+                    left = rows[~found[rows]]
+                    if not len(left):
+                        break
+                    both = np.concatenate([sig[left], np.frombuffer(p["signature"], np.uint32)[None]])
+                    hit = left[surviving(both, np.arange(len(left)), np.full(len(left), len(left)), needed)]
+                    mate[hit], found[hit] = p["root"], True
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("band"), batch.column("in_band"), pa.array(mate, mask=~found)], names=["node", "band", "in_band", "mate"])
+
+    return run
+
+
+def _large_groups(rows: DataFrame, classes: DataFrame, needed: list[int], group: int, n: int, total: int) -> tuple[DataFrame, DataFrame]:
+    """Of (node, band, in_band) of large groups: stars (a, b) with pivots, and the tasks of what pivots leave open.
+
+    Rows linked with the same pivot as most others of their group need no comparing
+    among each other; the other rows are compared with these and with one another.
+    """
+    signed = lambda df: df.join(classes.select("node", "signature").hint("merge"), "node")
+    rank = F.row_number().over(Window.partitionBy("band").orderBy(F.xxhash64("node", F.lit(11)), "node"))
+    picked = signed(rows.withColumn("rank", rank).filter(F.col("rank") <= PIVOTS).drop("rank"))
+    # Up to PIVOTS in a list.
+    pivots = picked.groupBy("band", "in_band").agg(F.sort_array(F.collect_list(F.struct("node", "signature"))).alias("pivots"))
+    linked = saved(pivots.mapInArrow(_pivots_linked(needed), LINKED))
+    placed = join_groups(signed(rows), linked.select("band", F.col("in_band").alias("n"), "pivots"), "band", "n", total, "node")
+    mated = saved(placed.select("node", "band", "in_band", "signature", "pivots").mapInArrow(_mates(needed), "node long, band long, in_band long, mate long"))
+    stars = mated.filter("mate IS NOT NULL").select(F.col("node").alias("a"), F.col("mate").alias("b"))
+    roots = linked.select(F.explode("pivots").alias("p")).select(F.col("p.node").alias("a"), F.col("p.root").alias("b"))
+    sizes = mated.filter("mate IS NOT NULL").groupBy("band", "mate").agg(F.count(F.lit(1)).alias("n"))
+    main = sizes.groupBy("band").agg(F.max(F.struct("n", "mate")).alias("main")).select("band", F.col("main.mate").alias("main"), F.col("main.n").alias("n_main"))
+    every = linked.select("band", "in_band").join(main.hint("merge"), "band", "left").withColumn("n_main", F.coalesce("n_main", F.lit(0).cast("long"))).withColumn("n_other", F.col("in_band") - F.col("n_main")).filter("n_other > 0")
+    open_rows = join_groups(mated.select("node", "band", "mate"), every, "band", "in_band", total, "node").filter("n_other IS NOT NULL")
+    in_main = F.col("mate").eqNullSafe(F.col("main")) & F.col("main").isNotNull()
+    others, mains = open_rows.filter(~in_main), open_rows.filter(in_main)
+    among = _dealt(others, F.col("band"), F.col("n_other"), F.col("node"), group, n)
+    # Each block of the other rows with each block of the main ones.
+    block = lambda k: F.pmod(F.xxhash64("node", F.lit(13)), F.ceil(F.col(k) / F.lit(group))).cast("int")
+    each = lambda k: F.explode(F.sequence(F.lit(0), F.ceil(F.col(k) / F.lit(group)).cast("int") - 1))
+    across = others.filter("n_main > 0").withColumn("one", block("n_other")).withColumn("two", each("n_main")).withColumn("side", F.lit(0))
+    across = across.unionByName(mains.withColumn("two", block("n_main")).withColumn("one", each("n_other")).withColumn("side", F.lit(1)))
+    across = across.withColumn("key", F.xxhash64("band", "one", "two", F.lit(17))).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(n)).cast("int"))
+    columns = ["bucket", "key", "side", "node"]
+    return stars.unionByName(roots), signed(among.select(*columns).unionByName(across.select(*columns)))
+
+
+def near_classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, tolerance: float = TOLERANCE, group: int = GROUP, band_group: int = BAND_GROUP, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Classes of documents linked by Jaccard similarity of word shingles of ``threshold`` or more.
 
     One row per input row: doc_id, class_id (smallest doc_id of all documents it is
@@ -354,15 +433,16 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHIN
 
     Words are runs without white space, unchanged.  A text of 1 to size - 1 words
     has one shingle; null and empty texts have none, equal one another only, and
-    have no links.  Repeated rows get equal results; null ids are after all others
-    and come back as null.  Other columns are ignored.  An empty table gives no rows.
+    have no links.  Very long texts are read whole.  Repeated rows get equal results;
+    null ids are after all others and come back as null; of different texts of one id
+    the first is that of least hash.  Other columns are ignored.  An empty table gives
+    no rows.
 
     A pair at the threshold is missed with probability below 1e-5 (no common band)
     plus the tolerance (dropped early); links that are found are exact.
     """
     n = 4 * bl.partitions(docs.sparkSession)
-    ident = F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(bl.NO_ID)).alias("doc_id")
-    plain = docs.select(ident, F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    plain = docs.select(bl.known_id(F.col(f"`{doc_id}`")).alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     sketches = saved(plain.mapInArrow(_sketches(size, VALUES), SKETCH))
     classes = saved(
         sketches.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("same"), F.count(F.lit(1)).alias("n_same"), F.max("n_shingles").alias("n_shingles"), F.any_value("signature").alias("signature"))
@@ -371,23 +451,29 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHIN
     band = lambda b: F.xxhash64(F.substring("signature", 4 * ROWS * b + 1, 4 * ROWS), F.lit(b))
     keyed = classes.filter("n_shingles > 0").select("node", F.explode(F.array(*[band(b) for b in range(BANDS)])).alias("band"))
     shared = keyed.groupBy("band").agg(F.count(F.lit(1)).alias("in_band")).filter("in_band > 1")
-    candidates = keyed.join(shared.hint("merge"), "band").join(classes.select("node", "signature").hint("merge"), "node")
-    tasks = _dealt(candidates, F.col("band"), F.col("in_band"), F.col("node"), group, n).select("bucket", "key", "side", "node", "signature")
-    stars = tasks.groupBy("bucket").applyInArrow(_candidate_links(needed), "a long, b long").distinct()
-    component = saved(components(stars))
+    grouped = saved(keyed.join(shared.hint("merge"), "band").select("node", "band", "in_band"))
+    rows = grouped.filter(F.col("in_band") <= band_group)
+    tasks = rows.join(classes.select("node", "signature").hint("merge"), "node").select(F.pmod(F.xxhash64("band"), F.lit(n)).cast("int").alias("bucket"), F.col("band").alias("key"), F.lit(-1).alias("side"), "node", "signature")
+    large = grouped.filter(F.col("in_band") > band_group)
+    total = large.count()
+    if total:
+        stars, left = _large_groups(large, classes, needed, band_group, n, total)
+        found = tasks.unionByName(left.select(*tasks.columns)).groupBy("bucket").applyInArrow(_candidate_links(needed), "a long, b long").unionByName(stars)
+    else:
+        found = tasks.groupBy("bucket").applyInArrow(_candidate_links(needed), "a long, b long")
+    component = saved(components(saved(found.distinct())))
     sizes = component.groupBy("label").agg(F.count(F.lit(1)).alias("members"))
-    wanted = component.join(sizes.hint("merge"), "label").join(classes.select("node", "same").hint("merge"), "node").select("node", F.col("label").alias("component"), "members", "same.*")
+    wanted = saved(component.join(sizes.hint("merge"), "label").join(classes.select("node", "same").hint("merge"), "node").select("node", F.col("label").alias("component"), "members", "same.*"))
     texts = wanted.hint("merge").join(plain, ["doc_id", "text_hash"]).select("node", "component", "members", "text")
     sets = texts.mapInArrow(_sets(size), "node long, component long, members long, shingles binary")
     tasks = _dealt(sets, F.col("component"), F.col("members"), F.col("node"), group, n).select("bucket", "key", "side", "node", "shingles")
     exact = saved(tasks.groupBy("bucket").applyInArrow(_verified(threshold), "a long, b long, links long"))
     links = exact.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("n_links"))
-    label = components(exact.select("a", "b"))
-    placed = classes.select("node", "same", "n_same", "n_shingles").join(links.hint("merge"), "node", "left").join(label.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    label = saved(components(exact.select("a", "b")))
+    placed = saved(classes.select("node", "same", "n_same", "n_shingles").join(links.hint("merge"), "node", "left").join(label.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node")))
     least = placed.groupBy("label").agg(F.min("same").alias("first"))
-    named = placed.join(least.hint("merge"), "label").select("node", F.col("same.doc_id").alias("same_id"), "n_same", "n_shingles", F.col("first.doc_id").alias("class_id"), F.col("first.text_hash").alias("first_hash"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    total = classes.agg(F.sum("n_same")).first()[0] or 0
-    named = saved(named)
+    named = saved(placed.join(least.hint("merge"), "label").select("node", F.col("same.doc_id").alias("same_id"), "n_same", "n_shingles", F.col("first.doc_id").alias("class_id"), F.col("first.text_hash").alias("first_hash"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
+    total = named.agg(F.sum("n_same")).first()[0] or 0
     first = (F.col("doc_id") == F.col("class_id")) & (F.col("text_hash") == F.col("first_hash"))
     known = lambda c: F.when(F.col(c) != bl.NO_ID, F.col(c)).alias(c)
     return join_groups(sketches.select("doc_id", "text_hash", "node"), named, "node", "n_same", total, "doc_id").select(known("doc_id"), known("class_id"), known("same_id"), "n_same", "n_links", "n_shingles", first.alias("is_first"), "text_hash")
