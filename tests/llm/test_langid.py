@@ -88,7 +88,7 @@ def brute(rows, draw):
         by[c].add(t)
     vectors = []
     for c in labels:
-        for t in sorted(by[c], key=lambda t: draw[t])[: langid.SAMPLE // len(labels)]:
+        for t in sorted(by[c], key=lambda t: (draw[t] % (1 << 30), draw[t]))[: langid.SAMPLE // len(labels)]:
             tf = sorted(frequencies(t).items())
             ids = np.array([f for f, _ in tf] + [langid.FEATURES], np.int32)
             x = np.append(np.array([v for _, v in tf], np.float32) * np.array([idf(f) for f, _ in tf]) * langid.SCALE, 1.0)
@@ -138,6 +138,7 @@ def test_the_draw_is_bounded_and_counts_copies_once(spark):
     docs = spark.createDataFrame(rows, "text string, label string")
     got = Counter((r.label, r.text) for r in drawn_texts(docs, 100).collect())
     assert Counter(c for c, _ in got) == {"en": 100, "de": 50} and set(got.values()) == {1}
+    assert got == Counter((r.label, r.text) for r in drawn_texts(docs, 100, {"en": 6001, "de": 50}).collect())
     hot = spark.createDataFrame([(i, t, c) for i, (t, c) in enumerate(rows)], "doc_id long, text string, lang string")
     assert {(r.lang_pred) for r in op6_language_id(hot).collect()} == {"en", "de"}
     many = spark.range(2000).selectExpr("id AS doc_id", "'a' AS text", "cast(id AS string) AS lang")

@@ -209,18 +209,26 @@ def fitted(vectors: list[tuple[np.ndarray, np.ndarray, int]], classes: int) -> t
     return w, temperature(logits, np.array([c for _, _, c in aside]))
 
 
-def drawn_texts(labelled: DataFrame, each: int) -> DataFrame:
-    """(label, text) of up to ``each`` different texts of each label, drawn by a hash of the text, one row each.
+#: Texts of a label that are ranked for the draw, as a multiple of those drawn.
+MARGIN = 4
+DRAWS = 1 << 30
 
-    First the hashes are ranked, of which each task passes on ``each`` of a label at
-    most; then the texts are looked up.  Copies of a text count once however many
-    there are.
+
+def drawn_texts(labelled: DataFrame, each: int, different: dict[str, int] | None = None) -> DataFrame:
+    """(label, text) of up to ``each`` different texts of each label, those of least hash, one row each.
+
+    ``different`` says about how many different texts each label has: of more than
+    ``MARGIN`` times what is drawn, only that many are ranked.  Copies of a text count
+    once however many there are.
     """
-    hashed = labelled.withColumn("draw", F.xxhash64("text", F.lit(6)))
-    rank = F.row_number().over(Window.partitionBy("label").orderBy("draw"))
-    picks = hashed.select("label", "draw").distinct().withColumn("rank", rank).filter(F.col("rank") <= each).select("label", "draw")
+    hashed = labelled.withColumn("hash", F.xxhash64("text", F.lit(6))).withColumn("draw", F.pmod("hash", F.lit(DRAWS)))
+    if different:
+        most = F.create_map(*[x for c, n in different.items() for x in (F.lit(c), F.lit(min(DRAWS, MARGIN * each * DRAWS // max(n, 1))))])
+        hashed = hashed.filter(F.col("draw") < most[F.col("label")])
+    rank = F.row_number().over(Window.partitionBy("label").orderBy("draw", "hash"))
+    picks = hashed.select("label", "draw", "hash").distinct().withColumn("rank", rank).filter(F.col("rank") <= each).select("label", "hash")
     # Up to ``each`` rows a label.
-    return hashed.join(F.broadcast(picks), ["label", "draw"]).groupBy("label", "draw").agg(F.min("text").alias("text")).select("label", "text")
+    return hashed.join(F.broadcast(picks), ["label", "hash"]).groupBy("label", "hash").agg(F.min("text").alias("text")).select("label", "text")
 
 
 def train(docs: DataFrame, usable: Column, sample: int = SAMPLE, order: int = ORDER, text: str = "text", label: str = "lang") -> Model | None:
@@ -229,7 +237,8 @@ def train(docs: DataFrame, usable: Column, sample: int = SAMPLE, order: int = OR
         raise ValueError(f"n-grams of 1 to {GAP} characters are counted")
     rows = docs.filter(usable).select(F.col(f"`{text}`").cast("string").alias("text"), F.col(f"`{label}`").cast("string").alias("label"))
     labelled = rows.filter("text IS NOT NULL AND label IS NOT NULL")
-    counts = {r.label: r.n for r in labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LABELS + 1).collect()}
+    found = labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(F.xxhash64("text")).alias("different")).limit(MOST_LABELS + 1).collect()
+    counts = {r.label: r.n for r in found}
     if not counts:
         return None
     if len(counts) > MOST_LABELS:
@@ -239,7 +248,7 @@ def train(docs: DataFrame, usable: Column, sample: int = SAMPLE, order: int = OR
     for r in labelled.select("text").mapInArrow(_frequencies(order), "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).toArrow().to_batches():
         df[r.column("feature").to_numpy()] = r.column("n").to_numpy()
     idf = np.log((1 + sum(counts.values())) / (1 + df)) + 1
-    vectors = drawn_texts(labelled, max(1, sample // len(labels))).mapInArrow(_vectors(order), "label string, ids binary, tf binary, task int")
+    vectors = drawn_texts(labelled, max(1, sample // len(labels)), {r.label: r.different for r in found}).mapInArrow(_vectors(order), "label string, ids binary, tf binary, task int")
     got = vectors.groupBy("task").applyInArrow(_fitted(labels, idf), FITTED).first()
     return Model(labels, np.frombuffer(got.weights, np.float32).reshape(FEATURES, -1), np.frombuffer(got.bias, np.float64), got.heat, order)
 
