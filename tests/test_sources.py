@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from voxelloom.operators.stencil import FEATURES
+from voxelloom.plans import saving
 from voxelloom.sources import text, volumes
 from voxelloom.streaming import arrivals
 
@@ -143,3 +144,15 @@ def test_names_and_lines(spark):
     assert text.scale_file("/a/", "x_", 0.6) == "/a/x_scale_0.600000.nii.gz"
     row = spark.range(1).selectExpr("'v' AS volume_id", "1L AS roi_id", "array(1.0D, 0.5D, 1234567.0D) AS values")
     assert text.sample_lines(row).first().line == "1,0.5,1.23457e+06"
+
+
+def test_saved_tables_can_go(spark):
+    before = saving.written()
+    one, two = saving.saved(spark.range(5)), saving.saved(spark.range(7))
+    assert one.count() == 5 and saving.written() == before + 2
+    saving.drop_saved(spark, before, but_last=True)
+    assert two.count() == 7 and saving.written() == before + 1
+    with pytest.raises(Exception, match="(?i)exist"):
+        spark.read.parquet(one.inputFiles()[0]).count()
+    saving.drop_saved(spark, before)
+    assert saving.written() == before

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import io
 import os
+import shutil
 import tempfile
 import zipfile
 from collections.abc import Callable
@@ -24,7 +26,8 @@ def shipped(spark: SparkSession) -> None:
     with zipfile.ZipFile(data, "w") as z:
         for p in sorted(top.rglob("*.py")):
             z.write(p, p.relative_to(top.parent))
-    folder = tempfile.mkdtemp(prefix="shipped-")
+    folder = tempfile.mkdtemp(prefix="shipped-")  # the driver's own; executors fetch the file from the driver
+    atexit.register(shutil.rmtree, folder, True)
     path = os.path.join(folder, "voxelloom_sources.zip")
     Path(path).write_bytes(data.getvalue())
     context.addPyFile(path)
