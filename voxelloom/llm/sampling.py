@@ -18,11 +18,13 @@ from pyspark.sql import functions as F
 
 from voxelloom.llm.shared import saved
 
-SAMPLES = 32
+SAMPLES = 48
 SPACE = r"[\x20\x09-\x0D]+"
 #: Bytes of a signature that stand for one sample.
 WIDTH = 4
 NO_ID = (1 << 63) - 1
+#: Rows that repeat a text are told out in lists of up to so many.
+RUN = 4096
 
 
 def _uniforms(h: Column) -> tuple[Column, Column]:
@@ -101,12 +103,15 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES, doc_id: str = "doc_id"
 
     Null text is empty.  Texts without a word have the empty fingerprint.  A null
     doc_id comes last.  Rows that repeat a doc_id and text count as one document and
-    get equal rows; different texts of one doc_id follow each other by hash.  A
-    single document is its own next.  Other columns are ignored; an empty table
+    get equal rows; different texts of one doc_id follow each other by hash.  Very long
+    texts are read whole.  A single document is its own next.  Other columns are ignored; an empty table
     gives no rows.
     """
     parts = 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    plain = docs.select(F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    ident = F.col(f"`{doc_id}`").cast("long")
+    plain = docs.select(F.coalesce(ident, F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"), ident.isNull().cast("long").alias("nameless"))
+    # The last bit tells a null id from the largest one.
+    plain = plain.withColumn("h", F.xxhash64("text").bitwiseAND(F.lit(-2)).bitwiseOR(F.col("nameless"))).drop("nameless")
     pairs = saved(following(plain.select("doc_id", "h", F.char_length("text").cast("long").alias("n"))))
     # Small partitions: the table of a partition's words is to stay in memory.
     held = plain.repartition(parts, "doc_id", "h")
@@ -130,17 +135,18 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES, doc_id: str = "doc_id"
     known = saved(shas.join(prints, ["doc_id", "h"], "left").select("doc_id", "h", F.unhex("edited_sha256").alias("sha"), mine.alias("fingerprint"), other.alias("edited_fingerprint"), likeness(mine, other, samples).alias("near_edited")))
     after = known.select(F.col("doc_id").alias("next_id"), F.col("h").alias("next_h"), F.col("fingerprint").alias("next_fingerprint"))
     whole = pairs.join(known, ["doc_id", "h"]).join(after, ["next_id", "next_h"])
-    rows = whole.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    show = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).alias(c)
+    runs = whole.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(copies - 1) div {RUN}"))))
+    rows = runs.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(RUN).cast("long"), F.col("copies") - F.col("run") * RUN))))
+    show = lambda c, h: F.when(F.col(h).bitwiseAND(F.lit(1)) == 0, F.col(c)).alias(c)
     return rows.select(
-        show("doc_id"),
+        show("doc_id", "h"),
         F.col("n").alias("n_chars"),
         F.lower(F.hex("sha")).alias("edited_sha256"),
         F.hex("fingerprint").alias("fingerprint"),
         F.hex("edited_fingerprint").alias("edited_fingerprint"),
         "near_edited",
         likeness(F.col("fingerprint"), F.col("next_fingerprint"), samples).alias("near_next"),
-        show("next_id"),
+        show("next_id", "next_h"),
     )
 
 
