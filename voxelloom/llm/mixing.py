@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxelloom.operators.prefix import prefix_sums
+
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 #: Hexadecimal digits of the key that name a range: 16 ** 3 of them in each source at most.
@@ -29,24 +31,20 @@ def source_targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weig
     No target exceeds ``most`` times its source's size; the excess is shared again
     by weight until none does.  That is the level L with sum(min(cap, L * weight))
     equal to the whole: with sources in order of cap / weight, those before some
-    place stop at their caps, and prefix sums give L for each place.
+    place stop at their caps, and prefix sums give L for each place.  Ranks and sums are
+    distributed, so there may be as many sources as hosts.
     """
-    order = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (order % len(weights) + 1).cast("int"))
-    by_ratio = Window.orderBy("ratio", F.col("source").asc_nulls_last())
-    everything = Window.partitionBy()
-    ranked = (
-        sizes.withColumn("weight", weight)
-        .withColumn("cap", F.lit(float(most)) * F.col("source_size"))
-        .withColumn("ratio", F.col("cap") / F.col("weight"))
-        .withColumn("capped_before", F.coalesce(F.sum("cap").over(by_ratio.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-        .withColumn("weight_from", F.sum("weight").over(by_ratio.rowsBetween(0, Window.unboundedFollowing)))
-        .withColumn("whole", F.lit(float(share)) * F.sum("source_size").over(everything))
-        .withColumn("level", (F.col("whole") - F.col("capped_before")) / F.col("weight_from"))
-    )
+    named = sizes.select("source", "source_size", F.coalesce("source", F.lit("")).alias("name"), F.col("source").isNull().alias("nameless"))
+    ranked = prefix_sums(named, ["nameless", "name"], {"order": F.lit(1).cast("long")})
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("order") % len(weights) + 1).cast("int"))
+    capped = ranked.withColumns({"weight": weight, "cap": F.lit(float(most)) * F.col("source_size")}).withColumn("ratio", F.col("cap") / F.col("weight"))
+    placed = prefix_sums(capped, ["ratio", "nameless", "name"], {"capped_before": F.col("cap"), "weight_before": F.col("weight")})
+    whole, every = placed.agg(F.lit(float(share)) * F.sum("source_size"), F.sum("weight")).first()
+    level = (F.lit(whole).cast("double") - F.col("capped_before")) / (F.lit(every).cast("double") - F.col("weight_before"))
     # The level holds from the first place where it doesn't exceed the ratio; if there is none, all stop at their caps.
-    level = F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "level"))).over(everything)["level"]
-    return ranked.withColumn("held", level).select("source", "source_size", F.when(F.col("held").isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("held") * F.col("weight"))).alias("target"))
+    first = placed.withColumn("level", level).filter("level <= ratio").agg(F.min(F.struct("ratio", "level")).alias("first")).first().first
+    target = F.col("cap") if first is None else F.least(F.col("cap"), F.lit(first.level) * F.col("weight"))
+    return placed.select("source", "source_size", target.alias("target"))
 
 
 def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[float, ...] = WEIGHTS, seed: str = "mix", doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -58,9 +56,10 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[f
     document at the cut gives its first ``part`` words.
 
     Null text has no words and takes part with size 0; a null source is a source of
-    its own; a source without words has target 0.  Rows that repeat a doc_id and
-    text are told apart by nothing, so which of them the cut falls on is open, but
-    not the totals.  Other columns are ignored.  An empty table gives no rows.
+    its own; a source without words has target 0.  Very long texts are counted whole.
+    Different texts of one doc_id follow each other by size and hash; rows that repeat a
+    doc_id and text are told apart by nothing, so which of them the cut falls on is
+    open, but not the totals.  Other columns are ignored.  An empty table gives no rows.
     """
     return _mixed(docs, share, most, weights, seed, doc_id, text, source, whole=False)
 
@@ -74,6 +73,7 @@ def _mixed(docs: DataFrame, share: float, most: float, weights: tuple[float, ...
         F.coalesce(name, F.lit("")).alias("name"),
         name.isNull().alias("nameless"),
         word_count(F.col(f"`{text}`").cast("string")).alias("size"),
+        F.xxhash64(F.col(f"`{text}`").cast("string")).alias("hash"),
         *[F.struct(docs["*"]).alias("row")] * whole,
     )
     keyed = rows.withColumn("key", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))).withColumn("range", F.substring("key", 1, RANGE_DIGITS))
@@ -84,7 +84,7 @@ def _mixed(docs: DataFrame, share: float, most: float, weights: tuple[float, ...
     targets = targets.select(F.coalesce("source", F.lit("")).alias("name"), F.col("source").isNull().alias("nameless"), "source_size", "target")
     before_range = Window.partitionBy("name", "nameless").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     plan = ranges.withColumn("start", F.coalesce(F.sum("range_size").over(before_range), F.lit(0))).join(targets, ["name", "nameless"]).select(*part, "start", "source_size", "target")
-    within = Window.partitionBy(*part).orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy(*part).orderBy("key", "doc_id", "size", "hash").rowsBetween(Window.unboundedPreceding, -1)
     placed = keyed.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0)))
     budget = F.floor("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.expr("floor(target) div source_size")).otherwise(F.lit(0)).cast("long")
@@ -101,8 +101,8 @@ def mixed_rows(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights:
     """The mix itself: input rows as often as it takes them whole, and the document at each source's cut with its first words.
 
     The cut document's words are joined by one space; a column n_chars, if there is
-    one, is its new number of characters.  Documents without words go with the
-    whole epochs of their source.
+    one, is its new number of characters.  Documents without words, null texts among
+    them, go with the whole epochs of their source.  All columns are kept as they are.
     """
     rows = _mixed(docs, share, most, weights, seed, doc_id, text, source, whole=True)
     whole = F.col("epochs") + (F.col("part") >= F.col("size")).cast("int") * (F.col("size") > 0).cast("int")
