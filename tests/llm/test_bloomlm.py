@@ -224,3 +224,12 @@ def test_odd_rows(spark):
     assert op1_lm_scoring(docs.limit(0)).collect() == []
     alone = score(docs, F.lit(True)).collect()
     assert {r.train_tokens for r in alone} == {0} and all(r.n_known == 0 for r in alone)
+
+
+def test_structured_words(spark):
+    one, other = "a", "b"
+    for _ in range(11):
+        one, other = one + other, other + one
+    docs = spark.createDataFrame([(0, one), (1, other), (2, one)], "doc_id long, text string")
+    got = {r.doc_id: r.n_known for r in score(docs, F.col("doc_id") == 1).collect()}
+    assert got == {0: 2, 1: 1, 2: 2}

@@ -44,7 +44,7 @@ BROADCAST_BYTES = 256 << 20
 #: Parts in which the driver gathers and broadcasts it.
 PARTS = 16
 #: Bytes of texts whose n-grams are looked up together, each different one once.
-RUN_BYTES = 1 << 21
+RUN_BYTES = 1 << 20
 #: Tokens that a task counts together before it passes them on.
 RUN_TOKENS = 1 << 20
 #: Bits of an n-gram's hash that are passed on.
@@ -495,9 +495,8 @@ def _scored(order: int, tokens: int, types: int, counts: Counts, weights: np.nda
             cut = off[:-1]
             for col, x in zip(cols, (np.diff(off), np.add.reduceat((count > 0).astype(np.int64), cut), np.add.reduceat(base, cut), np.add.reduceat(np.log10(p), cut)), strict=True):
                 col.append(x)
-        ids = [None if x == bl.NO_ID else x for x in docs.column("doc_id").to_pylist()]
         done = [np.concatenate(c) for c in cols]
-        return pa.Table.from_arrays([pa.array(ids, pa.int64()), docs.column("held_out").combine_chunks(), *[pa.array(c, f.type) for c, f in zip(done, list(SCORES_ARROW)[2:], strict=True)]], schema=SCORES_ARROW)
+        return pa.Table.from_arrays([bl.shown_ids(docs), docs.column("held_out").combine_chunks(), *[pa.array(c, f.type) for c, f in zip(done, list(SCORES_ARROW)[2:], strict=True)]], schema=SCORES_ARROW)
 
     return run
 
@@ -541,7 +540,7 @@ def score(docs: DataFrame, held_out, order: int = ORDER, weights: np.ndarray | N
     parts = model.broadcast() if sum(model.sizes.values()) <= broadcast_bytes else None
     if weights is None:
         weights = fit(model, flagged.filter(~F.col("held_out")), parts)
-    held = flagged.withColumn("doc_id", bl.known_id(F.col("doc_id"))).withColumn("block", bl.block_number(spark)).repartition(bl.partitions(spark), "block")
+    held = flagged.withColumns({"doc_id": bl.known_id(F.col("doc_id")), "nameless": F.col("doc_id").isNull()}).withColumn("block", bl.block_number(spark)).repartition(bl.partitions(spark), "block")
     told = held.groupBy("block").applyInArrow(_told(n), bl.LETTER)
     answers = told.groupBy("bucket").applyInArrow(_totals, bl.LETTER)
     if parts is None:
