@@ -108,3 +108,14 @@ def test_posterior_and_estimates():
     got = intersections(sets)
     assert all(got[i, j] == want[i][j] for i in range(6) for j in range(6) if i != j)
     assert intersections(sets[:2], sets[2:]).tolist() == [r[2:] for r in want[:2]]
+
+
+def test_structured_words_and_the_largest_id(spark):
+    one, other = "a", "b"
+    for _ in range(11):
+        one, other = one + other, other + one
+    rows = [(1, f"{one} x y z u"), (2, f"{other} x y z u"), (3, f"{one} x y z u"), ((1 << 63) - 1, f"{other} x y z u")]
+    assert result(op9_ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+    with_null = [*rows, (None, f"{one} x y z u")]
+    got = [(r.doc_id, r.class_id, r.n_same) for r in op9_ngram_jaccard_join(spark.createDataFrame(with_null, "doc_id long, text string")).collect()]
+    assert (None, 1, 3) in got and ((1 << 63) - 1, 2, 2) in got

@@ -52,3 +52,28 @@ def test_odd_rows(spark):
     got = sorted((r.doc_id if r.doc_id is not None else 99, r.n_bytes, r.n_removed) for r in op2_suffix_array_dedup(docs).collect())
     assert got == [(3, len(long), 0), (4, 200, 200), (5, 200, 200), (5, 204, 200), (7, 0, 0), (8, 0, 0), (99, 200, 200)]
     assert op2_suffix_array_dedup(docs.limit(0)).collect() == []
+
+
+def test_structured_words_and_the_largest_id(spark):
+    def thue_morse(k):
+        one, other = "a", "b"
+        for _ in range(k):
+            one, other = one + other, other + one
+        return one, other
+
+    rows = []
+    for k in range(8, 13):
+        one, other = thue_morse(k)
+        frame = " ".join(f"w{k}x{i}" for i in range(40))
+        rows += [(10 * k, f"{frame} {one} {frame}"), (10 * k + 1, f"{frame} {other} {frame}"), (10 * k + 2, f"{frame} {one} {frame}")]
+    rows += [((1 << 63) - 1, rows[0][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert result(op2_suffix_array_dedup(docs)) == brute(rows, 50)
+
+
+def test_null_ids_and_one_text_in_a_third_of_all_rows(spark):
+    same = " ".join(f"s{i}" for i in range(70))
+    rows = [(i, same) for i in range(300)] + [(None, f"{same} n{i}") for i in range(300)] + [(1000 + i, " ".join(f"o{i}y{j}" for j in range(60))) for i in range(300)]
+    got = op2_suffix_array_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 900 and sum(r.n_removed == 0 for r in got) == 301
+    assert sum(r.doc_id is None and r.n_removed >= 70 for r in got) == 300

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from voxelloom.llm import textcore as tc
 
-#: Stands for a null id: after all others.
+#: Stands for a null id in comparisons: after all others but itself.
 NO_ID = (1 << 63) - 1
 LETTER = "bucket int, block int, hashes binary, more binary"
 LETTER_ARROW = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("hashes", pa.binary()), ("more", pa.binary())])
@@ -31,9 +31,9 @@ def block_count(spark: SparkSession) -> int:
 
 
 def in_blocks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, text, block); one shuffle of the texts, which all uses in one plan share."""
+    """(doc_id, nameless, text, block); one shuffle of the texts, which all uses in one plan share."""
     spark = docs.sparkSession
-    return docs.select(known_id(F.col(f"`{doc_id}`")).alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text")).withColumn("block", block_number(spark)).repartition(partitions(spark), "block")
+    return docs.select(known_id(F.col(f"`{doc_id}`")).alias("doc_id"), F.col(f"`{doc_id}`").cast("long").isNull().alias("nameless"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text")).withColumn("block", block_number(spark)).repartition(partitions(spark), "block")
 
 
 def known_id(doc_id: Column) -> Column:
@@ -45,6 +45,11 @@ def block_number(spark: SparkSession) -> Column:
     return F.pmod(F.xxhash64("doc_id", "text"), F.lit(block_count(spark))).cast("int")
 
 
+def shown_ids(table: pa.Table) -> pa.Array:
+    """Ids of a block's rows, null where there was none."""
+    return pa.array(table.column("doc_id").to_numpy(), pa.int64(), mask=table.column("nameless").to_numpy(zero_copy_only=False))
+
+
 def block_of(table: pa.Table) -> int:
     return table.column("block")[0].as_py()
 

@@ -43,8 +43,8 @@ LEAST, SPREAD = 256, 12
 BAND_GROUP, PIVOTS = 512, 16
 COLUMNS = 2048
 
-SKETCH = "doc_id long, text_hash long, node long, check long, n_shingles long, signature binary"
-SKETCH_ARROW = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("node", pa.int64()), ("check", pa.int64()), ("n_shingles", pa.int64()), ("signature", pa.binary())])
+SKETCH = "doc_id long, nameless boolean, text_hash long, node long, check long, n_shingles long, signature binary"
+SKETCH_ARROW = pa.schema([("doc_id", pa.int64()), ("nameless", pa.bool_()), ("text_hash", pa.int64()), ("node", pa.int64()), ("check", pa.int64()), ("n_shingles", pa.int64()), ("signature", pa.binary())])
 
 
 def shingles(texts: tc.Texts, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -305,7 +305,7 @@ def _sketches(size: int, values: int):
                 value, off = shingles(texts.rows(lo, hi), size)
                 one, two = set_keys(value, off)
                 sig = signatures(value, off, values)
-                cols = [ids.slice(lo, hi - lo), hashes.slice(lo, hi - lo), pa.array(one), pa.array(two), pa.array(np.diff(off)), pa.array([r.tobytes() for r in sig], pa.binary())]
+                cols = [ids.slice(lo, hi - lo), batch.column("nameless").slice(lo, hi - lo), hashes.slice(lo, hi - lo), pa.array(one), pa.array(two), pa.array(np.diff(off)), pa.array([r.tobytes() for r in sig], pa.binary())]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, SKETCH_ARROW, strict=True)], schema=SKETCH_ARROW)
 
     return run
@@ -442,10 +442,11 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHIN
     plus the tolerance (dropped early); links that are found are exact.
     """
     n = 4 * bl.partitions(docs.sparkSession)
-    plain = docs.select(bl.known_id(F.col(f"`{doc_id}`")).alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    ident = F.col(f"`{doc_id}`").cast("long")
+    plain = docs.select(bl.known_id(ident).alias("doc_id"), ident.isNull().alias("nameless"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     sketches = saved(plain.mapInArrow(_sketches(size, VALUES), SKETCH))
     classes = saved(
-        sketches.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("same"), F.count(F.lit(1)).alias("n_same"), F.max("n_shingles").alias("n_shingles"), F.any_value("signature").alias("signature"))
+        sketches.groupBy("node").agg(F.min(F.struct("doc_id", "nameless", "text_hash")).alias("same"), F.count(F.lit(1)).alias("n_same"), F.max("n_shingles").alias("n_shingles"), F.any_value("signature").alias("signature"))
     )
     needed = needed_matches(threshold, tolerance)
     band = lambda b: F.xxhash64(F.substring("signature", 4 * ROWS * b + 1, 4 * ROWS), F.lit(b))
@@ -464,7 +465,7 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHIN
     component = saved(components(saved(found.distinct())))
     sizes = component.groupBy("label").agg(F.count(F.lit(1)).alias("members"))
     wanted = saved(component.join(sizes.hint("merge"), "label").join(classes.select("node", "same").hint("merge"), "node").select("node", F.col("label").alias("component"), "members", "same.*"))
-    texts = wanted.hint("merge").join(plain, ["doc_id", "text_hash"]).select("node", "component", "members", "text")
+    texts = wanted.hint("merge").join(plain, ["doc_id", "nameless", "text_hash"]).select("node", "component", "members", "text")
     sets = texts.mapInArrow(_sets(size), "node long, component long, members long, shingles binary")
     tasks = _dealt(sets, F.col("component"), F.col("members"), F.col("node"), group, n).select("bucket", "key", "side", "node", "shingles")
     exact = saved(tasks.groupBy("bucket").applyInArrow(_verified(threshold), "a long, b long, links long"))
@@ -472,18 +473,23 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHIN
     label = saved(components(exact.select("a", "b")))
     placed = saved(classes.select("node", "same", "n_same", "n_shingles").join(links.hint("merge"), "node", "left").join(label.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node")))
     least = placed.groupBy("label").agg(F.min("same").alias("first"))
-    named = saved(placed.join(least.hint("merge"), "label").select("node", F.col("same.doc_id").alias("same_id"), "n_same", "n_shingles", F.col("first.doc_id").alias("class_id"), F.col("first.text_hash").alias("first_hash"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
+    shown = lambda c: F.when(~F.col(f"{c}.nameless"), F.col(f"{c}.doc_id"))
+    named = saved(placed.join(least.hint("merge"), "label").select("node", shown("same").alias("same_id"), "n_same", "n_shingles", shown("first").alias("class_id"), F.col("first.text_hash").alias("first_hash"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
     total = named.agg(F.sum("n_same")).first()[0] or 0
-    first = (F.col("doc_id") == F.col("class_id")) & (F.col("text_hash") == F.col("first_hash"))
-    known = lambda c: F.when(F.col(c) != bl.NO_ID, F.col(c)).alias(c)
-    return join_groups(sketches.select("doc_id", "text_hash", "node"), named, "node", "n_same", total, "doc_id").select(known("doc_id"), known("class_id"), known("same_id"), "n_same", "n_links", "n_shingles", first.alias("is_first"), "text_hash")
+    first = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("text_hash") == F.col("first_hash"))
+    rows = sketches.select(F.when(~F.col("nameless"), F.col("doc_id")).alias("doc_id"), "text_hash", "node")
+    return join_groups(rows, named, "node", "n_same", total, "doc_id").select("doc_id", "class_id", "same_id", "n_same", "n_links", "n_shingles", first.alias("is_first"), "text_hash")
 
 
 def first_rows(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Of each class the input row of smallest doc_id, as often as it is repeated; of different texts of one doc_id one."""
-    first = near_classes(docs, threshold, size, doc_id=doc_id, text=text).filter("is_first").select(F.coalesce("doc_id", F.lit(bl.NO_ID)).alias("first_id"), F.col("text_hash").alias("first_hash")).distinct()
-    rows = docs.select(F.struct(docs["*"]).alias("row"), F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(bl.NO_ID)).alias("first_id"), F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))).alias("first_hash"))
-    return rows.join(first.hint("merge"), ["first_id", "first_hash"], "left_semi").select("row.*")
+    """Of each class the input row of smallest doc_id, as often as it is repeated; of different texts of one doc_id one.
+
+    Null ids are after all others, null texts empty; very long texts are read whole; all
+    columns are kept as they are; an empty table gives no rows.
+    """
+    first = near_classes(docs, threshold, size, doc_id=doc_id, text=text).filter("is_first").select(F.col("doc_id").alias("first_id"), F.col("text_hash").alias("first_hash")).distinct()
+    rows = docs.select(F.struct(docs["*"]).alias("row"), F.col(f"`{doc_id}`").cast("long").alias("own_id"), F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))).alias("own_hash"))
+    return rows.join(first.hint("merge"), F.col("own_id").eqNullSafe(F.col("first_id")) & (F.col("own_hash") == F.col("first_hash")), "left_semi").select("row.*")
 
 
 def op9_ngram_jaccard_join(docs: DataFrame) -> DataFrame:

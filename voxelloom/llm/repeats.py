@@ -270,10 +270,10 @@ def _removed(length: int):
             for i in range(hi - lo):
                 a, b = part.off[i], part.off[i + 1]
                 kept = part.buf[a:b][~gone[a:b]].tobytes() if total[b] > total[a] else part.text(i)
-                for column, x in zip(out, (int(ids[lo + i]), int(b - a), int(total[b] - total[a]), int(spans[b] - spans[a]), kept, hashlib.sha256(kept).hexdigest()), strict=True):
+                for column, x in zip(out[1:], (int(b - a), int(total[b] - total[a]), int(spans[b] - spans[a]), kept, hashlib.sha256(kept).hexdigest()), strict=True):
                     column.append(x)
-        out[0] = [None if x == bl.NO_ID else x for x in out[0]]
-        return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(out, OUT_ARROW, strict=True)], schema=OUT_ARROW)
+        out[0] = bl.shown_ids(docs)
+        return pa.Table.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(out, OUT_ARROW, strict=True)], schema=OUT_ARROW)
 
     return run
 

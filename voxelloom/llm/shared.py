@@ -1,35 +1,18 @@
-"""The folder that driver and executors share, and tables cut off from their lineage there."""
+"""Tables cut off from their lineage in the shared folder, and joins that spread large groups."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxelloom.plans.saving import saved, shared_folder
 
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where that is unset (tests on one machine) a new temporary folder."""
-    context = spark.sparkContext
-    found = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="checkpoint-")
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(found)
-    return found
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """Written as a table in the shared folder and read again."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["checkpointed", "join_groups", "saved"]
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    shared_dir(df.sparkSession)
+    if not df.sparkSession.sparkContext.getCheckpointDir():
+        df.sparkSession.sparkContext.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

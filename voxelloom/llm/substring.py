@@ -161,9 +161,9 @@ def _removed(window: int):
                 if total[b] > total[a]:
                     words = compress(words, (~gone[a:b]).tolist())
                 kept = b" ".join(words)
-                for column, x in zip(out, (int(ids[lo + i]), int(b - a), int(total[b] - total[a]), int(spans[b] - spans[a]), kept, hashlib.sha256(kept).hexdigest()), strict=True):
+                for column, x in zip(out[1:], (int(b - a), int(total[b] - total[a]), int(spans[b] - spans[a]), kept, hashlib.sha256(kept).hexdigest()), strict=True):
                     column.append(x)
-        out[0] = [None if x == bl.NO_ID else x for x in out[0]]
+        out[0] = bl.shown_ids(docs)
         out[4] = pa.array(out[4], pa.binary()).cast(pa.string())
         return pa.Table.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(out, OUT_ARROW, strict=True)], schema=OUT_ARROW)
 
