@@ -213,3 +213,41 @@ def test_coverage(voxels):
         for b in (b for b in rois if b.roi_id < n):
             seen[b.z0 : b.z0 + 3, b.y0 : b.y0 + 3, b.x0 : b.x0 + 3] = True
         assert (r.visited, r.hits, r.region) == (seen.sum(), (seen & (M != 0)).sum(), (M != 0).sum())
+
+
+def test_recursive_smoothing():
+    for sigma in (0.6, 1.0, 2.4, 5.0):
+        one, other = np.array(stencil.gaussian_kernel(sigma)), np.array(stencil.recursive_kernel(sigma))
+        assert abs(other.sum() - 1) < 1e-12 and len(other) > len(one)
+        wide = np.zeros(len(other))
+        at = (len(other) - len(one)) // 2
+        wide[at : at + len(one)] = one
+        # What smoothing a step or a line of up to 1 can differ by.
+        assert np.abs(other - wide).sum() < 6e-3
+
+    # A recursion of fourth order, forward and backward, on a line whose ends repeat.
+    rng, sigma = np.random.default_rng(5), 1.7
+    line = np.pad(rng.normal(size=40), 200, "edge")
+    poles = np.exp([(d + s * 1j * w) / sigma for _, _, w, d in stencil._RECURSIVE for s in (1, -1)])
+    down = np.real(np.poly(poles))
+    at = np.arange(4) / sigma
+    first = sum((a * np.cos(w * at) + b * np.sin(w * at)) * np.exp(d * at) for a, b, w, d in stencil._RECURSIVE)
+    up = [sum(down[j] * first[i - j] for j in range(i + 1)) for i in range(4)]
+
+    def forward(x):
+        y = np.zeros(len(x))
+        for i in range(len(x)):
+            y[i] = sum(up[k] * x[i - k] for k in range(min(i, 3) + 1)) - sum(down[k] * y[i - k] for k in range(1, min(i, 4) + 1))
+        return y
+
+    both = forward(line) + forward(line[::-1])[::-1] - first[0] * line
+    gain = 2 * sum(up) / sum(down) - first[0]
+    kernel = stencil.recursive_kernel(sigma)
+    assert np.allclose(np.convolve(line, kernel, "same")[200:240], (both / gain)[200:240], atol=1e-6)
+
+
+def test_recursive_features(spark, voxels):
+    one = stencil.features(voxels, [0.7]).toPandas().sort_values(["x", "y", "z"])
+    other = stencil.features(voxels, [0.7], recursive=True).toPandas().sort_values(["x", "y", "z"])
+    scale = one["GaussianBlur"].abs().max()
+    assert 0 < (one["GaussianBlur"] - other["GaussianBlur"]).abs().max() < 0.02 * scale

@@ -1,8 +1,10 @@
+import gzip
+
 import numpy as np
 import pytest
 
 from voxelloom.operators.stencil import FEATURES
-from voxelloom.plans import saving
+from voxelloom.plans import saving, tools
 from voxelloom.sources import text, volumes
 from voxelloom.streaming import arrivals
 
@@ -156,3 +158,26 @@ def test_saved_tables_can_go(spark):
         spark.read.parquet(one.inputFiles()[0]).count()
     saving.drop_saved(spark, before)
     assert saving.written() == before
+
+
+def test_images_of_any_kind(spark, tmp_path):
+    head = "NRRD0004\n# made here\ntype: short\ndimension: 3\nsizes: 4 3 2\nencoding: gzip\nendian: little\nspace directions: (0.5,0,0) (0,1,0) (0,0,3)\nspace origin: (1,2,3)\n\n"
+    files = {
+        "a.hr2": volumes.hr2_bytes(A, (1, 2, 3), (0.5, 1, 3)),
+        "b.nii.gz": volumes.nifti_bytes(A.astype("i2"), (0.5, 1, 3), (1, 2, 3)),
+        "c.mha": volumes.metaimage_bytes(A.astype("i2"), (0.5, 1, 3), (1, 2, 3)),
+        "d.mha": volumes.metaimage_bytes(A, (0.5, 1, 3), (1, 2, 3), compressed=False),
+        "e.nrrd": head.encode() + gzip.compress(A.astype("<i2").tobytes()),
+    }
+    for name, content in files.items():
+        (tmp_path / name).write_bytes(content)
+    for name in files:
+        assert np.array_equal(grid(volumes.read_images(spark, str(tmp_path / name))), A)
+    for g in volumes.image_geometry(spark, str(tmp_path / "*")).collect():
+        assert (g["size"], g.origin, g.spacing) == ([4, 3, 2], [1.0, 2.0, 3.0], [0.5, 1.0, 3.0])
+    for r in tools.convert_images(spark, str(tmp_path / "*")).collect():
+        made, values = volumes.parse_nifti(bytes(r.content))
+        assert made["spacing"] == [0.5, 1.0, 3.0] and np.array_equal(values, A)
+    for broken in (head.encode().replace(b"short", b"block"), files["c.mha"].replace(b"LOCAL", b"x.raw"), files["d.mha"][:-9]):
+        with pytest.raises(ValueError):
+            volumes.parse_image(broken)

@@ -117,7 +117,7 @@ def determine_edges(rows: DataFrame, n_bins: int, group: str = "hist_idx", value
 
 
 def ranked_runs(counts: DataFrame, group: str, value: str) -> DataFrame:
-    """(group, value, lo, hi, next): each distinct value's ranks, by prefix sums over ranges of values and within them."""
+    """(group, value, lo, hi, next, range): each distinct value's ranks, by prefix sums over ranges of values and within them."""
     n = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = counts.repartitionByRange(n, group, value).withColumn("range", F.spark_partition_id())
 
@@ -127,15 +127,23 @@ def ranked_runs(counts: DataFrame, group: str, value: str) -> DataFrame:
     starts = starts.withColumns({"start": F.coalesce(F.sum("range_n").over(by_range.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "after": F.lead("range_first").over(by_range)})
     within = Window.partitionBy(group, "range").orderBy(value)
     inside = dealt.withColumns({"upto": F.sum("n").over(within.rowsBetween(Window.unboundedPreceding, 0)), "next_here": F.lead(value).over(within)})
-    return inside.join(starts.select(group, "range", "start", "after"), [group, "range"]).select(group, F.col(value).alias("value"), (F.col("start") + F.col("upto") - F.col("n")).alias("lo"), (F.col("start") + F.col("upto")).alias("hi"), F.coalesce("next_here", "after").alias("next"))
+    return inside.join(starts.select(group, "range", "start", "after"), [group, "range"]).select(group, F.col(value).alias("value"), (F.col("start") + F.col("upto") - F.col("n")).alias("lo"), (F.col("start") + F.col("upto")).alias("hi"), F.coalesce("next_here", "after").alias("next"), "range")
 
 
 def walked_edges(counts: DataFrame, n_bins: int, group: str, value: str, on_overflow: str = "error") -> DataFrame:
-    """The same edges without gathering a group: for each edge one pass finds the run at each group's rank."""
+    """The same edges without gathering a group: each edge looks for the run at each group's rank.
+
+    Runs are kept by range, of which there are as many as shuffle partitions; their
+    ranks say which range has an edge, and only that one is read.
+    """
 
     spark = counts.sparkSession
-    runs = saved(ranked_runs(counts, group, value))
-    state = {r[0]: {"n": r[1], "at": 0, "sur": r[1] - r[1] // n_bins * n_bins, "def": 0, "edges": []} for r in runs.groupBy(group).agg(F.max("hi")).collect()}
+    runs = saved(ranked_runs(counts, group, value), "range")
+    ends: dict = {}
+    for r in runs.groupBy(group, "range").agg(F.max("hi").alias("end")).collect():
+        ends.setdefault(r[group], []).append((r.end, r["range"]))
+    ends = {g: sorted(x) for g, x in ends.items()}
+    state = {g: {"n": x[-1][0], "at": 0, "sur": x[-1][0] % n_bins, "def": 0, "edges": []} for g, x in ends.items()}
     for g, s in state.items():
         if s["n"] < n_bins:
             raise ValueError(f"{s['n']} values of {g} can't make {n_bins} bins")
@@ -154,7 +162,8 @@ def walked_edges(counts: DataFrame, n_bins: int, group: str, value: str, on_over
             if s["at"] >= s["n"] and on_overflow != "truncate":
                 raise ValueError("too many equal values for so many bins")
         asked = spark.createDataFrame([(g, s["at"]) for g, s in state.items() if s["at"] < s["n"]], f"`{group}` {kind}, at long")
-        for r in runs.join(F.broadcast(asked), group).filter("lo <= at AND at < hi").collect():
+        ranges = {ends[g][bisect_right(ends[g], (s["at"], float("inf")))][1] for g, s in state.items() if s["at"] < s["n"]}
+        for r in runs.filter(F.col("range").isin(sorted(ranges))).join(F.broadcast(asked), group).filter("lo <= at AND at < hi").collect():
             s = state[r[group]]
             at, edge = s["at"], r["value"]
             if at > r["lo"]:

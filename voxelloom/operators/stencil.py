@@ -84,6 +84,27 @@ def gaussian_kernel(sigma: float, spacing: float = 1.0, width: float = 4.0) -> l
     return [x / sum(w) for x in w]
 
 
+# Amplitudes, frequencies and decays of the two oscillations that a fourth-order recursive Gaussian sums on either side.
+_RECURSIVE = ((1.3530, 1.8151, 0.6681, -1.3932), (-0.3531, 0.0902, 2.0787, -1.3732))
+
+
+def recursive_kernel(sigma: float, spacing: float = 1.0, least: float = 1e-9) -> list[float]:
+    """Impulse response of the fourth-order recursive approximation of a Gaussian, down to ``least`` of its peak.
+
+    On lines whose ends repeat, its convolution is what the recursive filter gives.
+    """
+    width = -math.log(least / 2) / 1.3732
+    radius = max(1, math.ceil(width * sigma / spacing))
+    at = np.arange(radius + 1) * spacing / sigma
+    half = sum((a * np.cos(w * at) + b * np.sin(w * at)) * np.exp(d * at) for a, b, w, d in _RECURSIVE)
+    whole = np.concatenate([half[:0:-1], half])
+    return (whole / whole.sum()).tolist()
+
+
+def kernel_for(sigma: float, spacing: float = 1.0, width: float = 4.0, recursive: bool = False) -> list[float]:
+    return recursive_kernel(sigma, spacing) if recursive else gaussian_kernel(sigma, spacing, width)
+
+
 def _line_pass(columns: list[str], axis: str, kernel: list[float]):
     radius = len(kernel) // 2
 
@@ -112,17 +133,17 @@ def convolved(voxels: DataFrame, columns: list[str], axis: str, kernel: list[flo
     return voxels.withColumns(out)
 
 
-def gaussian_smooth(voxels: DataFrame, columns: list[str], sigma: float, spacing: tuple[float, float, float] = (1.0, 1.0, 1.0), width: float = 4.0, by: tuple[str, ...] = ("volume_id",)) -> DataFrame:
-    """Separable sampled Gaussian, cut at ``width`` standard deviations."""
+def gaussian_smooth(voxels: DataFrame, columns: list[str], sigma: float, spacing: tuple[float, float, float] = (1.0, 1.0, 1.0), width: float = 4.0, by: tuple[str, ...] = ("volume_id",), recursive: bool = False) -> DataFrame:
+    """Separable sampled Gaussian, cut at ``width`` standard deviations, or its recursive approximation."""
     for a, s in zip(AXES, spacing, strict=True):
-        voxels = convolved(voxels, columns, a, gaussian_kernel(sigma, s, width), by)
+        voxels = convolved(voxels, columns, a, kernel_for(sigma, s, width, recursive), by)
     return voxels
 
 
-def normalized_convolution(voxels: DataFrame, value: str = "v", certainty: str = "c", sigma: float = 1.0, name: str = "GaussianBlur", spacing: tuple[float, float, float] = (1.0, 1.0, 1.0), width: float = 4.0, by: tuple[str, ...] = ("volume_id",)) -> DataFrame:
+def normalized_convolution(voxels: DataFrame, value: str = "v", certainty: str = "c", sigma: float = 1.0, name: str = "GaussianBlur", spacing: tuple[float, float, float] = (1.0, 1.0, 1.0), width: float = 4.0, by: tuple[str, ...] = ("volume_id",), recursive: bool = False) -> DataFrame:
     """Smoothed value * certainty over smoothed certainty, both in the same passes."""
     both = voxels.withColumns({"_cv": F.col(value) * F.col(certainty), "_c": F.col(certainty).cast("double")})
-    smooth = gaussian_smooth(both, ["_cv", "_c"], sigma, spacing, width, by)
+    smooth = gaussian_smooth(both, ["_cv", "_c"], sigma, spacing, width, by, recursive)
     return smooth.withColumn(name, divide(F.col("_cv"), F.col("_c"))).drop("_cv", "_c")
 
 
@@ -130,7 +151,7 @@ def normalized_convolution(voxels: DataFrame, value: str = "v", certainty: str =
 _RAW = (FEATURES[0], "dx", "dy", "dz", *HESSIAN)
 
 
-def _brick_features(value: str, mask: str, scales: list[float], spacing: tuple[float, float, float], width: float, schema):
+def _brick_features(value: str, mask: str, scales: list[float], spacing: tuple[float, float, float], kernels: dict, schema):
     from pyspark.sql.pandas.types import to_arrow_schema
 
     def run(brick: Brick) -> pa.Table:
@@ -139,7 +160,7 @@ def _brick_features(value: str, mask: str, scales: list[float], spacing: tuple[f
         for i, sigma in enumerate(scales):
             both = [brick.grid(value) * certain, certain]
             for axis, step in enumerate(spacing):
-                kernel = gaussian_kernel(sigma, step, width)
+                kernel = kernels[sigma, step]
                 radius = len(kernel) // 2
                 both = [lines(g, axis, kernel, radius, radius) for g in both]
             blur = np.where(both[1] != 0, both[0] / np.where(both[1] != 0, both[1], 1.0), LARGEST_FLOAT)
@@ -162,16 +183,17 @@ def _brick_features(value: str, mask: str, scales: list[float], spacing: tuple[f
     return run
 
 
-def features(voxels: DataFrame, scales: list[float], value: str = "v", mask: str = "m", spacing: tuple[float, float, float] = (1.0, 1.0, 1.0), width: float = 4.0) -> DataFrame:
+def features(voxels: DataFrame, scales: list[float], value: str = "v", mask: str = "m", spacing: tuple[float, float, float] = (1.0, 1.0, 1.0), width: float = 4.0, recursive: bool = False) -> DataFrame:
     """The eight features of every voxel at every scale: a row for each, with scale_idx and scale.
 
     Values are smoothed with the mask, as 0 or 1, for certainty; gradient and Hessian
     are those of the smoothed values before masking; each feature is masked at last.
     A brick's halo is one voxel wider than the widest kernel.
     """
-    halo = tuple(len(gaussian_kernel(max(scales), s, width)) // 2 + 1 for s in spacing)
+    kernels = {(sigma, s): kernel_for(sigma, s, width, recursive) for sigma in scales for s in spacing}
+    halo = tuple(len(kernels[max(scales), s]) // 2 + 1 for s in spacing)
     schema = T.StructType([*voxels.schema.fields, T.StructField("scale_idx", T.IntegerType()), *[T.StructField(c, T.DoubleType()) for c in _RAW]])
-    d = in_bricks(voxels, halo, _brick_features(value, mask, scales, spacing, width, schema), schema)
+    d = in_bricks(voxels, halo, _brick_features(value, mask, scales, spacing, kernels, schema), schema)
     d = d.withColumn(FEATURES[1], F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") + F.col("dz") * F.col("dz")))
     d = eigen_features(d, HESSIAN).drop("dx", "dy", "dz", *HESSIAN)
     scale = F.element_at(F.array(*[F.lit(float(s)) for s in scales]), F.col("scale_idx") + 1)

@@ -18,11 +18,11 @@ def shared_folder(spark: SparkSession) -> str:
 _written: list[str] = []
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """Written below the shared folder and read again."""
+def saved(df: DataFrame, by: str | None = None) -> DataFrame:
+    """Written below the shared folder and read again; ``by`` puts rows into folders by a column, so that a filter on it reads only these."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -10,6 +10,7 @@ from voxelloom.functions.strings import join_paths
 from voxelloom.operators import bag as bags
 from voxelloom.operators import distance, histogram, lattice, roi, stencil
 from voxelloom.operators.stencil import FEATURES
+from voxelloom.sources import volumes
 
 Box = tuple[int, int, int]
 
@@ -155,3 +156,8 @@ def save_dataset(instances: DataFrame, known: DataFrame, path: str) -> None:
 
 def mask_with_rois(voxels: DataFrame, rois: DataFrame, value: str = "v") -> DataFrame:
     return roi.kept_in_rois(voxels, rois, value)
+
+
+def convert_images(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    """(volume_id, content) of volume files of any kind, as NIfTI files with their spacing and origin."""
+    return volumes.nifti_files(volumes.read_images(spark, path, glob), geometry=volumes.image_geometry(spark, path, glob))

@@ -7,13 +7,15 @@ probability the share of returned items.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelloom.functions import eigen, pointwise, strings
 from voxelloom.operators import bag, distance, histogram, lattice, roi, stencil
-from voxelloom.plans import tools
+from voxelloom.plans import saving, tools
 from voxelloom.sources import text, volumes
 
 SIZE = (16, 8, 7)
@@ -638,16 +640,12 @@ def dicom_series(spark, sf_dir):
     return volumes.series_volumes(volumes.dicom_slices(files))
 
 
-_ROI_LINES = ["index size", "[1, 2, 3][41, 41, 41]", "[-4,0,10][ 3,3,5 ]", "", "[7, 8, 9][1, 2, 3]"]
-
-
-def _lines(spark, lines):
-    return spark.createDataFrame([("f", i, s) for i, s in enumerate(lines)], "path string, line int, value string")
-
-
-@query("SELECT 'f' AS volume_id, CAST(i AS BIGINT) AS roi_id, CAST(a AS BIGINT) AS x0, CAST(b AS BIGINT) AS y0, CAST(c AS BIGINT) AS z0, CAST(d AS BIGINT) AS sx, CAST(e AS BIGINT) AS sy, CAST(f AS BIGINT) AS sz FROM (VALUES (0, 1, 2, 3, 41, 41, 41), (1, -4, 0, 10, 3, 3, 5), (2, 7, 8, 9, 1, 2, 3)) AS t(i, a, b, c, d, e, f)")
+@query(_vox("SELECT volume_id, roi_id, x0, y0, z0, sx, sy, sz FROM rois", _DENSE))
 def roi_text_parse(spark, sf_dir):
-    return text.parse_rois(_lines(spark, _ROI_LINES))
+    """The lattice's regions as lines of a file with a heading, and read again."""
+    lines = text.roi_lines(_dense(vox(spark, sf_dir))).select(F.col("volume_id").alias("path"), (F.col("roi_id") + 1).cast("int").alias("line"), F.col("line").alias("value"))
+    head = spark.createDataFrame([("all", 0, "index size")], "path string, line int, value string")
+    return text.parse_rois(head.unionByName(lines))
 
 
 @query(_vox("SELECT volume_id, roi_id, '[' || x0 || ', ' || y0 || ', ' || z0 || '][' || sx || ', ' || sy || ', ' || sz || ']' AS line FROM rois", _DENSE))
@@ -655,9 +653,10 @@ def roi_text_write(spark, sf_dir):
     return text.roi_lines(_dense(vox(spark, sf_dir)))
 
 
-@query("SELECT 'f' AS path, CAST(i AS INTEGER) AS line, a AS first, b AS second FROM (VALUES (0, 'image.nii.gz', 'mask.nii.gz'), (2, 'a', 'b, c')) AS t(i, a, b)")
+@query("SELECT c_mktsegment AS path, CAST(c_custkey AS INTEGER) AS line, c_name AS first, c_mktsegment || ', more' AS second FROM customer WHERE c_custkey % 5 <> 0")
 def pair_list_parse(spark, sf_dir):
-    return text.parse_pairs(_lines(spark, ["image.nii.gz, mask.nii.gz", "  ", " a ,b, c "]))
+    value = F.when(F.col("c_custkey") % 5 == 0, "  ").otherwise(F.concat(F.lit(" "), "c_name", F.lit(" ,"), "c_mktsegment", F.lit(", more ")))
+    return text.parse_pairs(_read(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("path"), F.col("c_custkey").cast("int").alias("line"), value.alias("value")))
 
 
 @query("SELECT c_custkey, rtrim(c_name, '/') || '/' || ltrim('/' || c_mktsegment, '/') AS path FROM customer")
@@ -670,38 +669,152 @@ def split_trim(spark, sf_dir):
     return _read(spark, sf_dir, "customer").select("c_custkey", strings.trim(F.concat(F.lit("#_"), F.col("c_name"), F.lit("_#")), "#_").alias("name"), strings.split(F.concat(F.col("c_name"), F.lit("#")), "#").alias("parts"))
 
 
-def _cube(nx, ny, nz):
-    return np.arange(nz)[:, None, None] * 100.0 + np.arange(ny)[None, :, None] * 10.0 + np.arange(nx)[None, None, :]
+def _as_files(spark, sf_dir, write):
+    """The lattice as a file (path, content); ``write`` makes it of values indexed [z, y, x]."""
 
+    def run(frame):
+        import pandas as pd
+
+        grid = np.zeros(SIZE[::-1])
+        grid[frame["z"], frame["y"], frame["x"]] = frame["v"]
+        return pd.DataFrame({"path": frame["volume_id"].iloc[:1], "content": [write(grid)]})
 
-def _cube_sql(nx, ny, nz):
-    return f"SELECT 'f' AS volume_id, CAST(a.i AS BIGINT) AS x, CAST(b.i AS BIGINT) AS y, CAST(c.i AS BIGINT) AS z, CAST(c.i * 100 + b.i * 10 + a.i AS DOUBLE) AS v FROM range({nx}) a(i) CROSS JOIN range({ny}) b(i) CROSS JOIN range({nz}) c(i)"
+    return vox(spark, sf_dir).groupBy("volume_id").applyInPandas(run, "path string, content binary")
 
 
-def _file(spark, content: bytes):
-    return spark.createDataFrame([("f", bytearray(content))], "path string, content binary")
+_VALUES = _vox("SELECT volume_id, x, y, z, v FROM vox")
 
 
-@query(_cube_sql(4, 3, 2))
+@query(_VALUES)
 def read_hr2(spark, sf_dir):
-    return volumes.parsed(_file(spark, volumes.hr2_bytes(_cube(4, 3, 2))), volumes.parse_hr2)
+    return volumes.parsed(_as_files(spark, sf_dir, volumes.hr2_bytes), volumes.parse_image)
 
 
-@query(_cube_sql(2, 3, 4))
+@query(_VALUES)
 def read_octave(spark, sf_dir):
-    values = _cube(2, 3, 4)
-    lines = ["# Created by a test", "# name: v", "# type: matrix", "# ndims: 3", " 2 3 4", *[f"{values[z, y, x]:g}" for z in range(4) for x in range(2) for y in range(3)]]
-    return volumes.parsed(_file(spark, "\n".join(lines).encode()), volumes.parse_octave)
+    def written(grid):
+        nz, ny, nx = grid.shape
+        head = ["# Created by a test", "# name: v", "# type: matrix", "# ndims: 3", f" {nx} {ny} {nz}"]
+        return "\n".join([*head, *[f"{v:g}" for v in grid.transpose(0, 2, 1).ravel()]]).encode()
+
+    return volumes.parsed(_as_files(spark, sf_dir, written), volumes.parse_image)
 
 
-@query(_cube_sql(5, 2, 3))
+@query(_VALUES)
 def read_nifti(spark, sf_dir):
-    return volumes.parsed(_file(spark, volumes.nifti_bytes(_cube(5, 2, 3).astype("f4"))), volumes.parse_nifti)
+    return volumes.parsed(_as_files(spark, sf_dir, lambda grid: volumes.nifti_bytes(grid.astype("f4"))), volumes.parse_image)
+
+
+@query(_VALUES)
+def read_metaimage(spark, sf_dir):
+    return volumes.parsed(_as_files(spark, sf_dir, volumes.metaimage_bytes), volumes.parse_image)
 
 
-@query("SELECT 'f' AS path, CAST(i AS BIGINT) AS row, v AS \"values\" FROM (VALUES (0, [1.0::DOUBLE, 2.5, -3.0]), (1, [4.0::DOUBLE, 5.0, 6.0])) AS t(i, v)")
+def _order_lines(spark, sf_dir):
+    """Orders as lines of a file for each status, one in seven of them blank."""
+    shown = F.concat_ws(" ,", F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string"), F.format_string("%.2f", F.col("o_totalprice")))
+    return _read(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("path"), F.col("o_orderkey").cast("int").alias("line"), F.when(F.col("o_orderkey") % 7 == 0, " ").otherwise(shown).alias("value"))
+
+
+@query("SELECT o_orderstatus AS path, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1 AS row, [CAST(o_orderkey AS DOUBLE), CAST(o_custkey AS DOUBLE), round(CAST(o_totalprice AS DOUBLE), 2)] AS \"values\" FROM orders WHERE o_orderkey % 7 <> 0")
 def read_matrix(spark, sf_dir):
-    return text.parse_matrix(_lines(spark, ["1, 2.5,-3", "", "4,5,6"]))
+    return text.parse_matrix(_order_lines(spark, sf_dir), across=True)
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN [CAST(o_custkey AS DOUBLE), 7.0] WHEN 1 THEN CAST([] AS DOUBLE[]) ELSE [CAST(o_custkey AS DOUBLE)] END AS numbers FROM orders")
+def sequence_stops(spark, sf_dir):
+    """Numbers of a line up to the first part that isn't one."""
+    key = F.col("o_orderkey") % 3
+    line = F.concat(F.when(key == 1, "x").otherwise(F.col("o_custkey").cast("string")), F.when(key == 2, ", 5 apples, 7").otherwise(", 7"))
+    return _read(spark, sf_dir, "orders").select("o_orderkey", text.parse_sequence(line).alias("numbers"))
+
+
+@query(_vox("SELECT r.volume_id, r.roi_id, string_agg(CAST(CAST(v.v AS BIGINT) AS VARCHAR), ',' ORDER BY v.z, v.y, v.x) AS line FROM rois r JOIN (SELECT * REPLACE (floor(v) AS v) FROM vox) v ON " + _IN_BOX + " GROUP BY 1, 2", _random_sql(30, "m = 1")))
+def sample_lines(spark, sf_dir):
+    v = vox(spark, sf_dir).withColumn("v", F.floor("v").cast("double"))
+    return text.sample_lines(tools.sample_rois(v, tools.generate_rois(v, SIZE, 30, BOX)))
+
+
+@query("SELECT * FROM (VALUES (-2, '# " + ",".join(FEATURES) + "'), (-1, '# 0.5,0.75')) AS t(hist_idx, line) UNION ALL SELECT CAST(i AS INTEGER), '" + ",".join(f"{e:g}" for e in SPEC_EDGES) + "' FROM range(16) r(i)")
+def edge_lines(spark, sf_dir):
+    return text.spec_lines(_spec(spark), SCALES)
+
+
+@query("SELECT CAST(i AS INTEGER) AS hist_idx, [" + ", ".join(f"{e!r}::DOUBLE" for e in SPEC_EDGES) + "] AS edges FROM range(16) r(i)")
+def edge_file(spark, sf_dir):
+    """The specification written as a text file and read again."""
+    path = f"{saving.shared_folder(spark)}/spec-{uuid.uuid4().hex}"
+    text.write_lines(text.spec_lines(_spec(spark), SCALES), path, ["hist_idx"])
+    return text.read_spec(spark, path, SCALES)
+
+
+@query(_DATASET_SQL + """ SELECT f.bag_idx, f.bag, f.first + row_number() OVER (PARTITION BY f.bag ORDER BY o_orderkey) - 1 AS inst_idx, o_totalprice AS feature, CAST(o_orderkey % 2 AS DOUBLE) AS label FROM f JOIN orders ON f.bag = CAST(o_custkey AS VARCHAR)""")
+def dataset_saved(spark, sf_dir):
+    """A dataset with instance labels, saved and read again."""
+    found = _read(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("bag"), F.col("o_orderkey").alias("roi_id"), F.array("o_totalprice").alias("features"))
+    marks = found.select("bag", "roi_id", (F.col("roi_id") % 2).cast("double").alias("label"))
+    path = f"{saving.shared_folder(spark)}/dataset-{uuid.uuid4().hex}"
+    tools.save_dataset(*tools.assemble_dataset(found, None, marks), path)
+    bags = spark.read.parquet(f"{path}/bags")
+    return spark.read.parquet(f"{path}/instances").join(bags.select("bag_idx", "bag"), "bag_idx").select("bag_idx", "bag", "inst_idx", F.col("features")[0].alias("feature"), "label")
+
+
+@query("SELECT c_custkey, c_name || '_' || c_mktsegment || '_' || printf('%d_%02d0000', CAST(c_custkey AS BIGINT) // 100, CAST(c_custkey AS BIGINT) % 100) AS name FROM customer")
+def volume_names(spark, sf_dir):
+    return _read(spark, sf_dir, "customer").select("c_custkey", strings.volume_name([F.concat(F.lit(" "), F.col("c_name")), F.col("c_mktsegment")], F.col("c_custkey") / 100).alias("name"))
+
+
+@query("SELECT * FROM (VALUES ('/out/v_scale_0.500000GaussianBlur.nii.gz', '/out/p_scale_0.500000.nii.gz', '/out/v2.ROIInfo', 'axis-2_absslice-7_relslice-1.nii.gz')) AS t(feature, scale, mask, slice)")
+def file_names(spark, sf_dir):
+    names = (text.feature_file("/out/v", 0.5, FEATURES[0]), text.scale_file("/out", "p_", 0.5), text.mask_roi_file("/out/v", 2), text.slice_file(2, 7, 1))
+    return spark.createDataFrame([names], "feature string, scale string, mask string, slice string")
+
+
+@query(_vox(f"""SELECT g AS hist_idx, count(*) AS n_edges FROM s WHERE k > 0 GROUP BY 1""", _features_sql(SCALES[0], 0) + ",\n" + _edges_sql(" UNION ALL ".join(f'SELECT CAST({i} AS INTEGER) AS g, round("{c}", 4) + 0.0 AS v FROM f0 WHERE m = 2' for i, c in enumerate(FEATURES)), 4)).replace("WITH ", "WITH RECURSIVE ", 1))
+def edges_of_foreground(spark, sf_dir):
+    """Edges of the voxels with one mask value only."""
+    found = tools.determine_edges(vox(spark, sf_dir), SCALES[:1], 4, foreground=[2])
+    return found.select("hist_idx", F.size("edges").cast("long").alias("n_edges"))
+
+
+# A lattice that grows with the tables: as long as there are parts.
+
+
+def _long_vox(spark, sf_dir):
+    rows = _read(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_linenumber", "l_quantity")
+    n = rows.agg(F.max("l_partkey")).first()[0] + 1
+    place = {"x": F.col("l_partkey"), "y": F.col("l_suppkey") % 8, "z": F.col("l_linenumber") - 1}
+    values = {"v": F.sum("l_quantity"), "m": (F.sum("l_quantity").cast("long") % 3).cast("int")}
+    return lattice.voxelise(rows, place, values, (n, 8, 7), {"v": 0.0, "m": 0}), n
+
+
+_LONG_VOX = """cells AS (
+  SELECT l_partkey AS x, l_suppkey % 8 AS y, CAST(l_linenumber - 1 AS BIGINT) AS z, CAST(sum(l_quantity) AS DOUBLE) AS v, CAST(CAST(sum(l_quantity) AS BIGINT) % 3 AS INTEGER) AS m
+  FROM lineitem GROUP BY 1, 2, 3),
+parts AS (SELECT unnest(range((SELECT max(l_partkey) + 1 FROM lineitem))) AS i),
+vox AS (
+  SELECT 'all' AS volume_id, CAST(a.i AS BIGINT) AS x, CAST(b.i AS BIGINT) AS y, CAST(c.i AS BIGINT) AS z, coalesce(v, 0.0) AS v, coalesce(m, 0) AS m
+  FROM parts a CROSS JOIN range(8) b(i) CROSS JOIN range(7) c(i) LEFT JOIN cells ON cells.x = a.i AND cells.y = b.i AND cells.z = c.i)"""
+
+
+@query(f"WITH {_LONG_VOX}, {_features_sql(0.75, 0)} SELECT x, y, z, {_FEATURE_SELECT} FROM f0 WHERE m <> 0")
+def features8_growing(spark, sf_dir):
+    found = tools.extract_features(_long_vox(spark, sf_dir)[0], [0.75]).filter("m <> 0")
+    return found.select("x", "y", "z", *[_rounded(c, DIGITS[c]) for c in FEATURES])
+
+
+@query(f"""WITH {_LONG_VOX}, s AS (SELECT *, {", ".join(f"CASE WHEN m <> 0 AND {_bin_sql('v', [10.0, 40.0])} = {k} THEN 1 ELSE 0 END AS b{k}" for k in range(3))} FROM vox),
+sx AS (SELECT x, y, z, m, {", ".join(f"sum(b{k}) OVER (PARTITION BY y, z ORDER BY x ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS b{k}" for k in range(3))} FROM s),
+sy AS (SELECT x, y, z, m, {", ".join(f"sum(b{k}) OVER (PARTITION BY x, z ORDER BY y ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS b{k}" for k in range(3))} FROM sx),
+sz AS (SELECT x, y, z, m, {", ".join(f"CAST(sum(b{k}) OVER (PARTITION BY x, y ORDER BY z ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS BIGINT) AS b{k}" for k in range(3))} FROM sy)
+SELECT z, CAST(count(*) AS BIGINT) AS boxes, CAST(sum(b0) AS BIGINT) AS n0, CAST(sum(b1) AS BIGINT) AS n1, CAST(sum(b2) AS BIGINT) AS n2 FROM sz
+WHERE m <> 0 AND x >= 1 AND x < (SELECT max(x) FROM sz) AND y BETWEEN 1 AND 6 AND z BETWEEN 1 AND 5 GROUP BY 1""")
+def bag_dense_growing(spark, sf_dir):
+    """Sums by slice of the dense intensity bag."""
+    v, n = _long_vox(spark, sf_dir)
+    found = bag.dense_intensity_bag(v, BOX, (n, 8, 7), [10.0, 40.0])
+    z = F.expr(f"roi_id div {n * 8}")
+    return found.groupBy(z.alias("z")).agg(F.count_distinct("roi_id").alias("boxes"), *[F.sum(F.when(F.col("bin") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(3)])
 
 
 @query("SELECT CAST(o_custkey AS VARCHAR) AS volume_id, o_orderkey AS roi_id, CAST(o_orderkey % 5 AS VARCHAR) AS line FROM orders")

@@ -213,6 +213,86 @@ def read_nifti(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return _voxels(spark, path, parse_nifti)
 
 
+# MetaImage and NRRD, with the pixels in the file.
+
+_META = {"MET_UCHAR": "u1", "MET_CHAR": "i1", "MET_USHORT": "u2", "MET_SHORT": "i2", "MET_UINT": "u4", "MET_INT": "i4", "MET_FLOAT": "f4", "MET_DOUBLE": "f8"}
+_NRRD = {"uchar": "u1", "unsigned char": "u1", "uint8": "u1", "signed char": "i1", "int8": "i1", "ushort": "u2", "unsigned short": "u2", "uint16": "u2", "short": "i2", "int16": "i2", "uint": "u4", "uint32": "u4", "int": "i4", "int32": "i4", "float": "f4", "double": "f8"}
+
+
+def _three(size: list[int], rest: dict[str, list[float]], values: np.ndarray) -> Volume:
+    """A volume of up to three dimensions as one of three."""
+    more = 3 - len(size)
+    if more < 0 or len(values) < np.prod(size):
+        raise ValueError(f"{len(values)} values for a size of {size}")
+    shape = [*size, *[1] * more]
+    return {"size": shape, "origin": rest["origin"] + [0.0] * more, "spacing": rest["spacing"] + [1.0] * more}, values[: int(np.prod(size))].reshape(shape[::-1])
+
+
+def parse_metaimage(data: bytes) -> Volume:
+    """A MetaImage file whose header ends with ``ElementDataFile = LOCAL``."""
+    end = data.find(b"ElementDataFile")
+    if end < 0 or not data[:end].isascii():
+        raise ValueError("no MetaImage file")
+    end = data.index(b"\n", end) + 1
+    head = dict([x.strip() for x in line.split("=", 1)] for line in data[:end].decode().splitlines() if "=" in line)
+    if head["ElementDataFile"] != "LOCAL" or head.get("ElementType") not in _META or int(head.get("ElementNumberOfChannels", 1)) != 1:
+        raise ValueError("pixels in another file, of another type or of several channels aren't read")
+    size = [int(x) for x in head["DimSize"].split()]
+    numbers = lambda names, default: next(([float(x) for x in head[n].split()] for n in names if n in head), [default] * len(size))
+    raw = zlib.decompress(data[end:]) if head.get("CompressedData", "False") == "True" else data[end:]
+    order = ">" if "True" in (head.get("BinaryDataByteOrderMSB"), head.get("ElementByteOrderMSB")) else "<"
+    return _three(size, {"origin": numbers(("Offset", "Position", "Origin"), 0.0), "spacing": numbers(("ElementSpacing", "ElementSize"), 1.0)}, np.frombuffer(raw, order + _META[head["ElementType"]]))
+
+
+def parse_nrrd(data: bytes) -> Volume:
+    """An NRRD file with its pixels attached, raw or gzipped; spacings are those given or the directions' lengths."""
+    if data[:4] != b"NRRD":
+        raise ValueError("no NRRD file")
+    end = data.index(b"\n\n") + 2
+    head = dict([x.strip() for x in line.split(":", 1)] for line in data[:end].decode().splitlines()[1:] if ":" in line and not line.startswith("#"))
+    if "data file" in head or "datafile" in head or head.get("type") not in _NRRD or head.get("encoding") not in ("raw", "gzip", "gz"):
+        raise ValueError("pixels in another file, of another type or encoding aren't read")
+    size = [int(x) for x in head["sizes"].split()]
+    vectors = [[float(x) for x in v.strip("() ").split(",")] for v in head.get("space directions", "").replace(") (", ")|(").split("|") if v.strip("() ")]
+    spacing = [float(x) for x in head["spacings"].split()] if "spacings" in head else [float(np.linalg.norm(v)) for v in vectors] or [1.0] * len(size)
+    origin = [float(x) for x in head["space origin"].strip("()").split(",")] if "space origin" in head else [0.0] * len(size)
+    raw = data[end:] if head["encoding"] == "raw" else gzip.decompress(data[end:])
+    return _three(size, {"origin": origin, "spacing": spacing}, np.frombuffer(raw, (">" if head.get("endian") == "big" else "<") + _NRRD[head["type"]]))
+
+
+def metaimage_bytes(values: np.ndarray, spacing=(1.0, 1.0, 1.0), origin=(0.0, 0.0, 0.0), compressed: bool = True) -> bytes:
+    """A file of values indexed [z, y, x]."""
+    kind = next(k for k, t in _META.items() if values.dtype == np.dtype(t))
+    numbers = lambda xs: " ".join(f"{x:g}" for x in xs)
+    head = f"ObjectType = Image\nNDims = 3\nBinaryData = True\nBinaryDataByteOrderMSB = False\nCompressedData = {compressed}\nOffset = {numbers(origin)}\nElementSpacing = {numbers(spacing)}\nDimSize = {numbers(values.shape[::-1])}\nElementType = {kind}\nElementDataFile = LOCAL\n"
+    raw = np.ascontiguousarray(values).astype(values.dtype.newbyteorder("<")).tobytes()
+    return head.encode() + (zlib.compress(raw) if compressed else raw)
+
+
+def parse_image(data: bytes) -> Volume:
+    """A volume file of any kind that is read, told by its first bytes."""
+    if data[:3] == b"HR2":
+        return parse_hr2(data)
+    if data[:4] == b"NRRD":
+        return parse_nrrd(data)
+    if data[:2] == b"\x1f\x8b" or data[344:347] in (b"n+1", b"ni1"):
+        return parse_nifti(data)
+    if data[128:132] == b"DICM":
+        s = parse_dicom(data)
+        return {"size": [*s["values"].shape[::-1], 1], "origin": [0.0, 0.0, s["position"]], "spacing": [*s["spacing"][::-1], 1.0]}, s["values"][None]
+    if b"ElementDataFile" in data[:4096]:
+        return parse_metaimage(data)
+    return parse_octave(data)
+
+
+def read_images(spark: SparkSession, path: str | list[str], glob: str | None = None) -> DataFrame:
+    return _voxels(spark, path, parse_image, glob)
+
+
+def image_geometry(spark: SparkSession, path: str | list[str], glob: str | None = None) -> DataFrame:
+    return _geometry(spark, path, parse_image, glob)
+
+
 def nifti_files(voxels: DataFrame, value: str = "v", kind: str = "f4", geometry: DataFrame | None = None) -> DataFrame:
     """(volume_id, content) of each volume as a file, with spacing and origin of ``geometry`` (volume_id, origin, spacing) if it is given.
 
@@ -246,7 +326,7 @@ def nifti_files(voxels: DataFrame, value: str = "v", kind: str = "f4", geometry:
 # Pairs of files: a list says which mask belongs to which image.
 
 
-def pair_voxels(spark: SparkSession, pairs: DataFrame, parse: Callable[[bytes], Volume] = parse_nifti) -> DataFrame:
+def pair_voxels(spark: SparkSession, pairs: DataFrame, parse: Callable[[bytes], Volume] = parse_image) -> DataFrame:
     """Voxels (volume_id, x, y, z, v, m) of the pairs (first, second) of image and mask files; volume_id is the image's path.
 
     The list of pairs is one that people write; its paths go to the reader.
