@@ -2,8 +2,12 @@ from collections import Counter, defaultdict
 
 import corpus_pipeline
 from corpus_pipeline import exact_dedup, language_id, mix_sources, near_dedup
+from pyspark.sql import functions as F
+
+from tests.llm.test_langid import brute as language_brute
 from tests.llm.test_mixing import targets
 from tests.llm.test_nearjoin import brute as near_brute
+from voxelloom.llm import unigram
 
 SF = "/root/testdata/sf0.01"
 
@@ -44,6 +48,24 @@ def test_stages_against_brute_force(spark):
         assert taken[s] == int(t + 1e-6)
 
 
+def test_language_stage_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter("length(text) < 1200").orderBy("doc_id").limit(60)
+    odd = spark.createDataFrame([(10**6, "1 2 3", "en", "s", 5), (10**6 + 1, None, "en", "s", 0), (10**6 + 2, "zzzz qqqq", None, None, 9)], docs.schema)
+    docs = docs.unionByName(odd)
+    rows = [(r.doc_id, r.text, r.lang) for r in docs.collect()]
+    draw = {r.text: r.draw for r in docs.select("text", F.xxhash64("text", F.lit(6)).alias("draw")).collect()}
+    want = {d for d, (lang, score) in language_brute(rows, draw, all_train=True).items() if lang != "und" and score >= corpus_pipeline.LEAST_SCORE}
+    assert {r.doc_id for r in language_id(spark, docs, "").collect()} == want and 10**6 not in want
+
+
+def test_encoding_stage_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").limit(40)
+    v = unigram.vocabulary(unigram.MODEL)
+    got = {r.doc_id: r.ids for r in corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()}
+    for r in docs.collect():
+        assert got[r.doc_id] == (unigram.segment_one(v, ("▁" + r.text.replace(" ", "▁")).encode()) if r.text else [])
+
+
 def test_run(spark):
     got = corpus_pipeline.run(spark, SF).collect()
     assert len(got) > 500 and all(r.round_trip and len(r.ids) == r.n_ids for r in got)
