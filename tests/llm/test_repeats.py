@@ -2,7 +2,7 @@ import hashlib
 
 import pytest
 
-from voxelloom.llm.repeats import op2_suffix_array_dedup, remove_repeated_bytes
+from voxelloom.llm.repeats import HOT, op2_suffix_array_dedup, remove_repeated_bytes
 
 SF = "/root/testdata/sf0.001/documents.parquet"
 
@@ -30,12 +30,12 @@ def result(df):
     return {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in df.collect()}
 
 
-@pytest.mark.parametrize("length", [50, 12])
-def test_against_brute_force(spark, length):
+@pytest.mark.parametrize(("length", "hot"), [(50, HOT), (50, 3), (50, 40), (12, HOT), (12, 9)])
+def test_against_brute_force(spark, length, hot):
     docs = spark.read.parquet(SF)
     want = brute([(r.doc_id, r.text) for r in docs.collect()], length)
     assert sum(x[1] for x in want.values()) > 0
-    assert result(remove_repeated_bytes(docs, length)) == want
+    assert result(remove_repeated_bytes(docs, length, hot)) == want
 
 
 def test_runs_and_periods(spark):

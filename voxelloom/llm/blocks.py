@@ -66,28 +66,38 @@ def received(table: pa.Table):
 
 
 def tell_buckets(block: int, hashes: np.ndarray, doc_ids: np.ndarray, n: int) -> list[tuple[int, int, bytes, bytes]]:
-    """Each distinct hash of the block once, and whether documents of different ids have it."""
-    hashes, _, low, high = tc.extremes(hashes, doc_ids)
-    several = (low != high).astype(np.uint8)
-    return [(b, block, tc.pack(hashes[s]), several[s].tobytes()) for b, s in tc.by_bucket(hashes, n)]
-
-
-def shared_hashes(table: pa.Table) -> pa.Table:
-    """Of a bucket: back to each block, those of its hashes that documents of two or more ids have."""
-    got = list(received(table))
-    bucket = table.column("bucket")[0].as_py()
-    every = np.concatenate([h for _, h, _ in got])
-    several = np.concatenate([np.frombuffer(m, np.uint8) for _, _, m in got]).astype(bool)
-    order = np.argsort(every)
-    first = tc.runs(every[order])
-    size = np.diff(np.append(first, len(every)))
-    shared = every[order][first][(size > 1) | np.logical_or.reduceat(several[order], first)]
-    out = []
-    for block, hashes, _ in got:
-        mine = hashes[tc.find(shared, hashes)[1]]
-        if len(mine):
-            out.append((bucket, block, tc.pack(mine), b""))
-    return letters(out)
+    """Each distinct hash of the block once, whether documents of different ids have it, and how often it comes."""
+    order, first = tc.by_runs(hashes)
+    if not len(first):
+        return []
+    dealt, hashes = doc_ids[order], hashes[order[first]]
+    several = (np.minimum.reduceat(dealt, first) != np.maximum.reduceat(dealt, first)).astype(np.uint8)
+    count = np.diff(np.append(first, len(order))).astype(np.uint32)
+    return [(b, block, tc.pack(hashes[s]), several[s].tobytes() + tc.transposed(count[s])) for b, s in tc.by_bucket(hashes, n)]
+
+
+def shared_hashes(most: int | None = None):
+    """Of a bucket: back to each block, those of its hashes that documents of two or more ids have, and whether they come over ``most`` times."""
+
+    def run(table: pa.Table) -> pa.Table:
+        got = list(received(table))
+        bucket = table.column("bucket")[0].as_py()
+        every = np.concatenate([h for _, h, _ in got])
+        several = np.concatenate([np.frombuffer(m[: len(h)], np.uint8) for _, h, m in got]).astype(bool)
+        count = np.concatenate([tc.restored(m[len(h) :], np.uint32) for _, h, m in got]).astype(np.int64)
+        order = np.argsort(every)
+        first = tc.runs(every[order])
+        size = np.diff(np.append(first, len(every)))
+        on = (size > 1) | np.logical_or.reduceat(several[order], first)
+        shared, hot = every[order][first][on], (np.add.reduceat(count[order], first)[on] > (most or 1 << 62)).astype(np.uint8)
+        out = []
+        for block, hashes, _ in got:
+            at, there = tc.find(shared, hashes)
+            if there.any():
+                out.append((bucket, block, tc.pack(hashes[there]), hot[at[there]].tobytes() if most else b""))
+        return letters(out)
+
+    return run
 
 
 def all_received(table: pa.Table | None) -> np.ndarray:

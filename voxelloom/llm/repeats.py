@@ -9,6 +9,10 @@ distinct segments, but for those that are their anchor's only one, a suffix arra
 is induced; neighbours whose common prefix is ``length`` or more are copies of one
 string, whose smallest doc_id goes back to the blocks.
 
+An anchor that comes very often may stand beside very many different texts (where a
+passage that a third of all documents have begins and ends).  Its strings aren't
+gathered: each travels by itself, to where its own hash sends it.
+
 Segments are told apart by 96 bits, those of their anchor and of their own hash: among
 10^13 segments, two different ones would be taken for equal with probability below one
 in a thousand.  Within a suffix array the bytes themselves are compared.
@@ -34,6 +38,8 @@ GRAM = 24
 SHARD = 1 << 12
 #: Symbols of suffix arrays that are sorted side by side, and their number times the symbols of the longest.
 TOGETHER, TABLE = 1 << 20, 1 << 24
+#: Segments of one anchor that are gathered; the strings of one that comes more often travel by themselves.
+HOT = 1 << 16
 #: Bytes of texts taken at a time.
 RUN_BYTES = 1 << 17
 #: The first part of a segment's name has its anchor's upper bits above those of its own hash, so that ranges of names keep anchors whole.
@@ -91,6 +97,24 @@ class _Segments:
         own = self.texts.span_hashes(self.start[which], self.end[which])
         return (self.anchor[which] & ~low) | (own & low), (own >> tc.U64(32)).astype(np.uint32)
 
+    def strings(self, which: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The strings of some segments: the two parts of their names, where they start, and their documents."""
+        count = (self.end - self.start)[which] - length + 1
+        start = _bytes_of(np.arange(len(self.texts.buf)), self.start[which], self.start[which] + count)
+        low = tc.U64((1 << (64 - ANCHOR_BITS)) - 1)
+        own = self.texts.span_hashes(start, start + length)
+        return (self.texts.span_hashes(start, start + length, 1) & ~low) | (own & low), (own >> tc.U64(32)).astype(np.uint32), start, np.repeat(self.doc[which], count)
+
+
+def _told_hot(shared: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted anchors that a block was told, and whether they are hot."""
+    got = list(bl.received(shared)) if shared.num_rows else []
+    if not got:
+        return np.zeros(0, tc.U64), np.zeros(0, bool)
+    anchor, hot = np.concatenate([h for _, h, _ in got]), np.concatenate([np.frombuffer(m, np.uint8) for _, _, m in got]).astype(bool)
+    order = np.argsort(anchor)
+    return anchor[order], hot[order]
+
 
 def _key_buckets(keys: np.ndarray, n: int):
     """Buckets of sorted keys, cut between anchors."""
@@ -137,19 +161,31 @@ def _anchors(length: int, n: int):
 
 
 def _segments(length: int, n: int):
-    """Distinct segments of shared anchors: sizes, smallest and largest doc_id, bytes, by the anchor's bucket."""
+    """Distinct segments of shared anchors: sizes, smallest and largest doc_id, bytes, by the anchor's bucket.
+
+    A string of a hot anchor has size 0 and no bytes.  The hot anchors themselves go
+    along, in a letter of the block to itself, whose bucket is negative.
+    """
 
     def run(docs: pa.Table, shared: pa.Table) -> pa.Table:
-        known = bl.all_received(shared)
+        known, hot = _told_hot(shared)
         if not docs.num_rows or not len(known):
             return bl.letters([])
         texts, ids = tc.Texts.from_arrow(docs.column("text")), docs.column("doc_id").to_numpy()
         parts: list[list[np.ndarray]] = [[], [], [], [], []]
         for lo, hi in texts.chunks(RUN_BYTES):
             s = _Segments(texts.rows(lo, hi), length)
-            on = tc.find(known, s.anchor)[1]
-            for part, x in zip(parts, (*s.names(on), s.start[on] + texts.off[lo], (s.end - s.start)[on], ids[lo:hi][s.doc[on]]), strict=True):
-                part.append(x)
+            at, on = tc.find(known, s.anchor)
+            on = np.flatnonzero(on)
+            alone = hot[at[on]]
+            which = on[~alone]
+            rows = [(*s.names(which), s.start[which], (s.end - s.start)[which], s.doc[which])]
+            if alone.any():
+                key, second, start, doc = s.strings(on[alone], length)
+                rows.append((key, second, start, np.zeros(len(key), np.int64), doc))
+            for key, second, start, size, doc in rows:
+                for part, x in zip(parts, (key, second, start + texts.off[lo], size, ids[lo:hi][doc]), strict=True):
+                    part.append(x)
         key, second, start, size, doc = (np.concatenate(p) for p in parts)
         key, one, low, high = tc.extremes(key, doc, second)
         second, start, size = second[one], start[one], size[one]
@@ -158,6 +194,8 @@ def _segments(length: int, n: int):
             data = _bytes_of(texts.buf, start[s], start[s] + size[s])
             more = tc.transposed(second[s]) + tc.transposed(low[s]) + tc.transposed(high[s] - low[s]) + tc.transposed(size[s].astype(np.uint16)) + pressed.compress(data.tobytes())
             out.append((b, block, tc.pack(key[s]), more))
+        if hot.any():
+            out.append((-1 - block, block, tc.pack(known[hot]), b""))
         return bl.letters(out)
 
     return run
@@ -192,6 +230,8 @@ def _sorted_shard(length: int):
 
     def run(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
+        if bucket < 0:
+            return table.select(bl.LETTER_ARROW.names)
         got, every = [], []
         for block, key, more in bl.received(table):
             m = len(key)
@@ -203,13 +243,14 @@ def _sorted_shard(length: int):
         start = np.cumsum(size) - size
         keys, one, least, _ = tc.extremes(key, low, second)
         second, start, size = second[one], start[one], size[one]
-        windows = size - length + 1
+        windows = np.maximum(size - length + 1, 1)
         # Where an anchor has one segment, all that hold it have the same strings, and there is nothing to sort.
-        group = tc.runs(keys >> tc.U64(64 - ANCHOR_BITS))
-        members = np.diff(np.append(group, len(keys)))
+        whole = np.flatnonzero(size > 0)
+        group = tc.runs(keys[whole] >> tc.U64(64 - ANCHOR_BITS))
+        members = np.diff(np.append(group, len(whole)))
         value = np.repeat(least, windows)
         begin = np.cumsum(windows) - windows
-        several = np.flatnonzero(np.repeat(members > 1, members))
+        several = whole[np.repeat(members > 1, members)]
         if len(several):
             cut = _shards(keys[several], size[several])
             for shards in _together(np.add.reduceat(size[several] + 1, cut[:-1])):
@@ -235,9 +276,12 @@ def _removed(length: int):
     def run(docs: pa.Table, found: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return OUT_ARROW.empty_table()
-        every = []
-        for _, h, more in bl.received(found) if found.num_rows else ():
+        every, hot = [], np.zeros(0, tc.U64)
+        for bucket, (_, h, more) in zip(found.column("bucket").to_pylist(), bl.received(found), strict=True) if found.num_rows else ():
             m = len(h)
+            if bucket < 0:
+                hot = h
+                continue
             every.append((h, tc.restored(more[: 4 * m], np.uint32), tc.restored(more[4 * m : 6 * m], np.uint16).astype(np.int64), tc.restored(more[6 * m :], np.int64)))
         none = np.zeros(0, np.int64)
         keys, second, count, values = (np.concatenate(x) for x in zip(*every, strict=True)) if every else (np.zeros(0, tc.U64), np.zeros(0, np.uint32), none, none)
@@ -253,10 +297,14 @@ def _removed(length: int):
             mark = np.zeros(len(part.buf) + 1, np.int64)
             if len(keys):
                 s = _Segments(part, length)
-                held = np.flatnonzero(tc.find(anchors, s.anchor >> rest)[1])
+                alone = tc.find(hot, s.anchor)[1]
+                held = np.flatnonzero(~alone & tc.find(anchors, s.anchor >> rest)[1])
                 at, there = tc.find_pairs(keys, second, *s.names(held))
-                at, held = at[there], held[there]
-                start, doc = s.start[held], ids[lo:hi][s.doc[held]]
+                at, start, doc = at[there], s.start[held[there]], ids[lo:hi][s.doc[held[there]]]
+                if alone.any():
+                    *names, string, own = s.strings(np.flatnonzero(alone), length)
+                    more, there = tc.find_pairs(keys, second, *names)
+                    at, start, doc = np.append(at, more[there]), np.append(start, string[there]), np.append(doc, ids[lo:hi][own[there]])
                 least = _bytes_of(values, begin[at], begin[at] + count[at])
                 place = _bytes_of(np.arange(len(part.buf)), start, start + count[at])
                 hit = place[least < np.repeat(doc, count[at])]
@@ -278,13 +326,13 @@ def _removed(length: int):
     return run
 
 
-def remove_repeated_bytes(docs: DataFrame, length: int = 50, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, length: int = 50, hot: int = HOT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Remove every byte covered by a ``length``-byte string that also starts in a document of smaller id.
 
     Texts are UTF-8 bytes; strings may overlap, never cross documents and are
     judged on the input.  One row per input row: doc_id, n_bytes, n_removed,
     n_spans (maximal removed runs), kept (remaining bytes, which need not be whole
-    characters), kept_sha256.
+    characters), kept_sha256.  Anchors that come over ``hot`` times aren't gathered.
 
     Null text is empty.  A text shorter than ``length`` keeps all; very long texts are
     read whole.  Rows with equal ids (ties, repeated rows) never remove each other's
@@ -297,7 +345,7 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 50, doc_id: str = "doc_
     held = bl.in_blocks(docs, doc_id, text)
     blocks = lambda: held.groupBy("block")
     anchors = blocks().applyInArrow(_anchors(length, n), bl.LETTER)
-    shared = anchors.groupBy("bucket").applyInArrow(bl.shared_hashes, bl.LETTER)
+    shared = anchors.groupBy("bucket").applyInArrow(bl.shared_hashes(hot), bl.LETTER)
     segments = blocks().cogroup(shared.groupBy("block")).applyInArrow(_segments(length, n), bl.LETTER)
     earliest = segments.groupBy("bucket").applyInArrow(_sorted_shard(length), bl.LETTER)
     return blocks().cogroup(earliest.groupBy("block")).applyInArrow(_removed(length), OUT)

@@ -186,7 +186,7 @@ def remove_repeated_words(docs: DataFrame, window: int = 50, doc_id: str = "doc_
     held = bl.in_blocks(docs, doc_id, text)
     blocks = lambda: held.groupBy("block")
     anchors = blocks().applyInArrow(_anchors(window, n), bl.LETTER)
-    shared = anchors.groupBy("bucket").applyInArrow(bl.shared_hashes, bl.LETTER)
+    shared = anchors.groupBy("bucket").applyInArrow(bl.shared_hashes(), bl.LETTER)
     windows = blocks().cogroup(shared.groupBy("block")).applyInArrow(_extended(window, n), bl.LETTER)
     earliest = windows.groupBy("bucket").applyInArrow(_earliest, bl.LETTER)
     return blocks().cogroup(earliest.groupBy("block")).applyInArrow(_removed(window), OUT)
