@@ -120,6 +120,9 @@ def test_dicom(spark, tmp_path):
     one = sorted((r.z, r.y, r.x, r.v) for r in got if r.volume_id == "1.2.3_20200131")
     assert len(got) == 48 and [r.z for r in got if r.volume_id == "1.2.9_20200131"] == [0] * 12
     assert one == [(z, y, x, (A[0, y, x] - 7 + (z + 1) * 100) * 2 - 1) for z in range(3) for y in range(3) for x in range(4)]
+    made = {r.volume_id: volumes.parse_nifti(bytes(r.content)) for r in tools.convert_dicom(spark, str(tmp_path / "*.dcm")).collect()}
+    head, values = made["1.2.3_20200131"]
+    assert head["origin"] == [0.0, 0.0, 1.0] and head["spacing"] == [1.0, 1.0, 1.0] and values[2, 1, 3] == (A[0, 1, 3] + 293) * 2 - 1
     # A sequence of undefined length with another series in it comes first.
     item = b"\x20\x00\x0e\x00UI\x04\x009.9\x00"
     nested = b"\x08\x00\x15\x11SQ\x00\x00\xff\xff\xff\xff" + b"\xfe\xff\x00\xe0\xff\xff\xff\xff" + item + b"\xfe\xff\x0d\xe0\x00\x00\x00\x00" + b"\xfe\xff\x00\xe0" + len(item).to_bytes(4, "little") + item + b"\xfe\xff\xdd\xe0\x00\x00\x00\x00"

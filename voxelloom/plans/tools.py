@@ -161,3 +161,10 @@ def mask_with_rois(voxels: DataFrame, rois: DataFrame, value: str = "v") -> Data
 def convert_images(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """(volume_id, content) of volume files of any kind, as NIfTI files with their spacing and origin."""
     return volumes.nifti_files(volumes.read_images(spark, path, glob), geometry=volumes.image_geometry(spark, path, glob))
+
+
+def convert_dicom(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    """(volume_id, content) of all series in DICOM files, as NIfTI files; volume_id is made of series and date."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob or "*").load(path).select("path", "content")
+    slices = volumes.series_volumes(volumes.dicom_slices(files))
+    return volumes.nifti_files(slices, geometry=volumes.dicom_geometry(files))

@@ -444,6 +444,21 @@ def dicom_slices(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, SLICES)
 
 
+def dicom_geometry(files: DataFrame) -> DataFrame:
+    """(volume_id, origin, spacing) of the series of files (path, content): origin is the first slice's position, spacing its pixels' and the slices' mean distance."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [parse_dicom(c) for c in batch.column("content").to_pylist()]
+            cols = [pa.array(["_".join([s["series_uid"], s["series_date"]]) for s in found], pa.string()), *[pa.array([f(s) for s in found], pa.float64()) for f in (lambda s: s["position"], lambda s: s["spacing"][-1], lambda s: s["spacing"][0])]]
+            yield pa.RecordBatch.from_arrays(cols, names=["volume_id", "position", "dx", "dy"])
+
+    heads = files.select("content").mapInArrow(run, "volume_id string, position double, dx double, dy double")
+    n = F.count_distinct("position")
+    step = F.when(n > 1, (F.max("position") - F.min("position")) / (n - 1)).otherwise(1.0)
+    return heads.groupBy("volume_id").agg(F.array(F.lit(0.0), F.lit(0.0), F.min("position")).alias("origin"), F.array(F.min("dx"), F.min("dy"), step).alias("spacing"))
+
+
 def read_dicom(spark: SparkSession, path: str | list[str], glob: str | None = None) -> DataFrame:
     """Volumes of all series in these files."""
     return series_volumes(dicom_slices(_files(spark, path, glob)))
