@@ -88,7 +88,7 @@ def gaussian_kernel(sigma: float, spacing: float = 1.0, width: float = 4.0) -> l
 _RECURSIVE = ((1.3530, 1.8151, 0.6681, -1.3932), (-0.3531, 0.0902, 2.0787, -1.3732))
 
 
-def recursive_kernel(sigma: float, spacing: float = 1.0, least: float = 1e-9) -> list[float]:
+def recursive_kernel(sigma: float, spacing: float = 1.0, least: float = 1e-5) -> list[float]:
     """Impulse response of the fourth-order recursive approximation of a Gaussian, down to ``least`` of its peak.
 
     On lines whose ends repeat, its convolution is what the recursive filter gives.
