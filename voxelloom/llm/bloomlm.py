@@ -5,14 +5,16 @@ of level q is put into a Bloom filter q times, as (n-gram, 1) .. (n-gram, q).  A
 count is read back by probing level 1, 2 .. until one is missing; errors are one
 sided and halve in number with each level.  A level stands for the mean count that
 n-grams of its order have there, so that over all n-grams of a level the counts read
-back sum to the true ones.  Probabilities are interpolated,
+back sum to the true ones.  Probabilities are smoothed by absolute discounting,
 
-    P(w | h) = a * c(hw) / c(h) + (1 - a) * P(w | h'),
+    P(w | h) = max(c(hw) - d, 0) / c(h) + b * P(w | h'),
 
 down to the word's add-one probability, so a text costs a few probes a word.  The
-weight a depends on the order and on the level of c(h); it is fitted by expectation
-maximisation on all training texts, each token's own counts left out; what was
-observed is a function of a few levels, so tokens are counted by these.
+discount d of an order is n1 / (n1 + 2 n2), of the exact numbers of its n-grams that
+occur once and twice.  The weight b depends on the order and on the level of c(h): it is
+what the discount takes from the contexts of that level, on average over all tokens of
+the training texts, so over these the probabilities of all words sum to 1.  What a token
+shows is a function of a few levels, so tokens are counted by these.
 
 The filter is built in pieces by hash bucket, each sized for the n-grams it has.
 Pieces of at most ``broadcast_bytes`` together are broadcast to the workers.  A
@@ -34,8 +36,6 @@ from voxelloom.llm import textcore as tc
 from voxelloom.llm.shared import saved
 
 ORDER = 3
-#: Rounds of fitting.
-FIT_ROUNDS = 40
 LEVELS = 65
 #: Bits that a level of an n-gram sets, all in one 64-bit word, and bits of filter for each level: an error rate of about 1/50.
 PROBES, BITS = 5, 10.0
@@ -54,8 +54,8 @@ END = tc.mix(np.array([0x5EED0E4D], tc.U64))[0]
 
 COUNTS = "bucket int, kind int, hashes binary, counts binary"
 COUNTS_ARROW = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())])
-PIECE = "bucket int, tokens long, types long, numbers array<long>, sums array<long>, filter binary"
-PIECE_ARROW = pa.schema([("bucket", pa.int32()), ("tokens", pa.int64()), ("types", pa.int64()), ("numbers", pa.list_(pa.int64())), ("sums", pa.list_(pa.int64())), ("filter", pa.binary())])
+PIECE = "bucket int, tokens long, types long, numbers array<long>, sums array<long>, twos array<long>, filter binary"
+PIECE_ARROW = pa.schema([("bucket", pa.int32()), ("tokens", pa.int64()), ("types", pa.int64()), ("numbers", pa.list_(pa.int64())), ("sums", pa.list_(pa.int64())), ("twos", pa.list_(pa.int64())), ("filter", pa.binary())])
 
 
 def _tokens(texts: tc.Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -160,25 +160,26 @@ def filter_piece(value: np.ndarray, count: np.ndarray, bits: float = BITS) -> np
 
 
 def _piece(order: int, bits: float):
-    """Of a bucket: its part of the filter, and for each order and level the number of n-grams and the sum of their counts."""
+    """Of a bucket: its part of the filter, for each order and level the number of n-grams and the sum of their counts, and how many occur twice."""
 
     def run(table: pa.Table) -> pa.Table:
         by: dict[int, list] = {}
         for kind, hashes, counts in zip(*(table.column(c).to_pylist() for c in ("kind", "hashes", "counts")), strict=True):
             by.setdefault(kind, []).append((tc.unpack(hashes), tc.restored(counts, np.uint32).astype(np.int64)))
         numbers, sums = np.zeros((2, order, LEVELS), np.int64)
-        kinds, tokens, types = [], 0, 0
+        kinds, twos, tokens, types = [], [], 0, 0
         for k in range(1, order + 1):
             value, count = _merged(by.pop(k, []))
             level = level_of(count)
             numbers[k - 1] = np.bincount(level, minlength=LEVELS)
             sums[k - 1] = np.bincount(level, count, minlength=LEVELS).astype(np.int64)
+            twos.append(int((count == 2).sum()))
             if k == 1:
                 tokens, types = int(count.sum()), len(count)
             kinds.append((_cut(value), count))
         value, count = (np.concatenate(x) for x in zip(*kinds, strict=True))
         del kinds
-        row = [table.column("bucket")[0].as_py(), tokens, types, numbers.ravel().tolist(), sums.ravel().tolist(), filter_piece(value, count, bits).tobytes()]
+        row = [table.column("bucket")[0].as_py(), tokens, types, numbers.ravel().tolist(), sums.ravel().tolist(), twos, filter_piece(value, count, bits).tobytes()]
         del value, count
         tc.release()
         return pa.Table.from_arrays([pa.array([x], f.type) for x, f in zip(row, PIECE_ARROW, strict=True)], schema=PIECE_ARROW)
@@ -243,11 +244,13 @@ def looked_up(held, value: np.ndarray, most: np.ndarray | int = LEVELS) -> np.nd
 
 
 class Counts:
-    """What the levels of each order stand for: the mean count of the n-grams there."""
+    """What the levels of each order stand for, the mean count of the n-grams there, and each order's discount."""
 
-    def __init__(self, numbers: np.ndarray, sums: np.ndarray):
+    def __init__(self, numbers: np.ndarray, sums: np.ndarray, twos: np.ndarray):
         plain = np.concatenate([[0.0], 1.5 * 2.0 ** np.arange(LEVELS - 1) - 0.5])
         self.table = np.where(numbers > 0, sums / np.maximum(numbers, 1), plain)
+        ones = numbers[:, 1]
+        self.discount = np.where(ones > 0, ones / np.maximum(ones + 2.0 * twos, 1), 0.5)
 
     def of(self, order: int, level: np.ndarray) -> np.ndarray:
         return self.table[order - 1][level]
@@ -279,9 +282,10 @@ def train(texts: DataFrame, order: int = ORDER, text: str = "text", bits: float
     n = 2 * bl.block_count(texts.sparkSession)
     rows = texts.select(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
     pieces = saved(rows.mapInArrow(_count(order, n), COUNTS).groupBy("bucket").applyInArrow(_piece(order, bits), PIECE))
-    sizes = pieces.select("bucket", "tokens", "types", "numbers", "sums", F.length("filter").alias("bytes")).toArrow().to_pydict()
+    sizes = pieces.select("bucket", "tokens", "types", "numbers", "sums", "twos", F.length("filter").alias("bytes")).toArrow().to_pydict()
     numbers, sums = (np.sum([np.zeros(order * LEVELS, np.int64), *sizes[c]], axis=0).reshape(order, LEVELS) for c in ("numbers", "sums"))
-    return Model(order, sum(sizes["tokens"]), sum(sizes["types"]), Counts(numbers, sums), n, pieces, dict(zip(sizes["bucket"], sizes["bytes"], strict=True)))
+    twos = np.sum([np.zeros(order, np.int64), *sizes["twos"]], axis=0)
+    return Model(order, sum(sizes["tokens"]), sum(sizes["types"]), Counts(numbers, sums, twos), n, pieces, dict(zip(sizes["bucket"], sizes["bytes"], strict=True)))
 
 
 def _asked(order: int, n: int, least: int = 2):
@@ -425,38 +429,24 @@ def _observed(order: int):
     return run
 
 
-def _left_out(levels: np.ndarray, counts: Counts, order: int, tokens: int, types: int) -> np.ndarray:
-    """What tokens of these levels show with their own counts left out: the word's probability, and for each order the level of c(h) and c(hw) / c(h)."""
-    seen = np.zeros((2 * order - 1, len(levels)))
-    seen[0] = np.maximum(counts.of(1, levels[:, 0]), 1.0) / (tokens + types + 1.0)
-    for k in range(order - 1):
-        context, level = levels[:, 2 * k + 1], levels[:, 2 * k + 2]
-        seen[2 * k + 1] = np.where(context == 2, 1, context) * (context > 1)
-        count = np.maximum(counts.of(k + 2, level) - 1.0, 0.0) * (level > 1)
-        seen[2 * k + 2] = np.minimum(1.0, count / np.maximum(counts.of(k + 1, context) - 1.0, 1.0))
-    return seen
-
+def backoff_weights(levels: np.ndarray, times: np.ndarray, counts: Counts, order: int) -> np.ndarray:
+    """Weights of the shorter context by order and level of c(h), from training tokens of these levels, ``times`` each.
 
-def fitted_weights(seen: np.ndarray, order: int, rounds: int = FIT_ROUNDS, times: np.ndarray | None = None) -> np.ndarray:
-    """Weights by order and level of c(h), likeliest for what was observed, ``times`` each (once unless given); a level without observations takes its neighbour's."""
-    out = np.zeros((order - 1, LEVELS))
-    times = np.ones(seen.shape[1]) if times is None else times
-    below = np.maximum(seen[0].astype(float), 1e-12)
+    Of a context's c(h) tokens the discount takes d for each different one.  An n-gram
+    that occurs c times is 1 / c of a different one at each of its tokens, so the mean of
+    d / c over a level's tokens is the share taken.  A level without tokens takes its
+    neighbours'; without a context all goes to the shorter one.
+    """
+    out = np.ones((order - 1, LEVELS))
     for k in range(order - 1):
-        level, ratio = seen[2 * k + 1].astype(int), seen[2 * k + 2].astype(float)
-        a = np.full(LEVELS, 0.5)
-        n = np.bincount(level, times, minlength=LEVELS)
-        for _ in range(rounds):
-            up = a[level] * ratio
-            share = np.bincount(level, times * up / np.maximum(up + (1 - a[level]) * below, 1e-300), minlength=LEVELS)
-            # As if each level had been observed once more on either side.
-            a = (share + 0.01) / (n + 1.0)
-        a[0] = 0.0
-        known = np.flatnonzero(n[1:] > 0) + 1
+        context, level = levels[:, 2 * k + 1], levels[:, 2 * k + 2]
+        on = (context > 0) & (level > 0)
+        taken = counts.discount[k + 1] / np.maximum(counts.of(k + 2, level[on]), 1.0)
+        n = np.bincount(context[on], times[on], minlength=LEVELS)
+        share = np.bincount(context[on], times[on] * taken, minlength=LEVELS) / np.maximum(n, 1e-300)
+        known = np.flatnonzero(n > 0)
         if len(known):
-            a[1:] = np.interp(np.arange(1, LEVELS), known, a[known])
-        out[k] = a
-        below = a[level] * ratio + (1 - a[level]) * below
+            out[k, 1:] = np.interp(np.arange(1, LEVELS), known, share[known])
     return out
 
 
@@ -487,10 +477,8 @@ def _scored(order: int, tokens: int, types: int, counts: Counts, weights: np.nda
             context, below = count.astype(np.float64), level_of(count)
             for k, (value, at) in enumerate(_ngrams(h, off, order)):
                 level = _bounded(held, value, at, below)
-                count_before = context[at - 1]
-                a = weights[k][below[at - 1]]
-                read = counts.of(k + 2, level)
-                p[at] = a * np.minimum(1.0, read[at] / np.maximum(count_before, 1.0)) + (1 - a) * p[at]
+                read, back = counts.of(k + 2, level), weights[k][below[at - 1]]
+                p[at] = np.minimum(1.0, np.maximum(read[at] - counts.discount[k + 1], 0.0) / np.maximum(context[at - 1], 1.0) + back * p[at])
                 context, below = read, level
             cut = off[:-1]
             for col, x in zip(cols, (np.diff(off), np.add.reduceat((count > 0).astype(np.int64), cut), np.add.reduceat(base, cut), np.add.reduceat(np.log10(p), cut)), strict=True):
@@ -502,7 +490,7 @@ def _scored(order: int, tokens: int, types: int, counts: Counts, weights: np.nda
 
 
 def fit(model: Model, texts: DataFrame, parts: Parts | None = None, doc_id: str = "doc_id", text: str = "text") -> np.ndarray:
-    """Interpolation weights from all training texts; without ``parts`` the filter is probed where its pieces are."""
+    """Weights of shorter contexts from all training texts; without ``parts`` the filter is probed where its pieces are."""
     n, order = model.buckets, model.order
     rows = texts.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
     if parts is not None:
@@ -515,7 +503,7 @@ def fit(model: Model, texts: DataFrame, parts: Parts | None = None, doc_id: str
         seen = held.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_observed(order), SEEN)
     table = seen.groupBy("levels").agg(F.sum("tokens").alias("tokens")).toArrow().sort_by("levels")
     levels = np.frombuffer(b"".join(table.column("levels").to_pylist()), np.uint8).reshape(-1, 2 * order - 1)
-    return fitted_weights(_left_out(levels, model.counts, order, model.tokens, model.types), order, times=table.column("tokens").to_numpy().astype(float))
+    return backoff_weights(levels, table.column("tokens").to_numpy().astype(float), model.counts, order)
 
 
 def score(docs: DataFrame, held_out, order: int = ORDER, weights: np.ndarray | None = None, broadcast_bytes: int = BROADCAST_BYTES, bits: float = BITS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
