@@ -30,6 +30,11 @@ def block_count(spark: SparkSession) -> int:
     return 2 * partitions(spark)
 
 
+def bucket_count(spark: SparkSession) -> int:
+    """Hash buckets, half as many as blocks: a block sends each of them a letter, so their number times that of blocks counts."""
+    return partitions(spark)
+
+
 def in_blocks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, nameless, text, block); one shuffle of the texts, which all uses in one plan share."""
     spark = docs.sparkSession

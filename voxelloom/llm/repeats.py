@@ -341,7 +341,7 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 50, hot: int = HOT, doc
     """
     if not 2 <= length <= 20_000:
         raise ValueError("length must be from 2 to 20,000")
-    n = bl.block_count(docs.sparkSession)
+    n = bl.bucket_count(docs.sparkSession)
     held = bl.in_blocks(docs, doc_id, text)
     blocks = lambda: held.groupBy("block")
     anchors = blocks().applyInArrow(_anchors(length, n), bl.LETTER)

@@ -182,7 +182,7 @@ def remove_repeated_words(docs: DataFrame, window: int = 50, doc_id: str = "doc_
     each other's words; rows with a null id count as after all others.  Other columns
     are ignored.  An empty table gives no rows.
     """
-    n = bl.block_count(docs.sparkSession)
+    n = bl.bucket_count(docs.sparkSession)
     held = bl.in_blocks(docs, doc_id, text)
     blocks = lambda: held.groupBy("block")
     anchors = blocks().applyInArrow(_anchors(window, n), bl.LETTER)
