@@ -522,7 +522,7 @@ def score(docs: DataFrame, held_out, order: int = ORDER, weights: np.ndarray | N
     columns are ignored.  An empty table gives no rows.
     """
     spark = docs.sparkSession
-    n = bl.block_count(spark)
+    n = bl.bucket_count(spark)
     flagged = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     model = train(flagged.filter(~F.col("held_out")), order, bits=bits)
     parts = model.broadcast() if sum(model.sizes.values()) <= broadcast_bytes else None
