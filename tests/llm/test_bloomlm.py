@@ -179,9 +179,10 @@ def test_weights():
     numbers, sums = np.zeros((2, 2, 65), int)
     numbers[:, 1:3], sums[:, 1:3] = (6, 3), (6, 6)
     counts = Counts(numbers, sums, np.array([3, 3]))
+    seen = np.zeros((1, 65, 65), int)
     # Of contexts of level 1 each token is a different one; of level 2 every other token is.
-    got = backoff_weights(np.array([[1, 1, 1], [2, 2, 2], [1, 0, 0]]), np.array([10.0, 4.0, 5.0]), counts, 2)
-    assert got[0, :4].tolist() == [1.0, 0.5, 0.25, 0.25]
+    seen[0, 1, 1], seen[0, 2, 2] = 10, 4
+    assert backoff_weights(seen, counts, 2)[0, :4].tolist() == [1.0, 0.5, 0.25, 0.25]
 
 
 def test_weights_are_from_all_training_texts(spark, monkeypatch):
@@ -196,9 +197,10 @@ def test_weights_are_from_all_training_texts(spark, monkeypatch):
     assert got[0, foretold] < 0.01 and got[0, 1] == pytest.approx(model.counts.discount[1], rel=0.05) and got[0, 0] == 1
     assert np.allclose(got, fit(model, docs), atol=1e-9)
     seen = []
-    monkeypatch.setattr(bloomlm, "backoff_weights", lambda levels, times, counts, order: seen.append(times.sum()))
+    monkeypatch.setattr(bloomlm, "backoff_weights", lambda tokens, counts, order: seen.extend(tokens.sum(axis=(1, 2))))
     fit(model, docs)
-    assert seen == [model.tokens]
+    # All but the first word, or the first two, of each text.
+    assert seen == [model.tokens - len(texts), model.tokens - 2 * len(texts)]
 
 
 def test_texts_that_occur_twice_score_higher(spark):

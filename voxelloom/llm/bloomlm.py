@@ -371,36 +371,28 @@ def _bounded(held, value: np.ndarray, at: np.ndarray, below: np.ndarray) -> np.n
     return level
 
 
-SEEN = "levels binary, tokens long"
-SEEN_ARROW = pa.schema([("levels", pa.binary()), ("tokens", pa.int64())])
+SEEN = "kind int, context int, level int, tokens long"
+SEEN_ARROW = pa.schema([("kind", pa.int32()), ("context", pa.int32()), ("level", pa.int32()), ("tokens", pa.int64())])
 
 
 class _Tally:
-    """Tokens of training texts counted by their levels: the word's, and for each order those of h and hw."""
+    """Tokens of training texts counted, for each order from 2 on, by the levels of h and hw."""
 
     def __init__(self, order: int):
-        self.order, self.width = order, 2 * order - 1
-        self.rows, self.tokens = np.zeros((0, -(-self.width // 8) * 8), np.uint8), np.zeros(0, np.int64)
+        self.order, self.tokens = order, np.zeros((order - 1, LEVELS * LEVELS), np.int64)
 
     def add(self, texts: tc.Texts, held) -> None:
         for lo, hi in texts.chunks(RUN_BYTES):
             h, off = _tokens(texts.rows(lo, hi))
             below = looked_up(held, _cut(h))
-            seen = np.zeros((len(h), self.rows.shape[1]), np.uint8)
-            seen[:, 0] = below
             for k, (value, at) in enumerate(_ngrams(h, off, self.order)):
                 level = _bounded(held, value, at, below)
-                seen[at, 2 * k + 1], seen[at, 2 * k + 2] = below[at - 1], level[at]
+                self.tokens[k] += np.bincount(below[at - 1].astype(np.int64) * LEVELS + level[at], minlength=LEVELS * LEVELS)
                 below = level
-            rows, tokens = np.concatenate([self.rows, seen]), np.concatenate([self.tokens, np.ones(len(seen), np.int64)])
-            words = rows.view(tc.U64)
-            order = np.argsort(words[:, 0]) if words.shape[1] == 1 else np.lexsort(words.T)
-            words = words[order]
-            first = np.flatnonzero(np.append(True, (words[1:] != words[:-1]).any(axis=1)))
-            self.rows, self.tokens = rows[order[first]], np.add.reduceat(tokens[order], first)
 
     def columns(self) -> list[pa.Array]:
-        return [pa.array([r.tobytes() for r in self.rows[:, : self.width]], pa.binary()), pa.array(self.tokens)]
+        kind, both = np.nonzero(self.tokens)
+        return [pa.array(c, t) for c, t in ((kind, pa.int32()), (both // LEVELS, pa.int32()), (both % LEVELS, pa.int32()), (self.tokens[kind, both], pa.int64()))]
 
 
 def _observed_where_they_are(order: int, parts: Parts):
@@ -429,8 +421,8 @@ def _observed(order: int):
     return run
 
 
-def backoff_weights(levels: np.ndarray, times: np.ndarray, counts: Counts, order: int) -> np.ndarray:
-    """Weights of the shorter context by order and level of c(h), from training tokens of these levels, ``times`` each.
+def backoff_weights(seen: np.ndarray, counts: Counts, order: int) -> np.ndarray:
+    """Weights of the shorter context by order and level of c(h), from training tokens by order and the levels of h and hw.
 
     Of a context's c(h) tokens the discount takes d for each different one.  An n-gram
     that occurs c times is 1 / c of a different one at each of its tokens, so the mean of
@@ -439,14 +431,12 @@ def backoff_weights(levels: np.ndarray, times: np.ndarray, counts: Counts, order
     """
     out = np.ones((order - 1, LEVELS))
     for k in range(order - 1):
-        context, level = levels[:, 2 * k + 1], levels[:, 2 * k + 2]
-        on = (context > 0) & (level > 0)
-        taken = counts.discount[k + 1] / np.maximum(counts.of(k + 2, level[on]), 1.0)
-        n = np.bincount(context[on], times[on], minlength=LEVELS)
-        share = np.bincount(context[on], times[on] * taken, minlength=LEVELS) / np.maximum(n, 1e-300)
-        known = np.flatnonzero(n > 0)
+        times = seen[k, :, 1:].astype(float)
+        taken = times @ (counts.discount[k + 1] / np.maximum(counts.table[k + 1, 1:], 1.0))
+        n = times.sum(axis=1)
+        known = np.flatnonzero(n[1:] > 0) + 1
         if len(known):
-            out[k, 1:] = np.interp(np.arange(1, LEVELS), known, share[known])
+            out[k, 1:] = np.interp(np.arange(1, LEVELS), known, taken[known] / n[known])
     return out
 
 
@@ -501,9 +491,10 @@ def fit(model: Model, texts: DataFrame, parts: Parts | None = None, doc_id: str
         asked = held.groupBy("block").applyInArrow(_asked(order, n, 1), bl.LETTER)
         answers = asked.groupBy("bucket").cogroup(model.pieces.select("bucket", "filter").groupBy("bucket")).applyInArrow(_answered(n), bl.LETTER)
         seen = held.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_observed(order), SEEN)
-    table = seen.groupBy("levels").agg(F.sum("tokens").alias("tokens")).toArrow().sort_by("levels")
-    levels = np.frombuffer(b"".join(table.column("levels").to_pylist()), np.uint8).reshape(-1, 2 * order - 1)
-    return backoff_weights(levels, table.column("tokens").to_numpy().astype(float), model.counts, order)
+    tokens = np.zeros((order - 1, LEVELS, LEVELS), np.int64)
+    for r in seen.groupBy("kind", "context", "level").agg(F.sum("tokens").alias("tokens")).collect():
+        tokens[r.kind, r.context, r.level] = r.tokens
+    return backoff_weights(tokens, model.counts, order)
 
 
 def score(docs: DataFrame, held_out, order: int = ORDER, weights: np.ndarray | None = None, broadcast_bytes: int = BROADCAST_BYTES, bits: float = BITS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
