@@ -464,7 +464,9 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHIN
         found = tasks.groupBy("bucket").applyInArrow(_candidate_links(needed), "a long, b long")
     component = saved(components(saved(found.distinct())))
     sizes = component.groupBy("label").agg(F.count(F.lit(1)).alias("members"))
-    wanted = saved(component.join(sizes.hint("merge"), "label").join(classes.select("node", "same").hint("merge"), "node").select("node", F.col("label").alias("component"), "members", "same.*"))
+    # A component or class may have a third of all rows.
+    spread = join_groups(component, sizes, "label", "members", component.count(), "node")
+    wanted = saved(spread.join(classes.select("node", "same").hint("merge"), "node").select("node", F.col("label").alias("component"), "members", "same.*"))
     texts = wanted.hint("merge").join(plain, ["doc_id", "nameless", "text_hash"]).select("node", "component", "members", "text")
     sets = texts.mapInArrow(_sets(size), "node long, component long, members long, shingles binary")
     tasks = _dealt(sets, F.col("component"), F.col("members"), F.col("node"), group, n).select("bucket", "key", "side", "node", "shingles")
@@ -472,9 +474,9 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHIN
     links = exact.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("n_links"))
     label = saved(components(exact.select("a", "b")))
     placed = saved(classes.select("node", "same", "n_same", "n_shingles").join(links.hint("merge"), "node", "left").join(label.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node")))
-    least = placed.groupBy("label").agg(F.min("same").alias("first"))
+    least = placed.groupBy("label").agg(F.min("same").alias("first"), F.count(F.lit(1)).alias("n_label"))
     shown = lambda c: F.when(~F.col(f"{c}.nameless"), F.col(f"{c}.doc_id"))
-    named = saved(placed.join(least.hint("merge"), "label").select("node", shown("same").alias("same_id"), "n_same", "n_shingles", shown("first").alias("class_id"), F.col("first.text_hash").alias("first_hash"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
+    named = saved(join_groups(placed, least, "label", "n_label", placed.count(), "node").select("node", shown("same").alias("same_id"), "n_same", "n_shingles", shown("first").alias("class_id"), F.col("first.text_hash").alias("first_hash"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
     total = named.agg(F.sum("n_same")).first()[0] or 0
     first = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("text_hash") == F.col("first_hash"))
     rows = sketches.select(F.when(~F.col("nameless"), F.col("doc_id")).alias("doc_id"), "text_hash", "node")
