@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxelloom.llm.shared import saved
 from voxelloom.operators.prefix import prefix_sums
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -78,7 +79,8 @@ def _mixed(docs: DataFrame, share: float, most: float, weights: tuple[float, ...
     )
     keyed = rows.withColumn("key", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))).withColumn("range", F.substring("key", 1, RANGE_DIGITS))
     part = ["name", "nameless", "range"]
-    ranges = keyed.groupBy(*part).agg(F.sum("size").alias("range_size"))
+    # Up to 16 ** RANGE_DIGITS rows a source, of which the texts are counted once.
+    ranges = saved(keyed.groupBy(*part).agg(F.sum("size").alias("range_size")))
     known = F.when(~F.col("nameless"), F.col("name"))
     targets = source_targets(ranges.groupBy("name", "nameless").agg(F.sum("range_size").alias("source_size")).select(known.alias("source"), "source_size"), share, most, weights)
     targets = targets.select(F.coalesce("source", F.lit("")).alias("name"), F.col("source").isNull().alias("nameless"), "source_size", "target")
