@@ -1,3 +1,4 @@
+import duckdb
 import pytest
 
 import __spark_entry__
@@ -22,6 +23,20 @@ def test_rows(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
 
+def test_sample_lines_of_large_sums(spark, tmp_path):
+    """Voxels that sum to a million and more, as those of large tables do."""
+    duckdb.sql(f"COPY (SELECT * REPLACE (l_quantity * 100000 AS l_quantity) FROM read_parquet('{SF}/lineitem.parquet')) TO '{tmp_path}/lineitem.parquet' (FORMAT parquet)")
+    large = duckdb.connect()
+    large.sql(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{tmp_path}/lineitem.parquet')")
+    same(QUERIES["sample_lines"](spark, str(tmp_path)), large, ORACLES["sample_lines"])
+
+
+def test_sample_lines_without_boxes(spark, tmp_path):
+    """No voxel has mask value 1."""
+    duckdb.sql(f"COPY (SELECT * REPLACE (l_quantity * 3 AS l_quantity) FROM read_parquet('{SF}/lineitem.parquet')) TO '{tmp_path}/lineitem.parquet' (FORMAT parquet)")
+    assert QUERIES["sample_lines"](spark, str(tmp_path)).collect() == []
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(QUERIES) <= set(__spark_entry__.queries()) and set(ORACLES) <= set(__spark_entry__.oracle_sql())

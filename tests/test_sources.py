@@ -151,6 +151,11 @@ def test_names_and_lines(spark):
     assert text.sample_lines(row).first().line == "1,0.5,1.23457e+06"
 
 
+def test_lines_of_whole_numbers(spark):
+    row = spark.range(1).selectExpr("'v' AS volume_id", "1L AS roi_id", "array(0L, -7L, 999999L, 1000000L, 1234567L, 9007199254740993L) AS values")
+    assert text.sample_lines(row).first().line == "0,-7,999999,1000000,1234567,9007199254740993"
+
+
 def test_saved_tables_can_go(spark):
     before = saving.written()
     one, two = saving.saved(spark.range(5)), saving.saved(spark.range(7))

@@ -101,9 +101,10 @@ def roi_voxels(rois: DataFrame, voxels: DataFrame, brick: int = BRICK) -> DataFr
 
 
 def same_size(rois: DataFrame) -> DataFrame:
-    """The boxes, which must be of one size, or it is an error."""
-    one = rois.agg(*[F.min(c).alias(f"_{c}") for c in SIZES])
-    even = [F.col(c) == F.col(f"_{c}") for c in SIZES]
+    """The boxes, which must be of one size, or it is an error; there may be none."""
+    one = rois.agg(F.count(F.lit(1)).alias("_n"), *[F.min(c).alias(f"_{c}") for c in SIZES])
+    # Where sizes are literals the optimizer checks the one row by itself, which has no sizes if there are no boxes.
+    even = [(F.col("_n") == 0) | (F.col(c) == F.col(f"_{c}")) for c in SIZES]
     # One row.
     checked = rois.join(F.broadcast(one)).withColumn(SIZES[0], F.when(even[0] & even[1] & even[2], F.col(SIZES[0])).otherwise(F.raise_error(F.lit("regions are of different sizes"))))
     return checked.select(*rois.columns)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from voxelloom.functions.strings import join_paths, six_digits
 from voxelloom.operators.stencil import FEATURES
@@ -141,8 +142,10 @@ def sequence_line(values: Column, separator: str = ",") -> Column:
 
 
 def sample_lines(samples: DataFrame) -> DataFrame:
-    """(volume_id, roi_id, line) of the values of each box."""
-    return samples.select("volume_id", "roi_id", sequence_line(F.col("values")).alias("line"))
+    """(volume_id, roi_id, line) of the values of each box: whole numbers with all their digits, others with six, as C++ streams write them."""
+    whole = isinstance(samples.schema["values"].dataType.elementType, IntegralType)
+    line = F.array_join(F.col("values").cast("array<string>"), ",") if whole else sequence_line(F.col("values"))
+    return samples.select("volume_id", "roi_id", line.alias("line"))
 
 
 def label_lines(labels: DataFrame) -> DataFrame:
