@@ -237,3 +237,26 @@ def test_structured_words(spark):
     docs = spark.createDataFrame([(0, one), (1, other), (2, one)], "doc_id long, text string")
     got = {r.doc_id: r.n_known for r in score(docs, F.col("doc_id") == 1).collect()}
     assert got == {0: 2, 1: 1, 2: 2}
+
+
+def test_workers_share_a_broadcast_filter(spark):
+    """Workers map the pieces (32 MB here), without a copy in each, and read what a filter at hand gives."""
+    n, rng = 40, np.random.default_rng(5)
+    pieces = [(b, np.bitwise_or(*rng.integers(0, 1 << 64, (2, 100_000 + b), np.uint64)).tobytes()) for b in range(n) if b != 7]
+    sizes = {b: len(x) for b, x in pieces}
+    value = np.sort(rng.integers(0, 1 << 63, 20_000, np.uint64) << np.uint64(1))
+    parts = bloomlm.Model(3, 1, 1, None, n, spark.createDataFrame(pieces, "bucket int, filter binary"), sizes).broadcast()
+
+    def run(_):
+        def own():
+            with open("/proc/self/smaps_rollup") as f:
+                return next(int(line.split()[1]) for line in f if line.startswith("Anonymous:")) / 1024
+
+        before = own()
+        level = parts.levels(value)
+        yield own() - before, level.tobytes()
+
+    grown, level = spark.sparkContext.parallelize([0], 1).mapPartitions(run).first()
+    assert np.array_equal(np.frombuffer(level, np.uint8), Filter(n, sizes, b"".join(x for _, x in pieces)).levels(value))
+    assert max(level) > 3
+    assert grown < 8

@@ -17,14 +17,16 @@ the training texts, so over these the probabilities of all words sum to 1.  What
 shows is a function of a few levels, so tokens are counted by these.
 
 The filter is built in pieces by hash bucket, each sized for the n-grams it has.
-Pieces of at most ``broadcast_bytes`` together are broadcast to the workers.  A
-larger filter stays where its pieces are: blocks of texts send their distinct
+Pieces of at most ``broadcast_bytes`` together are broadcast to the workers, and those
+of one executor map the same files of it.  A larger filter stays where its pieces are: blocks of texts send their distinct
 n-grams to the buckets' pieces and get the levels back.
 """
 
 from __future__ import annotations
 
 import math
+import mmap
+import os
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +45,8 @@ PROBES, BITS = 5, 10.0
 BROADCAST_BYTES = 256 << 20
 #: Parts in which the driver gathers and broadcasts it.
 PARTS = 16
+#: Bytes before a part's numbers, so that they begin at a multiple of eight in its file, after the seven that pickle puts before many bytes.
+PAD = 1
 #: Bytes of texts whose n-grams are looked up together, each different one once.
 RUN_BYTES = 1 << 20
 #: Tokens that a task counts together before it passes them on.
@@ -190,7 +194,7 @@ def _piece(order: int, bits: float):
 class Filter:
     """Pieces of buckets end to end, with each bucket's place and size in words."""
 
-    def __init__(self, n: int, sizes: dict[int, int], data: bytes | bytearray):
+    def __init__(self, n: int, sizes: dict[int, int], data: bytes | bytearray | np.ndarray):
         self.n, self.data = n, data
         size = np.array([sizes.get(b, 0) // 8 for b in range(n)], np.int64)
         self.begin, self.size = np.cumsum(size) - size, size
@@ -198,7 +202,7 @@ class Filter:
     def levels(self, value: np.ndarray, most: np.ndarray | int = LEVELS) -> np.ndarray:
         """Levels of n-grams, up to ``most``; 0 for those that aren't there, or whose bucket has no piece here."""
         level = np.zeros(len(value), np.uint8)
-        if not self.data or not len(value):
+        if not len(self.data) or not len(value):
             return level
         words = np.frombuffer(self.data, tc.U64)
         bucket = ((value >> tc.U64(32)) * tc.U64(self.n) >> tc.U64(32)).astype(np.int64)
@@ -217,17 +221,52 @@ class Filter:
         return level
 
 
+def _pickled_at(head: bytes) -> tuple[int, int]:
+    """Where the content of one pickled bytes object begins, and its length; 0, 0 if it is anything else."""
+    at = 11 if head[2:3] == b"\x95" else 2  # after the protocol, and a frame
+    width = {b"C": 1, b"B": 4, b"\x8e": 8}.get(head[at : at + 1], 0)
+    start = at + 1 + width
+    return (start, int.from_bytes(head[at + 1 : start], "little")) if width and head[:1] == b"\x80" else (0, 0)
+
+
+def broadcast_numbers(held) -> np.ndarray:
+    """The 64-bit numbers of a broadcast of PAD bytes and these.
+
+    They are mapped from the file that Spark keeps of a broadcast for an executor's
+    workers, so that these share one copy.  Where there is none (encrypted, or at the
+    driver), or they aren't aligned there, as those of less than 64 KB, they are copied.
+    """
+    path, start, size = getattr(held, "_path", None), 0, 0
+    if path is not None and getattr(held, "_sc", None) is None:
+        with open(path, "rb") as f:
+            start, size = _pickled_at(f.read(32))
+            if size and (start + PAD) % 8 == 0 and start + size <= os.fstat(f.fileno()).st_size:
+                return np.frombuffer(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ), tc.U64, (size - PAD) // 8, start + PAD)
+    return np.frombuffer(held.value[PAD:], tc.U64)
+
+
 class Parts:
-    """A whole filter as broadcast parts of ``step`` buckets each."""
+    """A whole filter as broadcast parts of ``step`` buckets each: the buckets' sizes in bytes, then their pieces."""
 
     def __init__(self, n: int, step: int, parts: list):
         self.n, self.step, self.parts = n, step, parts
+        self.held: dict[int, Filter] = {}
+
+    def __reduce__(self):
+        return Parts, (self.n, self.step, self.parts)
+
+    def part(self, i: int) -> Filter:
+        if i not in self.held:
+            numbers, lo = broadcast_numbers(self.parts[i]), i * self.step
+            buckets = range(lo, min(lo + self.step, self.n))
+            self.held[i] = Filter(self.n, dict(zip(buckets, numbers[: len(buckets)].tolist(), strict=True)), numbers[len(buckets) :])
+        return self.held[i]
 
     def levels(self, value: np.ndarray, most: np.ndarray | int = LEVELS) -> np.ndarray:
         """Of sorted n-grams, which fall into one part after the other."""
         most = np.broadcast_to(np.asarray(most, np.uint8), len(value))
         cut = np.append(np.searchsorted(value, tc.bucket_edges(self.n)[:: self.step]), len(value))
-        return np.concatenate([np.zeros(0, np.uint8), *[held.value.levels(value[a:b], most[a:b]) for held, a, b in zip(self.parts, cut[:-1], cut[1:], strict=True) if a < b]])
+        return np.concatenate([np.zeros(0, np.uint8), *[self.part(i).levels(value[a:b], most[a:b]) for i, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if a < b]])
 
 
 def looked_up(held, value: np.ndarray, most: np.ndarray | int = LEVELS) -> np.ndarray:
@@ -268,8 +307,9 @@ class Model:
         step = -(-self.buckets // PARTS)
         for lo in range(0, self.buckets, step):
             part = self.pieces.filter(F.col("bucket").between(lo, lo + step - 1)).select("bucket", "filter").toArrow().sort_by("bucket")
-            data = b"".join(piece.as_buffer() for piece in part.column("filter"))
-            parts.append(spark.sparkContext.broadcast(Filter(self.buckets, {b: x for b, x in self.sizes.items() if lo <= b < lo + step}, data)))
+            sizes = np.array([self.sizes.get(b, 0) for b in range(lo, min(lo + step, self.buckets))], tc.U64)
+            data = b"".join([bytes(PAD), sizes.tobytes(), *(piece.as_buffer() for piece in part.column("filter"))])
+            parts.append(spark.sparkContext.broadcast(data))
             del part, data
         return Parts(self.buckets, step, parts)
 
