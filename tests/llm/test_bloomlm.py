@@ -3,6 +3,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -260,3 +261,12 @@ def test_workers_share_a_broadcast_filter(spark):
     assert np.array_equal(np.frombuffer(level, np.uint8), Filter(n, sizes, b"".join(x for _, x in pieces)).levels(value))
     assert max(level) > 3
     assert grown < 8
+
+
+def test_counts_leave_by_order():
+    """Each batch has the letters of one order, and together they have all n-grams."""
+    texts = [f"a b c d {i}" for i in range(50)]
+    batches = list(bloomlm._count(3, 4)([pa.record_batch({"text": texts[:20]}), pa.record_batch({"text": texts[20:]})]))
+    assert [set(b.column("kind").to_pylist()) for b in batches] == [{1}, {2}, {3}]
+    sums = [sum(int(tc.restored(c, np.uint32).sum()) for c in b.column("counts").to_pylist()) for b in batches]
+    assert sums == [50 * 6, 50 * 5, 50 * 4]

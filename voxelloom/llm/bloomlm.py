@@ -98,14 +98,12 @@ def _summed(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _count(order: int, n: int):
-    """Counts of the n-grams of every order, in runs of texts, by hash bucket."""
-
-    def letters(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
-        rows = []
-        for kind, part in enumerate(parts, 1):
-            value, count = _summed(part)
-            for b, s in tc.by_bucket(value, n):
-                rows.append((b, kind, tc.pack(value[s]), tc.transposed(count[s].astype(np.uint32))))
+    """Counts of the n-grams of every order, in runs of texts, by hash bucket; a batch for each order, so that fewer wait in memory."""
+
+    def letters(kind: int, part: list[np.ndarray]) -> pa.RecordBatch:
+        value, count = _summed(part)
+        part.clear()
+        rows = [(b, kind, tc.pack(value[s]), tc.transposed(count[s].astype(np.uint32))) for b, s in tc.by_bucket(value, n)]
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(COUNTS_ARROW)], schema=COUNTS_ARROW)
 
     def run(batches):
@@ -120,10 +118,12 @@ def _count(order: int, n: int):
                     part.append(value)
                 have += len(h)
                 if have >= RUN_TOKENS:
-                    yield letters(parts)
-                    parts, have = [[] for _ in range(order)], 0
+                    for kind, part in enumerate(parts, 1):
+                        yield letters(kind, part)
+                    have = 0
         if have:
-            yield letters(parts)
+            for kind, part in enumerate(parts, 1):
+                yield letters(kind, part)
         del parts
         tc.release()
 
@@ -486,9 +486,12 @@ SCORES_ARROW = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_
 
 def _scored(order: int, tokens: int, types: int, counts: Counts, weights: np.ndarray, parts: Parts | None):
     def run(docs: pa.Table, words: pa.Table) -> pa.Table:
-        if not docs.num_rows:
-            return SCORES_ARROW.empty_table()
+        out = of_block(docs, words) if docs.num_rows else SCORES_ARROW.empty_table()
+        # A worker that waits for its next task holds nothing of the last block.
         tc.release()
+        return out
+
+    def of_block(docs: pa.Table, words: pa.Table) -> pa.Table:
         answer = np.array(words.column("bucket").to_pylist(), np.int64) < 0
         held = parts if parts is not None else _Answers(words.filter(pa.array(answer)))
         got = list(bl.received(words.filter(pa.array(~answer))))
