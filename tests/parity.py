@@ -6,6 +6,7 @@ from pathlib import Path
 
 import duckdb
 import numpy as np
+import pandas as pd
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -21,8 +22,12 @@ def connected(folder: str):
 def _shown(v) -> str:
     if isinstance(v, (list, np.ndarray)):
         return "[" + ",".join(map(_shown, v)) + "]"
+    if v is None or v is pd.NA:
+        return "nan"  # as a null is in a column of whole numbers that has become one of doubles
+    if isinstance(v, (int, np.integer)) and not isinstance(v, bool) and abs(v) < 1 << 53:
+        v = float(v)
     if isinstance(v, (float, np.floating)):
-        return "nan" if np.isnan(v) else f"{v + 0.0:.9g}"
+        return "nan" if np.isnan(v) else f"{v + 0.0:.0f}" if v == np.floor(v) and abs(v) < 1e15 else f"{v + 0.0:.9g}"
     return str(v)
 
 
