@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from voxelloom.llm import bloomlm, digests, langid, mixing, nearjoin, repeats, runs, sampling, substring, unigram, wrappers
+from voxelloom.llm import bloomlm, digests, langid, mixing, nearjoin, repeats, runs, sampling, substring, trie, unigram, wrappers
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,12 +28,14 @@ QUERIES = {
     "op9_ngram_jaccard_join": _over("documents", nearjoin.op9_ngram_jaccard_join),
     "op10_html_extraction": _over("pages", wrappers.op10_html_extraction),
     "op5_substring_dedup": _over("documents", substring.op5_substring_dedup),
+    "op12_conversation_trie": _over("conversations", trie.op12_conversation_trie),
     "op13_periodic_runs": _over("documents", runs.op13_periodic_runs),
 }
 
 ORACLES: dict[str, str] = {
     "op3_mix_sources": mixing.OP3_SQL,
     "op4_exact_dedup": digests.OP4_SQL,
+    "op12_conversation_trie": trie.OP12_SQL,
 }
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
