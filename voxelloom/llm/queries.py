@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from voxelloom.llm import bloomlm, digests, langid, mixing, nearjoin, repeats, runs, sampling, substring, trie, unigram, wrappers
+from voxelloom.llm import bloomlm, digests, langid, mixing, multiindex, nearjoin, repeats, runs, sampling, substring, trie, unigram, wrappers
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,7 @@ QUERIES = {
     "op9_ngram_jaccard_join": _over("documents", nearjoin.op9_ngram_jaccard_join),
     "op10_html_extraction": _over("pages", wrappers.op10_html_extraction),
     "op5_substring_dedup": _over("documents", substring.op5_substring_dedup),
+    "op11_nearest_vectors": _over("embeddings", multiindex.op11_nearest_vectors),
     "op12_conversation_trie": _over("conversations", trie.op12_conversation_trie),
     "op13_periodic_runs": _over("documents", runs.op13_periodic_runs),
 }
