@@ -40,7 +40,7 @@ from voxelloom.llm.shared import join_groups, saved
 
 # Kinds of elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template svg math".split())
+RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split())
 CLOSES_P = BLOCK - {"body", "html", "caption", "dd", "dt", "li", "tbody", "tfoot", "thead", "tr", "legend", "summary"}
 #: An open element of the second kind ends where one of the first starts, unless one of the third is between.
@@ -55,7 +55,9 @@ ENDS = {
     "option": (("option",), ("select",)),
 }
 # What is no part of an article.
-LEFT_OUT = frozenset("head nav footer aside form script style noscript iframe svg math template button select textarea input label menu dialog object embed canvas audio video map xmp title noembed noframes datalist fieldset".split())
+LEFT_OUT = frozenset("head nav footer aside script style noscript iframe template button select textarea input menu object embed canvas audio video map xmp title noembed noframes datalist desc metadata annotation annotation-xml".split())
+#: Left out unless they hold the article; what is a form's own, its fields and their labels, goes in any case.
+HOLDERS = frozenset("form dialog fieldset".split())
 LEFT_OUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 LEFT_OUT_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adslot sponsor sponsored sponsors promo promotion promoted banner banners nav navbar navigation navi menu menus breadcrumb breadcrumbs pagination pager "
@@ -66,13 +68,17 @@ ARTICLE_WORDS = frozenset("article articlebody article-body article-content post
 MAIN_WORDS = frozenset("main-content maincontent body-content page-content content main text".split())
 
 LEFT_OUT_PARTS = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs pagination sidebar footer masthead cookie cookies consent gdpr notice notices notification popup modal newsletter subscribe comment comments disqus respond replies sharing social related recommended copyright disclaimer".split())
+#: Words that also name parts of an article: an anchor (the id of a heading or section), a paragraph's kind.
+WEAK_WORDS = frozenset("alert alerts banner banners copyright disclaimer discussion legal notice notices overlay page-header pager recommendations related reply respond search side teaser".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+PROSE = frozenset("p blockquote pre li dd dt td th figure figcaption caption".split())
 COMMENT_WORDS = frozenset("comment comments commentlist disqus respond replies reply".split())
 NEGATIONS = frozenset("no not non has have with without is".split())
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|([^<]+|<)""", re.S)
 _NAMED = re.compile(r"</?[a-zA-Z]")
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _DIGITS = re.compile(r"\d+")
 #: In wrappers, the texts of elements nested this deep or deeper lie flat in the element above; pages are parsed and read to any depth.
 DEPTH = 200
@@ -81,41 +87,51 @@ LEAST_LEFT = 0.1
 
 # How an element is marked: not, as a page's main part, as an article by name, as an article by its tag.
 PLAIN, MAIN, NAMED, ARTICLE = range(4)
-# How it is left out: not, by its class names, by its tag or role.
-KEPT, BY_NAME, BY_TAG = range(3)
+# How it is left out: not, by a paragraph's word unless its text varies, by its names unless it holds the article, by its tag or role.
+KEPT, BY_WORD, BY_NAME, BY_TAG = range(4)
 
 
 class Element:
     __slots__ = ("children", "depth", "key", "left_out", "marked", "tag", "within")
 
-    def __init__(self, tag: str, attributes: str, depth: int, inside: bool, within: bool):
+    def __init__(self, tag: str, attributes: str, depth: int, inside: bool, within: bool, in_form: bool = False):
         self.tag, self.depth, self.children = tag, depth, []
-        self.key, self.left_out, self.marked = tag, BY_TAG if tag in LEFT_OUT or tag == "header" and not inside else KEPT, {"article": ARTICLE, "main": MAIN}.get(tag, PLAIN)
-        if attributes and not attributes.isspace():
-            words, article = [], False
-            for name, *values in _ATTRIBUTE.findall(attributes):
-                name, value = name.lower(), next(filter(None, values), "").lower()
-                if name in ("class", "id"):
-                    words += _DIGITS.sub("", value).split()
-                elif name == "role":
-                    self.left_out = BY_TAG if value in LEFT_OUT_ROLES else self.left_out
-                    self.marked = max(self.marked, {"main": MAIN, "article": NAMED}.get(value, PLAIN))
-                elif name == "itemprop":
-                    article |= value == "articlebody"
-                    self.left_out = BY_TAG if value == "comment" else self.left_out
-                elif name == "hidden" or value == "true":
-                    self.left_out = BY_TAG
-            words = [w.strip("-_") for w in words]
-            article |= any(w in ARTICLE_WORDS for w in words)
+        self.key, self.marked = tag, {"article": ARTICLE, "main": MAIN}.get(tag, PLAIN)
+        given = {} if not attributes or attributes.isspace() else _attributes(attributes)
+        self.left_out = BY_NAME if tag in HOLDERS else BY_TAG if tag in LEFT_OUT or tag == "header" and not inside or tag == "label" and (in_form or "for" in given) else KEPT
+        if given:
+            self.left_out = max(self.left_out, BY_TAG if given.get("role") in LEFT_OUT_ROLES - {"form", "dialog"} or given.get("itemprop") == "comment" or "hidden" in given or given.get("aria-hidden") == "true" else BY_NAME if given.get("role") in ("form", "dialog") else KEPT)
+            self.marked = max(self.marked, {"main": MAIN, "article": NAMED}.get(given.get("role", ""), PLAIN))
+            by_id, by_class = ([w.strip("-_") for w in _DIGITS.sub("", given.get(name, "")).split()] for name in ("id", "class"))
+            words = by_id + by_class
+            article = given.get("itemprop") == "articlebody" or any(w in ARTICLE_WORDS for w in words)
             # An article's name wins, but not within an article ("related post").
-            if self.left_out == KEPT and tag not in ("body", "html", "article", "main") and any(_is_left_out(w) for w in words) and (within or not article):
-                self.left_out = BY_NAME
+            if self.left_out == KEPT and tag not in ("body", "html", "article", "main") and (within or not article):
+                self.left_out = _by_words(tag, by_id, by_class)
             self.marked = max(self.marked, NAMED if article else MAIN if any(w in MAIN_WORDS for w in words) else PLAIN)
             self.key = ".".join([tag, *sorted(set(words))][:4])
         #: Whether it is in an element that is marked as an article, or is one.
         self.within = within or self.marked >= NAMED
 
 
+def _attributes(text: str) -> dict[str, str]:
+    """The attributes of a tag, of one that repeats the first; names and values in lower case."""
+    out: dict[str, str] = {}
+    for name, *values in _ATTRIBUTE.findall(text):
+        out.setdefault(name.lower(), next(filter(None, values), "").lower())
+    return out
+
+
+def _by_words(tag: str, by_id: list[str], by_class: list[str]) -> int:
+    """How the words of id and class leave an element out; a heading's id is an anchor."""
+    if tag in HEADINGS:
+        return BY_NAME if any(_is_left_out(w) and w not in WEAK_WORDS for w in by_class) else KEPT
+    if tag == "section":
+        by_id = [w for w in by_id if w not in WEAK_WORDS]
+    found = [w for w in by_id + by_class if _is_left_out(w)]
+    return BY_WORD if found and tag in PROSE and all(w in WEAK_WORDS for w in found) else BY_NAME if found else KEPT
+
+
 def _is_left_out(word: str) -> bool:
     """Whether a class or id names what is no part of an article, whole or in one of its parts; "no-sidebar" and the like don't."""
     if word in LEFT_OUT_WORDS or word in ARTICLE_WORDS or word in MAIN_WORDS:
@@ -170,7 +186,11 @@ def parse(page: str) -> Element:
                         break
             if found:
                 cut(found)
-        element = Element(name, attributes, len(stack), inside > 0, stack[-1].within)
+        element = Element(name, attributes, len(stack), inside > 0, stack[-1].within, any(opened.get(t) for t in HOLDERS))
+        if name in ("article", "main"):
+            for e in stack:
+                if e.tag in HOLDERS and e.left_out == BY_NAME:
+                    e.left_out = KEPT
         stack[-1].children.append(element)
         if name in RAW:
             end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
@@ -297,7 +317,7 @@ class Place:
         return cls(path, frozenset(lifted))
 
     def has(self, element: Element) -> bool:
-        return element.left_out == KEPT or element.left_out == BY_NAME and element.key in self.lifted
+        return element.left_out == KEPT or element.left_out != BY_TAG and element.key in self.lifted
 
 
 def _variable_text(items: list, lifted: frozenset[str], everything: bool = False) -> int:
@@ -306,7 +326,7 @@ def _variable_text(items: list, lifted: frozenset[str], everything: bool = False
     for i in items:
         if i[0] == "#":
             total += i[4] if i[3] == 1 or i[5] != i[6] else 0
-        elif i[4] == KEPT or i[4] == BY_NAME and (everything or i[0] in lifted):
+        elif i[4] == KEPT or i[4] != BY_TAG and (everything or i[0] in lifted):
             total += _variable_text(i[5], lifted, everything)
     return total
 
@@ -316,20 +336,35 @@ def _any_article(items: list) -> bool:
     return any(i[0] != "#" and i[4] == KEPT and (i[3] >= NAMED and _variable_text(i[5], frozenset()) > 0 or _any_article(i[5])) for i in items)
 
 
+def _varying(items: list) -> frozenset[str]:
+    """Keys of paragraphs with a word that leaves them out, but not with the same text on all pages."""
+    found: set[str] = set()
+
+    def walk(items: list) -> None:
+        for i in items:
+            if i[0] != "#" and i[4] != BY_TAG:
+                if i[4] == BY_WORD and _variable_text(i[5], frozenset(), True):
+                    found.add(i[0])
+                walk(i[5])
+
+    walk(items)
+    return frozenset(found)
+
+
 def _lifted(items: list) -> frozenset[str]:
-    """Keys of elements that are not left out for their names: of those with most variable text as many as it takes to have enough.
+    """Keys of elements that are not left out for their names: paragraphs that vary, and of others with most variable text as many as it takes to have enough.
 
-    There are none where an article remains, and comments only where nothing would.
+    There are no others where an article remains, and comments only where nothing would.
     """
     whole = _variable_text(items, frozenset(), True)
-    lifted: frozenset[str] = frozenset()
+    lifted = _varying(items)
     if _any_article(items):
         return lifted
 
     def named(items: list, found: dict[str, int]) -> None:
         """Elements that names leave out, the outermost only."""
         for i in items:
-            if i[0] != "#" and i[4] == BY_NAME and i[0] not in lifted:
+            if i[0] != "#" and i[4] in (BY_WORD, BY_NAME) and i[0] not in lifted:
                 found[i[0]] = found.get(i[0], 0) + _variable_text(i[5], lifted, True)
             elif i[0] != "#" and i[4] != BY_TAG:
                 named(i[5], found)
@@ -350,7 +385,7 @@ _OWN = ("p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "ul", "ol"
 def article_place(items: list) -> Place:
     """The element with most variable text in blocks of its own, and what belongs to its article around it."""
     lifted = _lifted(items)
-    there = lambda i: i[0] != "#" and (i[4] == KEPT or i[4] == BY_NAME and i[0] in lifted)
+    there = lambda i: i[0] != "#" and (i[4] == KEPT or i[4] != BY_TAG and i[0] in lifted)
     best: tuple[int, int, list[list]] = (0, 0, [])
 
     def walk(items: list, path: list[list]) -> None:
