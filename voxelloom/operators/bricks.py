@@ -46,23 +46,24 @@ def side_for(halo: tuple[int, int, int]) -> int:
     return max(SIDE, 2 * max(halo))
 
 
-def in_bricks(voxels: DataFrame, halo: tuple[int, int, int], run: Callable[[Brick], pa.Table], schema: T.StructType, keys: tuple[str, ...] = ("volume_id",)) -> DataFrame:
-    """``run`` on each brick with ``halo`` voxels more on either side of each axis; it returns rows for the brick's own voxels.
+def in_bricks(voxels: DataFrame, halo: tuple[int, int, int], run: Callable[[Brick], pa.Table], schema: T.StructType, keys: tuple[str, ...] = ("volume_id",), side: int | None = None, below: tuple[int, int, int] | None = None, halo_alone: bool = False) -> DataFrame:
+    """``run`` on each brick with ``halo`` voxels more on either side of each axis (``below``: fewer before it); it returns rows for the brick's own voxels.
 
     Bricks end where the volume does: what is there of a halo says how far it goes.
+    ``halo_alone`` runs bricks too that have no voxel of their own.
     """
-    side = side_for(halo)
+    side = side or side_for(halo)
     rows = voxels
-    for a, h in zip(AXES, halo, strict=True):
+    for a, h, less in zip(AXES, halo, below or halo, strict=True):
         number = lambda k, a=a: F.floor((F.col(a) + F.lit(k)) / F.lit(side)).cast("int")
-        near = F.array_distinct(F.array(number(-h), number(0), number(h))) if h else F.array(number(0))
+        near = F.array_distinct(F.array(number(-h), number(0), number(less))) if h else F.array(number(0))
         rows = rows.withColumn(f"_b{a}", F.explode(near))
     own = [F.floor(F.col(a) / F.lit(side)).cast("int") == F.col(f"_b{a}") for a in AXES]
     rows = rows.withColumn("_own", own[0] & own[1] & own[2])
 
     def group(table: pa.Table) -> pa.Table:
         brick = Brick(table.combine_chunks())
-        return run(brick) if len(brick.own) else pa.Table.from_pylist([], arrow)
+        return run(brick) if halo_alone or len(brick.own) else pa.Table.from_pylist([], arrow)
 
     from pyspark.sql.pandas.types import to_arrow_schema
 
