@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from voxelloom.functions.pointwise import bin_index, bin_index_of
 from voxelloom.functions.strings import six_digits
 from voxelloom.operators.bricks import Brick, box_sums, in_bricks
+from voxelloom.operators.integral import box_sums_of, worth_summing
 from voxelloom.operators.lattice import AXES
 from voxelloom.operators.prefix import prefix_sums
 from voxelloom.operators.roi import STARTS, box_histograms, candidates, roi_voxels
@@ -93,9 +94,19 @@ def dense_bag(rows: DataFrame, box: tuple[int, int, int], size: tuple[int, int,
     return cells.select("volume_id", "roi_id", (F.col("scale_idx") * n + feature).cast("int").alias("hist_idx"), (F.col("at") % n_bins).cast("int").alias("bin"), (F.col("n") / F.element_at("totals", feature + 1)).alias("freq"))
 
 
-def intensity_bag(rois: DataFrame, voxels: DataFrame, edges: list[float], value: str = "v", mask: str = "m") -> DataFrame:
-    """(volume_id, roi_id, bin, n, freq) of the raw values of each box, with empty bins."""
-    inside = roi_voxels(rois, voxels.filter(F.col(mask) != 0)).select("volume_id", "roi_id", bin_index(F.col(value), edges).cast("int").alias("bin"))
+def intensity_bag(rois: DataFrame, voxels: DataFrame, edges: list[float], value: str = "v", mask: str = "m", by_sums: bool | None = None) -> DataFrame:
+    """(volume_id, roi_id, bin, n, freq) of the raw values of each box, with empty bins.
+
+    ``by_sums`` counts bins from the corners of boxes in summed volumes, at a cost that
+    doesn't depend on their sizes; by default it does where boxes have more voxels in all
+    than the lattice.
+    """
+    bins = bin_index(F.col(value), edges).cast("int")
+    if worth_summing(rois, voxels) if by_sums is None else by_sums:
+        binned_ = voxels.withColumn("_bin", F.when(F.col(mask) != 0, bins))
+        counts = {f"n{i}": F.coalesce(F.col("_bin") == i, F.lit(False)).cast("long") for i in range(len(edges) + 1)}
+        return long_bins(box_sums_of(rois, binned_, counts), len(edges) + 1)
+    inside = roi_voxels(rois, voxels.filter(F.col(mask) != 0)).select("volume_id", "roi_id", bins.alias("bin"))
     per_bin = inside.groupBy("volume_id", "roi_id").agg(*[F.sum((F.col("bin") == i).cast("long")).alias(f"n{i}") for i in range(len(edges) + 1)])
     whole = rois.select("volume_id", "roi_id").join(per_bin, ["volume_id", "roi_id"], "left")
     return long_bins(whole, len(edges) + 1)

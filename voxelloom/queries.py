@@ -849,3 +849,6 @@ def mask_overlap(spark, sf_dir):
 def distance_map(spark, sf_dir):
     d = distance.squared_distance(vox(spark, sf_dir), (F.col("v") > 0) & ((F.col("x") * 31 + F.col("y") * 17 + F.col("z") * 7) % 23 == 0))
     return d.select("volume_id", "x", "y", "z", F.sqrt("d2").alias("distance")).select("volume_id", "x", "y", "z", _rounded("distance"))
+
+
+from voxelloom import workflow_queries  # noqa: E402, F401  registers its queries with those here
