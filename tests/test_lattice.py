@@ -251,3 +251,19 @@ def test_recursive_features(spark, voxels):
     other = stencil.features(voxels, [0.7], recursive=True).toPandas().sort_values(["x", "y", "z"])
     scale = one["GaussianBlur"].abs().max()
     assert 0 < (one["GaussianBlur"] - other["GaussianBlur"]).abs().max() < 0.02 * scale
+
+
+def test_recursion_over_lines_is_the_impulse_response(spark, voxels):
+    rng = np.random.default_rng(8)
+    grid = rng.normal(size=(5, 60, 4))
+    for sigma, step in ((0.6, 1.0), (3.0, 0.7), (25.0, 1.0)):
+        kernel = np.array(stencil.recursive_kernel(sigma, step, least=1e-12))
+        radius = len(kernel) // 2
+        padded = np.pad(grid, [(0, 0), (radius, radius), (0, 0)], "edge")
+        want = np.stack([[np.convolve(padded[i, :, k], kernel, "valid") for k in range(4)] for i in range(5)]).transpose(0, 2, 1)
+        assert np.abs(stencil.recursive_lines(grid, 1, sigma, step) - want).max() < 1e-5
+    both = stencil.recursive_smooth(voxels, {"a": ("v", 1.0), "b": ("v", 40.0)})
+    plan = both._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 3
+    one = stencil.gaussian_smooth(voxels, ["v"], 40.0, recursive=True).toPandas().set_index(["x", "y", "z"])["v"]
+    assert np.allclose(both.toPandas().set_index(["x", "y", "z"])["b"].sort_index(), one.sort_index())

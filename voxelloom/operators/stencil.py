@@ -101,8 +101,72 @@ def recursive_kernel(sigma: float, spacing: float = 1.0, least: float = 1e-5) ->
     return (whole / whole.sum()).tolist()
 
 
-def kernel_for(sigma: float, spacing: float = 1.0, width: float = 4.0, recursive: bool = False) -> list[float]:
-    return recursive_kernel(sigma, spacing) if recursive else gaussian_kernel(sigma, spacing, width)
+def _recursion(sigma: float, spacing: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """Poles and their weights of the recursive Gaussian, and the sum of its whole response."""
+    poles = np.array([np.exp(complex(d, w) * spacing / sigma) for _, _, w, d in _RECURSIVE])
+    weights = np.array([complex(a, -b) for a, b, _, _ in _RECURSIVE])
+    return poles, weights, float(2 * (weights / (1 - poles)).sum().real - weights.sum().real)
+
+
+def recursive_lines(grid: np.ndarray, axis: int, sigma: float, spacing: float = 1.0) -> np.ndarray:
+    """The recursive Gaussian along an axis, forward and backward; the ends repeat.
+
+    A pole's state is what came before, decayed; it goes from place to place, whatever
+    sigma.  Before the first place (after the last) the state is that of a line of its
+    value.
+    """
+    poles, weights, total = _recursion(sigma, spacing)
+    x = np.moveaxis(grid, axis, 0)
+    n, shape = len(x), (len(poles),) + (1,) * (x.ndim - 1)
+    p, c = poles.reshape(shape), weights.reshape(shape)
+    out = np.empty(x.shape)
+    state = x[0] / (1 - p)
+    for i in range(n):
+        state = p * state + x[i]
+        out[i] = (c * state).sum(0).real
+    state = x[-1] / (1 - p)
+    for i in range(n - 1, -1, -1):
+        # What comes after this place only: it is in the forward half itself.
+        out[i] += (c * p * state).sum(0).real
+        state = p * state + x[i]
+    return np.moveaxis(out / total, 0, axis)
+
+
+#: Lines of so many neighbours on either of the other axes are a group of the recursive pass.
+BUNDLE = 16
+
+
+def _bundle(axis: int, step: float, smooth: dict[str, tuple[str, float]], kept: list[str], arrow: pa.Schema):
+    """Lines of a bundle smoothed along one axis: new columns (name: (column, sigma)) beside those that are kept."""
+
+    def run(table: pa.Table) -> pa.Table:
+        at = tuple((q := table.column(a).to_numpy()) - q.min() for a in AXES)
+        cols = [table.column(c) for c in kept]
+        for column, sigma in smooth.values():
+            grid = np.zeros(tuple(int(q.max()) + 1 for q in at))
+            grid[at] = table.column(column).cast(pa.float64()).to_numpy()
+            cols.append(pa.array(recursive_lines(grid, axis, sigma, step)[at]))
+        return pa.Table.from_arrays([c.cast(f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
+
+    return run
+
+
+def recursive_smooth(voxels: DataFrame, smooth: dict[str, tuple[str, float]], spacing: tuple[float, float, float] = (1.0, 1.0, 1.0), by: tuple[str, ...] = ("volume_id",)) -> DataFrame:
+    """New columns (name: (column, sigma)) of recursively smoothed values, all in the same three passes.
+
+    A pass has bundles of whole lines of one axis in a group, one exchange, and no halo:
+    its cost doesn't depend on sigma.  A group holds BUNDLE * BUNDLE lines.  The lattice
+    is dense.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    for i, (axis, step) in enumerate(zip(AXES, spacing, strict=True)):
+        kept = [f for f in voxels.schema.fields if f.name not in smooth]
+        schema = T.StructType([*kept, *[T.StructField(name, T.DoubleType()) for name in smooth]])
+        run = _bundle(i, step, {name: (c if i == 0 else name, sigma) for name, (c, sigma) in smooth.items()}, [f.name for f in kept], to_arrow_schema(schema))
+        bundle = [F.floor(F.col(a) / BUNDLE).alias(f"_b{a}") for a in AXES if a != axis]
+        voxels = voxels.groupBy(*by, *bundle).applyInArrow(run, schema)
+    return voxels
 
 
 def _line_pass(columns: list[str], axis: str, kernel: list[float]):
@@ -134,9 +198,11 @@ def convolved(voxels: DataFrame, columns: list[str], axis: str, kernel: list[flo
 
 
 def gaussian_smooth(voxels: DataFrame, columns: list[str], sigma: float, spacing: tuple[float, float, float] = (1.0, 1.0, 1.0), width: float = 4.0, by: tuple[str, ...] = ("volume_id",), recursive: bool = False) -> DataFrame:
-    """Separable sampled Gaussian, cut at ``width`` standard deviations, or its recursive approximation."""
+    """Separable sampled Gaussian, cut at ``width`` standard deviations, or its recursive approximation on dense lattices."""
+    if recursive:
+        return recursive_smooth(voxels, {c: (c, sigma) for c in columns}, spacing, by).select(*voxels.columns)
     for a, s in zip(AXES, spacing, strict=True):
-        voxels = convolved(voxels, columns, a, kernel_for(sigma, s, width, recursive), by)
+        voxels = convolved(voxels, columns, a, gaussian_kernel(sigma, s, width), by)
     return voxels
 
 
@@ -151,36 +217,66 @@ def normalized_convolution(voxels: DataFrame, value: str = "v", certainty: str =
 _RAW = (FEATURES[0], "dx", "dy", "dz", *HESSIAN)
 
 
-def _brick_features(value: str, mask: str, scales: list[float], spacing: tuple[float, float, float], kernels: dict, schema):
+def _derived(blur: np.ndarray, spacing: tuple[float, float, float]) -> list[np.ndarray]:
+    """First derivatives and the Hessian's components."""
+    near = lambda g, axis: [lines(g, axis, w, 1, 1) for w in ((1.0, 0.0, 0.0), (0.0, 0.0, 1.0))]
+    first, second = [], []
+    for axis, step in enumerate(spacing):
+        before, after = near(blur, axis)
+        first.append((after - before) / (2.0 * step))
+    for p in range(3):
+        for q in range(p, 3):
+            before, after = near(blur if p == q else first[p], q)
+            second.append((after - 2.0 * blur + before) / (spacing[p] * spacing[p]) if p == q else (after - before) / (2.0 * spacing[q]))
+    return first + second
+
+
+def _in_scales(voxels: DataFrame, scales: list[float], value: str, mask: str, spacing: tuple[float, float, float], width: float, recursive: bool, derive: bool) -> DataFrame:
+    """Every voxel and scale with the normalised convolution and, if asked, its derivatives.
+
+    Sampled kernels are passes over bricks whose halo is as wide as the widest; one
+    exchange for all scales.  The recursion smooths all scales in three passes over lines
+    first, and bricks need a halo of one voxel, for derivatives.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    kept, names = voxels.columns, _RAW if derive else _RAW[:1]
+    schema = T.StructType([*voxels.schema.fields, T.StructField("scale_idx", T.IntegerType()), *[T.StructField(c, T.DoubleType()) for c in names]])
+    kernels = {} if recursive else {(sigma, s): gaussian_kernel(sigma, s, width) for sigma in scales for s in spacing}
+    rows, halo = voxels, (int(derive),) * 3
+    if recursive:
+        certain = F.when(F.col(mask) != 0, 1.0).otherwise(0.0)
+        both = voxels.withColumns({"_cv": F.col(value) * certain, "_c": certain})
+        rows = recursive_smooth(both, {f"_{c}{i}": (f"_{c}", sigma) for i, sigma in enumerate(scales) for c in ("cv", "c")}, spacing).drop("_cv", "_c")
+    else:
+        halo = tuple(len(kernels[max(scales), s]) // 2 + derive for s in spacing)
+
     def run(brick: Brick) -> pa.Table:
-        certain = (brick.grid(mask) != 0).astype(float)
-        own, parts = brick.own_rows(), []
+        own, parts = brick.own_rows().select(kept), []
+        certain = None if recursive else (brick.grid(mask) != 0).astype(float)
         for i, sigma in enumerate(scales):
-            both = [brick.grid(value) * certain, certain]
-            for axis, step in enumerate(spacing):
-                kernel = kernels[sigma, step]
-                radius = len(kernel) // 2
-                both = [lines(g, axis, kernel, radius, radius) for g in both]
+            if recursive:
+                both = [brick.grid(f"_{c}{i}") for c in ("cv", "c")]
+            else:
+                both = [brick.grid(value) * certain, certain]
+                for axis, step in enumerate(spacing):
+                    kernel = kernels[sigma, step]
+                    radius = len(kernel) // 2
+                    both = [lines(g, axis, kernel, radius, radius) for g in both]
             blur = np.where(both[1] != 0, both[0] / np.where(both[1] != 0, both[1], 1.0), LARGEST_FLOAT)
-            near = lambda g, axis: [lines(g, axis, w, 1, 1) for w in ((1.0, 0.0, 0.0), (0.0, 0.0, 1.0))]
-            first, out = [], [blur]
-            for axis, step in enumerate(spacing):
-                before, after = near(blur, axis)
-                first.append((after - before) / (2.0 * step))
-            out += first
-            for p in range(3):
-                for q in range(p, 3):
-                    before, after = near(blur if p == q else first[p], q)
-                    out.append((after - 2.0 * blur + before) / (spacing[p] * spacing[p]) if p == q else (after - before) / (2.0 * spacing[q]))
             part = own.append_column("scale_idx", pa.array(np.full(own.num_rows, i, np.int32)))
-            for name, grid in zip(_RAW, out, strict=True):
+            for name, grid in zip(names, [blur, *(_derived(blur, spacing) if derive else [])], strict=True):
                 part = part.append_column(name, pa.array(brick.at_own(grid)))
             parts.append(part)
         return pa.concat_tables(parts).cast(to_arrow_schema(schema))
 
-    return run
+    found = in_bricks(rows, halo, run, schema)
+    return found.withColumn("scale", F.element_at(F.array(*[F.lit(float(s)) for s in scales]), F.col("scale_idx") + 1))
+
+
+def blurred(voxels: DataFrame, scales: list[float], value: str = "v", mask: str = "m", spacing: tuple[float, float, float] = (1.0, 1.0, 1.0), width: float = 4.0, recursive: bool = False) -> DataFrame:
+    """The normalised convolution of every voxel at every scale, with the mask, as 0 or 1, for certainty: a row for each, with scale_idx and scale."""
+    return _in_scales(voxels, scales, value, mask, spacing, width, recursive, False)
 
 
 def features(voxels: DataFrame, scales: list[float], value: str = "v", mask: str = "m", spacing: tuple[float, float, float] = (1.0, 1.0, 1.0), width: float = 4.0, recursive: bool = False) -> DataFrame:
@@ -188,16 +284,13 @@ def features(voxels: DataFrame, scales: list[float], value: str = "v", mask: str
 
     Values are smoothed with the mask, as 0 or 1, for certainty; gradient and Hessian
     are those of the smoothed values before masking; each feature is masked at last.
-    A brick's halo is one voxel wider than the widest kernel.
+    A brick's halo is one voxel wider than the widest kernel, or one voxel after recursive
+    smoothing.
     """
-    kernels = {(sigma, s): kernel_for(sigma, s, width, recursive) for sigma in scales for s in spacing}
-    halo = tuple(len(kernels[max(scales), s]) // 2 + 1 for s in spacing)
-    schema = T.StructType([*voxels.schema.fields, T.StructField("scale_idx", T.IntegerType()), *[T.StructField(c, T.DoubleType()) for c in _RAW]])
-    d = in_bricks(voxels, halo, _brick_features(value, mask, scales, spacing, kernels, schema), schema)
+    d = _in_scales(voxels, scales, value, mask, spacing, width, recursive, True)
     d = d.withColumn(FEATURES[1], F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") + F.col("dz") * F.col("dz")))
     d = eigen_features(d, HESSIAN).drop("dx", "dy", "dz", *HESSIAN)
-    scale = F.element_at(F.array(*[F.lit(float(s)) for s in scales]), F.col("scale_idx") + 1)
-    return d.withColumns({c: apply_mask(F.col(c), F.col(mask)) for c in FEATURES}).withColumn("scale", scale)
+    return d.withColumns({c: apply_mask(F.col(c), F.col(mask)) for c in FEATURES})
 
 
 def feature_rows(featured: DataFrame) -> DataFrame:

@@ -82,15 +82,9 @@ def mask_image(voxels: DataFrame, value: str = "v", mask: str = "m", outside: fl
 
 
 def masked_normalized_convolution(voxels: DataFrame, scales: list[float], mask: str = "m", masked: bool = True, **options) -> DataFrame:
-    """Smoothed values at every scale, one row a voxel and scale."""
-    parts = None
-    for s in scales:
-        rows = voxels.withColumn("_m", F.when(F.col(mask) != 0, 1.0).otherwise(0.0))
-        blur = stencil.normalized_convolution(rows, certainty="_m", sigma=s, **options).withColumn("scale", F.lit(float(s)))
-        if masked:
-            blur = blur.withColumn(FEATURES[0], apply_mask(F.col(FEATURES[0]), F.col("_m")))
-        parts = blur.drop("_m") if parts is None else parts.unionByName(blur.drop("_m"))
-    return parts
+    """Smoothed values at every scale, one row a voxel and scale; all scales in the same passes."""
+    blur = stencil.blurred(voxels, scales, mask=mask, **options).drop("scale_idx")
+    return blur.withColumn(FEATURES[0], apply_mask(F.col(FEATURES[0]), F.col(mask))) if masked else blur
 
 
 def masked_gradient(voxels: DataFrame, mask: str = "m", **options) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from voxelloom.operators import bag, components, roi
-from voxelloom.queries import _LONG_VOX, EDGES, SIZE, _bin_sql, _dense, _long_vox, _vox, query, vox
+from voxelloom.operators import bag, components, roi, stencil
+from voxelloom.plans import tools
+from voxelloom.queries import _LONG_VOX, EDGES, SIZE, _bin_sql, _dense, _long_vox, _rounded, _vox, query, vox
 
 
 def _components_sql(mask: str, near: str, select: str) -> str:
@@ -96,3 +98,39 @@ def bag_intensity_growing(spark, sf_dir):
     found = bag.intensity_bag(roi.dense_rois(v, _WIDE, (n, 8, 7), by_place=True), v, [10.0, 40.0])
     y, z = F.expr(f"roi_id div {n} % 8"), F.expr(f"roi_id div {n * 8}")
     return found.groupBy(y.alias("y"), z.alias("z")).agg(F.count_distinct("roi_id").alias("boxes"), *[F.sum(F.when(F.col("bin") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(3)])
+
+
+def _recursive_matrix(n: int, sigma: float) -> np.ndarray:
+    """What the recursive filter makes of a line of n voxels whose ends repeat, from its impulse response."""
+    kernel = np.array(stencil.recursive_kernel(sigma, least=1e-14))
+    radius, out = len(kernel) // 2, np.zeros((n, n))
+    for i in range(n):
+        np.add.at(out[i], np.clip(np.arange(i - radius, i + radius + 1), 0, n - 1), kernel)
+    return out
+
+
+def _recursive_sql(source: str, columns: list[str], sigma: float, name: str) -> str:
+    """Columns smoothed along all axes as products with the response's matrices."""
+    out, last = [], source
+    for a, n in zip("xyz", SIZE, strict=True):
+        weights = ", ".join(f"({i}, {j}, {float(w)!r}::DOUBLE)" for i, row in enumerate(_recursive_matrix(n, sigma)) for j, w in enumerate(row))
+        others = ", ".join(f"s.{o}" for o in "xyz" if o != a)
+        sums = ", ".join(f"sum(w.w * s.{c}) AS {c}" for c in columns)
+        out.append(f"{name}w{a}(i, j, w) AS (VALUES {weights}), {name}{a} AS (SELECT {others}, CAST(w.i AS BIGINT) AS {a}, {sums} FROM {last} s JOIN {name}w{a} w ON w.j = s.{a} GROUP BY {others}, w.i)")
+        last = f"{name}{a}"
+    return ",\n".join(out)
+
+
+@query(_vox("SELECT x, y, z, round(v, 4) + 0.0 AS v FROM rz", _recursive_sql("vox", ["v"], 2.5, "r")))
+def gauss_recursive(spark, sf_dir):
+    return stencil.gaussian_smooth(vox(spark, sf_dir), ["v"], 2.5, recursive=True).select("x", "y", "z", _rounded("v", 4))
+
+
+_TWO = [(0.75, 0), (3.0, 1)]
+
+
+@query(_vox(" UNION ALL ".join(f'SELECT v.x, v.y, v.z, CAST({s!r} AS DOUBLE) AS scale, round(CASE WHEN v.m <> 0 THEN r.cv / r.cc ELSE 0.0 END, 3) + 0.0 AS "GaussianBlur" FROM vox v JOIN r{i}z r USING (x, y, z)' for s, i in _TWO),
+    "certain AS (SELECT *, CASE WHEN m <> 0 THEN v ELSE 0.0 END AS cv, CASE WHEN m <> 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS cc FROM vox),\n" + ",\n".join(_recursive_sql("certain", ["cv", "cc"], s, f"r{i}") for s, i in _TWO)))
+def norm_conv_recursive(spark, sf_dir):
+    """Two scales in the same passes; at the wider one each voxel takes from the whole lattice."""
+    return tools.masked_normalized_convolution(vox(spark, sf_dir), [s for s, _ in _TWO], recursive=True).select("x", "y", "z", "scale", _rounded("GaussianBlur", 3))
