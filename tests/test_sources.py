@@ -6,6 +6,7 @@ import pytest
 from voxelloom.operators.stencil import FEATURES
 from voxelloom.plans import saving, tools
 from voxelloom.sources import text, volumes
+from voxelloom.sources.pixels import jpeg_bytes, jpeg_values, packed, unpacked
 from voxelloom.streaming import arrivals
 
 A = np.arange(24.0).reshape(2, 3, 4)
@@ -189,3 +190,49 @@ def test_images_of_any_kind(spark, tmp_path):
     for broken in (head.encode().replace(b"short", b"block"), files["c.mha"].replace(b"LOCAL", b"x.raw"), files["d.mha"][:-9]):
         with pytest.raises(ValueError):
             volumes.parse_image(broken)
+
+
+SYNTAXES = ["1.2.840.10008.1.2", "1.2.840.10008.1.2.1", "1.2.840.10008.1.2.2", "1.2.840.10008.1.2.1.99", "1.2.840.10008.1.2.5", "1.2.840.10008.1.2.4.57", "1.2.840.10008.1.2.4.70"]
+
+
+def test_pixels_of_every_transfer_syntax(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    values = rng.integers(-900, 1200, (7, 9, 11))
+    values[:, :3] = -1000
+    for z, syntax in enumerate(SYNTAXES):
+        # Slices lie along the first axis, the other way round, in planes of the other two.
+        more = {"orientation": "0\\1\\0\\0\\0\\1", "patient": " P7 ", "study_date": "20200130", "kernel": "B.70f", "spacing": "0.5\\0.75", "number": str(z)}
+        (tmp_path / f"s{z}.dcm").write_bytes(volumes.dicom_bytes(values[z], "1.2.9", "20200131", [-2.5 * z, 4.0, 5.0], syntax=syntax, **more))
+    got = grid(volumes.read_dicom(spark, str(tmp_path / "*.dcm")))
+    assert np.array_equal(got, values[::-1])
+    made = tools.convert_dicom(spark, str(tmp_path / "*.dcm")).collect()
+    assert [(r.volume_id, r.name) for r in made] == [("1.2.9_20200131", "P7_20200130_B.70f_2_500000")]
+    header, back = volumes.parse_nifti(bytes(made[0].content))
+    assert header == {"size": [11, 9, 7], "origin": [-15.0, 4.0, 5.0], "spacing": [0.75, 0.5, 2.5]} and np.array_equal(back, values[::-1])
+
+
+def test_broken_compressed_pixels():
+    whole = volumes.dicom_bytes(A[0], "1", "2", 3.0, syntax=SYNTAXES[6])
+    for broken, why in ((whole.replace(b"\xff\xc3", b"\xff\xc2"), "lossless"), (volumes.dicom_bytes(A[0], "1", "2", 3.0, syntax="1.2.840.10008.1.2.4.50"), "isn't read")):
+        with pytest.raises(ValueError, match=why):
+            volumes.parse_dicom(broken)
+    stream = jpeg_bytes(np.arange(300, dtype=np.uint16).reshape(20, 15))
+    with pytest.raises(ValueError, match="end early|isn't known"):
+        jpeg_values(stream[:-120])
+
+
+@pytest.mark.parametrize("predictor", range(1, 8))
+def test_lossless_jpeg(predictor):
+    rng = np.random.default_rng(predictor)
+    for shape in ((1, 1), (3, 5), (17, 9)):
+        for values in (rng.integers(0, 65536, shape), rng.integers(0, 40, shape) + 32750, np.zeros(shape), np.full(shape, 65535)):
+            v = values.astype(np.uint16)
+            assert np.array_equal(jpeg_values(jpeg_bytes(v, predictor)), v) and np.array_equal(jpeg_values(jpeg_bytes(v, predictor, 2)), v)
+
+
+def test_run_lengths():
+    rng = np.random.default_rng(3)
+    for data in (b"", b"a", b"aab", b"a" * 129, bytes(rng.integers(0, 3, 1000).astype(np.uint8)), bytes(range(256)) * 2 + b"z" * 300):
+        assert unpacked(packed(data)) == data
+    # An example of the public description of the scheme.
+    assert unpacked(bytes.fromhex("FEAA0280002AFDAA0380002A22F7AA")) == bytes.fromhex("AAAAAA80002AAAAAAAAA80002A22AAAAAAAAAAAAAAAAAAAA")

@@ -158,7 +158,12 @@ def convert_images(spark: SparkSession, path: str, glob: str | None = None) -> D
 
 
 def convert_dicom(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """(volume_id, content) of all series in DICOM files, as NIfTI files; volume_id is made of series and date."""
+    """(volume_id, name, content) of all series in DICOM files, as NIfTI files.
+
+    volume_id is made of series and date; the name, of patient, study date, kernel and
+    slice spacing, is for people: two series may have the same.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob or "*").load(path).select("path", "content")
-    slices = volumes.series_volumes(volumes.dicom_slices(files))
-    return volumes.nifti_files(slices, geometry=volumes.dicom_geometry(files))
+    geometry = volumes.dicom_geometry(files)
+    found = volumes.nifti_files(volumes.series_volumes(volumes.dicom_slices(files)), geometry=geometry)
+    return found.join(geometry.select("volume_id", "name"), "volume_id").select("volume_id", "name", "content")

@@ -17,6 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from voxelloom.functions.strings import volume_name
+from voxelloom.sources.pixels import jpeg_bytes, jpeg_values, rle_bytes, rle_values
+
 VOXELS = "volume_id string, x long, y long, z long, v double"
 GEOMETRY = "volume_id string, dim int, size array<long>, origin array<double>, spacing array<double>"
 #: Voxels in one batch.
@@ -342,30 +345,44 @@ def pair_voxels(spark: SparkSession, pairs: DataFrame, parse: Callable[[bytes],
     return keyed.join(own, ["second", "x", "y", "z"]).select(F.col("first").alias("volume_id"), "x", "y", "z", "v", "m")
 
 
-# DICOM: files of one slice each, uncompressed and little endian.
+# DICOM: files of one slice each; pixels plain, in run lengths or as lossless JPEG.
 
 #: Transfer syntaxes that are read, and the tags used.
-_EXPLICIT, _IMPLICIT = "1.2.840.10008.1.2.1", "1.2.840.10008.1.2"
+_EXPLICIT, _IMPLICIT, _BIG, _DEFLATED = "1.2.840.10008.1.2.1", "1.2.840.10008.1.2", "1.2.840.10008.1.2.2", "1.2.840.10008.1.2.1.99"
+_RLE, _JPEG, _JPEG_FIRST = "1.2.840.10008.1.2.5", "1.2.840.10008.1.2.4.57", "1.2.840.10008.1.2.4.70"
 _LONG_VR = frozenset({b"OB", b"OD", b"OF", b"OL", b"OV", b"OW", b"SQ", b"SV", b"UC", b"UN", b"UR", b"UT", b"UV"})
-_TAGS = {(0x0008, 0x0021): "series_date", (0x0020, 0x000E): "series_uid", (0x0020, 0x0013): "number", (0x0020, 0x0032): "position", (0x0028, 0x0010): "rows", (0x0028, 0x0011): "columns", (0x0028, 0x0030): "spacing", (0x0028, 0x0100): "bits", (0x0028, 0x0103): "signed", (0x0028, 0x1052): "intercept", (0x0028, 0x1053): "slope", (0x7FE0, 0x0010): "pixels", (0x0002, 0x0010): "syntax"}
+_TAGS = {
+    (0x0002, 0x0010): "syntax", (0x0008, 0x0020): "study_date", (0x0008, 0x0021): "series_date", (0x0010, 0x0020): "patient", (0x0018, 0x1210): "kernel", (0x0020, 0x000E): "series_uid", (0x0020, 0x0013): "number",
+    (0x0020, 0x0032): "position", (0x0020, 0x0037): "orientation", (0x0028, 0x0010): "rows", (0x0028, 0x0011): "columns", (0x0028, 0x0030): "spacing", (0x0028, 0x0100): "bits", (0x0028, 0x0103): "signed",
+    (0x0028, 0x1052): "intercept", (0x0028, 0x1053): "slope", (0x7FE0, 0x0010): "pixels",
+}
 _NUMBERS = ("rows", "columns", "bits", "signed")
 
 
-def _elements(data: bytes, at: int, explicit: bool, until: int | None = None):
-    """(tag, value) of a data set; what is in sequences is passed over."""
+def _elements(data: bytes, at: int, explicit: bool, until: int | None = None, order: str = "<"):
+    """(tag, value) of a data set; what is in sequences is passed over; compressed pixels are a list of their fragments."""
     end, depth = len(data) if until is None else until, 0
     while at + 8 <= end:
-        group, element = struct.unpack_from("<HH", data, at)
+        group, element = struct.unpack_from(f"{order}HH", data, at)
         kind = data[at + 4 : at + 6]
         if group == 0xFFFE or not explicit:
-            size, at = struct.unpack_from("<I", data, at + 4)[0], at + 8
+            size, at = struct.unpack_from(f"{order}I", data, at + 4)[0], at + 8
         elif kind in _LONG_VR:
-            size, at = struct.unpack_from("<I", data, at + 8)[0], at + 12
+            size, at = struct.unpack_from(f"{order}I", data, at + 8)[0], at + 12
         else:
-            size, at = struct.unpack_from("<H", data, at + 6)[0], at + 8
+            size, at = struct.unpack_from(f"{order}H", data, at + 6)[0], at + 8
+        if size == 0xFFFFFFFF and (group, element) == (0x7FE0, 0x0010):
+            parts = []
+            while at + 8 <= end:
+                number, n = struct.unpack_from("<2xHI", data, at)
+                at += 8
+                if number == 0xE0DD:
+                    break
+                parts.append(data[at : at + n])
+                at += n
+            yield (group, element), parts[1:]  # the first is a table of where frames begin
+            continue
         if size == 0xFFFFFFFF:
-            if (group, element) == (0x7FE0, 0x0010):
-                raise ValueError("compressed pixels aren't read")
             # A sequence, or an item of one, that ends with an element of its own.
             depth += group != 0xFFFE
             continue
@@ -376,8 +393,27 @@ def _elements(data: bytes, at: int, explicit: bool, until: int | None = None):
         at += size
 
 
+def _pixels(found: dict, syntax: str, order: str) -> np.ndarray:
+    rows, columns, size = found["rows"], found["columns"], found["bits"] // 8
+    kind = f"{'i' if found.get('signed') else 'u'}{size}"
+    if isinstance(found["pixels"], bytes) == (syntax in (_RLE, _JPEG, _JPEG_FIRST)):
+        raise ValueError(f"pixels aren't as transfer syntax {syntax} has them")
+    if isinstance(found["pixels"], bytes):
+        values = np.frombuffer(found["pixels"], order + kind, rows * columns).reshape(rows, columns)
+    elif syntax == _RLE:
+        values = rle_values(found["pixels"][0], rows, columns, size)
+    else:
+        values = jpeg_values(b"".join(found["pixels"])).astype(f"u{size}")
+    if values.shape != (rows, columns):
+        raise ValueError(f"{values.shape} pixels for {rows} rows and {columns} columns")
+    return values if isinstance(found["pixels"], bytes) else values.view(kind)
+
+
 def parse_dicom(data: bytes) -> dict:
-    """A slice: series_uid, series_date, position (along its normal, or its number), spacing, values indexed [y, x]."""
+    """A slice: series_uid, series_date, patient, study_date, kernel, position (along its normal, or its number), origin, spacing, values indexed [y, x].
+
+    The normal is that of the orientation's two directions, or the third axis.
+    """
     if data[128:132] != b"DICM":
         raise ValueError("no DICOM file")
     length = struct.unpack_from("<I", data, 140)[0] if data[132:136] == b"\x02\x00\x00\x00" else 0
@@ -387,40 +423,58 @@ def parse_dicom(data: bytes) -> dict:
         if tag[0] == 2 and tag in _TAGS:
             found[_TAGS[tag]] = value.strip(b"\0 ").decode()
     syntax = found.get("syntax", _IMPLICIT)
-    if syntax not in (_EXPLICIT, _IMPLICIT):
+    if syntax not in (_EXPLICIT, _IMPLICIT, _BIG, _DEFLATED, _RLE, _JPEG, _JPEG_FIRST):
         raise ValueError(f"transfer syntax {syntax} isn't read")
-    for tag, value in _elements(data, begin, syntax == _EXPLICIT):
+    order = ">" if syntax == _BIG else "<"
+    if syntax == _DEFLATED:
+        data, begin = zlib.decompress(data[begin:], -15), 0
+    for tag, value in _elements(data, begin, syntax != _IMPLICIT, order=order):
         name = _TAGS.get(tag)
         if name and name not in found:
-            found[name] = int.from_bytes(value[:2], "little") if name in _NUMBERS else value if name == "pixels" else value.strip(b"\0 ").decode("latin-1")
+            found[name] = int.from_bytes(value[:2], "big" if order == ">" else "little") if name in _NUMBERS else value if name == "pixels" else value.strip(b"\0 ").decode("latin-1")
     missing = {"rows", "columns", "bits", "pixels", "series_uid"} - set(found)
     if missing:
         raise ValueError(f"{', '.join(sorted(missing))} not there")
     numbers = lambda name, default: [float(x) for x in found[name].split("\\")] if found.get(name) else default
-    values = np.frombuffer(found["pixels"], f"<{'i' if found.get('signed') else 'u'}{found['bits'] // 8}", found["rows"] * found["columns"])
-    values = values * numbers("slope", [1.0])[0] + numbers("intercept", [0.0])[0]
-    position = numbers("position", [])[-1:] or numbers("number", [0.0])
-    return {"series_uid": found["series_uid"], "series_date": found.get("series_date", ""), "position": position[0], "spacing": numbers("spacing", [1.0, 1.0]), "values": values.reshape(found["rows"], found["columns"])}
-
-
-def dicom_bytes(values: np.ndarray, series_uid: str, series_date: str, position: float, explicit: bool = True, slope: float = 1.0, intercept: float = 0.0) -> bytes:
-    """A file of one slice of 16-bit values, indexed [y, x]."""
-
-    def element(group: int, number: int, kind: bytes, content: bytes, long: bool = explicit) -> bytes:
+    values = _pixels(found, syntax, order) * numbers("slope", [1.0])[0] + numbers("intercept", [0.0])[0]
+    origin, turned = numbers("position", []), numbers("orientation", [])
+    normal = np.cross(turned[:3], turned[3:6]) if len(turned) == 6 else np.array([0.0, 0.0, 1.0])
+    position = float(np.dot(normal, origin)) if len(origin) == 3 else numbers("number", [0.0])[0]
+    named = {k: found.get(k, "") for k in ("series_date", "patient", "study_date", "kernel")}
+    return {"series_uid": found["series_uid"], **named, "position": position, "origin": origin if len(origin) == 3 else [0.0, 0.0, position], "spacing": numbers("spacing", [1.0, 1.0]), "values": values}
+
+
+def dicom_bytes(values: np.ndarray, series_uid: str, series_date: str, position: float | list[float], explicit: bool = True, slope: float = 1.0, intercept: float = 0.0, syntax: str | None = None, **more) -> bytes:
+    """A file of one slice of 16-bit values, indexed [y, x]; ``more`` has text of other tags, by the names they are read with."""
+    syntax = syntax or (_EXPLICIT if explicit else _IMPLICIT)
+    order = ">" if syntax == _BIG else "<"
+
+    def element(group: int, number: int, kind: bytes, content: bytes | list[bytes], long: bool = True, order: str = order) -> bytes:
+        head = struct.pack(f"{order}HH", group, number)
+        if isinstance(content, list):
+            items = b"".join(struct.pack("<HHI", 0xFFFE, 0xE000, len(c)) + c for c in [b"", *[c + b"\0" * (len(c) % 2) for c in content]])
+            return head + kind + b"\0\0" + struct.pack("<I", 0xFFFFFFFF) + items + struct.pack("<HHI", 0xFFFE, 0xE0DD, 0)
         content += (b" " if kind not in (b"UI", b"OW") else b"\0") * (len(content) % 2)
-        head = struct.pack("<HH", group, number)
         if not long:
             return head + struct.pack("<I", len(content)) + content
-        return head + kind + (b"\0\0" + struct.pack("<I", len(content)) if kind in _LONG_VR else struct.pack("<H", len(content))) + content
-
-    meta = element(2, 0x10, b"UI", (_EXPLICIT if explicit else _IMPLICIT).encode(), True)
-    number = lambda x: struct.pack("<H", x)
-    rows = [
-        (0x0008, 0x0021, b"DA", series_date.encode()), (0x0020, 0x000E, b"UI", series_uid.encode()), (0x0020, 0x0032, b"DS", f"0\\0\\{position:g}".encode()),
-        (0x0028, 0x0010, b"US", number(values.shape[0])), (0x0028, 0x0011, b"US", number(values.shape[1])), (0x0028, 0x0100, b"US", number(16)), (0x0028, 0x0103, b"US", number(1)),
-        (0x0028, 0x1052, b"DS", f"{intercept:g}".encode()), (0x0028, 0x1053, b"DS", f"{slope:g}".encode()), (0x7FE0, 0x0010, b"OW", values.astype("<i2").tobytes()),
-    ]
-    return b"\0" * 128 + b"DICM" + element(2, 0, b"UL", struct.pack("<I", len(meta)), True) + meta + b"".join(element(*r) for r in rows)
+        return head + kind + (b"\0\0" + struct.pack(f"{order}I", len(content)) if kind in _LONG_VR else struct.pack(f"{order}H", len(content))) + content
+
+    meta = element(2, 0x10, b"UI", syntax.encode(), True, "<")
+    number = lambda x: struct.pack(f"{order}H", x)
+    at = position if isinstance(position, list) else [0.0, 0.0, position]
+    unsigned = np.ascontiguousarray(values.astype("<i2")).view("<u2")
+    pixels = [rle_bytes(unsigned)] if syntax == _RLE else [jpeg_bytes(unsigned, 1 if syntax == _JPEG_FIRST else 6)] if syntax in (_JPEG, _JPEG_FIRST) else values.astype(f"{order}i2").tobytes()
+    tags = {name: tag for tag, name in _TAGS.items()}
+    rows = {
+        tags["series_date"]: (b"DA", series_date.encode()), tags["series_uid"]: (b"UI", series_uid.encode()), tags["position"]: (b"DS", "\\".join(f"{x:g}" for x in at).encode()),
+        tags["rows"]: (b"US", number(values.shape[0])), tags["columns"]: (b"US", number(values.shape[1])), tags["bits"]: (b"US", number(16)), tags["signed"]: (b"US", number(1)),
+        tags["intercept"]: (b"DS", f"{intercept:g}".encode()), tags["slope"]: (b"DS", f"{slope:g}".encode()), tags["pixels"]: (b"OB" if isinstance(pixels, list) else b"OW", pixels),
+    } | {tags[k]: (b"LO", v.encode()) for k, v in more.items()}
+    body = b"".join(element(*tag, kind, content, syntax != _IMPLICIT) for tag, (kind, content) in sorted(rows.items()))
+    if syntax == _DEFLATED:
+        deflate = zlib.compressobj(wbits=-15)
+        body = deflate.compress(body) + deflate.flush()
+    return b"\0" * 128 + b"DICM" + element(2, 0, b"UL", struct.pack("<I", len(meta)), True, "<") + meta + body
 
 
 SLICES = "series_uid string, series_date string, position double, x long, y long, v double"
@@ -445,18 +499,25 @@ def dicom_slices(files: DataFrame) -> DataFrame:
 
 
 def dicom_geometry(files: DataFrame) -> DataFrame:
-    """(volume_id, origin, spacing) of the series of files (path, content): origin is the first slice's position, spacing its pixels' and the slices' mean distance."""
+    """(volume_id, origin, spacing, name) of the series of files (path, content).
+
+    Origin is the first slice's position, spacing its pixels' and the slices' mean
+    distance along their normal; the name is made of patient, study date, kernel and
+    slice spacing.
+    """
+    text = ("patient", "study_date", "kernel")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [parse_dicom(c) for c in batch.column("content").to_pylist()]
             cols = [pa.array(["_".join([s["series_uid"], s["series_date"]]) for s in found], pa.string()), *[pa.array([f(s) for s in found], pa.float64()) for f in (lambda s: s["position"], lambda s: s["spacing"][-1], lambda s: s["spacing"][0])]]
-            yield pa.RecordBatch.from_arrays(cols, names=["volume_id", "position", "dx", "dy"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array([s["origin"] for s in found], pa.list_(pa.float64())), *[pa.array([s[k] for s in found], pa.string()) for k in text]], names=["volume_id", "position", "dx", "dy", "at", *text])
 
-    heads = files.select("content").mapInArrow(run, "volume_id string, position double, dx double, dy double")
+    heads = files.select("content").mapInArrow(run, "volume_id string, position double, dx double, dy double, at array<double>, " + ", ".join(f"{k} string" for k in text))
     n = F.count_distinct("position")
     step = F.when(n > 1, (F.max("position") - F.min("position")) / (n - 1)).otherwise(1.0)
-    return heads.groupBy("volume_id").agg(F.array(F.lit(0.0), F.lit(0.0), F.min("position")).alias("origin"), F.array(F.min("dx"), F.min("dy"), step).alias("spacing"))
+    found = heads.groupBy("volume_id").agg(F.min_by("at", "position").alias("origin"), F.array(F.min("dx"), F.min("dy"), step).alias("spacing"), *[F.min_by(k, "position").alias(k) for k in text])
+    return found.select("volume_id", "origin", "spacing", volume_name([F.col(k) for k in text], F.col("spacing")[2]).alias("name"))
 
 
 def read_dicom(spark: SparkSession, path: str | list[str], glob: str | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from voxelloom.operators import bag, components, roi, stencil
 from voxelloom.plans import tools
+from voxelloom.sources import volumes
 from voxelloom.queries import _LONG_VOX, EDGES, SIZE, _bin_sql, _dense, _long_vox, _rounded, _vox, query, vox
 
 
@@ -134,3 +135,41 @@ _TWO = [(0.75, 0), (3.0, 1)]
 def norm_conv_recursive(spark, sf_dir):
     """Two scales in the same passes; at the wider one each voxel takes from the whole lattice."""
     return tools.masked_normalized_convolution(vox(spark, sf_dir), [s for s, _ in _TWO], recursive=True).select("x", "y", "z", "scale", _rounded("GaussianBlur", 3))
+
+
+_SYNTAXES = ["1.2.840.10008.1.2.5", "1.2.840.10008.1.2.4.57", "1.2.840.10008.1.2.4.70", "1.2.840.10008.1.2.2", "1.2.840.10008.1.2.1.99", "1.2.840.10008.1.2.1", "1.2.840.10008.1.2"]
+
+
+def _dicom_files(spark, sf_dir):
+    """Every slice of each flag's lattice as a DICOM file, in a syntax of its own; slices lie across the first axis."""
+
+    def written(frame):
+        import pandas as pd
+
+        z, flag = int(frame["z"].iloc[0]), frame["volume_id"].iloc[0]
+        grid = frame.pivot(index="y", columns="x", values="v").to_numpy() % 1000
+        more = {"orientation": "0\\1\\0\\0\\0\\1", "patient": f" {flag}{int(frame['v'].sum()) % 7} ", "study_date": "19990102", "kernel": "B70f"}
+        content = volumes.dicom_bytes(grid, flag, "20200101", [1.25 * z, 3.0, 4.0], syntax=_SYNTAXES[z], **more)
+        return pd.DataFrame({"path": [f"{flag}-{z}"], "content": [content]})
+
+    v = vox(spark, sf_dir, by_flag=True).withColumn("v", F.floor("v").cast("double"))
+    return v.groupBy("volume_id", "z").applyInPandas(written, "path string, content binary")
+
+
+_BY_FLAG = """cells AS (
+  SELECT l_returnflag AS volume_id, l_partkey % 16 AS x, l_suppkey % 8 AS y, CAST(l_linenumber - 1 AS BIGINT) AS z, CAST(sum(l_quantity) AS BIGINT) AS v FROM lineitem GROUP BY 1, 2, 3, 4),
+vox AS (
+  SELECT g.volume_id, CAST(a.i AS BIGINT) AS x, CAST(b.i AS BIGINT) AS y, CAST(c.i AS BIGINT) AS z, coalesce(v, 0) AS v
+  FROM (SELECT DISTINCT volume_id FROM cells) g CROSS JOIN range(16) a(i) CROSS JOIN range(8) b(i) CROSS JOIN range(7) c(i)
+  LEFT JOIN cells ON cells.volume_id = g.volume_id AND cells.x = a.i AND cells.y = b.i AND cells.z = c.i)"""
+
+
+@query(f"WITH {_BY_FLAG} SELECT volume_id || '_20200101' AS volume_id, x, y, z, CAST(v % 1000 AS DOUBLE) AS v FROM vox")
+def dicom_compressed(spark, sf_dir):
+    """Run lengths, both lossless JPEGs, big-endian, deflated and plain slices of one series assembled."""
+    return volumes.series_volumes(volumes.dicom_slices(_dicom_files(spark, sf_dir)))
+
+
+@query(f"WITH {_BY_FLAG} SELECT volume_id || '_20200101' AS volume_id, [0.0, 3.0, 4.0] AS origin, [1.0, 1.0, 1.25] AS spacing, volume_id || (sum(v) % 7) || '_19990102_B70f_1_250000' AS name FROM vox WHERE z = 0 GROUP BY volume_id")
+def dicom_names(spark, sf_dir):
+    return volumes.dicom_geometry(_dicom_files(spark, sf_dir))
