@@ -36,7 +36,7 @@ def packed(data: bytes) -> bytes:
             out.extend(bytes([len(part) - 1]) + part)
         plain.clear()
 
-    for a, b in zip(begin, np.append(begin[1:], len(values)), strict=True):
+    for a, b in zip(begin, np.append(begin, len(values))[1:], strict=True):
         n = int(b - a)
         if n < 3:
             plain.extend(data[a:b])

@@ -10,6 +10,7 @@ import gzip
 import struct
 import zlib
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -47,16 +48,21 @@ def _read(parse: Callable[[bytes], Volume], with_values: bool):
                 if not with_values:
                     yield pa.RecordBatch.from_pylist([{"volume_id": path, "dim": len(header["size"]), **{k: header[k] for k in ("size", "origin", "spacing")}}], schema=pa.schema([("volume_id", pa.string()), ("dim", pa.int32()), ("size", pa.list_(pa.int64())), ("origin", pa.list_(pa.float64())), ("spacing", pa.list_(pa.float64()))]))
                     continue
-                nz, ny, nx = values.shape
-                flat = values.ravel()
-                for lo in range(0, len(flat), BATCH):
-                    at = np.arange(lo, min(lo + BATCH, len(flat)))
-                    cols = [pa.array([path] * len(at), pa.string()), *[pa.array(c, pa.int64()) for c in (at % nx, at // nx % ny, at // (nx * ny))], pa.array(flat[at].astype(float))]
-                    yield pa.RecordBatch.from_arrays(cols, names=["volume_id", "x", "y", "z", "v"])
+                yield from voxel_batches(path, values)
 
     return run
 
 
+def voxel_batches(volume_id: str, values: np.ndarray, first: int = 0) -> Iterator[pa.RecordBatch]:
+    """Voxels of values indexed [z, y, x], of which the first slice has number ``first``."""
+    nz, ny, nx = values.shape
+    flat = values.ravel()
+    for lo in range(0, len(flat), BATCH):
+        at = np.arange(lo, min(lo + BATCH, len(flat)))
+        cols = [pa.array([volume_id] * len(at), pa.string()), *[pa.array(c, pa.int64()) for c in (at % nx, at // nx % ny, at // (nx * ny) + first)], pa.array(flat[at].astype(float))]
+        yield pa.RecordBatch.from_arrays(cols, names=["volume_id", "x", "y", "z", "v"])
+
+
 def parsed(files: DataFrame, parse: Callable[[bytes], Volume]) -> DataFrame:
     """Voxels of files (path, content)."""
     return files.select("path", "content").mapInArrow(_read(parse, True), VOXELS)
@@ -177,9 +183,23 @@ def read_octave(spark: SparkSession, path: str | list[str], order: str = "row")
 _NIFTI = {2: "u1", 4: "i2", 8: "i4", 16: "f4", 64: "f8", 256: "i1", 512: "u2", 768: "u4", 1024: "i8", 1280: "u8"}
 
 
-def parse_nifti(data: bytes) -> Volume:
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
+class Head(NamedTuple):
+    """What a file's first bytes say: ``plain`` pixels are bytes from ``offset`` on, x fastest, then y."""
+
+    size: list[int]
+    origin: list[float]
+    spacing: list[float]
+    kind: str
+    offset: int
+    plain: bool = True
+    slope: float = 1.0
+    intercept: float = 0.0
+
+    def scaled(self, values: np.ndarray) -> np.ndarray:
+        return values * self.slope + self.intercept if self.slope != 1.0 or self.intercept else values
+
+
+def nifti_head(data: bytes) -> Head:
     order = "<" if struct.unpack_from("<i", data)[0] == 348 else ">"
     if struct.unpack_from(f"{order}i", data)[0] != 348 or data[344:347] not in (b"n+1", b"ni1"):
         raise ValueError("no NIfTI-1 file")
@@ -191,14 +211,19 @@ def parse_nifti(data: bytes) -> Volume:
     if kind not in _NIFTI or not 1 <= dim[0] <= 3:
         raise ValueError(f"type {kind} or {dim[0]} dimensions aren't read")
     size = [*dim[1 : dim[0] + 1], 1, 1][:3]
-    values = np.frombuffer(data, np.dtype(order + _NIFTI[kind]), int(np.prod(size)), int(offset))
-    if slope not in (0.0, 1.0) or intercept:
-        values = values * (slope or 1.0) + intercept
-    return {"size": list(size), "origin": [float(s) for s in shift], "spacing": [float(s) or 1.0 for s in step[1:4]]}, values.reshape(size[::-1])
+    return Head(list(size), [float(s) for s in shift], [float(s) or 1.0 for s in step[1:4]], order + _NIFTI[kind], int(offset), True, float(slope) or 1.0, float(intercept))
+
+
+def parse_nifti(data: bytes) -> Volume:
+    if data[:2] == b"\x1f\x8b":
+        data = gzip.decompress(data)
+    head = nifti_head(data)
+    values = head.scaled(np.frombuffer(data, np.dtype(head.kind), int(np.prod(head.size)), head.offset))
+    return {"size": head.size, "origin": head.origin, "spacing": head.spacing}, values.reshape(head.size[::-1])
 
 
-def nifti_bytes(values: np.ndarray, spacing=(1.0, 1.0, 1.0), origin=(0.0, 0.0, 0.0)) -> bytes:
-    """A gzipped NIfTI-1 file of values indexed [z, y, x]."""
+def nifti_bytes(values: np.ndarray, spacing=(1.0, 1.0, 1.0), origin=(0.0, 0.0, 0.0), compressed: bool = True) -> bytes:
+    """A NIfTI-1 file, gzipped or plain, of values indexed [z, y, x]."""
     kind = next(k for k, t in _NIFTI.items() if values.dtype == np.dtype(t))
     nz, ny, nx = values.shape
     head = bytearray(352)
@@ -209,7 +234,8 @@ def nifti_bytes(values: np.ndarray, spacing=(1.0, 1.0, 1.0), origin=(0.0, 0.0, 0
     struct.pack_into("<3f", head, 108, 352.0, 1.0, 0.0)
     struct.pack_into("<3f", head, 268, *origin)
     head[344:348] = b"n+1\0"
-    return gzip.compress(bytes(head) + np.ascontiguousarray(values).astype(values.dtype.newbyteorder("<")).tobytes())
+    whole = bytes(head) + np.ascontiguousarray(values).astype(values.dtype.newbyteorder("<")).tobytes()
+    return gzip.compress(whole) if compressed else whole
 
 
 def read_nifti(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -222,17 +248,24 @@ _META = {"MET_UCHAR": "u1", "MET_CHAR": "i1", "MET_USHORT": "u2", "MET_SHORT": "
 _NRRD = {"uchar": "u1", "unsigned char": "u1", "uint8": "u1", "signed char": "i1", "int8": "i1", "ushort": "u2", "unsigned short": "u2", "uint16": "u2", "short": "i2", "int16": "i2", "uint": "u4", "uint32": "u4", "int": "i4", "int32": "i4", "float": "f4", "double": "f8"}
 
 
-def _three(size: list[int], rest: dict[str, list[float]], values: np.ndarray) -> Volume:
-    """A volume of up to three dimensions as one of three."""
+def _three(head: Head, data: bytes) -> Volume:
+    """The volume of a head and its plain pixels."""
+    values = np.frombuffer(data, head.kind)
+    if len(values) < np.prod(head.size):
+        raise ValueError(f"{len(values)} values for a size of {head.size}")
+    return {"size": head.size, "origin": head.origin, "spacing": head.spacing}, values[: int(np.prod(head.size))].reshape(head.size[::-1])
+
+
+def _head(size: list[int], origin: list[float], spacing: list[float], kind: str, offset: int, plain: bool) -> Head:
+    """Of up to three dimensions, as one of three."""
     more = 3 - len(size)
-    if more < 0 or len(values) < np.prod(size):
-        raise ValueError(f"{len(values)} values for a size of {size}")
-    shape = [*size, *[1] * more]
-    return {"size": shape, "origin": rest["origin"] + [0.0] * more, "spacing": rest["spacing"] + [1.0] * more}, values[: int(np.prod(size))].reshape(shape[::-1])
+    if more < 0:
+        raise ValueError(f"{len(size)} dimensions aren't read")
+    return Head([*size, *[1] * more], origin + [0.0] * more, spacing + [1.0] * more, kind, offset, plain)
 
 
-def parse_metaimage(data: bytes) -> Volume:
-    """A MetaImage file whose header ends with ``ElementDataFile = LOCAL``."""
+def metaimage_head(data: bytes) -> Head:
+    """Of a MetaImage file whose header ends with ``ElementDataFile = LOCAL``."""
     end = data.find(b"ElementDataFile")
     if end < 0 or not data[:end].isascii():
         raise ValueError("no MetaImage file")
@@ -242,13 +275,17 @@ def parse_metaimage(data: bytes) -> Volume:
         raise ValueError("pixels in another file, of another type or of several channels aren't read")
     size = [int(x) for x in head["DimSize"].split()]
     numbers = lambda names, default: next(([float(x) for x in head[n].split()] for n in names if n in head), [default] * len(size))
-    raw = zlib.decompress(data[end:]) if head.get("CompressedData", "False") == "True" else data[end:]
     order = ">" if "True" in (head.get("BinaryDataByteOrderMSB"), head.get("ElementByteOrderMSB")) else "<"
-    return _three(size, {"origin": numbers(("Offset", "Position", "Origin"), 0.0), "spacing": numbers(("ElementSpacing", "ElementSize"), 1.0)}, np.frombuffer(raw, order + _META[head["ElementType"]]))
+    return _head(size, numbers(("Offset", "Position", "Origin"), 0.0), numbers(("ElementSpacing", "ElementSize"), 1.0), order + _META[head["ElementType"]], end, head.get("CompressedData", "False") != "True")
 
 
-def parse_nrrd(data: bytes) -> Volume:
-    """An NRRD file with its pixels attached, raw or gzipped; spacings are those given or the directions' lengths."""
+def parse_metaimage(data: bytes) -> Volume:
+    head = metaimage_head(data)
+    return _three(head, data[head.offset :] if head.plain else zlib.decompress(data[head.offset :]))
+
+
+def nrrd_head(data: bytes) -> Head:
+    """Of an NRRD file with its pixels attached, raw or gzipped; spacings are those given or the directions' lengths."""
     if data[:4] != b"NRRD":
         raise ValueError("no NRRD file")
     end = data.index(b"\n\n") + 2
@@ -259,8 +296,21 @@ def parse_nrrd(data: bytes) -> Volume:
     vectors = [[float(x) for x in v.strip("() ").split(",")] for v in head.get("space directions", "").replace(") (", ")|(").split("|") if v.strip("() ")]
     spacing = [float(x) for x in head["spacings"].split()] if "spacings" in head else [float(np.linalg.norm(v)) for v in vectors] or [1.0] * len(size)
     origin = [float(x) for x in head["space origin"].strip("()").split(",")] if "space origin" in head else [0.0] * len(size)
-    raw = data[end:] if head["encoding"] == "raw" else gzip.decompress(data[end:])
-    return _three(size, {"origin": origin, "spacing": spacing}, np.frombuffer(raw, (">" if head.get("endian") == "big" else "<") + _NRRD[head["type"]]))
+    return _head(size, origin, spacing, (">" if head.get("endian") == "big" else "<") + _NRRD[head["type"]], end, head["encoding"] == "raw")
+
+
+def parse_nrrd(data: bytes) -> Volume:
+    head = nrrd_head(data)
+    return _three(head, data[head.offset :] if head.plain else gzip.decompress(data[head.offset :]))
+
+
+def plain_head(data: bytes) -> Head | None:
+    """The head of a file whose pixels are plain bytes, from its first ones; None of any other."""
+    try:
+        head = nrrd_head(data) if data[:4] == b"NRRD" else nifti_head(data) if data[344:347] in (b"n+1", b"ni1") else metaimage_head(data)
+    except (ValueError, KeyError, UnicodeDecodeError, struct.error):
+        return None
+    return head if head.plain else None
 
 
 def metaimage_bytes(values: np.ndarray, spacing=(1.0, 1.0, 1.0), origin=(0.0, 0.0, 0.0), compressed: bool = True) -> bytes:
