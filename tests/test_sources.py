@@ -2,6 +2,7 @@ import gzip
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from voxelloom.operators.stencil import FEATURES
 from voxelloom.plans import saving, tools
@@ -147,7 +148,7 @@ def test_columns_across_files(spark, tmp_path):
 
 
 def test_names_and_lines(spark):
-    assert text.scale_file("/a/", "x_", 0.6) == "/a/x_scale_0.600000.nii.gz"
+    assert spark.range(1).select(text.scale_file(F.lit("/a/"), F.lit("x_"), F.lit(0.6))).first()[0] == "/a/x_scale_0.600000.nii.gz"
     row = spark.range(1).selectExpr("'v' AS volume_id", "1L AS roi_id", "array(1.0D, 0.5D, 1234567.0D) AS values")
     assert text.sample_lines(row).first().line == "1,0.5,1.23457e+06"
 

@@ -10,7 +10,7 @@ from voxelloom.functions.strings import join_paths
 from voxelloom.operators import bag as bags
 from voxelloom.operators import distance, histogram, lattice, roi, stencil
 from voxelloom.operators.stencil import FEATURES
-from voxelloom.sources import volumes
+from voxelloom.sources import files, text, volumes
 
 Box = tuple[int, int, int]
 
@@ -19,6 +19,19 @@ def extract_features(voxels: DataFrame, scales: list[float], **options) -> DataF
     return stencil.features(voxels, scales, **options)
 
 
+def write_features(voxels: DataFrame, scales: list[float], path: str, kind: str = "f4", geometry: DataFrame | None = None, overwrite: bool = False, **options) -> None:
+    """The features of each volume as files below ``path``, one a scale and feature: <volume_id>_scale_<scale><feature>.nii.gz, all or none.
+
+    ``geometry`` (volume_id, origin, spacing) goes into the files.
+    """
+    featured = extract_features(voxels, scales, **options)
+    pairs = ", ".join(f"'{c}', `{c}`" for c in FEATURES)
+    named = featured.selectExpr("volume_id", "x", "y", "z", "scale", f"stack({len(FEATURES)}, {pairs}) AS (feature, v)").withColumn("name", text.feature_file(F.col("volume_id"), F.col("scale"), F.col("feature")))
+    known = None if geometry is None else named.select("volume_id", "name").distinct().join(geometry, "volume_id").select(F.col("name").alias("volume_id"), "origin", "spacing")
+    made = volumes.nifti_files(named.select(F.col("name").alias("volume_id"), "x", "y", "z", "v"), kind=kind, geometry=known)
+    files.write_files(made.withColumnRenamed("volume_id", "name"), path, overwrite)
+
+
 def generate_rois(voxels: DataFrame, size: Box, n: int = 50, box: Box = (53, 53, 41), mask: str = "m", mask_value: int | None = 1, by_label: bool = False, seed: int = 1) -> DataFrame:
     """Random boxes of each volume around voxels of one mask value, or of each value."""
     if by_label:

@@ -149,8 +149,9 @@ def voxelize(spark, sf_dir):
     return vox(spark, sf_dir)
 
 
-@query("""WITH c AS (SELECT l_returnflag AS volume_id, l_partkey % 16 AS x, l_suppkey % 8 AS y, CAST(l_linenumber - 1 AS BIGINT) AS z, CAST(sum(l_quantity) AS DOUBLE) AS v FROM lineitem GROUP BY 1, 2, 3, 4)
-SELECT g.volume_id, CAST(16 AS BIGINT) AS size_x, CAST(8 AS BIGINT) AS size_y, CAST(7 AS BIGINT) AS size_z, CAST(896 AS BIGINT) AS n_voxels FROM (SELECT DISTINCT volume_id FROM c) g""")
+@query("""WITH c AS (SELECT l_returnflag AS volume_id, l_partkey % 16 AS x, l_suppkey % 8 AS y, CAST(l_linenumber - 1 AS BIGINT) AS z FROM lineitem GROUP BY 1, 2, 3, 4),
+v AS (SELECT g.volume_id, CAST(a.i AS BIGINT) AS x, CAST(b.i AS BIGINT) AS y, CAST(c.i AS BIGINT) AS z FROM (SELECT DISTINCT volume_id FROM c) g CROSS JOIN range(16) a(i) CROSS JOIN range(8) b(i) CROSS JOIN range(7) c(i))
+SELECT volume_id, max(x) - min(x) + 1 AS size_x, max(y) - min(y) + 1 AS size_y, max(z) - min(z) + 1 AS size_z, count(*) AS n_voxels FROM v GROUP BY 1""")
 def volume_info(spark, sf_dir):
     return tools.describe_volume(vox(spark, sf_dir, by_flag=True))
 
@@ -433,13 +434,18 @@ def roi_coverage(spark, sf_dir):
     return tools.roi_coverage(vox(spark, sf_dir), SIZE, BOX, _ROUNDS)
 
 
-@query(f"""WITH vox AS (SELECT 'all' AS volume_id, CAST(a.i AS BIGINT) AS x, CAST(b.i AS BIGINT) AS y, CAST(c.i AS BIGINT) AS z, 1 AS m FROM range(16) a(i) CROSS JOIN range(8) b(i) CROSS JOIN range(7) c(i)),
+_LINES = "(SELECT max(l_linenumber) FROM lineitem)"
+
+
+@query(f"""WITH vox AS (SELECT 'all' AS volume_id, CAST(a.i AS BIGINT) AS x, CAST(b.i AS BIGINT) AS y, CAST(c.i AS BIGINT) AS z, 1 AS m FROM (SELECT unnest(range(2 * {_LINES} + 2)) AS i) a CROSS JOIN (SELECT unnest(range({_LINES} + 1)) AS i) b CROSS JOIN (SELECT unnest(range({_LINES})) AS i) c),
 {_random_sql(sum(_ROUNDS))},
 w AS (SELECT v.x, v.y, v.z, min(r.roi_id) AS roi FROM rois r JOIN vox v ON {_IN_BOX} GROUP BY 1, 2, 3),
 e AS (SELECT * FROM (VALUES {", ".join(f"({i}, {n})" for i, n in enumerate(_ENDS))}) AS e(i, n))
-SELECT CAST(e.i AS INTEGER) AS round, CAST(count(*) FILTER (WHERE w.roi < e.n) AS BIGINT) AS visited, CAST(count(*) FILTER (WHERE w.roi < e.n) AS DOUBLE) / 896 AS share FROM w CROSS JOIN e GROUP BY e.i""")
+SELECT CAST(e.i AS INTEGER) AS round, CAST(count(*) FILTER (WHERE w.roi < e.n) AS BIGINT) AS visited, CAST(count(*) FILTER (WHERE w.roi < e.n) AS DOUBLE) / (SELECT count(*) FROM vox) AS share FROM w CROSS JOIN e GROUP BY e.i""")
 def roi_coverage_analytic(spark, sf_dir):
-    return tools.analytic_coverage(spark, SIZE, BOX, _ROUNDS).select("round", "visited", "share")
+    """A volume whose size the table says."""
+    n = _read(spark, sf_dir, "lineitem").agg(F.max("l_linenumber")).first()[0]
+    return tools.analytic_coverage(spark, (2 * n + 2, n + 1, n), BOX, _ROUNDS).select("round", "visited", "share")
 
 
 @query(_vox(f"SELECT v.volume_id, v.x, v.y, v.z, CASE WHEN EXISTS (SELECT 1 FROM rois r WHERE {_IN_BOX}) THEN v.v ELSE 0.0 END AS v, v.m, v.p FROM vox v", _random_sql(10, "m = 1")))
@@ -735,16 +741,34 @@ def sample_lines(spark, sf_dir):
     return text.sample_lines(tools.sample_rois(v, tools.generate_rois(v, SIZE, 30, BOX)))
 
 
-@query("SELECT * FROM (VALUES (-2, '# " + ",".join(FEATURES) + "'), (-1, '# 0.5,0.75')) AS t(hist_idx, line) UNION ALL SELECT CAST(i AS INTEGER), '" + ",".join(f"{e:g}" for e in SPEC_EDGES) + "' FROM range(16) r(i)")
+@query(_vox("SELECT r.volume_id, r.roi_id, string_agg(printf('%g', v.v), ',' ORDER BY v.z, v.y, v.x) AS line FROM rois r JOIN (SELECT * REPLACE (floor(v) / 7.0::DOUBLE AS v) FROM vox) v ON " + _IN_BOX + " GROUP BY 1, 2", _random_sql(30, "m = 1")))
+def sample_lines_fractions(spark, sf_dir):
+    """Six digits of each value."""
+    v = vox(spark, sf_dir).withColumn("v", F.floor("v") / F.lit(7.0))
+    return text.sample_lines(tools.sample_rois(v, tools.generate_rois(v, SIZE, 30, BOX)))
+
+
+_PRICES = "SELECT CAST(l_orderkey % 16 AS INTEGER) AS g, floor(l_extendedprice) AS v FROM lineitem"
+_PRICE_SPEC_SQL = "WITH RECURSIVE " + _edges_sql(_PRICES, 5)
+
+
+def _price_spec(spark, sf_dir):
+    """Edges of the prices of sixteen groups of orders, as a specification of two scales."""
+    rows = _read(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 16).cast("int").alias("hist_idx"), F.floor("l_extendedprice").cast("double").alias("value"))
+    edges = histogram.determine_edges(rows, 5)
+    return edges.groupBy("hist_idx").agg(F.transform(F.sort_array(F.collect_list(F.struct("edge_idx", "edge"))), lambda e: e["edge"]).alias("edges"))
+
+
+@query(_PRICE_SPEC_SQL + "SELECT * FROM (VALUES (-2, '# " + ",".join(FEATURES) + "'), (-1, '# 0.5,0.75')) AS t(hist_idx, line) UNION ALL SELECT g, string_agg(CAST(CAST(edge AS BIGINT) AS VARCHAR), ',' ORDER BY k) FROM s WHERE k > 0 GROUP BY g")
 def edge_lines(spark, sf_dir):
-    return text.spec_lines(_spec(spark), SCALES)
+    return text.spec_lines(_price_spec(spark, sf_dir), SCALES)
 
 
-@query("SELECT CAST(i AS INTEGER) AS hist_idx, [" + ", ".join(f"{e!r}::DOUBLE" for e in SPEC_EDGES) + "] AS edges FROM range(16) r(i)")
+@query(_PRICE_SPEC_SQL + "SELECT g AS hist_idx, list(edge ORDER BY k) AS edges FROM s WHERE k > 0 GROUP BY g")
 def edge_file(spark, sf_dir):
     """The specification written as a text file and read again."""
     path = f"{saving.shared_folder(spark)}/spec-{uuid.uuid4().hex}"
-    text.write_lines(text.spec_lines(_spec(spark), SCALES), path, ["hist_idx"])
+    text.write_lines(text.spec_lines(_price_spec(spark, sf_dir), SCALES), path, ["hist_idx"])
     return text.read_spec(spark, path, SCALES)
 
 
@@ -764,17 +788,19 @@ def volume_names(spark, sf_dir):
     return _read(spark, sf_dir, "customer").select("c_custkey", strings.volume_name([F.concat(F.lit(" "), F.col("c_name")), F.col("c_mktsegment")], F.col("c_custkey") / 100).alias("name"))
 
 
-@query("SELECT * FROM (VALUES ('/out/v_scale_0.500000GaussianBlur.nii.gz', '/out/p_scale_0.500000.nii.gz', '/out/v2.ROIInfo', 'axis-2_absslice-7_relslice-1.nii.gz')) AS t(feature, scale, mask, slice)")
+@query("""SELECT c_custkey, c_name || '_scale_' || printf('%.6f', c_custkey / 8.0::DOUBLE) || c_mktsegment || '.nii.gz' AS feature, rtrim(c_mktsegment, '/') || '/p_scale_' || printf('%.6f', c_custkey / 8.0::DOUBLE) || '.nii.gz' AS scale,
+  c_name || (c_custkey % 7) || '.ROIInfo' AS mask, 'axis-' || (c_custkey % 3) || '_absslice-' || c_custkey || '_relslice-' || (c_custkey // 2) || '.nii.gz' AS slice FROM customer""")
 def file_names(spark, sf_dir):
-    names = (text.feature_file("/out/v", 0.5, FEATURES[0]), text.scale_file("/out", "p_", 0.5), text.mask_roi_file("/out/v", 2), text.slice_file(2, 7, 1))
-    return spark.createDataFrame([names], "feature string, scale string, mask string, slice string")
+    key, scale = F.col("c_custkey"), F.col("c_custkey") / 8
+    names = {"feature": text.feature_file(F.col("c_name"), scale, F.col("c_mktsegment")), "scale": text.scale_file(F.concat("c_mktsegment", F.lit("/")), F.lit("p_"), scale), "mask": text.mask_roi_file(F.col("c_name"), key % 7), "slice": text.slice_file(key % 3, key, F.expr("c_custkey div 2"))}
+    return _read(spark, sf_dir, "customer").select("c_custkey", *[c.alias(n) for n, c in names.items()])
 
 
-@query(_vox(f"""SELECT g AS hist_idx, count(*) AS n_edges FROM s WHERE k > 0 GROUP BY 1""", _features_sql(SCALES[0], 0) + ",\n" + _edges_sql(" UNION ALL ".join(f'SELECT CAST({i} AS INTEGER) AS g, round("{c}", 4) + 0.0 AS v FROM f0 WHERE m = 2' for i, c in enumerate(FEATURES)), 4)).replace("WITH ", "WITH RECURSIVE ", 1))
+@query(_vox("SELECT g AS hist_idx, list(round(edge, 4) + 0.0 ORDER BY k) AS edges FROM s WHERE k > 0 GROUP BY 1", _features_sql(SCALES[0], 0) + ",\n" + _edges_sql(" UNION ALL ".join(f'SELECT CAST({i} AS INTEGER) AS g, "{c}" + 0.0 AS v FROM f0 WHERE m = 2' for i, c in enumerate(FEATURES)), 4)).replace("WITH ", "WITH RECURSIVE ", 1))
 def edges_of_foreground(spark, sf_dir):
     """Edges of the voxels with one mask value only."""
     found = tools.determine_edges(vox(spark, sf_dir), SCALES[:1], 4, foreground=[2])
-    return found.select("hist_idx", F.size("edges").cast("long").alias("n_edges"))
+    return found.select("hist_idx", F.transform("edges", lambda e: F.round(e, 4) + F.lit(0.0)).alias("edges"))
 
 
 # A lattice that grows with the tables: as long as there are parts.

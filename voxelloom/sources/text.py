@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from voxelloom.functions.strings import join_paths, six_digits
+from voxelloom.functions.strings import path_join, six_digits
 from voxelloom.operators.stencil import FEATURES
 
 ROI_NUMBERS = ("x0", "y0", "z0", "sx", "sy", "sz")
@@ -152,17 +152,17 @@ def label_lines(labels: DataFrame) -> DataFrame:
     return labels.select("volume_id", "roi_id", F.col("label").cast("string").alias("line"))
 
 
-def feature_file(base: str, scale: float, feature: str) -> str:
-    return f"{base}_scale_{scale:.6f}{feature}.nii.gz"
+def feature_file(base: Column, scale: Column, feature: Column) -> Column:
+    return F.format_string("%s_scale_%.6f%s.nii.gz", base, scale.cast("double"), feature)
 
 
-def scale_file(folder: str, prefix: str, scale: float) -> str:
-    return join_paths(folder, f"{prefix}scale_{scale:.6f}.nii.gz")
+def scale_file(folder: Column, prefix: Column, scale: Column) -> Column:
+    return path_join(folder, F.format_string("%sscale_%.6f.nii.gz", prefix, scale.cast("double")))
 
 
-def slice_file(axis: int, absolute: int, relative: int, suffix: str = "nii.gz") -> str:
-    return f"axis-{axis}_absslice-{absolute}_relslice-{relative}.{suffix}"
+def slice_file(axis: Column, absolute: Column, relative: Column, suffix: str = "nii.gz") -> Column:
+    return F.format_string("axis-%d_absslice-%d_relslice-%d." + suffix, axis, absolute, relative)
 
 
-def mask_roi_file(base: str, value: int) -> str:
-    return f"{base}{value}.ROIInfo"
+def mask_roi_file(base: Column, value: Column) -> Column:
+    return F.format_string("%s%d.ROIInfo", base, value)

@@ -346,8 +346,8 @@ def image_geometry(spark: SparkSession, path: str | list[str], glob: str | None
     return _geometry(spark, path, parse_image, glob)
 
 
-def nifti_files(voxels: DataFrame, value: str = "v", kind: str = "f4", geometry: DataFrame | None = None) -> DataFrame:
-    """(volume_id, content) of each volume as a file, with spacing and origin of ``geometry`` (volume_id, origin, spacing) if it is given.
+def nifti_files(voxels: DataFrame, value: str = "v", kind: str = "f4", geometry: DataFrame | None = None, compressed: bool = True) -> DataFrame:
+    """(volume_id, content) of each volume as a file, gzipped or plain, with spacing and origin of ``geometry`` (volume_id, origin, spacing) if it is given.
 
     Slices are packed in tasks of their own; the task that writes a volume holds its bytes.
     """
@@ -369,7 +369,7 @@ def nifti_files(voxels: DataFrame, value: str = "v", kind: str = "f4", geometry:
         for z, data in zip(frame["z"], frame["data"], strict=True):
             grid[z] = np.frombuffer(zlib.decompress(data), item).reshape(ny, nx)
         origin, spacing = ([float(x) for x in frame[c].iloc[0]] if frame[c].iloc[0] is not None else d for c, d in (("origin", [0.0] * 3), ("spacing", [1.0] * 3)))
-        return pd.DataFrame({"volume_id": [frame["volume_id"].iloc[0]], "content": [nifti_bytes(grid, spacing, origin)]})
+        return pd.DataFrame({"volume_id": [frame["volume_id"].iloc[0]], "content": [nifti_bytes(grid, spacing, origin, compressed)]})
 
     rows = voxels.join(sizes, "volume_id")
     slices = rows.groupBy("volume_id", "z").applyInPandas(packed, "volume_id string, z long, nx long, ny long, nz long, origin array<double>, spacing array<double>, data binary")

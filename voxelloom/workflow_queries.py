@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from voxelloom.operators import bag, components, roi, stencil
-from voxelloom.plans import tools
-from voxelloom.sources import volumes
-from voxelloom.queries import _LONG_VOX, EDGES, SIZE, _bin_sql, _dense, _long_vox, _rounded, _vox, query, vox
+from voxelloom.operators.lattice import KEYS
+from voxelloom.plans import saving, tools
+from voxelloom.queries import _LONG_VOX, DIGITS, EDGES, FEATURES, SCALES, SIZE, _bin_sql, _dense, _edges_sql, _features_sql, _long_vox, _rounded, _vox, query, vox
+from voxelloom.sources import files, text, volumes
 
 
 def _components_sql(mask: str, near: str, select: str) -> str:
@@ -157,19 +160,70 @@ def _dicom_files(spark, sf_dir):
 
 
 _BY_FLAG = """cells AS (
-  SELECT l_returnflag AS volume_id, l_partkey % 16 AS x, l_suppkey % 8 AS y, CAST(l_linenumber - 1 AS BIGINT) AS z, CAST(sum(l_quantity) AS BIGINT) AS v FROM lineitem GROUP BY 1, 2, 3, 4),
+  SELECT l_returnflag AS volume_id, l_partkey % 16 AS x, l_suppkey % 8 AS y, CAST(l_linenumber - 1 AS BIGINT) AS z, CAST(sum(l_quantity) AS DOUBLE) AS v, CAST(CAST(sum(l_quantity) AS BIGINT) % 3 AS INTEGER) AS m FROM lineitem GROUP BY 1, 2, 3, 4),
 vox AS (
-  SELECT g.volume_id, CAST(a.i AS BIGINT) AS x, CAST(b.i AS BIGINT) AS y, CAST(c.i AS BIGINT) AS z, coalesce(v, 0) AS v
+  SELECT g.volume_id, CAST(a.i AS BIGINT) AS x, CAST(b.i AS BIGINT) AS y, CAST(c.i AS BIGINT) AS z, coalesce(v, 0.0) AS v, coalesce(m, 0) AS m
   FROM (SELECT DISTINCT volume_id FROM cells) g CROSS JOIN range(16) a(i) CROSS JOIN range(8) b(i) CROSS JOIN range(7) c(i)
   LEFT JOIN cells ON cells.volume_id = g.volume_id AND cells.x = a.i AND cells.y = b.i AND cells.z = c.i)"""
 
 
-@query(f"WITH {_BY_FLAG} SELECT volume_id || '_20200101' AS volume_id, x, y, z, CAST(v % 1000 AS DOUBLE) AS v FROM vox")
+@query(f"WITH {_BY_FLAG} SELECT volume_id || '_20200101' AS volume_id, x, y, z, CAST(CAST(v AS BIGINT) % 1000 AS DOUBLE) AS v FROM vox")
 def dicom_compressed(spark, sf_dir):
     """Run lengths, both lossless JPEGs, big-endian, deflated and plain slices of one series assembled."""
     return volumes.series_volumes(volumes.dicom_slices(_dicom_files(spark, sf_dir)))
 
 
-@query(f"WITH {_BY_FLAG} SELECT volume_id || '_20200101' AS volume_id, [0.0, 3.0, 4.0] AS origin, [1.0, 1.0, 1.25] AS spacing, volume_id || (sum(v) % 7) || '_19990102_B70f_1_250000' AS name FROM vox WHERE z = 0 GROUP BY volume_id")
+@query(f"WITH {_BY_FLAG} SELECT volume_id || '_20200101' AS volume_id, [0.0, 3.0, 4.0] AS origin, [1.0, 1.0, 1.25] AS spacing, volume_id || (CAST(sum(CAST(v AS BIGINT)) AS BIGINT) % 7) || '_19990102_B70f_1_250000' AS name FROM vox WHERE z = 0 GROUP BY volume_id")
 def dicom_names(spark, sf_dir):
     return volumes.dicom_geometry(_dicom_files(spark, sf_dir))
+
+
+def _folder(spark, name: str) -> str:
+    return f"{saving.shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+_SAMPLES = 150
+_SAMPLED = " UNION ALL ".join(f'SELECT CAST({j * 8 + i} AS INTEGER) AS g, "{c}" + 0.0 AS v FROM f{j} JOIN drawn USING (volume_id, x, y, z) WHERE drawn.again = {j}' for j in range(len(SCALES)) for i, c in enumerate(FEATURES))
+
+
+@query(f"""WITH RECURSIVE {_BY_FLAG}, {_features_sql(SCALES[0], 0)}, {_features_sql(SCALES[1], 1)},
+ranked AS (SELECT volume_id, x, y, z, row_number() OVER (PARTITION BY volume_id ORDER BY z, y, x) - 1 AS k, count(*) OVER (PARTITION BY volume_id) AS n FROM vox WHERE m <> 0),
+drawn AS (SELECT r.volume_id, r.x, r.y, r.z, a.i AS again FROM range({_SAMPLES}) t(i) CROSS JOIN range({len(SCALES)}) a(i) JOIN ranked r ON r.k = CAST('0x' || substr(md5(concat_ws(',', t.i, a.i, 1)), 1, 15) AS BIGINT) % r.n),
+{_edges_sql(_SAMPLED, 6)} SELECT g AS hist_idx, list(round(edge, 4) + 0.0 ORDER BY k) AS edges FROM s WHERE k > 0 GROUP BY 1""")
+def determine_edges_of_files(spark, sf_dir):
+    """Images and masks of three volumes as files, a list of their pairs, and edges of samples that are drawn anew for each image and scale."""
+    v, folder = vox(spark, sf_dir, by_flag=True), _folder(spark, "images")
+    for column, kind in (("v", "f8"), ("m", "u1")):
+        made = volumes.nifti_files(v.select(*KEYS, column), column, kind)
+        files.write_files(made.select(F.concat(F.lit(f"{column}-"), "volume_id", F.lit(".nii.gz")).alias("name"), "content"), folder)
+    lines = v.select("volume_id").distinct().select(F.format_string(f" {folder}/v-%s.nii.gz , {folder}/m-%s.nii.gz", "volume_id", "volume_id").alias("line"))
+    text.write_lines(lines, f"{folder}/list", ["line"])
+    found = tools.determine_edges(volumes.pair_voxels(spark, text.read_pairs(spark, f"{folder}/list")), SCALES, 6, samples=_SAMPLES)
+    return found.select("hist_idx", F.transform("edges", lambda e: F.round(e, 4) + F.lit(0.0)).alias("edges"))
+
+
+@query(_vox(" UNION ALL ".join(f"SELECT 'all_scale_0.500000{c}.nii.gz' AS name, x, y, z, round(\"{c}\", {DIGITS[c]}) + 0.0 AS v FROM f0" for c in FEATURES), _features_sql(0.5, 0)))
+def feature_files(spark, sf_dir):
+    """The features as files, one each, and these read again."""
+    folder = _folder(spark, "features")
+    tools.write_features(vox(spark, sf_dir), [0.5], folder, kind="f8")
+    name = F.regexp_extract("volume_id", "[^/]+$", 0)
+    digits = F.when(name.contains("GaussianCurvature"), F.round("v", DIGITS["GaussianCurvature"])).otherwise(F.round("v", 4))
+    return files.read_slabs(spark, folder).select(name.alias("name"), "x", "y", "z", (digits + F.lit(0.0)).alias("v"))
+
+
+@query(f"WITH {_BY_FLAG} SELECT volume_id || '.nii' AS name, x, y, z, v FROM vox WHERE z BETWEEN 2 AND 4")
+def volume_slabs(spark, sf_dir):
+    """Three slices of plain files: only their bytes are read."""
+    folder = _folder(spark, "plain")
+    made = volumes.nifti_files(vox(spark, sf_dir, by_flag=True), kind="f8", compressed=False)
+    files.write_files(made.select(F.concat("volume_id", F.lit(".nii")).alias("name"), "content"), folder)
+    return files.read_slabs(spark, folder, slab_bytes=4096, z=(2, 4)).select(F.regexp_extract("volume_id", "[^/]+$", 0).alias("name"), "x", "y", "z", "v")
+
+
+@query(_vox("SELECT roi_id, x0, y0, z0, sx, sy, sz FROM rois", "rois AS (SELECT row_number() OVER (ORDER BY z, y, x) - 1 AS roi_id, x - 1 AS x0, y - 1 AS y0, z - 1 AS z0, CAST(3 AS BIGINT) AS sx, CAST(3 AS BIGINT) AS sy, CAST(3 AS BIGINT) AS sz FROM vox WHERE m <> 0 AND x >= 1 AND x <= 14 AND y >= 1 AND y <= 6 AND z >= 1 AND z <= 5)"))
+def roi_files(spark, sf_dir):
+    """Regions as a text file of their volume, and that read again."""
+    folder = _folder(spark, "rois")
+    files.write_files(files.text_files(text.roi_lines(_dense(vox(spark, sf_dir))), F.concat("volume_id", F.lit("1.ROIInfo"))), folder)
+    return text.read_rois(spark, f"{folder}/all1.ROIInfo").drop("volume_id")
