@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from voxelloom.operators.integral import box_sums_of, worth_summing
 from voxelloom.operators.lattice import AXES
+from voxelloom.operators.ranks import at_ranks, strips_of
 
 #: Side of the bricks by which boxes and voxels meet.
 BRICK = 16
@@ -68,22 +69,26 @@ def random_rois(voxels: DataFrame, n: int, box: tuple[int, int, int], size: tupl
     return ranked.select("volume_id", *([by] if by else []), (F.col("rank") - 1).cast("long").alias("roi_id"), *STARTS, *SIZES)
 
 
-def drawn_again(rows: DataFrame, n: int, seed: int, times: Column | None = None) -> DataFrame:
-    """n draws of each volume's rows with putting back: (volume_id, draw_id, columns of the row drawn).
+def drawn_again(voxels: DataFrame, n: int, seed: int, times: Column | None = None) -> DataFrame:
+    """n draws of each volume's voxels with putting back: (volume_id, draw_id, again, x, y, z).
 
-    The i-th draw takes the row whose rank in raster order a hash of i names.  ``times``
-    is an array column of names for which all draws are made anew, one row each.
+    The i-th draw takes the voxel whose rank in raster order a hash of i names; ranks are
+    looked up in bitmaps, no voxel is sorted.  ``times`` is an array column of names for
+    which all draws are made anew, one row each.
     """
-    ranked = in_raster_order(rows, "rank")
-    count = rows.groupBy("volume_id").agg(F.count(F.lit(1)).alias("count"))
+    strips = strips_of(voxels)
+    count = strips.groupBy("volume_id").agg(F.sum("n").alias("count"))
     asked = count.withColumn("again", F.explode(F.array(F.lit(0)) if times is None else times)).withColumn("draw_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
-    return asked.withColumn("rank", drawn_number("draw_id", "again", F.lit(seed)) % F.col("count")).drop("count").join(ranked, ["volume_id", "rank"]).drop("rank")
+    item = F.col("again").cast("long") * n + F.col("draw_id")
+    found = at_ranks(strips, asked.select("volume_id", item.alias("item"), (drawn_number("draw_id", "again", F.lit(seed)) % F.col("count")).alias("rank")))
+    return found.select("volume_id", (F.col("item") % n).alias("draw_id"), F.expr(f"cast(item div {n} AS int)").alias("again"), *AXES)
 
 
 def random_rois_again(voxels: DataFrame, n: int, box: tuple[int, int, int], size: tuple[int, int, int], mask: str = "m", seed: int = 1) -> DataFrame:
     """n boxes of each volume, drawn with putting back."""
-    rows = candidates(voxels, box, size, F.col(mask) != 0)
-    return drawn_again(rows, n, seed).select("volume_id", F.col("draw_id").alias("roi_id"), *STARTS, *SIZES)
+    drawn = drawn_again(candidates(voxels, box, size, F.col(mask) != 0), n, seed)
+    starts = [(F.col(a) - b // 2).alias(s) for s, a, b in zip(STARTS, AXES, box, strict=True)]
+    return drawn.select("volume_id", F.col("draw_id").alias("roi_id"), *starts, *[F.lit(b).cast("long").alias(s) for s, b in zip(SIZES, box, strict=True)])
 
 
 def roi_voxels(rois: DataFrame, voxels: DataFrame, brick: int = BRICK) -> DataFrame:

@@ -7,10 +7,10 @@ import uuid
 import numpy as np
 from pyspark.sql import functions as F
 
-from voxelloom.operators import bag, components, roi, stencil
+from voxelloom.operators import bag, brick_tables, components, roi, stencil
 from voxelloom.operators.lattice import KEYS
 from voxelloom.plans import saving, tools
-from voxelloom.queries import _LONG_VOX, DIGITS, EDGES, FEATURES, SCALES, SIZE, _bin_sql, _dense, _edges_sql, _features_sql, _long_vox, _rounded, _vox, query, vox
+from voxelloom.queries import _LONG_VOX, DIGITS, EDGES, FEATURES, SCALES, SIZE, _bin_sql, _dense, _edges_sql, _features_sql, _long_vox, _read, _rounded, _vox, query, vox
 from voxelloom.sources import files, text, volumes
 
 
@@ -227,3 +227,25 @@ def roi_files(spark, sf_dir):
     folder = _folder(spark, "rois")
     files.write_files(files.text_files(text.roi_lines(_dense(vox(spark, sf_dir))), F.concat("volume_id", F.lit("1.ROIInfo"))), folder)
     return text.read_rois(spark, f"{folder}/all1.ROIInfo").drop("volume_id")
+
+
+def _saved_lattices(spark, sf_dir):
+    v, name = vox(spark, sf_dir, by_flag=True), uuid.uuid4().hex
+    return [brick_tables.save_lattice(v.select(*KEYS, c), f"{c}_{name}", 8, brick=4) for c in ("v", "m")]
+
+
+@query(f"WITH {_BY_FLAG} SELECT volume_id, x, y, z, v, m FROM vox")
+def bricks_joined(spark, sf_dir):
+    """An image and its mask saved by brick, joined where they lie."""
+    return brick_tables.joined(*_saved_lattices(spark, sf_dir)).drop("brick")
+
+
+@query(f"""WITH {_BY_FLAG}, rois AS (SELECT l_returnflag AS volume_id, l_orderkey AS roi_id, l_partkey % 16 - 2 AS x0, l_suppkey % 8 - 1 AS y0, l_linenumber - 2 AS z0, 1 + l_orderkey % 9 AS sx, 1 + l_orderkey % 5 AS sy, 1 + l_orderkey % 3 AS sz FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 50 = 0)
+SELECT r.volume_id, r.roi_id, count(*) AS n, sum(v.v) AS total FROM rois r JOIN vox v ON v.volume_id = r.volume_id AND v.x >= r.x0 AND v.x < r.x0 + r.sx AND v.y >= r.y0 AND v.y < r.y0 + r.sy AND v.z >= r.z0 AND v.z < r.z0 + r.sz GROUP BY 1, 2""")
+def bricks_boxed(spark, sf_dir):
+    """Boxes made of line items, which go to the voxels of a lattice that is saved by brick."""
+    image, _ = _saved_lattices(spark, sf_dir)
+    rois = _read(spark, sf_dir, "lineitem").filter("l_linenumber = 1 AND l_orderkey % 50 = 0").selectExpr(
+        "l_returnflag AS volume_id", "l_orderkey AS roi_id", "l_partkey % 16 - 2 AS x0", "l_suppkey % 8 - 1 AS y0", "l_linenumber - 2 AS z0", "1 + l_orderkey % 9 AS sx", "1 + l_orderkey % 5 AS sy", "1 + l_orderkey % 3 AS sz"
+    )
+    return brick_tables.boxed(rois, image, brick=4).groupBy("volume_id", "roi_id").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("total"))
