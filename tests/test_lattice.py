@@ -194,7 +194,7 @@ def test_geometry(voxels):
     assert lattice.slice_indices(4) == [0, 1, 2, 3]
     with pytest.raises(ValueError):
         lattice.slice_indices(4, indices=[4])
-    fine = lattice.resampled(voxels, SIZE, (13, 6, 5), (0.5, 1.0, 1.0))
+    fine = tools.resample(voxels, SIZE, (13, 6, 5), (0.5, 1.0, 1.0))
     want = np.empty((5, 6, 13))
     want[..., ::2], want[..., 1::2] = V, (V[..., 1:] + V[..., :-1]) / 2
     got = np.empty((5, 6, 13))

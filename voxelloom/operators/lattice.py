@@ -114,29 +114,6 @@ def slices(voxels: DataFrame, axis: str, n: int, flip: int | None = None, **chos
     return found
 
 
-def resampled(voxels: DataFrame, old: tuple[int, int, int], new: tuple[int, int, int], step: tuple[float, float, float], offset: tuple[float, float, float] = (0.0, 0.0, 0.0), value: str = "v", order: int = 1, outside: float = 0.0) -> DataFrame:
-    """Values at new places, ``offset + i * step`` in old indices, by nearest neighbour (0) or linear interpolation (1).
-
-    Places outside of the old lattice get ``outside``.  Each new voxel asks for its
-    corners, one equi-join, and sums what they weigh.
-    """
-    grid = spine(voxels.select("volume_id").distinct(), new)
-    at = {a: F.lit(o) + F.col(a) * F.lit(s) for a, o, s in zip(AXES, offset, step, strict=True)}
-    inside = [F.col(f"p{a}").between(0.0, float(n - 1)) for a, n in zip(AXES, old, strict=True)]
-    asked = grid.withColumns({f"p{a}": c for a, c in at.items()}).filter(inside[0] & inside[1] & inside[2])
-    for a, n in zip(AXES, old, strict=True):
-        p = F.col(f"p{a}")
-        if order == 0:
-            corners = F.array(F.struct(F.floor(p + 0.5).alias("c"), F.lit(1.0).alias("w")))
-        else:
-            low = F.floor(p)
-            corners = F.array(F.struct(low.alias("c"), (1.0 - (p - low)).alias("w")), F.struct(F.least(low + 1, F.lit(n - 1)).alias("c"), (p - low).alias("w")))
-        asked = asked.withColumn(f"k{a}", F.explode(corners)).filter(F.col(f"k{a}.w") > 0)
-    parts = asked.select("volume_id", *[F.col(a).alias(f"n{a}") for a in AXES], *[F.col(f"k{a}.c").cast("long").alias(a) for a in AXES], (F.col("kx.w") * F.col("ky.w") * F.col("kz.w")).alias("weight"))
-    found = parts.join(voxels.select(*KEYS, value), list(KEYS)).groupBy("volume_id", *[F.col(f"n{a}").alias(a) for a in AXES]).agg(F.sum(F.col(value) * F.col("weight")).alias(value))
-    return grid.join(found, list(KEYS), "left").select(*KEYS, F.coalesce(value, F.lit(outside)).alias(value))
-
-
 def empty_volume(spark: SparkSession, size: tuple[int, int, int]) -> DataFrame:
     """The voxels of one volume of which only the size is known."""
     return places(spark, size).select(F.lit("all").alias("volume_id"), *AXES)

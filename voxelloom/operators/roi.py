@@ -70,7 +70,7 @@ def random_rois(voxels: DataFrame, n: int, box: tuple[int, int, int], size: tupl
 
 
 def drawn_again(voxels: DataFrame, n: int, seed: int, times: Column | None = None) -> DataFrame:
-    """n draws of each volume's voxels with putting back: (volume_id, draw_id, again, x, y, z).
+    """n draws of each volume's voxels with putting back: (volume_id, draw_id, again, x, y, z, other columns of the voxel drawn).
 
     The i-th draw takes the voxel whose rank in raster order a hash of i names; ranks are
     looked up in bitmaps, no voxel is sorted.  ``times`` is an array column of names for
@@ -81,12 +81,13 @@ def drawn_again(voxels: DataFrame, n: int, seed: int, times: Column | None = Non
     asked = count.withColumn("again", F.explode(F.array(F.lit(0)) if times is None else times)).withColumn("draw_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
     item = F.col("again").cast("long") * n + F.col("draw_id")
     found = at_ranks(strips, asked.select("volume_id", item.alias("item"), (drawn_number("draw_id", "again", F.lit(seed)) % F.col("count")).alias("rank")))
-    return found.select("volume_id", (F.col("item") % n).alias("draw_id"), F.expr(f"cast(item div {n} AS int)").alias("again"), *AXES)
+    drawn = found.select("volume_id", (F.col("item") % n).alias("draw_id"), F.expr(f"cast(item div {n} AS int)").alias("again"), *AXES)
+    return drawn.join(voxels, ["volume_id", *AXES]) if set(voxels.columns) - {"volume_id", *AXES} else drawn
 
 
 def random_rois_again(voxels: DataFrame, n: int, box: tuple[int, int, int], size: tuple[int, int, int], mask: str = "m", seed: int = 1) -> DataFrame:
     """n boxes of each volume, drawn with putting back."""
-    drawn = drawn_again(candidates(voxels, box, size, F.col(mask) != 0), n, seed)
+    drawn = drawn_again(candidates(voxels, box, size, F.col(mask) != 0).select("volume_id", *AXES), n, seed)
     starts = [(F.col(a) - b // 2).alias(s) for s, a, b in zip(STARTS, AXES, box, strict=True)]
     return drawn.select("volume_id", F.col("draw_id").alias("roi_id"), *starts, *[F.lit(b).cast("long").alias(s) for s, b in zip(SIZES, box, strict=True)])
 

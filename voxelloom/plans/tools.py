@@ -9,6 +9,7 @@ from voxelloom.functions.pointwise import apply_mask, intensity_window, remap
 from voxelloom.functions.strings import join_paths
 from voxelloom.operators import bag as bags
 from voxelloom.operators import distance, histogram, lattice, roi, stencil
+from voxelloom.operators import resample as resampling
 from voxelloom.operators.stencil import FEATURES
 from voxelloom.sources import files, text, volumes
 
@@ -123,10 +124,18 @@ def pad(voxels: DataFrame, old: tuple[int, ...], new: tuple[int, ...], fill: dic
     return lattice.padded(voxels, old, new, fill)
 
 
-def resample(voxels: DataFrame, old: Box, new: Box, step: tuple[float, float, float], align: str = "origin", source_origin: tuple[float, float, float] = (0.0, 0.0, 0.0), target_origin: tuple[float, float, float] = (0.0, 0.0, 0.0), spacing: tuple[float, float, float] = (1.0, 1.0, 1.0), **options) -> DataFrame:
-    """A source on a target's grid; ``align='origin'`` lays both origins on each other, ``'physical'`` keeps places."""
-    offset = (0.0, 0.0, 0.0) if align == "origin" else tuple((t - s) / d for s, t, d in zip(source_origin, target_origin, spacing, strict=True))
-    return lattice.resampled(voxels, old, new, step, offset, **options)
+def resample(voxels: DataFrame, old: Box, new: Box, step: tuple[float, float, float] | None = None, align: str = "origin", source_origin: tuple[float, float, float] = (0.0, 0.0, 0.0), target_origin: tuple[float, float, float] = (0.0, 0.0, 0.0), spacing: tuple[float, float, float] = (1.0, 1.0, 1.0), source: dict | None = None, target: dict | None = None, **options) -> DataFrame:
+    """A source on a target's grid; ``align='origin'`` lays both origins on each other, ``'physical'`` keeps places.
+
+    Grids of one orientation are told by ``step``, in the source's voxels, and their origins;
+    others by ``source`` and ``target``, each with origin, spacing and, if they are turned,
+    direction: a matrix whose columns are the cosines of the axes.
+    """
+    if source is not None and target is not None:
+        matrix, offset = resampling.index_map(source, target)
+    else:
+        matrix, offset = [[s if i == j else 0.0 for j in range(3)] for i, s in enumerate(step)], [(t - s) / d for s, t, d in zip(source_origin, target_origin, spacing, strict=True)]
+    return resampling.resampled_onto(voxels, old, new, matrix, offset if align == "physical" else [0.0] * 3, **options)
 
 
 def expected_distance(voxels: DataFrame, mask: str = "m", probability: str = "p", squared: bool = True) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from voxelloom.operators import bag, brick_tables, components, roi, stencil
 from voxelloom.operators.lattice import KEYS
+from voxelloom.operators.resample import index_map
 from voxelloom.plans import saving, tools
 from voxelloom.queries import _LONG_VOX, DIGITS, EDGES, FEATURES, SCALES, SIZE, _bin_sql, _dense, _edges_sql, _features_sql, _long_vox, _read, _rounded, _vox, query, vox
 from voxelloom.sources import files, text, volumes
@@ -249,3 +250,29 @@ def bricks_boxed(spark, sf_dir):
         "l_returnflag AS volume_id", "l_orderkey AS roi_id", "l_partkey % 16 - 2 AS x0", "l_suppkey % 8 - 1 AS y0", "l_linenumber - 2 AS z0", "1 + l_orderkey % 9 AS sx", "1 + l_orderkey % 5 AS sy", "1 + l_orderkey % 3 AS sz"
     )
     return brick_tables.boxed(rois, image, brick=4).groupBy("volume_id", "roi_id").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("total"))
+
+
+#: A grid turned by 30 degrees around z, and one that isn't.
+_COS, _SIN = float(np.cos(np.pi / 6)), float(np.sin(np.pi / 6))
+_TURNED = {"origin": [1.0, -2.0, 0.5], "spacing": [0.75, 0.5, 1.25], "direction": [[_COS, -_SIN, 0.0], [_SIN, _COS, 0.0], [0.0, 0.0, 1.0]]}
+_STRAIGHT = {"origin": [-1.0, 0.5, 0.0], "spacing": [1.0, 0.8, 1.5]}
+_TURNED_SIZE = (22, 18, 6)
+
+
+def _turned_sql() -> str:
+    matrix, offset = index_map(_STRAIGHT, _TURNED)
+    at = ", ".join(f"round({float(matrix[i, 0])!r}::DOUBLE * a.i + {float(matrix[i, 1])!r}::DOUBLE * b.i + {float(matrix[i, 2])!r}::DOUBLE * c.i + {float(offset[i])!r}::DOUBLE, 9) AS p{x}" for i, x in enumerate("xyz"))
+    weight = lambda c, x: f"(CASE WHEN {c}.d = 0 THEN 1 - (p{x} - floor(p{x})) ELSE p{x} - floor(p{x}) END)"
+    inside = " AND ".join(f"p{x} BETWEEN 0 AND {n - 1}" for x, n in zip("xyz", SIZE, strict=True))
+    met = " AND ".join(f"v.{x} = least(floor(p{x}) + {c}.d, {n - 1})" for x, c, n in zip("xyz", "def", SIZE, strict=True))
+    nx, ny, nz = _TURNED_SIZE
+    return _vox(f"""SELECT g.x, g.y, g.z, round(coalesce(sum(v.v * {weight("d", "x")} * {weight("e", "y")} * {weight("f", "z")}), -1.0), 6) + 0.0 AS v
+FROM g CROSS JOIN (SELECT 0 AS d UNION ALL SELECT 1) d CROSS JOIN (SELECT 0 AS d UNION ALL SELECT 1) e CROSS JOIN (SELECT 0 AS d UNION ALL SELECT 1) f LEFT JOIN vox v ON {inside} AND {met} GROUP BY 1, 2, 3""",
+        f"g AS (SELECT CAST(a.i AS BIGINT) AS x, CAST(b.i AS BIGINT) AS y, CAST(c.i AS BIGINT) AS z, {at} FROM range({nx}) a(i) CROSS JOIN range({ny}) b(i) CROSS JOIN range({nz}) c(i))")
+
+
+@query(_turned_sql())
+def resample_oriented(spark, sf_dir):
+    """Onto a turned grid, in bricks of eight voxels."""
+    found = tools.resample(vox(spark, sf_dir), SIZE, _TURNED_SIZE, align="physical", source=_STRAIGHT, target=_TURNED, outside=-1.0, side=8)
+    return found.select("x", "y", "z", _rounded("v"))
