@@ -102,11 +102,15 @@ def determine_edges(rows: DataFrame, n_bins: int, group: str = "hist_idx", value
     lookup by rank for each edge.
     """
     # Kept: what the rows come from runs once.
-    counts = saved(rows.groupBy(group, value).agg(F.count(F.lit(1)).alias("n")))
+    return edges_of_counts(saved(rows.groupBy(group, value).agg(F.count(F.lit(1)).alias("n"))), n_bins, group, value, on_overflow)
+
+
+def edges_of_counts(counts: DataFrame, n_bins: int, group: str = "hist_idx", value: str = "value", on_overflow: str = "error") -> DataFrame:
+    """The same of values that are counted already: (group, value, n), each value once."""
     most = counts.groupBy(group).agg(F.count(F.lit(1)).alias("k")).agg(F.max("k")).first()[0] or 0
     if most > MOST_VALUES:
         return walked_edges(counts, n_bins, group, value, on_overflow)
-    kind = rows.schema[group].dataType.simpleString()
+    kind = counts.schema[group].dataType.simpleString()
 
     def fold(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(value)

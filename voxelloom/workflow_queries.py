@@ -7,12 +7,14 @@ import uuid
 import numpy as np
 from pyspark.sql import functions as F
 
+from voxelloom.functions import tables
 from voxelloom.operators import bag, brick_tables, components, roi, stencil
 from voxelloom.operators.lattice import KEYS
 from voxelloom.operators.resample import index_map
 from voxelloom.plans import saving, tools
-from voxelloom.queries import _LONG_VOX, DIGITS, EDGES, FEATURES, SCALES, SIZE, _bin_sql, _dense, _edges_sql, _features_sql, _long_vox, _read, _rounded, _vox, query, vox
+from voxelloom.queries import _DENSE, _LONG_VOX, _TIED_SQL, DIGITS, EDGES, FEATURES, SCALES, SIZE, _bin_sql, _dense, _edges_sql, _features_sql, _long_vox, _random_sql, _read, _rounded, _vox, query, vox
 from voxelloom.sources import files, text, volumes
+from voxelloom.streaming import edges
 
 
 def _components_sql(mask: str, near: str, select: str) -> str:
@@ -276,3 +278,45 @@ def resample_oriented(spark, sf_dir):
     """Onto a turned grid, in bricks of eight voxels."""
     found = tools.resample(vox(spark, sf_dir), SIZE, _TURNED_SIZE, align="physical", source=_STRAIGHT, target=_TURNED, outside=-1.0, side=8)
     return found.select("x", "y", "z", _rounded("v"))
+
+
+@query(_TIED_SQL.replace("{B}", "7").replace("l_returnflag", "l_linenumber").replace("SELECT g AS l_linenumber", "SELECT CAST(g AS INTEGER) AS hist_idx"))
+def edges_arriving(spark, sf_dir):
+    """Quantities of each line number that arrive in three batches: edges after the last are those of all."""
+    folder = _folder(spark, "arriving")
+    rows = _read(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("hist_idx"), F.col("l_quantity").alias("value"), (F.col("l_orderkey") % 3).alias("third"))
+    for k in range(3):
+        rows.filter(F.col("third") == k).drop("third").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema("hist_idx int, value double").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    edges.keep_runs(stream, f"{folder}/runs", f"{folder}/state", parts=4).awaitTermination()
+    return edges.edges_so_far(spark, f"{folder}/runs", 7)
+
+
+def _view(rows) -> str:
+    name = f"rows_{uuid.uuid4().hex}"
+    rows.createOrReplaceTempView(name)
+    return name
+
+
+_BOX_AND_SIZE = "ARRAY(3, 3, 3), ARRAY(16, 8, 7)"
+
+
+@query(_vox("SELECT * FROM rois", _random_sql(50, "m <> 0")))
+def sql_random_rois(spark, sf_dir):
+    """Random regions by a table function."""
+    tables.register(spark)
+    return spark.sql(f"SELECT * FROM random_rois(TABLE({_view(vox(spark, sf_dir))}) PARTITION BY (volume_id), 50, {_BOX_AND_SIZE}, 1)")
+
+
+@query(_vox("SELECT * FROM rois", _DENSE))
+def sql_dense_rois(spark, sf_dir):
+    tables.register(spark)
+    return spark.sql(f"SELECT * FROM dense_rois(TABLE({_view(vox(spark, sf_dir))}) PARTITION BY (volume_id) ORDER BY (z, y, x), {_BOX_AND_SIZE})")
+
+
+@query(_TIED_SQL.replace("{B}", "7").replace("SELECT g AS l_returnflag", "SELECT g AS hist_idx"))
+def sql_edges(spark, sf_dir):
+    """Edges by a table function, of values that SQL counts before."""
+    tables.register(spark)
+    rows = _view(_read(spark, sf_dir, "lineitem"))
+    return spark.sql(f"SELECT * FROM equalised_edges(TABLE(SELECT l_returnflag AS hist_idx, l_quantity AS value, count(*) AS n FROM {rows} GROUP BY 1, 2) PARTITION BY (hist_idx), 7)")
