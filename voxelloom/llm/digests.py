@@ -71,7 +71,8 @@ def _taken(rows: DataFrame, index: DigestIndex, batch: str | None) -> tuple[Data
 def _placed(rows: DataFrame, index: DigestIndex, batch: str | None) -> DataFrame:
     """Rows with their group, and whether they are kept: of rows that repeat the doc_id and text to keep, one."""
     groups, total = _taken(rows.select("doc_id", "digest"), index, batch)
-    found = join_groups(rows, groups, "digest", "group_size", total, "doc_id", with_spread=True)
+    # Rows without an id meet only where all of a group have none, as one of them is kept then.
+    found = join_groups(rows, groups, "digest", "group_size", total, "doc_id", with_spread=True, apart=F.col("hot_keep_id").isNotNull())
     again = Window.partitionBy("digest", "spread", "doc_id").orderBy(F.lit(0))
     first = F.row_number().over(again) == 1
     return found.withColumn("kept", F.col("fresh") & F.col("doc_id").eqNullSafe(F.col("keep_id")) & first)

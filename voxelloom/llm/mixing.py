@@ -77,7 +77,7 @@ def _mixed(docs: DataFrame, share: float, most: float, weights: tuple[float, ...
         F.xxhash64(F.col(f"`{text}`").cast("string")).alias("hash"),
         *[F.struct(docs["*"]).alias("row")] * whole,
     )
-    keyed = rows.withColumn("key", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))).withColumn("range", F.substring("key", 1, RANGE_DIGITS))
+    keyed = rows.withColumn("key", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.col("hash").cast("string"), F.lit(":"), F.col("size").cast("string")))))).withColumn("range", F.substring("key", 1, RANGE_DIGITS))
     part = ["name", "nameless", "range"]
     # Up to 16 ** RANGE_DIGITS rows a source, of which the texts are counted once.
     ranges = saved(keyed.groupBy(*part).agg(F.sum("size").alias("range_size")))

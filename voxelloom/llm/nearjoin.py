@@ -480,7 +480,7 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHIN
     total = named.agg(F.sum("n_same")).first()[0] or 0
     first = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("text_hash") == F.col("first_hash"))
     rows = sketches.select(F.when(~F.col("nameless"), F.col("doc_id")).alias("doc_id"), "text_hash", "node")
-    return join_groups(rows, named, "node", "n_same", total, "doc_id").select("doc_id", "class_id", "same_id", "n_same", "n_links", "n_shingles", first.alias("is_first"), "text_hash")
+    return join_groups(rows, named, "node", "n_same", total, "doc_id", apart=F.lit(True)).select("doc_id", "class_id", "same_id", "n_same", "n_links", "n_shingles", first.alias("is_first"), "text_hash")
 
 
 def first_rows(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
