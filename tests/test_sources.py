@@ -237,3 +237,9 @@ def test_run_lengths():
         assert unpacked(packed(data)) == data
     # An example of the public description of the scheme.
     assert unpacked(bytes.fromhex("FEAA0280002AFDAA0380002A22F7AA")) == bytes.fromhex("AAAAAA80002AAAAAAAAA80002A22AAAAAAAAAAAAAAAAAAAA")
+
+
+@pytest.mark.parametrize("compressed", [True, False])
+def test_nrrd_round_trip(compressed):
+    head, values = volumes.parse_image(volumes.nrrd_bytes(A.astype("f4"), (0.5, 1.0, 2.0), (1.0, 2.0, 3.0), compressed))
+    assert head == {"size": [4, 3, 2], "origin": [1.0, 2.0, 3.0], "spacing": [0.5, 1.0, 2.0]} and np.array_equal(values, A)

@@ -322,6 +322,16 @@ def metaimage_bytes(values: np.ndarray, spacing=(1.0, 1.0, 1.0), origin=(0.0, 0.
     return head.encode() + (zlib.compress(raw) if compressed else raw)
 
 
+def nrrd_bytes(values: np.ndarray, spacing=(1.0, 1.0, 1.0), origin=(0.0, 0.0, 0.0), compressed: bool = True) -> bytes:
+    """A file of values indexed [z, y, x], its pixels gzipped or raw."""
+    kind = next(k for k, t in _NRRD.items() if values.dtype == np.dtype(t))
+    numbers = lambda xs: " ".join(f"{x:g}" for x in xs)
+    directions = " ".join("(" + ",".join(f"{s if i == j else 0:g}" for j in range(3)) + ")" for i, s in enumerate(spacing))
+    head = f"NRRD0004\ntype: {kind}\ndimension: 3\nspace dimension: 3\nsizes: {numbers(values.shape[::-1])}\nspace directions: {directions}\nspace origin: ({','.join(f'{x:g}' for x in origin)})\nendian: little\nencoding: {'gzip' if compressed else 'raw'}\n\n"
+    raw = np.ascontiguousarray(values).astype(values.dtype.newbyteorder("<")).tobytes()
+    return head.encode() + (gzip.compress(raw) if compressed else raw)
+
+
 def parse_image(data: bytes) -> Volume:
     """A volume file of any kind that is read, told by its first bytes."""
     if data[:3] == b"HR2":

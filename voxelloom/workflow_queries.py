@@ -12,7 +12,7 @@ from voxelloom.operators import bag, brick_tables, components, roi, stencil
 from voxelloom.operators.lattice import KEYS
 from voxelloom.operators.resample import index_map
 from voxelloom.plans import saving, tools
-from voxelloom.queries import _DENSE, _LONG_VOX, _TIED_SQL, DIGITS, EDGES, FEATURES, SCALES, SIZE, _bin_sql, _dense, _edges_sql, _features_sql, _long_vox, _random_sql, _read, _rounded, _vox, query, vox
+from voxelloom.queries import _DENSE, _LONG_VOX, _TIED_SQL, DIGITS, EDGES, FEATURES, SCALES, SIZE, _as_files, _bin_sql, _dense, _edges_sql, _features_sql, _long_vox, _random_sql, _read, _rounded, _vox, query, vox
 from voxelloom.sources import files, text, volumes
 from voxelloom.streaming import edges
 
@@ -320,3 +320,17 @@ def sql_edges(spark, sf_dir):
     tables.register(spark)
     rows = _view(_read(spark, sf_dir, "lineitem"))
     return spark.sql(f"SELECT * FROM equalised_edges(TABLE(SELECT l_returnflag AS hist_idx, l_quantity AS value, count(*) AS n FROM {rows} GROUP BY 1, 2) PARTITION BY (hist_idx), 7)")
+
+
+@query(_vox("SELECT volume_id, x, y, z, v FROM vox"))
+def read_nrrd(spark, sf_dir):
+    return volumes.parsed(_as_files(spark, sf_dir, volumes.nrrd_bytes), volumes.parse_image)
+
+
+@query(f"WITH {_BY_FLAG}, named AS (SELECT volume_id, volume_id || (CAST(sum(CAST(v AS BIGINT)) AS BIGINT) % 7) || '_19990102_B70f_1_250000' AS name FROM vox WHERE z = 0 GROUP BY 1) SELECT name AS volume_id, x, y, z, CAST(CAST(v AS BIGINT) % 1000 AS DOUBLE) AS v FROM vox JOIN named USING (volume_id)")
+def dicom_converted(spark, sf_dir):
+    """A folder of DICOM files as volume files, named by their tags, and these read."""
+    folder = _folder(spark, "dicom")
+    files.write_files(_dicom_files(spark, sf_dir).select(F.concat("path", F.lit(".dcm")).alias("name"), "content"), folder)
+    made = tools.convert_dicom(spark, folder, "*.dcm")
+    return volumes.parsed(made.select(F.col("name").alias("path"), "content"), volumes.parse_nifti)
