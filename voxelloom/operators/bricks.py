@@ -46,11 +46,12 @@ def side_for(halo: tuple[int, int, int]) -> int:
     return max(SIDE, 2 * max(halo))
 
 
-def in_bricks(voxels: DataFrame, halo: tuple[int, int, int], run: Callable[[Brick], pa.Table], schema: T.StructType, keys: tuple[str, ...] = ("volume_id",), side: int | None = None, below: tuple[int, int, int] | None = None, halo_alone: bool = False) -> DataFrame:
+def in_bricks(voxels: DataFrame, halo: tuple[int, int, int], run: Callable[[Brick], pa.Table], schema: T.StructType, keys: tuple[str, ...] = ("volume_id",), side: int | None = None, below: tuple[int, int, int] | None = None, halo_alone: bool = False, own_only: list[str] | None = None) -> DataFrame:
     """``run`` on each brick with ``halo`` voxels more on either side of each axis (``below``: fewer before it); it returns rows for the brick's own voxels.
 
     Bricks end where the volume does: what is there of a halo says how far it goes.
-    ``halo_alone`` runs bricks too that have no voxel of their own.
+    ``halo_alone`` runs bricks too that have no voxel of their own; columns ``own_only``
+    are null in a halo, where nothing needs them.
     """
     side = side or side_for(halo)
     rows = voxels
@@ -60,6 +61,8 @@ def in_bricks(voxels: DataFrame, halo: tuple[int, int, int], run: Callable[[Bric
         rows = rows.withColumn(f"_b{a}", F.explode(near))
     own = [F.floor(F.col(a) / F.lit(side)).cast("int") == F.col(f"_b{a}") for a in AXES]
     rows = rows.withColumn("_own", own[0] & own[1] & own[2])
+    if own_only:
+        rows = rows.withColumns({c: F.when(F.col("_own"), F.col(c)) for c in own_only})
 
     def group(table: pa.Table) -> pa.Table:
         brick = Brick(table.combine_chunks())

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from voxelloom.functions.eigen import eigen_features
 from voxelloom.functions.pointwise import LARGEST_FLOAT, apply_mask, divide
-from voxelloom.operators.bricks import Brick, in_bricks, lines
+from voxelloom.operators.bricks import SIDE, Brick, in_bricks, lines
 from voxelloom.operators.lattice import AXES
 
 HESSIAN = ("hxx", "hxy", "hxz", "hyy", "hyz", "hzz")
@@ -270,7 +270,9 @@ def _in_scales(voxels: DataFrame, scales: list[float], value: str, mask: str, sp
             parts.append(part)
         return pa.concat_tables(parts).cast(to_arrow_schema(schema))
 
-    found = in_bricks(rows, halo, run, schema)
+    # Bricks three times as wide as a halo: of a voxel there are 4.6 copies at most, not 8.
+    others = [c for c in kept if c not in ("volume_id", *AXES, value, mask)]
+    found = in_bricks(rows, halo, run, schema, side=max(SIDE, 3 * max(halo)), own_only=others)
     return found.withColumn("scale", F.element_at(F.array(*[F.lit(float(s)) for s in scales]), F.col("scale_idx") + 1))
 
 
