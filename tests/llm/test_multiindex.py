@@ -92,3 +92,10 @@ def test_far_queries_find_all_that_there_is(spark):
     vectors = np.concatenate([[np.full(16, -40.0)], near])
     got = asked(made(spark, [(i, v.tolist(), 0, None) for i, v in enumerate(vectors)], "double"))
     assert len(got[0]) == 10 and [i for i, _ in got[0]] == [i for i, _ in brute(np.arange(301), vectors, vectors[0], 0)]
+
+
+def test_more_dimensions_than_vectors():
+    rng = np.random.default_rng(9)
+    for n, d in ((1, 3), (2, 500), (40, 300), (300, 40)):
+        model = mi.Model(rng.normal(size=(n, d)), n, 1)
+        assert model.codes(rng.normal(size=(5, d))).shape == (5, 16) and 0 <= model.radius <= 128

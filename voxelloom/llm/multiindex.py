@@ -27,8 +27,8 @@ from voxelloom.llm.shared import saved
 
 BITS, SUBSTRINGS = 128, 4
 NEAREST = 10
-#: Different vectors that rotations and radius are fitted on at most, and how many of them ask for the radius.
-SAMPLE, ASKING = 20_000, 256
+#: Different vectors that rotations and radius are fitted on at most, numbers in all of them, and how many of them ask for the radius.
+SAMPLE, SAMPLE_NUMBERS, ASKING = 20_000, 1 << 22, 256
 #: The radius reaches this share of the sample's true neighbours.
 REACHED = 0.985
 STEPS, SEED = 25, 7
@@ -58,10 +58,10 @@ class Model:
         x = (sample - self.mean).astype(float)
         self.scale = float(np.abs(x).max()) or 1.0
         x /= self.scale
-        _, _, axes = np.linalg.svd(x.T @ x)
+        _, _, axes = np.linalg.svd(x.T @ x if len(x) > x.shape[1] else x, full_matrices=False)
         parts = []
         while sum(p.shape[1] for p in parts) < bits:
-            kept = axes[: min(bits, x.shape[1])].T
+            kept = axes[:bits].T
             parts.append(kept @ _learned(x @ kept, rng))
         self.rotation = np.concatenate(parts, 1)[:, :bits]
         codes = self.codes(sample)
@@ -148,11 +148,12 @@ def packed(rows: DataFrame, id_column: str, vector: str) -> tuple[DataFrame, str
     return given.mapInArrow(run, "vec_id long, dim int, vec binary"), kind
 
 
-def fitted(vectors: DataFrame, kind: str, total: int, blocks: int, **options) -> Model:
-    """A model of up to SAMPLE different vectors, those of least hash; about so many leave their tasks."""
-    share = min(1.0, SAMPLE / max(total, 1))
+def fitted(vectors: DataFrame, kind: str, total: int, dim: int, blocks: int, **options) -> Model:
+    """A model of up to SAMPLE different vectors (fewer of many dimensions), those of least hash; about so many leave their tasks."""
+    most = max(1, min(SAMPLE, SAMPLE_NUMBERS // max(dim, 1)))
+    share = min(1.0, most / max(total, 1))
     draw = F.xxhash64("vec")
-    drawn = vectors.filter(F.pmod(draw, F.lit(1 << 30)) < math.ceil(share * (1 << 30))).select("vec").distinct().orderBy(draw, "vec").limit(SAMPLE)
+    drawn = vectors.filter(F.pmod(draw, F.lit(1 << 30)) < math.ceil(share * (1 << 30))).select("vec").distinct().orderBy(draw, "vec").limit(most)
     table = drawn.toArrow()
     return Model(_matrix(table.column("vec"), kind).astype(float), total, blocks, **options)
 
@@ -284,7 +285,7 @@ def nearest_vectors(vectors: DataFrame, asks: Column, nearest: int = NEAREST, id
     given = given.filter(F.col("dim") == most.dim).select("vec_id", "vec")
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = max(1, min(max(-(-most.n // BLOCK), -(-2 * partitions // SUBSTRINGS)), min(most.n, SAMPLE) // 8))
-    model = fitted(given, kind, most.n, blocks, nearest=nearest, **options)
+    model = fitted(given, kind, most.n, most.dim, blocks, nearest=nearest, **options)
     # A vector and its least ids: no more of one that very many rows have.
     once = given.distinct().withColumn("n", F.row_number().over(Window.partitionBy("vec").orderBy("vec_id"))).filter(F.col("n") <= nearest + 1)
     index = once.groupBy("vec").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).mapInArrow(_indexed(model, kind), _ROW)
