@@ -334,3 +334,19 @@ def dicom_converted(spark, sf_dir):
     files.write_files(_dicom_files(spark, sf_dir).select(F.concat("path", F.lit(".dcm")).alias("name"), "content"), folder)
     made = tools.convert_dicom(spark, folder, "*.dcm")
     return volumes.parsed(made.select(F.col("name").alias("path"), "content"), volumes.parse_nifti)
+
+
+_STEPS = " UNION ALL ".join(f"SELECT a.place AS a, b.place AS b FROM on_ a JOIN on_ b ON {' AND '.join(f'b.{c} = a.{c} + {d if c == axis else 0}' for c in 'xyz')}" for axis in "xyz" for d in (1, -1))
+
+
+@query(f"""WITH RECURSIVE {_LONG_VOX}, on_ AS (SELECT x, y, z, x * 56 + y * 7 + z AS place FROM vox WHERE m = 1),
+near AS ({_STEPS}),
+reached AS (SELECT place, place AS root FROM on_ UNION SELECT near.b, reached.root FROM reached JOIN near ON near.a = reached.place),
+least AS (SELECT place, min(root) AS root FROM reached GROUP BY 1),
+sizes AS (SELECT root, count(*) AS n_voxels, max(x) - min(x) + 1 AS length FROM least JOIN on_ USING (place) GROUP BY 1)
+SELECT n_voxels, length, count(*) AS components FROM sizes GROUP BY 1, 2""")
+def component_sizes_growing(spark, sf_dir):
+    """How many components of the lattice that grows have so many voxels and are so long."""
+    v = _long_vox(spark, sf_dir)[0].filter("m = 1")
+    found = components.component_objects(v, neighbours=6)
+    return found.groupBy("n_voxels", (F.col("max_x") - F.col("min_x") + 1).alias("length")).agg(F.count(F.lit(1)).alias("components"))
