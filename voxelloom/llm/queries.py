@@ -37,6 +37,7 @@ ORACLES: dict[str, str] = {
     "op3_mix_sources": mixing.OP3_SQL,
     "op4_exact_dedup": digests.OP4_SQL,
     "op12_conversation_trie": trie.OP12_SQL,
+    "op13_periodic_runs": runs.OP13_SQL,
 }
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxelloom.llm.textcore import crc32_sql
+
 LEAST_WORDS, EXPONENT = 24, 3
 #: Aligned stretches are compared word by word so often before those that remain are extended one by one.
 ROUNDS = 12
@@ -203,3 +205,20 @@ def op13_periodic_runs(docs: DataFrame) -> DataFrame:
         "doc_id", F.size("runs").cast("long").alias("n_runs"), *[F.col(f"best.{c}") for c in ("start", "length", "period")],
         F.expr("best.length * 1000 div best.period").alias("exponent_milli"), F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed_text").cast("binary"), 256).alias("collapsed_sha256"), "n_words",
     )
+
+
+OP13_SQL = rf"""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w, {crc32_sql("CAST(doc_id AS VARCHAR)")} AS h FROM documents),
+e AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN (h // 10) % n ELSE n END AS a, 3 + (h // 10) % 8 AS times FROM (SELECT *, len(w) AS n FROM d)),
+words AS (SELECT doc_id, n, i, w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // times) END] AS word FROM (SELECT *, unnest(range(n)) AS i FROM e)),
+pairs AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM words x JOIN words y ON y.doc_id = x.doc_id AND y.word = x.word AND y.i > x.i WHERE {EXPONENT} * (y.i - x.i) <= x.n),
+lags AS (SELECT doc_id, q FROM pairs GROUP BY 1, 2 HAVING count(*) >= greatest({LEAST_WORDS} - q, {EXPONENT - 1} * q)),
+islands AS (
+  SELECT doc_id, q, min(i) AS s, count(*) + q AS n FROM (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS same FROM pairs JOIN lags USING (doc_id, q))
+  GROUP BY doc_id, q, same HAVING count(*) + q >= greatest({LEAST_WORDS}, {EXPONENT} * q)),
+runs AS (SELECT * FROM islands a WHERE NOT EXISTS (SELECT 1 FROM islands b WHERE b.doc_id = a.doc_id AND b.q < a.q AND a.q % b.q = 0 AND b.s <= a.s AND b.s + b.n >= a.s + a.n)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + n)) AS i FROM runs),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY 1),
+best AS (SELECT * FROM runs a WHERE NOT EXISTS (SELECT 1 FROM runs b WHERE b.doc_id = a.doc_id AND (b.n * a.q > a.n * b.q OR b.n * a.q = a.n * b.q AND (b.s < a.s OR b.s = a.s AND b.q < a.q)))),
+told AS (SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || n || ',' || q || chr(10), '' ORDER BY s, q) AS lines FROM runs GROUP BY 1)
+SELECT e.doc_id, coalesce(n_runs, 0) AS n_runs, best.s AS start, best.n AS length, best.q AS period, 1000 * best.n // best.q AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256, CAST(e.n AS BIGINT) AS n_words
+FROM e LEFT JOIN best USING (doc_id) LEFT JOIN told USING (doc_id) LEFT JOIN kept USING (doc_id)"""

@@ -282,3 +282,10 @@ def by_bucket(sorted_hashes: np.ndarray, n: int) -> Iterator[tuple[int, slice]]:
     cut = np.append(np.searchsorted(sorted_hashes, bucket_edges(n)), len(sorted_hashes))
     for b in np.flatnonzero(np.diff(cut)):
         yield int(b), slice(int(cut[b]), int(cut[b + 1]))
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL of an ASCII string's CRC-32: bytes come in, each followed by eight shifts."""
+    steps = f"flatten([[CAST(ascii(s) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1] for s in string_split({text}, '')])"
+    fold = "CASE WHEN b >= 0 THEN xor(a, b) ELSE xor(a >> 1, (a & 1) * 3988292384) END"
+    return f"xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], {steps}), lambda a, b: {fold}), 4294967295)"

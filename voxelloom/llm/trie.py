@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxelloom.llm.shared import join_groups
+from voxelloom.llm.textcore import crc32_sql
 from voxelloom.plans.saving import saved
 
 FAMILY, MOST_SHARED = 20, 4
@@ -190,17 +191,10 @@ def op12_conversation_trie(conversations: DataFrame) -> DataFrame:
     return prefix_trie(conversations).drop("node_key", "parent_key")
 
 
-def _crc32_sql(text: str) -> str:
-    """Of an ASCII string: bytes come in, each followed by eight shifts."""
-    steps = f"flatten([[CAST(ascii(s) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1] for s in string_split({text}, '')])"
-    fold = "CASE WHEN b >= 0 THEN xor(a, b) ELSE xor(a >> 1, (a & 1) * 3988292384) END"
-    return f"xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], {steps}), lambda a, b: {fold}), 4294967295)"
-
-
 OP12_SQL = f"""WITH turns AS (
   SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS i, [coalesce(role, ''), coalesce(text, '')] AS t
   FROM conversations WHERE conv_id IS NOT NULL),
-convs AS (SELECT c, c - c % {FAMILY} AS base, {_crc32_sql("CAST(c AS VARCHAR)")} % {MOST_SHARED} AS h FROM (SELECT DISTINCT c FROM turns)),
+convs AS (SELECT c, c - c % {FAMILY} AS base, {crc32_sql("CAST(c AS VARCHAR)")} % {MOST_SHARED} AS h FROM (SELECT DISTINCT c FROM turns)),
 parts AS (
   SELECT convs.c, i, t FROM convs JOIN turns ON turns.c = convs.base AND i <= h
   UNION ALL SELECT convs.c, i, t FROM convs JOIN turns ON turns.c = convs.c AND i > h),
