@@ -34,8 +34,10 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_suffix_array_dedup": repeats.OP2_SQL,
     "op3_mix_sources": mixing.OP3_SQL,
     "op4_exact_dedup": digests.OP4_SQL,
+    "op5_substring_dedup": substring.OP5_SQL,
     "op12_conversation_trie": trie.OP12_SQL,
     "op13_periodic_runs": runs.OP13_SQL,
 }

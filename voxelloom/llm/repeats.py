@@ -353,3 +353,14 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 50, hot: int = HOT, doc
 
 def op2_suffix_array_dedup(docs: DataFrame) -> DataFrame:
     return remove_repeated_bytes(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.length("kept").cast("long").alias("n_kept"))
+
+
+OP2_SQL = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+pieces AS (SELECT doc_id, base, len(h) // 2 AS n, substr(h, 2 * base + 1, 2098) AS p FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2, 1000)) AS base FROM d)),
+windows AS (SELECT doc_id, base + j AS i, md5(substr(p, 2 * j + 1, 100)) AS k FROM (SELECT *, unnest(range(least(1000, n - 49 - base))) AS j FROM pieces)),
+earlier AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY k) AS first FROM windows) WHERE first < doc_id),
+bytes AS (SELECT doc_id, substr(p, 2 * j + 1, 2) AS byte, base + j AS i FROM (SELECT *, unnest(range(least(1000, n - base))) AS j FROM pieces)),
+judged AS (SELECT bytes.*, coalesce(bytes.i - max(earlier.i) OVER (PARTITION BY bytes.doc_id ORDER BY bytes.i) < 50, false) AS gone FROM bytes LEFT JOIN earlier ON earlier.doc_id = bytes.doc_id AND earlier.i = bytes.i),
+marked AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS begins FROM judged),
+sums AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE begins) AS n_spans, string_agg(byte, '' ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM marked GROUP BY 1)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256, CAST(len(coalesce(kept, '')) // 2 AS BIGINT) AS n_kept FROM d LEFT JOIN sums USING (doc_id)"""

@@ -194,3 +194,13 @@ def remove_repeated_words(docs: DataFrame, window: int = 50, doc_id: str = "doc_
 
 def op5_substring_dedup(docs: DataFrame) -> DataFrame:
     return remove_repeated_words(docs).select("doc_id", "n_words", "n_removed", "kept_sha256", F.col("n_spans"))
+
+
+OP5_SQL = r"""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+windows AS (SELECT doc_id, i, md5(array_to_string(w[i + 1:i + 50], ' ')) AS k FROM (SELECT doc_id, w, unnest(range(len(w) - 49)) AS i FROM d)),
+earlier AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY k) AS first FROM windows) WHERE first < doc_id),
+words AS (SELECT doc_id, w[i + 1] AS word, i FROM (SELECT doc_id, w, unnest(range(len(w))) AS i FROM d)),
+judged AS (SELECT words.*, coalesce(words.i - max(earlier.i) OVER (PARTITION BY words.doc_id ORDER BY words.i) < 50, false) AS gone FROM words LEFT JOIN earlier ON earlier.doc_id = words.doc_id AND earlier.i = words.i),
+marked AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS begins FROM judged),
+sums AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE begins) AS n_spans, string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM marked GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256, coalesce(n_spans, 0) AS n_spans FROM d LEFT JOIN sums USING (doc_id)"""
