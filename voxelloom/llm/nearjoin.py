@@ -496,3 +496,17 @@ def first_rows(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGL
 
 def op9_ngram_jaccard_join(docs: DataFrame) -> DataFrame:
     return near_classes(docs).drop("is_first", "text_hash")
+
+
+OP9_SQL = rf"""WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(w) < {SHINGLE} THEN [array_to_string(w, ' ')] ELSE list_sort(list_distinct([array_to_string(w[i:i + {SHINGLE - 1}], ' ') for i in range(1, len(w) - {SHINGLE - 2})])) END AS g FROM d),
+c AS (SELECT md5(array_to_string(g, chr(10))) AS node, min(doc_id) AS same_id, count(*) AS n_same, any_value(g) AS g, CAST(any_value(len(g)) AS BIGINT) AS n FROM s GROUP BY 1),
+x AS (SELECT node, n, unnest(g) AS shingle FROM c),
+pairs AS (SELECT a.node AS a, b.node AS b, count(*) AS both_have, any_value(a.n + b.n) AS n FROM x a JOIN x b ON b.shingle = a.shingle AND b.node > a.node WHERE 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n) GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs WHERE 5 * both_have >= 4 * (n - both_have)),
+near AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached AS (SELECT DISTINCT a AS node, a AS root FROM near UNION SELECT near.b, reached.root FROM reached JOIN near ON near.a = reached.node),
+label AS (SELECT node, min(root) AS label FROM reached GROUP BY 1),
+class AS (SELECT c.node, min(c.same_id) OVER (PARTITION BY coalesce(label, c.node)) AS class_id FROM c LEFT JOIN label USING (node))
+SELECT s.doc_id, class_id, same_id, n_same, (SELECT count(*) FROM near WHERE near.a = c.node) AS n_links, c.n AS n_shingles
+FROM s JOIN c ON c.node = md5(array_to_string(s.g, chr(10))) JOIN class ON class.node = c.node"""
