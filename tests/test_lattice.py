@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from voxelloom.operators import bag, distance, lattice, roi, stencil
+from voxelloom.operators import bag, distance, integral, lattice, roi, stencil
 from voxelloom.plans import tools
 
 SIZE = (7, 6, 5)
@@ -267,3 +267,19 @@ def test_recursion_over_lines_is_the_impulse_response(spark, voxels):
     assert plan.count("Exchange hashpartitioning") == 3
     one = stencil.gaussian_smooth(voxels, ["v"], 40.0, recursive=True).toPandas().set_index(["x", "y", "z"])["v"]
     assert np.allclose(both.toPandas().set_index(["x", "y", "z"])["b"].sort_index(), one.sort_index())
+
+
+def test_labels_and_histograms_by_sums_and_by_join(spark):
+    rng = np.random.default_rng(11)
+    rows = [("v", x, y, z, float(rng.integers(0, 9)), int(rng.integers(0, 40))) for x in range(9) for y in range(7) for z in range(5)]
+    voxels = spark.createDataFrame(rows, "volume_id string, x long, y long, z long, v double, m int")
+    boxes = [("v", i, *(int(rng.integers(-2, n)) for n in (9, 7, 5)), *(int(rng.integers(1, 9)) for _ in range(3))) for i in range(25)]
+    rois = spark.createDataFrame(boxes, "volume_id string, roi_id long, x0 long, y0 long, z0 long, sx long, sy long, sz long")
+    inside = rois.filter("x0 >= 0 AND y0 >= 0 AND z0 >= 0")
+    # More labels than one pass counts.
+    one, other = (roi.labels(inside, voxels, ignore=[3], by_sums=s) for s in (True, False))
+    assert sorted(one.collect()) == sorted(other.collect()) and one.count() > 2
+    one, other = (bag.intensity_bag(inside, voxels, [2.0, 5.0], by_sums=s).fillna(-1.0) for s in (True, False))
+    assert sorted(one.collect()) == sorted(other.collect())
+    # A lattice with holes is joined, whatever the boxes.
+    assert not integral.worth_summing(rois, voxels.filter("x <> 4")) and integral.worth_summing(rois.unionByName(rois), voxels)

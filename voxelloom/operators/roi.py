@@ -123,8 +123,8 @@ def flattened(rois: DataFrame, voxels: DataFrame, value: str = "v") -> DataFrame
     return cells.select("volume_id", "roi_id", F.col("cells.value").alias("values"))
 
 
-#: Labels that are counted in one pass of sums.
-LABELS_AT_ONCE = 32
+#: Labels that are counted in one pass of sums, and those that are counted so at most; more are joined.
+LABELS_AT_ONCE, MOST_LABELS = 32, 1024
 
 
 def labels(rois: DataFrame, voxels: DataFrame, label: str = "m", ignore: list[int] | None = None, dominant: int = -1, by_sums: bool | None = None) -> DataFrame:
@@ -137,16 +137,16 @@ def labels(rois: DataFrame, voxels: DataFrame, label: str = "m", ignore: list[in
     """
     ignore = ignore or []
     by_sums = worth_summing(rois, voxels) if by_sums is None else by_sums
-    counts = _summed_labels(rois, voxels, label) if by_sums else roi_voxels(rois, voxels).groupBy("volume_id", "roi_id", F.col(label).cast("int").alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    known = sorted(r[0] for r in voxels.select(F.col(label).cast("int")).distinct().limit(MOST_LABELS + 1).collect() if r[0] is not None) if by_sums else []
+    counts = _summed_labels(rois, voxels, label, known) if by_sums and len(known) <= MOST_LABELS else roi_voxels(rois, voxels).groupBy("volume_id", "roi_id", F.col(label).cast("int").alias("label")).agg(F.count(F.lit(1)).alias("n"))
     seen = F.when(F.col("label").isin(ignore), 0).otherwise(F.col("n")) if ignore else F.col("n")
     mode = counts.withColumn("seen", seen).groupBy("volume_id", "roi_id").agg(F.max_by("label", F.struct("seen", -F.col("label"))).alias("mode"), F.bool_or(F.col("label") == dominant).alias("there"))
     wins = F.lit(True) if dominant in ignore and dominant > -1 else F.col("there") & F.lit(dominant > -1)
     return mode.select("volume_id", "roi_id", F.when(wins, F.lit(dominant)).otherwise(F.col("mode")).cast("int").alias("label"))
 
 
-def _summed_labels(rois: DataFrame, voxels: DataFrame, label: str) -> DataFrame:
-    """(volume_id, roi_id, label, n) by sums of each label's indicator; a label image has as many labels as a byte, or few more."""
-    known = sorted(r[0] for r in voxels.select(F.col(label).cast("int")).distinct().collect() if r[0] is not None)
+def _summed_labels(rois: DataFrame, voxels: DataFrame, label: str, known: list[int]) -> DataFrame:
+    """(volume_id, roi_id, label, n) by sums of each known label's indicator."""
     parts = None
     for k in range(0, max(len(known), 1), LABELS_AT_ONCE):
         some = known[k : k + LABELS_AT_ONCE] or [0]
