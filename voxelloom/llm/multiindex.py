@@ -140,8 +140,10 @@ def packed(rows: DataFrame, id_column: str, vector: str) -> tuple[DataFrame, str
             good = np.flatnonzero((bad[off[1:]] == bad[off[:-1]]) & (set_[off[1:]] > set_[off[:-1]]))
             data = np.ascontiguousarray(values, kind).tobytes()
             size = np.dtype(kind).itemsize
-            vec = [data[off[i] * size : off[i + 1] * size] for i in good.tolist()]
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(good)), pa.array(np.diff(off)[good].astype(np.int32)), pa.array(vec, pa.binary())], names=["vec_id", "dim", "vec"])
+            # A row that repeats another of its batch stays behind: no more than one a batch travels.
+            once = {(ids[i].as_py(), data[off[i] * size : off[i + 1] * size]): i for i in reversed(good.tolist())}
+            at = np.array(list(once.values()), np.int64)
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), pa.array(np.diff(off)[at].astype(np.int32)), pa.array([v for _, v in once], pa.binary())], names=["vec_id", "dim", "vec"])
 
     v = F.col(f"`{vector}`").cast(f"array<{to}>")
     given = rows.select(F.coalesce(F.col(f"`{id_column}`").cast("long"), F.lit(NO_ID)).alias("vec_id"), v.alias("v")).filter("v IS NOT NULL")
@@ -287,8 +289,8 @@ def nearest_vectors(vectors: DataFrame, asks: Column, nearest: int = NEAREST, id
     blocks = max(1, min(max(-(-most.n // BLOCK), -(-2 * partitions // SUBSTRINGS)), min(most.n, SAMPLE) // 8))
     model = fitted(given, kind, most.n, most.dim, blocks, nearest=nearest, **options)
     # A vector and its least ids: no more of one that very many rows have.
-    once = given.distinct().withColumn("n", F.row_number().over(Window.partitionBy("vec").orderBy("vec_id"))).filter(F.col("n") <= nearest + 1)
-    index = once.groupBy("vec").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).mapInArrow(_indexed(model, kind), _ROW)
+    least = given.withColumn("n", F.dense_rank().over(Window.partitionBy("vec").orderBy("vec_id"))).filter(F.col("n") <= nearest + 1)
+    index = least.groupBy("vec").agg(F.sort_array(F.collect_set("vec_id")).alias("ids")).mapInArrow(_indexed(model, kind), _ROW)
     asked_ids, _ = packed(vectors.filter(asks & F.col(f"`{vector}`").isNotNull()), id_column, vector)
     todo = asked_ids.filter(F.col("dim") == most.dim).select("vec_id", "vec").distinct()
     radius, found = model.radius, None
