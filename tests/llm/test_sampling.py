@@ -5,7 +5,9 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from voxelloom.llm.sampling import RUN, SAMPLES, fingerprints, op7_fingerprints
+from pyspark.sql import functions as F
+
+from voxelloom.llm.sampling import RUN, SAMPLES, fingerprints, op7_fingerprints, signatures
 
 
 def words(text):
@@ -69,6 +71,22 @@ def test_odd_rows(spark):
     assert [r.near_next for r in op7_fingerprints(docs.filter("doc_id = 6")).collect()] == [1.0]
 
 
+def test_terms_of_both_texts_are_ranked_once(spark):
+    """One rank a sample, and the signatures that the two texts have by themselves."""
+    rows = [(1, "a b b c", "d e", "f b"), (2, "x y", "", "x"), (3, "", "p q q", ""), (4, "", "u v", "v u u"), (5, " ", "", ""), (6, "m n n", "n", "n")]
+    docs = spark.createDataFrame(rows, "id long, start string, one string, two string")
+    start, one, two = (F.concat(F.lit(" "), F.col(c)) for c in ("start", "one", "two"))
+    found = signatures(docs, ["id"], [(start, True, True), (one, True, False), (two, False, True)], 8)
+    alone = [signatures(docs, ["id"], [(F.concat(start, end), True, False)], 8).select("id", "fingerprint") for end in (one, two)]
+    want = [{r.id: r.fingerprint for r in d.collect()} for d in alone]
+    none = bytearray()
+    got = {r.id: r for r in found.collect()}
+    assert set(got) == {1, 2, 3, 4, 6}
+    for i, r in got.items():
+        assert (r.fingerprint, r.edited_fingerprint) == tuple(w.get(i, none) for w in want)
+    assert found._jdf.queryExecution().optimizedPlan().toJSON().count("expressions.Floor\"") == 8
+
+
 def test_no_python(spark):
     plan = op7_fingerprints(spark.createDataFrame([(1, "a")], "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)

@@ -23,6 +23,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 #: Bytes of a signature that stand for one sample.
 WIDTH = 4
 NO_ID = (1 << 63) - 1
+#: Which of two texts a term's weight is of.
+FIRST, SECOND, BOTH = 1, 2, 3
 #: Rows that repeat a text are told out in lists of up to so many.
 RUN = 4096
 
@@ -39,8 +41,8 @@ def rank(term: Column, log_weight: Column, k: int) -> Column:
     u1, u2 = _uniforms(h)
     v1, v2 = _uniforms(F.xxhash64(h))
     b, _ = _uniforms(F.xxhash64(h, term))
-    r = -F.ln(u1 * u2)
-    return F.ln(-F.ln(v1 * v2)) - r * (F.floor(log_weight / r + b).cast("double") - b + 1.0)
+    minus_r = F.ln(u1 * u2)
+    return F.ln(-F.ln(v1 * v2)) + minus_r * (F.floor(b - log_weight / minus_r).cast("double") - b + 1.0)
 
 
 def _signature(names: list[str]) -> Column:
@@ -70,9 +72,14 @@ def signatures(rows: DataFrame, key: list[str], pieces: list[tuple[Column, bool,
     flags = F.array(*[F.struct(p.alias("piece"), F.lit(int(a)).alias("a"), F.lit(int(b)).alias("b")) for p, a, b in pieces])
     parts = rows.select(*key, F.explode(flags).alias("p")).select(*key, F.explode(_words(F.col("p.piece"))).alias("w"), "p.a", "p.b").filter("w <> ''")
     terms = parts.groupBy(*key, F.xxhash64("w").alias("term")).agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    logs = terms.select(*key, "term", F.when(F.col("a") > 0, F.ln(F.col("a").cast("double"))).alias("la"), F.when(F.col("b") > 0, F.ln(F.col("b").cast("double"))).alias("lb"))
-    least = [F.min(rank(F.col("term"), F.col(s), k)).alias(f"{s}{k}") for k in range(samples) for s in ("la", "lb")]
-    done = logs.groupBy(*key).agg(*least)
+    # Ranks are most of the work: a term that both texts have equally often is ranked once for both.
+    side = lambda n, which: F.struct(F.ln(F.col(n).cast("double")).alias("log_weight"), F.lit(which).alias("side"))
+    a, b = F.col("a"), F.col("b")
+    sides = F.when(a == b, F.array(side("a", BOTH))).when(b == 0, F.array(side("a", FIRST))).when(a == 0, F.array(side("b", SECOND))).otherwise(F.array(side("a", FIRST), side("b", SECOND)))
+    ranked = terms.select(*key, "term", F.explode(sides).alias("s")).select(*key, "term", "s.log_weight", "s.side")
+    least = ranked.groupBy(*key, "side").agg(*[F.min(rank(F.col("term"), F.col("log_weight"), k)).alias(f"r{k}") for k in range(samples)])
+    # Three rows a key at most.
+    done = least.groupBy(*key).agg(*[F.min(F.when(F.col("side") != apart, F.col(f"r{k}"))).alias(f"{s}{k}") for k in range(samples) for s, apart in (("la", SECOND), ("lb", FIRST))])
     return done.select(*key, _signature([f"la{k}" for k in range(samples)]).alias("fingerprint"), _signature([f"lb{k}" for k in range(samples)]).alias("edited_fingerprint"))
 
 
