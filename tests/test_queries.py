@@ -37,6 +37,16 @@ def test_sample_lines_without_boxes(spark, tmp_path):
     assert QUERIES["sample_lines"](spark, str(tmp_path)).collect() == []
 
 
+@pytest.mark.parametrize("name", ["dicom_names", "dicom_compressed", "dicom_converted"])
+@pytest.mark.parametrize("odd", ["l_quantity / 4 AS l_quantity", "-l_quantity AS l_quantity", "CASE l_returnflag WHEN 'A' THEN NULL ELSE l_returnflag END AS l_returnflag", "l_returnflag || 'ä中' AS l_returnflag", "' ' || l_returnflag || '> ' AS l_returnflag"])
+def test_dicom_of_odd_line_items(spark, tmp_path, odd, name):
+    """Sums with fractions and below zero; flags that are null, of other scripts or with blanks at their ends."""
+    duckdb.sql(f"COPY (SELECT * REPLACE ({odd}) FROM read_parquet('{SF}/lineitem.parquet')) TO '{tmp_path}/lineitem.parquet' (FORMAT parquet)")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{tmp_path}/lineitem.parquet')")
+    same(QUERIES[name](spark, str(tmp_path)), con, ORACLES[name])
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(QUERIES) <= set(__spark_entry__.queries()) and set(ORACLES) <= set(__spark_entry__.oracle_sql())

@@ -212,6 +212,14 @@ def test_pixels_of_every_transfer_syntax(spark, tmp_path):
     assert header == {"size": [11, 9, 7], "origin": [-15.0, 4.0, 5.0], "spacing": [0.75, 0.5, 2.5]} and np.array_equal(back, values[::-1])
 
 
+def test_character_sets_of_text():
+    data = volumes.dicom_bytes(A[0], "1.2", "20200131", 4.0, patient="Ä中", kernel="é")
+    assert [volumes.parse_dicom(data)[k] for k in ("patient", "kernel")] == ["Ä中", "é"]
+    assert b"ISO_IR" not in volumes.dicom_bytes(A[0], "1.2", "20200131", 4.0, patient="A")
+    greek = volumes.dicom_bytes(A[0], "1.2", "20200131", 4.0, patient="Äb").replace(b"ISO_IR 192", b"ISO_IR 126").replace("Ä".encode(), b"\xe1\xe2")
+    assert volumes.parse_dicom(greek)["patient"] == "αβb"
+
+
 def test_broken_compressed_pixels():
     whole = volumes.dicom_bytes(A[0], "1", "2", 3.0, syntax=SYNTAXES[6])
     for broken, why in ((whole.replace(b"\xff\xc3", b"\xff\xc2"), "lossless"), (volumes.dicom_bytes(A[0], "1", "2", 3.0, syntax="1.2.840.10008.1.2.4.50"), "isn't read")):
